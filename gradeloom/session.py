@@ -39,6 +39,7 @@ def local_session(name: str = "gradeloom", cpus: str | int = "*") -> SparkSessio
         .config("spark.sql.shuffle.partitions", os.environ.get("GRADELOOM_PARTITIONS", "8"))
         .config("spark.driver.memory", os.environ.get("GRADELOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
