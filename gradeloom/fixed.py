@@ -39,7 +39,8 @@ SECTION_LINES = [
     ("judgement", rf"^[一二三四五六七八九十]+[、.．]{WS}*判断|^判断题{WS}*[:：]?\z"),
     ("skip", rf"^[一二三四五六七八九十]+[、.．]{WS}*(?:填空|名词解释|问答|简答|病例分析)"),
 ]
-EXPLICIT_ANSWER = rf"(?:正确)?答案{WS}*[:：]{WS}*((?:{LABEL_ANY_CASE}|[、，,]|{WS})+)"
+ANSWER_LETTERS = f"[A-Ga-gＡ-Ｇａ-ｇ、，,{_SPACE_CLASS}]+"
+EXPLICIT_ANSWER = rf"(?:正确)?答案{WS}*[:：]{WS}*({ANSWER_LETTERS})"
 ANSWER_SPLIT = rf"答案{WS}*[:：]"
 EXAM_HEADER = rf"(?i)((?:19|20)[0-9]{{2}}){WS}*N{WS}*([0-9]{{1,3}}){WS}*([ABCX]){WS}*[.．、]{WS}*"
 
@@ -90,3 +91,15 @@ ENGLISH_KINDS = ["cloze", "word-bank", "reading", "matching", "long-reading", "l
                  "writing", "translation"]
 COMPANION_NAME = r"(?i)答案|解析|详解|answer|analysis|solution|explanation|key"
 NO_MEANING = "待使用自定义 AI 补全释义"
+
+# Question anchors in exam papers, answers beside them, compact answer tables.
+ANCHOR = rf"(?:^|\n){WS}*(?:(?:19|20)[0-9]{{2}}{WS}*N{WS}*)?([0-9]{{1,3}}){WS}*(?:[ABCX]{WS}*)?[.．、]"
+BLOCK_ANSWER = rf"(?i)(?:【|\[)?{WS}*(?:参考)?答案{WS}*(?:】|\])?{WS}*[:：]?{WS}*([A-G]{{1,7}})(?![A-Za-z])"
+COMPACT_ANSWER = rf"(?i)(?:^|[,，;；{_SPACE_CLASS}])([0-9]{{1,3}}){WS}*[.、:：\-]?{WS}*([A-G]{{1,7}})(?=\z|[,，;；{_SPACE_CLASS}])"
+ANSWER_HINT = r"(?i)(?:参考)?答案|答案表|正确答案|解析"
+OPTION_LINE = rf"(?:^|\n){WS}*[A-G]{WS}*[.．、]"
+PAGE_MARK = rf"(?i)\[\[PAGE{WS}+[0-9]+\]\]"
+REFERENCE_LINES, REFERENCE_CHARS = 90, 18_000
+CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_BOUNDARY = 24_000, 1_000, 0.65
+PACK_CHARS, PACK_MIN, PACK_MAX, PACK_QUESTIONS, PACK_ANCHORS, PACK_FALLBACK = 7_200, 4_800, 8_000, 14, 8, 3_600
+SEAM_HEAD = 3_600

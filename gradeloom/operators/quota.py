@@ -38,8 +38,8 @@ def idle_runs(requests: DataFrame, keys: list[str], micros: str, seq: str, gap_u
     rows = running(requests, keys, F.floor(F.col(micros) / slice_us), [micros, seq],
                    {"_prev": ("max", F.col(micros))}, before=True)
     start = F.when(F.col("_prev").isNull() | (F.col(micros) - F.col("_prev") >= gap_us), F.col(micros))
-    return running(rows.drop("_prev"), keys, F.floor(F.col(micros) / slice_us), [micros, seq],
-                   {"run": ("last", start)})
+    return running(rows, keys, F.floor(F.col(micros) / slice_us), [micros, seq],
+                   {"run": ("last", start)}).drop("_prev")
 
 
 def accepted_requests(requests: DataFrame, keys: list[str], ts: str, seq: str, limit: int,
