@@ -36,6 +36,11 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def texts(self, table: str = "documents") -> DataFrame:
+        """A text table, spread over the cores when its file has few row groups."""
+        from gradeloom.plans.scale import spread
+        return spread(getattr(self, table))
+
     def __getattr__(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{table}.parquet")
 

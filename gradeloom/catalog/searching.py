@@ -69,7 +69,7 @@ def search_many(t: Tables):
 @query("search_normal_form", """SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS form FROM documents""")
 def search_normal_form(t: Tables):
     """Unicode-folded search form of whole documents."""
-    return t.documents.select("doc_id", X.search_form(F.col("text")).alias("form"))
+    return t.texts().select("doc_id", X.search_form(F.col("text")).alias("form"))
 
 
 NOTE_SQL = """n AS (SELECT doc_id, source AS stem, text || chr(10) || '> 来源： book ' || (doc_id % 5) || chr(10) || '#' || lang || ' #tag_' || (doc_id % 3) || ' #' || lang AS note FROM documents)"""
@@ -78,7 +78,7 @@ NOTE_SQL = """n AS (SELECT doc_id, source AS stem, text || chr(10) || '> 来源
 def notes(t: Tables):
     note = F.concat(F.col("text"), F.lit("\n> 来源： book "), F.col("doc_id") % 5, F.lit("\n#"), F.col("lang"),
                     F.lit(" #tag_"), F.col("doc_id") % 3, F.lit(" #"), F.col("lang"))
-    return t.documents.select("doc_id", F.col("source").alias("stem"), note.alias("note"), F.lit("none").alias("source"))
+    return t.texts().select("doc_id", F.col("source").alias("stem"), note.alias("note"), F.lit("none").alias("source"))
 
 
 @query("tag_extract", f"""WITH {NOTE_SQL}
@@ -101,7 +101,7 @@ def note_search(t: Tables):
   '# ' || source || chr(10) || text, '(?m)^#{1,6}[ \t]+', '', 'g'), '(?m)^[-*][ \t]+', '', 'g'), '[*_`]', '', 'g'), '\s+', ' ', 'g')) AS summary FROM documents""")
 def note_summary(t: Tables):
     md = F.concat(F.lit("# "), F.col("source"), F.lit("\n> 标签：#"), F.col("lang"), F.lit("\n"), F.col("text"))
-    return t.documents.select("doc_id", X.note_summary(md).alias("summary"))
+    return t.texts().select("doc_id", X.note_summary(md).alias("summary"))
 
 
 @query("note_append", """SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN '# ' || p_name || chr(10) || chr(10) || '> 来源：' || p_type ELSE 'old #' || p_type END
@@ -128,14 +128,14 @@ def note_block_append(t: Tables):
 
 @query("highlight_terms", r"""SELECT doc_id, regexp_replace(text, '(?i)(with|the|an)', '<mark>\1</mark>', 'g') AS marked FROM documents""")
 def highlight_terms(t: Tables):
-    return t.documents.select("doc_id", X.highlight(F.col("text"), "an THE with the").alias("marked"))
+    return t.texts().select("doc_id", X.highlight(F.col("text"), "an THE with the").alias("marked"))
 
 
 @query("secret_redaction", r"""SELECT doc_id, regexp_replace(regexp_replace(text || ' http://h/?x=1&key=' || doc_id || '&token=t ' || 'sk-' || repeat('a', 9),
   '(?i)([?&](?:key|api_key|token)=)[^&\s]+', '\1[已隐藏]', 'g'), '\b(?:sk|key)-[A-Za-z0-9_-]{8,}\b', '[已隐藏]', 'g') AS redacted FROM documents""")
 def secret_redaction(t: Tables):
     raw = F.concat(F.col("text"), F.lit(" http://h/?x=1&key="), F.col("doc_id"), F.lit("&token=t sk-aaaaaaaaa"))
-    return t.documents.select("doc_id", X.redact_secrets(raw, None).alias("redacted"))
+    return t.texts().select("doc_id", X.redact_secrets(raw, None).alias("redacted"))
 
 
 @query("safe_names", r"""SELECT page_id, substr(regexp_replace(url, '[\\/:*?"<>|]', '-', 'g'), 1, 60) AS file_name, 'Report.' || page_id AS base FROM pages""")

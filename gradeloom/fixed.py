@@ -5,9 +5,11 @@ results would differ: word lists, labels, limits, and text patterns.
 """
 
 # Whitespace as JavaScript defines it (Java's \s is ASCII only).
-_SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-_SPACE_CLASS = r"\s" + "".join(f"\\u{code:04x}" for code in _SPACES)
-WS = f"[{_SPACE_CLASS}]"
+_SPACES = [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+ALL_SPACES = "".join(map(chr, _SPACES))
+_SPACE_CLASS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# The first half of the intersection rejects ordinary letters with one test.
+WS = rf"[[^!-~\u3001-\ufefe]&&[{_SPACE_CLASS}]]"
 NON_WS = f"[^{_SPACE_CLASS}]"
 
 # Answer labels, half and full width.

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
+from gradeloom.functions.text import bind
 
 
 def fold_labels(text: Column) -> Column:
@@ -33,8 +34,7 @@ def labels_of(options: Column) -> Column:
 
 def valid_answer(answer: Column, options: Column) -> Column:
     """Answer labels that exist among the options, order kept."""
-    labels = labels_of(options)
-    return F.filter(answer, lambda a: F.array_contains(labels, a))
+    return bind(labels_of(options), lambda labels: F.filter(answer, lambda a: F.array_contains(labels, a)))
 
 
 def structurally_valid(stem: Column, options: Column, answer: Column, question_type: Column) -> Column:
@@ -70,11 +70,10 @@ def options_first_wins(options: Column) -> Column:
 
 def options_last_wins(options: Column) -> Column:
     """One option per label, the last text kept at the first position."""
-    texts = F.map_from_entries(options)  # LAST_WIN policy, see session.RUNTIME_CONF
-    return F.transform(
-        F.array_distinct(labels_of(options)),
-        lambda label: F.struct(label.alias("label"), F.element_at(texts, label).alias("text")),
-    )
+    def pick(texts: Column) -> Column:
+        return F.transform(F.map_keys(texts), lambda label: F.struct(
+            label.alias("label"), F.element_at(texts, label).alias("text")))
+    return bind(F.map_from_entries(options), pick)  # LAST_WIN policy, see session.RUNTIME_CONF
 
 
 def options_text(options: Column) -> Column:

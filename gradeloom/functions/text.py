@@ -15,9 +15,14 @@ from gradeloom import fixed as V
 NUMBER = r"[0-9]+"
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; lambdas would repeat it per step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"\A{V.WS}+|{V.WS}+\z", "")
+    return F.btrim(text, F.lit(V.ALL_SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -43,11 +48,12 @@ def first_int(text: Column) -> Column:
 
 def needs_ocr(page: Column) -> Column:
     """Page text too short, too unreadable or too broken to use."""
-    body = compact(page)
-    n = F.length(body)
-    readable = n - F.length(F.regexp_replace(body, r"[\p{L}\p{N}\p{P}\p{S}]", ""))
-    broken = n - F.length(F.regexp_replace(body, "[\ufffd\u25a1]", ""))
-    return (n < 55) | (readable / n < 0.78) | (broken / n > 0.16)
+    def verdict(body: Column) -> Column:
+        n = F.length(body)
+        readable = n - F.length(F.regexp_replace(body, r"[\p{L}\p{N}\p{P}\p{S}]", ""))
+        broken = n - F.length(F.translate(body, "\ufffd\u25a1", ""))
+        return (n < 55) | (readable / n < 0.78) | (broken / n > 0.16)
+    return bind(compact(page), verdict)
 
 
 @F.pandas_udf(StringType())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
+from gradeloom.functions.text import bind
 
 SECTION_TYPE = "array<struct<question_type:string,start:int,end:int,points:double>>"
 
@@ -21,7 +22,7 @@ def section_case(number: Column, sections: list[tuple], field: int) -> Column:
 
 def section_at(number: Column, sections: Column) -> Column:
     """First band of a per-paper section array holding ``number``."""
-    return F.filter(sections, lambda s: number.between(s["start"], s["end"]))[0]
+    return bind(number, lambda n: F.get(F.filter(sections, lambda s: n.between(s["start"], s["end"])), F.lit(0)))
 
 
 def sections_literal(sections: list[tuple]) -> Column:
@@ -39,7 +40,7 @@ def is_profiled(name: Column, text: Column) -> Column:
 def detect_blueprint(papers: DataFrame, name: str = "file_name", text: str = "text") -> DataFrame:
     """Year, format, expected count, total points and sections of every paper."""
     sample = F.concat(F.col(name), F.lit("\n"), F.substring(text, 1, V.BLUEPRINT_SAMPLE))
-    dashed = F.regexp_replace(F.regexp_replace(F.col("_sample"), "\r", ""), "[—–~～至]", "-")
+    dashed = F.regexp_replace(F.translate(F.col("_sample"), "\r", ""), "[—–~～至]", "-")
     range_pattern = rf"(?i)([ABCX]){V.WS}*型题[\s\S]{{0,180}}?([0-9]{{1,3}}){V.WS}*-{V.WS}*([0-9]{{1,3}})"
     found = F.transform(
         F.regexp_extract_all(F.col("_dashed"), F.lit(range_pattern), F.lit(0)),
@@ -50,8 +51,9 @@ def detect_blueprint(papers: DataFrame, name: str = "file_name", text: str = "te
             F.lit(None).cast("double").alias("points")))
     usable = F.filter(found, lambda s: (s["start"] >= 1) & (s["end"] >= s["start"]) & (s["end"] <= 300))
     # First section of each type, ordered by start.
-    types = F.transform(usable, lambda s: s["question_type"])
-    first = F.filter(usable, lambda s, i: F.array_position(types, s["question_type"]) == i + 1)
+    first = bind(usable, lambda found: bind(
+        F.transform(found, lambda s: s["question_type"]),
+        lambda types: F.filter(found, lambda s, i: F.array_position(types, s["question_type"]) == i + 1)))
     ordered = F.array_sort(first, lambda a, b: a["start"] - b["start"])
 
     out = papers.withColumn("_sample", sample).withColumn("_dashed", dashed)

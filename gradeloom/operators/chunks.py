@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
-from gradeloom.functions.text import trim_all
+from gradeloom.functions.text import bind, trim_all
 
 
 def _normal(text: Column) -> Column:
-    return trim_all(F.regexp_replace(text, "\r", ""))
+    return trim_all(F.translate(text, "\r", ""))
 
 
 def overlapping_chunks(text: Column, size: int = V.CHUNK_CHARS, overlap: int = V.CHUNK_OVERLAP,
@@ -19,8 +19,10 @@ def overlapping_chunks(text: Column, size: int = V.CHUNK_CHARS, overlap: int = V
 
     The whole text is cut unless ``max_chunks`` is given.
     """
-    body = _normal(text)
-    n = F.length(body)
+    return bind(_normal(text), lambda body: bind(F.length(body), lambda n: _cut(body, n, size, overlap, max_chunks)))
+
+
+def _cut(body: Column, n: Column, size: int, overlap: int, max_chunks: int | None) -> Column:
     shortest = max(1, int(size * V.CHUNK_BOUNDARY) - overlap)
     rounds = F.greatest(F.lit(1), F.ceil(n / shortest)).cast("int") + 1
     if max_chunks is not None:
@@ -30,15 +32,20 @@ def overlapping_chunks(text: Column, size: int = V.CHUNK_CHARS, overlap: int = V
     def step(acc: Column, _: Column) -> Column:
         start = acc["cursor"]
         stop = F.least(n, start + size)
-        # last line end at or before ``stop`` (0-based), inside this piece
-        piece = F.substring(body, start + 1, F.lit(size + 1))
-        back = F.locate("\n", F.reverse(piece))
-        boundary = F.when(back > 0, start + F.length(piece) - back).otherwise(F.lit(-1))
-        end = F.when((stop < n) & (boundary > start + size * V.CHUNK_BOUNDARY), boundary).otherwise(stop).cast("int")
-        following = F.when(end < n, F.greatest(start + 1, end - overlap)).otherwise(end).cast("int")
-        return F.when(start >= n, acc).otherwise(F.struct(
-            following.alias("cursor"),
-            F.array_append(acc["cuts"], F.struct(start.alias("start"), end.alias("end"))).alias("cuts")))
+
+        def cut_at(end: Column) -> Column:
+            following = F.when(end < n, F.greatest(start + 1, end - overlap)).otherwise(end).cast("int")
+            return F.struct(following.alias("cursor"), F.array_append(
+                acc["cuts"], F.struct(start.alias("start"), end.alias("end"))).alias("cuts"))
+
+        def late_line_end(piece: Column) -> Column:
+            # last line end at or before ``stop`` (0-based), when late enough
+            return bind(F.length(piece) - F.locate("\n", F.reverse(piece)), lambda at: F.when(
+                (at < F.length(piece)) & (at > size * V.CHUNK_BOUNDARY), at))
+
+        end = F.when(stop < n, start + F.coalesce(
+            bind(F.substring(body, start + 1, F.lit(size + 1)), late_line_end), F.lit(size))).otherwise(stop).cast("int")
+        return F.when(start >= n, acc).otherwise(bind(end, cut_at))
 
     state = F.struct(F.lit(0).alias("cursor"), empty.alias("cuts"))
     cuts = F.aggregate(F.sequence(F.lit(1), rounds), state, step)["cuts"]
@@ -121,8 +128,11 @@ def pack_pages(documents: DataFrame, doc: str, text: str, size: int = V.PACK_CHA
 
 def answer_reference(text: Column, size: int = V.REFERENCE_CHARS, lines: int = V.REFERENCE_LINES) -> Column:
     """Lines around answer mentions, up to ``size`` characters; else the end of the text."""
-    body = F.regexp_replace(text, "\r", "")
-    rows = F.split(body, "\n")
+    return bind(F.translate(text, "\r", ""), lambda body: bind(
+        F.split(body, "\n"), lambda rows: _mentions(body, rows, size, lines)))
+
+
+def _mentions(body: Column, rows: Column, size: int, lines: int) -> Column:
     hits = F.filter(F.transform(rows, lambda r, i: F.when(r.rlike(V.ANSWER_HINT), i)), lambda i: i.isNotNull())
     joined = F.aggregate(hits, F.lit(""), lambda acc, i: F.when(F.length(acc) >= size, acc).otherwise(
         F.concat(acc, F.when(acc == "", "").otherwise("\n---\n"), F.array_join(F.slice(rows, i + 1, F.lit(lines)), "\n"))))

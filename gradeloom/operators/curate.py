@@ -80,7 +80,7 @@ def missing_numbers(questions: DataFrame, expected: DataFrame, paper: str = "pap
                     number: str = "number") -> DataFrame:
     """Numbers 1..expected that a paper lacks.  ``expected``: one row per paper."""
     wanted = (expected.where("expected >= 1")
-              .select(paper, F.explode(F.sequence(F.lit(1), F.col("expected").cast("int"))).cast("bigint").alias(number)))
+              .select(paper, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("expected").cast("bigint"))).alias(number)))
     return wanted.join(questions.select(paper, F.col(number).cast("bigint").alias(number)).distinct(), [paper, number], "left_anti")
 
 
@@ -114,7 +114,7 @@ def explicit_answers(documents: DataFrame, doc: str = "paper", text: str = "text
     Answers inside a numbered block come first (the last block wins); compact tables
     fill only numbers without one (the first entry wins).
     """
-    body = documents.select(doc, F.regexp_replace(text, "\r", "").alias("t"))
+    body = documents.select(doc, F.translate(text, "\r", "").alias("t"))
     blocks = F.split(F.regexp_replace("t", V.ANCHOR, "\u0001$1\u0002"), "\u0001")
     anchored = (body.select(doc, F.posexplode(F.filter(blocks, lambda b: F.contains(b, F.lit("\u0002")))).alias("at", "b"))
                 .select(doc, (-F.col("at")).alias("at"), F.lit(0).alias("prio"),

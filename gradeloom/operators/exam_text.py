@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from gradeloom import fixed as V
 from gradeloom.functions.answers import label_array, options_last_wins, valid_answer
-from gradeloom.functions.text import clean_line, collapse, compact, first_int, trim_all
+from gradeloom.functions.text import bind, clean_line, collapse, compact, first_int, trim_all
 
 _L, _W, _D = V.LABEL_ANY_CASE, V.WS, V.DOT
 NUM, VAL = "\u0001", "\u0002"
@@ -26,7 +26,7 @@ QUESTION_COLUMNS = ["source_number", "stem", "options", "answer", "answer_pendin
 
 def source_lines(documents: DataFrame, doc: str, text: str) -> DataFrame:
     """Numbered clean lines; blank ones stay so that look-ahead counts them."""
-    raw = F.split(F.regexp_replace(text, "\r", ""), "\n")
+    raw = F.split(F.translate(text, "\r", ""), "\n")
     return documents.select(doc, F.posexplode(raw).alias("n", "raw")).select(doc, "n", clean_line(F.col("raw")).alias("line"))
 
 
@@ -39,18 +39,24 @@ def _pairs(line: Column, marker: str, value: Column | None = None) -> Column:
         F.regexp_replace(compact(F.split_part(p, F.lit(VAL), F.lit(2))), "[.。]+\\z", "").alias("value")))
 
 
+PAIR_TYPE = "array<struct<number:string,answer:array<string>>>"
+
+
 def letter_pairs(line: Column) -> Column:
+    likely = line.rlike(rf"[0-9]{_W}*{_D}{_W}*{_L}")
     pairs = _pairs(line, rf"(?:^|{_W})([0-9]{{1,3}}){_W}*{_D}{_W}*")
     good = F.filter(pairs, lambda p: p["value"].rlike(rf"^{_L}{{1,7}}\z"))
-    return F.transform(good, lambda p: F.struct(p["number"].alias("number"), label_array(p["value"]).alias("answer")))
+    found = F.transform(good, lambda p: F.struct(p["number"].alias("number"), label_array(p["value"]).alias("answer")))
+    return F.when(likely, found).otherwise(F.array().cast(PAIR_TYPE))
 
 
 def judgement_pairs(line: Column) -> Column:
     marks = f"[{V.TRUE_MARK}{V.FALSE_MARK}]"
     pairs = _pairs(line, rf"(?:^|{_W})([0-9]{{1,3}}){_W}*(?:{_D}{_W}*)?(?={marks})")
     good = F.filter(pairs, lambda p: p["value"].isin(V.TRUE_MARK, V.FALSE_MARK))
-    return F.transform(good, lambda p: F.struct(p["number"].alias("number"), F.array(
+    found = F.transform(good, lambda p: F.struct(p["number"].alias("number"), F.array(
         F.when(p["value"] == V.TRUE_MARK, "A").otherwise("B")).alias("answer")))
+    return F.when(line.rlike(marks), found).otherwise(F.array().cast(PAIR_TYPE))
 
 
 def classified_lines(lines: DataFrame, doc: str) -> DataFrame:
@@ -140,9 +146,8 @@ def mark_options(body: Column) -> Column:
     return F.regexp_replace(body, marker, f"{NUM}$1$2{VAL}")
 
 
-def cut_options(marked: Column) -> Column:
-    """Option structs from a marked body (text before the first marker is the stem)."""
-    pieces = F.split(marked, NUM)
+def cut_options(pieces: Column) -> Column:
+    """Option structs from a marked body cut at its markers (the first piece is the stem)."""
     options = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.struct(
         F.translate(F.split_part(p, F.lit(VAL), F.lit(1)), V.LABEL_FROM, V.LABEL_TO).alias("label"),
         collapse(F.split_part(p, F.lit(VAL), F.lit(2))).alias("text")))
@@ -156,12 +161,12 @@ def without_answer_notes(text: Column) -> Column:
     return collapse(text)
 
 
-def inline_answer(body: Column, marked: Column) -> Column:
+def inline_answer(body: Column) -> Column:
     """Answer noted in the body, or at the end of the stem."""
     explicit = F.regexp_extract(body, V.EXPLICIT_ANSWER, 1)
-    trailing = F.regexp_extract(F.split_part(marked, F.lit(NUM), F.lit(1)),
+    trailing = F.regexp_extract(F.split_part(mark_options(body), F.lit(NUM), F.lit(1)),
                                 rf"(?:[:：]|[（(]){_W}*({_L}{{1,7}}){_W}*[）)]?{_W}*\z", 1)
-    return label_array(F.when(body.rlike(V.EXPLICIT_ANSWER), explicit).otherwise(trailing))
+    return label_array(F.when(F.contains(body, F.lit("答案")) & body.rlike(V.EXPLICIT_ANSWER), explicit).otherwise(trailing))
 
 
 def sectioned_questions(documents: DataFrame, doc: str, text: str) -> DataFrame:
@@ -169,39 +174,44 @@ def sectioned_questions(documents: DataFrame, doc: str, text: str) -> DataFrame:
     classified = classified_lines(source_lines(documents, doc, text), doc)
     joined = (drafts(classified, doc)
               .join(answer_table(classified, doc), [doc, "chapter", "kind", "number"], "left"))
-    body = F.col("body")
-    joined = (joined.withColumn("_marked", mark_options(body))
-              .withColumn("_inline", inline_answer(body, F.col("_marked")))
-              .withColumn("_from_table", F.size(F.coalesce("table_answer", F.array().cast("array<string>"))) > 0)
-              .withColumn("_given", F.when(F.col("_from_table"), F.col("table_answer")).otherwise(F.col("_inline"))))
-    judged = F.col("kind") == "judgement"
-
-    end_mark = F.regexp_extract(body, rf"([{V.TRUE_MARK}{V.FALSE_MARK}]){_W}*\z", 1)
-    j_answer = (F.when(F.size("_given") > 0, F.col("_given"))
-                .when(end_mark != "", F.array(F.when(end_mark == V.TRUE_MARK, "A").otherwise("B")))
-                .otherwise(F.array().cast("array<string>")))
-    j_stem = collapse(F.regexp_replace(F.regexp_replace(body, rf"[（(]{_W}*[）)]", " "),
-                                       rf"[{V.TRUE_MARK}{V.FALSE_MARK}]{_W}*\z", ""))
-    j_options = F.array(F.struct(F.lit("A").alias("label"), F.lit(V.TRUE_TEXT).alias("text")),
-                        F.struct(F.lit("B").alias("label"), F.lit(V.FALSE_TEXT).alias("text")))
-
-    plain = mark_options(F.regexp_replace(body, V.EXPLICIT_ANSWER, " "))
-    joined = joined.withColumn("_plain", plain).withColumn("_cut", cut_options(F.col("_plain")))
-    joined = joined.withColumn("options", F.when(judged, j_options).otherwise(options_last_wins(F.col("_cut"))))
-    joined = joined.withColumn("answer", F.when(judged, j_answer).otherwise(valid_answer(F.col("_given"), F.col("options"))))
-    joined = joined.withColumn("stem", F.when(judged, j_stem).otherwise(
-        without_answer_notes(F.split_part("_plain", F.lit(NUM), F.lit(1)))))
-    markers = F.size(F.split("_plain", NUM)) - 1
-    kept = joined.where((F.col("stem") != "") & (judged | ((markers >= 2) & (F.size("options") >= 2))))
+    body, none = F.col("body"), F.array().cast("array<string>")
+    table = F.coalesce("table_answer", none)
+
+    def question(stem: Column, options: Column, answer: Column, markers: Column) -> Column:
+        return F.struct(stem.alias("stem"), options.alias("options"), answer.alias("answer"), markers.alias("markers"))
+
+    def judged(given: Column) -> Column:
+        mark = F.regexp_extract(body, rf"([{V.TRUE_MARK}{V.FALSE_MARK}]){_W}*\z", 1)
+        answer = (F.when(F.size(given) > 0, given)
+                  .when(mark != "", F.array(F.when(mark == V.TRUE_MARK, "A").otherwise("B"))).otherwise(none))
+        stem = collapse(F.regexp_replace(F.regexp_replace(body, rf"[（(]{_W}*[）)]", " "),
+                                         rf"[{V.TRUE_MARK}{V.FALSE_MARK}]{_W}*\z", ""))
+        options = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(text).alias("text"))
+                            for label, text in (("A", V.TRUE_TEXT), ("B", V.FALSE_TEXT))])
+        return question(stem, options, answer, F.lit(2))
+
+    def choice(given: Column) -> Column:
+        marked = mark_options(F.regexp_replace(body, V.EXPLICIT_ANSWER, " "))
+        return bind(F.split(marked, NUM), lambda pieces: bind(
+            options_last_wins(cut_options(pieces)), lambda options: question(
+                without_answer_notes(F.get(pieces, F.lit(0))), options, valid_answer(given, options), F.size(pieces) - 1)))
+
+    given = F.when(F.size(table) > 0, table).otherwise(inline_answer(body))
+    built = bind(given, lambda g: F.when(F.col("kind") == "judgement", judged(g)).otherwise(choice(g)))
+    # A generator keeps the rows that became questions, so the expressions run once.
+    usable = F.filter(F.array(built), lambda q: (q["stem"] != "") & (q["markers"] >= 2) & (F.size(q["options"]) >= 2))
+    kept = joined.select(doc, "chapter", "kind", "seq", F.col("number").alias("source_number"),
+                         F.col("table_answer").isNotNull().alias("_linked"), F.explode(usable).alias("q"))
     label = F.lit(None)
     for kind, name in V.SECTION_LABEL.items():
         label = F.when(F.col("kind") == kind, name).otherwise(label)
-    source = (F.when(F.col("table_answer").isNotNull(), F.concat("chapter", F.lit(" · "), label, F.lit(V.ANSWER_TABLE_SUFFIX)))
-              .when(F.size("answer") > 0, F.when(judged, V.INLINE_JUDGEMENT_SOURCE).otherwise(V.INLINE_CHOICE_SOURCE)))
+    is_judged = F.col("kind") == "judgement"
+    source = (F.when(F.col("_linked"), F.concat("chapter", F.lit(" · "), label, F.lit(V.ANSWER_TABLE_SUFFIX)))
+              .when(F.size("q.answer") > 0, F.when(is_judged, V.INLINE_JUDGEMENT_SOURCE).otherwise(V.INLINE_CHOICE_SOURCE)))
     return kept.select(
-        doc, "chapter", "kind", "seq", F.col("number").alias("source_number"), "stem", "options", "answer",
-        (F.size("answer") == 0).alias("answer_pending"),
-        (~judged & ((F.col("kind") == "multiple") | (F.size("answer") > 1))).alias("multiple"),
+        doc, "chapter", "kind", "seq", "source_number", "q.stem", "q.options", "q.answer",
+        (F.size("q.answer") == 0).alias("answer_pending"),
+        (~is_judged & ((F.col("kind") == "multiple") | (F.size("q.answer") > 1))).alias("multiple"),
         source.alias("answer_source"))
 
 
@@ -215,7 +225,7 @@ def delimited_questions(documents: DataFrame, doc: str, text: str) -> DataFrame:
     """
     lead = rf"\A{_W}*({V.ANSWER_LETTERS})"
     next_question = rf"(?:^|\n){_W}*[0-9]+{_W}*[.．、]"
-    pieces = documents.select(doc, F.split(F.regexp_replace(text, "\r", ""), V.ANSWER_SPLIT).alias("c"))
+    pieces = documents.select(doc, F.split(F.translate(text, "\r", ""), V.ANSWER_SPLIT).alias("c"))
     rows = pieces.select(doc, F.posexplode(F.transform("c", lambda x, i: F.struct(
         F.when(i > 0, F.get("c", i - 1)).alias("prev"), x.alias("this")))).alias("seq", "p")).where("seq > 0")
 

@@ -29,7 +29,7 @@ def _load(text: str):
         raise ValueError(name)
     try:
         return json.loads(text, parse_constant=refuse)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 

@@ -118,3 +118,14 @@ def fixed_table(spark, rows: list[tuple], schema: str) -> DataFrame:
     if len(rows) > 1000:
         raise ValueError("fixed tables are for short rule lists")
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-bound row work on an input of few row groups.
+
+    Large inputs already have more partitions than cores and are returned as they
+    are, so no text is ever shuffled for this at scale.  Only for plain file scans:
+    asking for the partition count of a shuffled plan would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

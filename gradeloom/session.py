@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Text work is bound by CPU, not bytes: keep small shuffles spread over the cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Split hot join keys even when that costs one more exchange after the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
