@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from gradeloom import fixed as V
 from gradeloom.plans.scale import bounded_lookback, keep_top, running
@@ -67,7 +68,7 @@ def accepted_requests(requests: DataFrame, keys: list[str], ts: str, seq: str, l
                 verdicts.append(ok)
             yield batch.assign(accepted=verdicts)
 
-    schema = ordered.schema.add("accepted", "boolean")
+    schema = StructType([*ordered.schema.fields, StructField("accepted", BooleanType())])
     return ordered.mapInPandas(judge, schema).drop("_us", "_run_key", "run")
 
 
