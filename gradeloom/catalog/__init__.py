@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
-MODULES = ["learning", "syncing", "library", "discussion", "searching", "papers", "reading", "streams"]
+MODULES = ["learning", "syncing", "library", "discussion", "searching", "papers", "reading", "english", "streams"]
 
 
 def query(name: str, check: str | None = None):

@@ -60,8 +60,8 @@ def stream_distinct_reports(t: Tables):
     return out.groupBy("comment_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_share_expiry", f"""WITH s AS (SELECT user_id || '-' || {K} AS token, max(epoch_ms(ts)) + 604800000 AS e FROM events WHERE event_type = 'view' GROUP BY ALL)
-SELECT token, e AS expired_ms FROM s WHERE e <= (SELECT max(epoch_ms(ts)) FROM events WHERE event_type = 'view')""")
+@query("stream_share_expiry", f"""WITH s AS (SELECT user_id || '-' || {K} AS token, max(epoch_us(ts)) // 1000 + 604800000 AS e FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT token, e AS expired_ms FROM s WHERE e <= (SELECT max(epoch_us(ts)) // 1000 FROM events WHERE event_type = 'view')""")
 def stream_share_expiry(t: Tables):
     """Views as shares that live for seven days after the last one."""
     shares = stream_events(t).where("event_type = 'view'").select(

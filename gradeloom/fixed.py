@@ -105,3 +105,60 @@ REFERENCE_LINES, REFERENCE_CHARS = 90, 18_000
 CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_BOUNDARY = 24_000, 1_000, 0.65
 PACK_CHARS, PACK_MIN, PACK_MAX, PACK_QUESTIONS, PACK_ANCHORS, PACK_FALLBACK = 7_200, 4_800, 8_000, 14, 8, 3_600
 SEAM_HEAD = 3_600
+
+# English papers: headings, markers and answer notes.
+_W = WS
+STAGE_RULES = [("ielts", "ielts|雅思"), ("toefl", "toefl|托福"),
+               ("postgraduate", "考研|硕士研究生|研究生招生|postgraduate|graduate entrance|national entrance")]
+STAGE_SAMPLE, VARIANT_SAMPLE = 2500, 3500
+CET6, CET4 = rf"(?i)CET{_W}*[- ]?6|六级", rf"(?i)CET{_W}*[- ]?4|四级"
+POSTGRADUATE_I = rf"(?i)英语{_W}*[（(]?一[）)]?|English{_W}+I"
+POSTGRADUATE = "(?i)考研|硕士研究生|研究生招生"
+VARIANTS = ("CET-6", "CET-4", "Postgraduate English I")
+KIND_RULES = [("writing", "writing|essay|作文|写作"), ("translation", "translation|translate|翻译"), ("listening", "listening|听力"),
+              ("cloze", "cloze|use of english|完形"), ("matching", rf"part{_W}*b|41{_W}*[-–]{_W}*45|paragraph matching|段落匹配")]
+TASK_WORDS = (r"writing|listening(?: comprehension)?|reading(?: comprehension)?|cloze(?: test)?|use of english|translation"
+              "|写作|听力|阅读|完形填空|翻译")
+LINE_START = r"(?:^|\n)"
+EN_HEADING = rf"(?i){LINE_START}{_W}*((?:Section{_W}+[IVX]+{_W}*)?(?:{TASK_WORDS})[^\n]*)"
+EN_PART = rf"(?i){LINE_START}{_W}*Part{_W}+([A-D]){_W}*(?=\n|\z)"
+EN_TEXT = rf"(?i){LINE_START}{_W}*Text{_W}+([1-4]){_W}*(?=\n|\z)"
+EN_HAS_PARTS = rf"(?i)Part{_W}+[AB]"
+EN_QUESTION = rf"{LINE_START}{_W}*([1-9][0-9]{{0,2}}){_W}*[.)、]{_W}*"
+EN_QUESTION_SPACED = rf"{LINE_START}{_W}*[1-9][0-9]{{0,2}}{_W}*[.)、]{_W}+"
+EN_OPTION = rf"[【\[]{_W}*([A-G]){_W}*[】\]]{_W}*|(?:^|\n|{_W}{{2,}})([A-G]){_W}*[.)、:] ?{_W}*"
+EN_FIRST_OPTION = rf"[【\[]{_W}*A{_W}*[】\]]"
+EN_CLOZE_ROW = rf"{LINE_START}{_W}*([1-9]|1[0-9]|20){_W}+(?={EN_FIRST_OPTION})"
+EN_TRANSLATION = rf"\((4[6-9]|50)\){_W}*"
+EN_KEY = rf"(?i){LINE_START}{_W}*([1-9][0-9]{{0,2}}){_W}*[.、]?[ \t]*[【\[]{_W}*(?:答案|answer){_W}*[】\]][ \t]*([A-G])(?![A-Za-z0-9_])"
+EN_KEY_ONE = EN_KEY.replace("([1-9][0-9]{0,2})", "1")
+EN_KEY_NOTE = rf"(?i)[【\[]{_W}*(?:解析|详解|analysis|explanation){_W}*[】\]]{_W}*([\s\S]*)"
+EN_KEY_HEADING = rf"(?i){LINE_START}{_W}*(?:answers?|answer key|参考答案|答案){_W}*[:：]?"
+EN_KEY_LIST = rf"(?:^|[,，;；{_SPACE_CLASS}])([1-9][0-9]{{0,2}}){_W}*[.)、:：-]?{_W}*([A-G])(?=\z|[,，;；{_SPACE_CLASS}])"
+EN_NOTES_START = r"(?:真题解析|答案解析|(?i:answer explanations))"
+CET_PAPER = rf"(?i)CET{_W}*[- ]?6|六级|Part{_W}+III{_W}+Reading{_W}+Comprehension"
+CET_PART = (rf"(?i){LINE_START}{_W}*Part{_W}+([IVX]+)[^A-Za-z\n]{{0,12}}"
+            rf"(Writing|Listening{_W}+Comprehension|Reading{_W}+Comprehension|Translation)(?![A-Za-z0-9_])")
+CET_SECTION = rf"(?i){LINE_START}{_W}*Section[^A-Za-z\n]{{0,10}}([ABC](?![A-Za-z0-9_]))?[^\n]*"
+CET_TALK = rf"(?i){LINE_START}{_W}*(?:Conversation|Passage|Recording){_W}+(?:One|Two|Three|1|2|3)(?![A-Za-z0-9_])"
+CET_PASSAGE = rf"(?i){LINE_START}{_W}*Passage{_W}+(?:One|Two|1|2)(?![A-Za-z0-9_])"
+CET_WORD_KEY = rf"{LINE_START}{_W}*(2[6-9]|3[0-5]){_W}*[.、]{_W}*([A-O]){_W}*[).]{_W}*([A-Za-z][A-Za-z'\-]*)"
+CET_BLOCK = rf"{LINE_START}{_W}*([1-9]|[1-4][0-9]|5[0-5]){_W}*[.、]{_W}*"
+CET_BLOCK_KEY = rf"(?i)(?:正确答案(?:为|是)?|故选) ?{_W}*([A-O])(?![A-Za-z0-9_])|([A-O])项(?:正确|符合)"
+CET_BLOCK_KEY_2 = rf"(?i)(?:答案解析|答案) ?{_W}*([A-O]){_W}*[.。]"
+CET_NOTE = r"(?i)(?:解析|答案解析|analysis)"
+CET_DETAIL = rf"(?i)(?:答案详解|答案解析|26{_W}*[.、]{_W}*[A-O]{_W}*[).])"
+CET_LONG_DETAIL = rf"(?i)(?:答案详解|答案解析){_W}*[:：]?"
+CET_WORD = rf"(?:^|{_W})([A-O]){_W}*[).]{_W}*([A-Za-z][A-Za-z'\-]*)"
+CET_PARAGRAPH = rf"{LINE_START}{_W}*([A-O]){_W}*[).] ?{_W}*"
+CET_LOCATED = r"[【\[(](3[6-9]|4[0-5])[】\])]"
+CET_STATEMENT = rf"{LINE_START}{_W}*(3[6-9]|4[0-5]){_W}*[.、]{_W}*"
+CET_REFERENCE = "(?i)参考译文|reference translation"
+DIRECTIONS_TO_SHEET = (rf"(?i)\A{_W}*Directions?{_W}*:{_W}*[\s\S]{{0,3000}}?ANSWER{_W}+SHEET(?:{_W}+[0-9]+)?[.!]?{_W}*"
+                       rf"(?:\([^)]*\))?{_W}*")
+DIRECTIONS = rf"(?i)\A{_W}*Directions?{_W}*:{_W}*"
+INSTRUCTION = (rf"(?i)\A{_W}*(?:(?:Read|Choose|Answer|Mark|Translate|Write|Complete|Fill|Match)(?![A-Za-z0-9_])"
+               rf"|For{_W}+Questions?(?![A-Za-z0-9_])|In{_W}+this{_W}+(?:section|part)(?![A-Za-z0-9_])"
+               rf"|You{_W}+(?:are|should|must|will)(?![A-Za-z0-9_])|Paragraphs?{_W}+[A-G](?![A-Za-z0-9_]))"
+               rf"[^.!?\n]*(?:[.!?]{_W}*|\n+|\z)")
+POINTS_NOTE = rf"(?i)\A{_W}*\({_W}*[0-9]+{_W}+points?{_W}*\){_W}*"
