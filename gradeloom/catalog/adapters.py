@@ -55,17 +55,27 @@ def questions(t: Tables) -> DataFrame:
         F.col("p_name").alias("stem"), "p_size", "p_retailprice")
 
 
+def current_results(t: Tables) -> DataFrame:
+    return attempts(t).groupBy("user_id", "question_id").agg(
+        F.max_by("outcome", F.struct("ts", "event_id")).alias("current_result"))
+
+
+def favourites(t: Tables) -> DataFrame:
+    return events(t).where("event_type = 'signup'").select("user_id", "question_id").distinct()
+
+
+def active_banks(t: Tables) -> DataFrame:
+    """Bank and group of each learner's latest event."""
+    latest = events(t).groupBy("user_id").agg(F.max_by("question_id", F.struct("ts", "event_id")).alias("question_id"))
+    return latest.join(questions(t).select("question_id", "bank_id", "group_name"), "question_id").select(
+        "user_id", F.col("bank_id").alias("active_bank"), F.col("group_name").alias("active_group"))
+
+
 def records(t: Tables) -> DataFrame:
     """One row per learner and touched question, with the learner's active bank."""
-    at = F.struct("ts", "event_id")
-    ev = events(t)
-    current = attempts(t).groupBy("user_id", "question_id").agg(F.max_by("outcome", at).alias("current_result"))
-    fav = (ev.where("event_type = 'signup'").select("user_id", "question_id").distinct()
-           .withColumn("favourite", F.lit(True)))
     bank = questions(t).select("question_id", "bank_id", "group_name", "multiple")
-    active = (ev.groupBy("user_id").agg(F.max_by("question_id", at).alias("question_id"))
-              .join(bank, "question_id")
-              .select("user_id", F.col("bank_id").alias("active_bank"), F.col("group_name").alias("active_group")))
-    return (current.join(fav, ["user_id", "question_id"], "full")
-            .withColumn("favourite", F.coalesce("favourite", F.lit(False)))
-            .join(active, "user_id").join(bank, "question_id"))
+    touched = events(t).where("event_type in ('purchase', 'click', 'signup')").groupBy("user_id", "question_id").agg(
+        F.max_by(F.when(F.col("event_type") == "purchase", "correct").otherwise("wrong"),
+                 F.when(F.col("event_type") != "signup", F.struct("ts", "event_id"))).alias("current_result"),
+        F.bool_or(F.col("event_type") == "signup").alias("favourite"))
+    return touched.join(active_banks(t), "user_id").join(bank, "question_id")

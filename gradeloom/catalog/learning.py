@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from gradeloom.catalog import Tables, query
-from gradeloom.catalog.adapters import ATTEMPTS_SQL, K, RECORDS_SQL, attempts, events, questions, records
+from gradeloom.catalog.adapters import (ATTEMPTS_SQL, K, RECORDS_SQL, active_banks, attempts, current_results, events, favourites,
+                                        questions, records)
 from gradeloom.functions.answers import grade, structurally_valid
 from gradeloom.operators import learn
 from gradeloom.operators.quota import daily_usage, within_daily_quota
@@ -92,10 +93,8 @@ SELECT a.user_id, p.p_brand AS bank_id, p.p_partkey AS question_id
 FROM active a JOIN part p ON p.p_brand = a.active_bank
 WHERE NOT EXISTS (SELECT 1 FROM cur c WHERE c.user_id = a.user_id AND c.question_id = p.p_partkey)""")
 def practice_unanswered(t: Tables):
-    recs = records(t)
-    enrolled = recs.select("user_id", F.col("active_bank").alias("bank_id"))
-    answered = recs.where("current_result is not null")
-    return learn.unanswered(enrolled, questions(t), answered, "user_id", "bank_id", "question_id").select(
+    enrolled = active_banks(t).select("user_id", F.col("active_bank").alias("bank_id"))
+    return learn.unanswered(enrolled, questions(t), current_results(t), "user_id", "bank_id", "question_id").select(
         "user_id", "bank_id", "question_id")
 
 
@@ -109,7 +108,7 @@ def practice_draw(t: Tables):
 
 
 @query("practice_draw_bank", f"""WITH {RECORDS_SQL},
-en AS (SELECT DISTINCT user_id, active_bank AS bank_id FROM recs),
+en AS (SELECT DISTINCT user_id, active_bank AS bank_id FROM active),
 slots AS (SELECT p_brand AS bank_id, p_partkey AS question_id,
   row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws('|', 'seed-1', p_partkey)), p_partkey) AS slot FROM part),
 n AS (SELECT p_brand AS bank_id, count(*) AS n FROM part GROUP BY ALL),
@@ -117,7 +116,7 @@ w AS (SELECT user_id, bank_id, n, unnest(range(1, least(100, n) + 1)) AS pick,
       ('0x' || substr(md5(concat_ws('|', 'seed-1', user_id)), 1, 12))::BIGINT AS off FROM en JOIN n USING (bank_id))
 SELECT user_id, w.bank_id, question_id, pick FROM w JOIN slots s ON s.bank_id = w.bank_id AND s.slot = (off + pick) % n + 1""")
 def practice_draw_bank(t: Tables):
-    enrolled = records(t).select("user_id", F.col("active_bank").alias("bank_id"))
+    enrolled = active_banks(t).select("user_id", F.col("active_bank").alias("bank_id"))
     return learn.draw_from_bank(enrolled, questions(t), "user_id", "bank_id", "question_id", 100, "seed-1")
 
 
@@ -125,8 +124,7 @@ def practice_draw_bank(t: Tables):
 SELECT c.user_id, c.question_id FROM cur c ANTI JOIN fav f ON c.user_id = f.user_id AND c.question_id = f.question_id
 WHERE c.current_result = 'wrong'""")
 def auto_favourite(t: Tables):
-    recs = records(t)
-    return learn.wrong_to_favourites(recs, recs.where("favourite"), "user_id", "question_id")
+    return learn.wrong_to_favourites(current_results(t), favourites(t), "user_id", "question_id")
 
 
 @query("reset_impact", f"""WITH {RECORDS_SQL}, noted AS (

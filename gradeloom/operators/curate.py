@@ -115,17 +115,17 @@ def explicit_answers(documents: DataFrame, doc: str = "paper", text: str = "text
     fill only numbers without one (the first entry wins).
     """
     body = documents.select(doc, F.translate(text, "\r", "").alias("t"))
-    blocks = F.split(F.regexp_replace("t", V.ANCHOR, "\u0001$1\u0002"), "\u0001")
-    anchored = (body.select(doc, F.posexplode(F.filter(blocks, lambda b: F.contains(b, F.lit("\u0002")))).alias("at", "b"))
-                .select(doc, (-F.col("at")).alias("at"), F.lit(0).alias("prio"),
-                        F.split_part("b", F.lit("\u0002"), F.lit(1)).cast("int").alias("number"),
-                        F.regexp_extract(F.split_part("b", F.lit("\u0002"), F.lit(2)), V.BLOCK_ANSWER, 1).alias("letters"))
-                .where("letters <> ''"))
-    table = F.arrays_zip(F.regexp_extract_all("t", F.lit(V.COMPACT_ANSWER), F.lit(1)).alias("n"),
-                         F.regexp_extract_all("t", F.lit(V.COMPACT_ANSWER), F.lit(2)).alias("a"))
-    listed = body.select(doc, F.posexplode(table).alias("at", "z")).select(
-        doc, "at", F.lit(1).alias("prio"), F.col("z.n").cast("int").alias("number"), F.col("z.a").alias("letters"))
-    best = keep_top(anchored.unionByName(listed), [doc, "number"], [F.col("prio"), F.col("at")])
+    blocks = F.filter(F.split(F.regexp_replace("t", V.ANCHOR, "\u0001$1\u0002"), "\u0001"), lambda b: F.contains(b, F.lit("\u0002")))
+
+    def found(number: Column, letters: Column, prio: int, at: Column) -> Column:
+        return F.struct(number.cast("int").alias("number"), letters.alias("letters"), F.lit(prio).alias("prio"), at.alias("at"))
+
+    anchored = F.transform(blocks, lambda b, i: found(
+        F.split_part(b, F.lit("\u0002"), F.lit(1)), F.regexp_extract(F.split_part(b, F.lit("\u0002"), F.lit(2)), V.BLOCK_ANSWER, 1), 0, -i))
+    listed = F.transform(F.regexp_extract_all("t", F.lit(V.COMPACT_ANSWER), F.lit(0)), lambda e, i: found(
+        F.regexp_extract(e, V.COMPACT_ANSWER, 1), F.regexp_extract(e, V.COMPACT_ANSWER, 2), 1, i))
+    rows = body.select(doc, F.explode(F.concat(anchored, listed)).alias("r")).select(doc, "r.*").where("letters <> ''")
+    best = keep_top(rows, [doc, "number"], [F.col("prio"), F.col("at")])
     return best.select(doc, F.col("number").cast("bigint").alias("number"), label_array(F.col("letters")).alias("found"))
 
 

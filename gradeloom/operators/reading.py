@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradeloom import fixed as V
 from gradeloom.functions.text import words
@@ -14,12 +15,29 @@ from gradeloom.plans.scale import running
 # -- highlights -----------------------------------------------------------------------
 
 def merge_intervals(spans: DataFrame, keys: list[str], start: str, end: str, block: Column) -> DataFrame:
-    """Overlapping or touching spans joined.  ``block`` must not decrease with ``start``."""
-    order = [start, end]
-    rows = running(spans.select(*keys, start, end), keys, block, order, {"_reach": ("max", F.col(end))}, before=True)
+    """Overlapping or touching spans joined.  ``block`` must not decrease with ``start``.
+
+    Spans are joined inside each block first; only one row per block is ordered over
+    the whole key.
+    """
+    slot = [*keys, "_block"]
+    local = Window.partitionBy(*slot).orderBy(start, end)
+    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    rows = spans.select(*keys, start, end, block.alias("_block")).withColumn("_reach", F.max(end).over(earlier))
     opens = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
-    rows = running(rows, keys, block, order, {"_island": ("last", opens)})
-    return rows.groupBy(*keys, F.col("_island").alias(start)).agg(F.max(end).alias(end))
+    islands = (rows.withColumn("_open", F.last(opens, True).over(so_far))
+               .groupBy(*slot, F.col("_open").alias(start)).agg(F.max(end).alias(end)))
+
+    # Blocks of a key, in order: how far earlier blocks reach and which island is open there.
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = islands.groupBy(*slot).agg(F.max(end).alias("_end"), F.max(start).alias("_last"))
+    blocks = blocks.withColumn("_carry", F.max("_end").over(before))
+    opened = F.when(F.col("_carry").isNull() | (F.col("_last") > F.col("_carry")), F.col("_last"))
+    blocks = blocks.withColumn("_opened", F.last(opened, True).over(before)).select(*slot, "_carry", "_opened")
+    joined = islands.join(blocks, slot)
+    begin = F.when(F.col("_carry").isNull() | (F.col(start) > F.col("_carry")), F.col(start)).otherwise(F.col("_opened"))
+    return joined.groupBy(*keys, begin.alias(start)).agg(F.max(end).alias(end))
 
 
 def split_segments(documents: DataFrame, merged: DataFrame, doc: str, text: str, start: str, end: str,

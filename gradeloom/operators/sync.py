@@ -29,42 +29,41 @@ def normalize_ledger(states: DataFrame, payload: str = "payload") -> DataFrame:
              "firstProgress map<string,string>, favorites array<string>, notes map<string,string>")
     base = states.select("user_id", "seq", F.from_json(payload, shape).alias("s"))
 
-    entries = (base.select("user_id", "seq", F.explode("s.recordLedger").alias("question_id", "fields"))
-               .where((F.col("question_id") != "") & (F.length("question_id") <= V.LEDGER_ID_MAX))
-               .select("user_id", "seq", "question_id", F.explode("fields").alias("field", "entry"))
-               .where(F.col("field").isin(FIELDS)))
-    entry = F.try_parse_json("entry")
+    def row(question: Column, field: Column, value: Column, entry: Column, prio: int) -> Column:
+        return F.struct(question.alias("question_id"), field.alias("field"), value.alias("value"),
+                        entry.alias("entry"), F.lit(prio).alias("prio"))
+
+    def legacy(column: str, field: str, prio: int) -> Column:
+        return F.transform(F.map_entries(f"s.{column}"), lambda e: row(
+            e["key"], F.lit(field), e["value"], F.lit(None).cast("string"), prio))
+
+    ledger = F.flatten(F.transform(F.map_entries("s.recordLedger"), lambda q: F.transform(
+        F.map_entries(q["value"]), lambda f: row(q["key"], f["key"], F.lit(None).cast("string"), f["value"], 0))))
+    favourites = F.transform("s.favorites", lambda q: row(
+        q, F.lit("favorite"), F.lit("true"), F.lit(None).cast("string"), 1))
+    # One pass: every source of records becomes one array, ledger entries first.
+    empty = F.array().cast("array<struct<question_id:string,field:string,value:string,entry:string,prio:int>>")
+    sources = [ledger, legacy("progress", "progress", 1), legacy("firstProgress", "firstProgress", 1),
+               legacy("progress", "firstProgress", 2), favourites, legacy("notes", "note", 1)]
+    rows = base.select("user_id", "seq", F.explode(F.concat(*[F.coalesce(a, empty) for a in sources])).alias("r"))
+    rows = rows.select("user_id", "seq", "r.*", F.try_parse_json("r.entry").alias("v")).where(F.col("field").isin(FIELDS))
+
     kind = F.schema_of_variant(F.try_variant_get(F.col("v"), "$.value", "variant"))
     text = F.try_variant_get(F.col("v"), "$.value", "string")
     stamp = F.try_variant_get(F.col("v"), "$.updatedAt", "double")
     stamp_kind = F.schema_of_variant(F.try_variant_get(F.col("v"), "$.updatedAt", "variant"))
     numeric = ~stamp_kind.isin("STRING", "BOOLEAN", "VOID") & (stamp >= 0)
-    result_ok = (kind == "VOID") | ((kind == "STRING") & text.isin("correct", "wrong"))
-    valid = (F.when(F.col("field").isin("progress", "firstProgress"), result_ok)
-             .when(F.col("field") == "favorite", kind == "BOOLEAN")
-             .otherwise(kind.isin("VOID", "STRING")))
-    ledger = (entries.withColumn("v", entry).where(valid)
-              .select("user_id", "seq", "question_id", "field", text.alias("value"),
-                      F.when(numeric, stamp).otherwise(V.LEGACY_TIMESTAMP).cast("bigint").alias("updated_at"),
-                      F.lit(0).alias("_prio")))
-
-    def legacy(column: str, field: str, prio: int) -> DataFrame:
-        rows = base.select("user_id", "seq", F.explode(f"s.{column}").alias("question_id", "value"))
-        ok = F.col("value") != "" if field == "note" else F.col("value").isin("correct", "wrong")
-        return rows.where(ok).select("user_id", "seq", "question_id", F.lit(field).alias("field"), "value",
-                                     F.lit(V.LEGACY_TIMESTAMP).cast("bigint").alias("updated_at"),
-                                     F.lit(prio).alias("_prio"))
-
-    favourites = (base.select("user_id", "seq", F.explode("s.favorites").alias("question_id"))
-                  .where(F.col("question_id") != "")
-                  .select("user_id", "seq", "question_id", F.lit("favorite").alias("field"),
-                          F.lit("true").alias("value"),
-                          F.lit(V.LEGACY_TIMESTAMP).cast("bigint").alias("updated_at"), F.lit(1).alias("_prio")))
-    rows = (ledger.unionByName(legacy("progress", "progress", 1))
-            .unionByName(legacy("firstProgress", "firstProgress", 1))
-            .unionByName(legacy("progress", "firstProgress", 2))
-            .unionByName(favourites).unionByName(legacy("notes", "note", 1)))
-    return keep_top(rows, ["user_id", "seq", "question_id", "field"], [F.col("_prio"), F.col("value")]).drop("_prio")
+    is_result = F.col("field").isin("progress", "firstProgress")
+    entry_ok = (F.when(is_result, (kind == "VOID") | ((kind == "STRING") & text.isin("correct", "wrong")))
+                .when(F.col("field") == "favorite", kind == "BOOLEAN").otherwise(kind.isin("VOID", "STRING")))
+    entry_ok = entry_ok & (F.col("question_id") != "") & (F.length("question_id") <= V.LEDGER_ID_MAX)
+    legacy_ok = (F.when(is_result, F.col("value").isin("correct", "wrong"))
+                 .when(F.col("field") == "favorite", F.col("question_id") != "").otherwise(F.col("value") != ""))
+    in_ledger = F.col("prio") == 0
+    valid = rows.where(F.when(in_ledger, entry_ok).otherwise(legacy_ok)).select(
+        "user_id", "seq", "question_id", "field", F.when(in_ledger, text).otherwise(F.col("value")).alias("value"),
+        F.when(in_ledger & numeric, stamp).otherwise(V.LEGACY_TIMESTAMP).cast("bigint").alias("updated_at"), "prio")
+    return keep_top(valid, ["user_id", "seq", "question_id", "field"], [F.col("prio"), F.col("value")]).drop("prio")
 
 
 # -- merging -----------------------------------------------------------------------
@@ -92,21 +91,20 @@ def first_result(ledger: DataFrame, keys: list[str], order: list[str] | None = N
 
     With R the last reset, it is the earliest result after R (a tie counts as
     wrong), or the reset itself when nothing follows it.  Resets are aggregated to
-    one row per key; results are looked up against them with salted keys.
+    one row per key; all rows are looked up against them with salted keys.
     """
     order = order or [updated_at]
     at = F.struct(*[F.col(c) for c in order])
-    resets = (ledger.where(F.col(value).isNull()).groupBy(*keys)
-              .agg(F.max(at).alias("_reset"), F.max_by(updated_at, at).alias("_reset_at")))
-    results = ledger.where(F.col(value).isNotNull()).select(*keys, value, updated_at, at.alias("_at"))
-    alive = (salted_lookup(results, resets.drop("_reset_at"), keys, F.col("_at"))
-             .where(F.col("_reset").isNull() | (F.col("_at") > F.col("_reset"))))
-    earliest = F.struct(F.col("_at"), F.when(F.col(value) == "wrong", 0).otherwise(1))
-    firsts = alive.groupBy(*keys).agg(F.min_by(value, earliest).alias("_value"),
-                                      F.min_by(updated_at, earliest).alias("_updated"))
-    return (firsts.withColumn("_has", F.lit(True)).join(resets.drop("_reset"), keys, "full")
-            .select(*keys, F.col("_value").alias(value),
-                    F.when(F.col("_has"), F.col("_updated")).otherwise(F.col("_reset_at")).alias(updated_at)))
+    is_reset = F.col(value).isNull()
+    resets = ledger.where(is_reset).groupBy(*keys).agg(F.max(at).alias("_reset"))
+    rows = ledger.select(*keys, value, updated_at, at.alias("_at"))
+    alive = (salted_lookup(rows, resets, keys, F.col("_at"))
+             .where(F.col("_reset").isNull() | (F.col("_at") > F.col("_reset"))
+                    | (is_reset & (F.col("_at") == F.col("_reset")))))
+    # results after the reset come before the reset itself; on a tie, wrong comes first
+    best = F.min_by(F.struct(F.col(value), F.col(updated_at)),
+                    F.struct(is_reset.cast("int"), F.col("_at"), F.when(F.col(value) == "wrong", 0).otherwise(1)))
+    return alive.groupBy(*keys).agg(best.alias("_best")).select(*keys, f"_best.{value}", f"_best.{updated_at}")
 
 
 def merge_ledgers(ledger: DataFrame) -> DataFrame:
