@@ -99,32 +99,43 @@ def answer_keys(papers: DataFrame, doc: str = "doc_id", text: str = "body") -> D
     answer heading and the explanation blocks (the first of each).
     """
     t = F.col(text)
+    empty = F.array().cast("array<struct<source:int,at:int,number:string,answer:string,explanation:string>>")
 
-    def rows(pieces: Column, source: int, number: str, answer: Column, note: Column, last: bool) -> DataFrame:
-        base = papers.select(doc, F.col("is_cet"), F.posexplode(pieces).alias("at", "p"))
-        out = base.select(doc, "is_cet", F.lit(source).alias("source"), (F.col("at") * (-1 if last else 1)).alias("at"),
-                          F.regexp_extract("p", number, 1).alias("number"), F.upper(answer).alias("answer"),
-                          F.nullif(F.substring(note, 1, 1800), F.lit("")).alias("explanation"))
-        return out.where("answer <> '' and number <> ''")
-
-    p = F.col("p")
-    note = collapse(F.regexp_replace(F.regexp_extract(p, V.EN_KEY_NOTE, 1),
-                                     rf"(?:^|\n){V.WS}*[0-9]{{1,3}}{V.WS}*(?:\n|\z)", " "))
-    bracketed = rows(cut(t, V.EN_KEY), 1, V.EN_KEY, F.regexp_extract(p, V.EN_KEY, 2), note, True)
-    parts = F.split(t, V.EN_KEY_HEADING)
-    listed_text = F.when(t.rlike(V.EN_KEY_HEADING), F.element_at(parts, -1)).otherwise("")
-    listed = rows(F.regexp_extract_all(listed_text, F.lit(V.EN_KEY_LIST), F.lit(0)), 2, V.EN_KEY_LIST,
-                  F.regexp_extract(p, V.EN_KEY_LIST, 2), F.lit(""), False)
-    word_note = F.concat(F.lit("The source explanation identifies "), F.regexp_extract(p, V.CET_WORD_KEY, 3),
-                         F.lit(" as the word for blank "), F.regexp_extract(p, V.CET_WORD_KEY, 1), F.lit("."))
-    word_keys = rows(F.regexp_extract_all(t, F.lit(V.CET_WORD_KEY), F.lit(0)), 0, V.CET_WORD_KEY,
-                     F.regexp_extract(p, V.CET_WORD_KEY, 2), word_note, True).where("is_cet")
-    body = F.regexp_replace(p, rf"\A{V.CET_BLOCK}", "")
-    key = F.coalesce(F.nullif(F.concat(F.regexp_extract(body, V.CET_BLOCK_KEY, 1), F.regexp_extract(body, V.CET_BLOCK_KEY, 2)), F.lit("")),
-                     F.regexp_extract(body, V.CET_BLOCK_KEY_2, 1))
-    blocks = rows(cut(t, V.CET_BLOCK), 3, V.CET_BLOCK, key, collapse(F.coalesce(from_first(body, V.CET_NOTE), body)), False).where("is_cet")
-    every = bracketed.unionByName(listed).unionByName(word_keys).unionByName(blocks)
-    return keep_top(every, [doc, "number"], [F.col("source"), F.col("at")]).select(doc, "number", "answer", "explanation")
+    def keys(pieces: Column, source: int, number: str, answer, note, last: bool) -> Column:
+        return F.transform(pieces, lambda p, i: F.struct(
+            F.lit(source).alias("source"), (i * (-1 if last else 1)).alias("at"), F.regexp_extract(p, number, 1).alias("number"),
+            F.upper(answer(p)).alias("answer"), F.nullif(F.substring(note(p), 1, 1800), F.lit("")).alias("explanation")))
+
+    def key_note(p: Column) -> Column:
+        return collapse(F.regexp_replace(F.regexp_extract(p, V.EN_KEY_NOTE, 1), rf"(?:^|\n){V.WS}*[0-9]{{1,3}}{V.WS}*(?:\n|\z)", " "))
+
+    def word_note(p: Column) -> Column:
+        return F.concat(F.lit("The source explanation identifies "), F.regexp_extract(p, V.CET_WORD_KEY, 3),
+                        F.lit(" as the word for blank "), F.regexp_extract(p, V.CET_WORD_KEY, 1), F.lit("."))
+
+    def block_body(p: Column) -> Column:
+        return F.regexp_replace(p, rf"\A{V.CET_BLOCK}", "")
+
+    def block_key(p: Column) -> Column:
+        return bind(block_body(p), lambda body: F.coalesce(
+            F.nullif(F.concat(F.regexp_extract(body, V.CET_BLOCK_KEY, 1), F.regexp_extract(body, V.CET_BLOCK_KEY, 2)), F.lit("")),
+            F.regexp_extract(body, V.CET_BLOCK_KEY_2, 1)))
+
+    def block_note(p: Column) -> Column:
+        return bind(block_body(p), lambda body: collapse(F.coalesce(from_first(body, V.CET_NOTE), body)))
+
+    listed_text = F.when(t.rlike(V.EN_KEY_HEADING), F.element_at(F.split(t, V.EN_KEY_HEADING), -1)).otherwise("")
+    common = F.concat(
+        keys(cut(t, V.EN_KEY), 1, V.EN_KEY, lambda p: F.regexp_extract(p, V.EN_KEY, 2), key_note, True),
+        keys(F.regexp_extract_all(listed_text, F.lit(V.EN_KEY_LIST), F.lit(0)), 2, V.EN_KEY_LIST,
+             lambda p: F.regexp_extract(p, V.EN_KEY_LIST, 2), lambda p: F.lit(""), False))
+    college = F.concat(
+        keys(F.regexp_extract_all(t, F.lit(V.CET_WORD_KEY), F.lit(0)), 0, V.CET_WORD_KEY,
+             lambda p: F.regexp_extract(p, V.CET_WORD_KEY, 2), word_note, True),
+        keys(cut(t, V.CET_BLOCK), 3, V.CET_BLOCK, block_key, block_note, False))
+    rows = papers.select(doc, F.explode(F.concat(common, F.when(F.col("is_cet"), college).otherwise(empty))).alias("k")).select(doc, "k.*")
+    found = rows.where("answer <> '' and number <> ''")
+    return keep_top(found, [doc, "number"], [F.col("source"), F.col("at")]).select(doc, "number", "answer", "explanation")
 
 
 def without_answers(text: Column) -> Column:
@@ -233,25 +244,39 @@ def prepare(papers: DataFrame, doc: str = "doc_id", name: str = "file_name", tex
     return base.where(long_enough).withColumn("is_cet", F.col("body").rlike(V.CET_PAPER))
 
 
-def paper_sections(prepared: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Sections of every paper in order, with their passages."""
+def _passage(s: Column) -> Column:
+    t, mode = s["text"], s["mode"]
+    prompt = rf"(?i){V.LINE_START}{V.WS}*5[12]{V.WS}*[.、]{V.WS}*"
+    return (F.when(mode == "matching", F.substring(sanitize(before(t, V.EN_FIRST_OPTION)), 1, 6000))
+            .when(mode == "cloze", F.substring(sanitize(before(t, V.EN_CLOZE_ROW)), 1, 12_000))
+            .when(mode == "prompt", F.substring(collapse(F.coalesce(from_first(t, prompt), t)), 1, 8000))
+            .when(mode == "text", F.substring(trim_all(t), 1, 9000))
+            .when(mode == "word-bank", F.substring(sanitize(before(t, V.CET_DETAIL)), 1, 12_000))
+            .when(mode == "long-reading", F.substring(sanitize(before(t, V.CET_LONG_DETAIL)), 1, 18_000))
+            .otherwise(lead_passage(t)))
+
+
+def _filled(s: Column) -> Column:
+    return F.struct(s["suffix"].alias("section_id"), *[s[c].alias(c) for c in ("kind", "title", "part", "mode", "low")],
+                    _passage(s).alias("passage"), _questions(s).alias("questions"))
+
+
+def paper_tree(prepared: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Sections with passage and questions of every paper, as one array per row."""
     none = F.array().cast(f"array<{SECTION}>")
     cet = F.when(F.col("is_cet"), _cet(F.col("body"))).otherwise(none)
     general = bind(without_answers(F.col("body")), lambda b: F.flatten(F.transform(
         _or_whole(b, V.EN_HEADING), lambda s, i: F.transform(_general(s), lambda x: x.withField(
             "suffix", F.concat(F.lit("section-"), (i + 1).cast("string"), x["suffix"]))))))
     chosen = bind(cet, lambda c: F.when(F.size(c) > 0, c).otherwise(general))
-    rows = prepared.select(doc, F.posexplode(chosen).alias("pos", "s")).select(doc, "pos", F.col("s.suffix").alias("section_id"), "s.*").drop("suffix")
-    t, mode = F.col("text"), F.col("mode")
-    prompt = rf"(?i){V.LINE_START}{V.WS}*5[12]{V.WS}*[.、]{V.WS}*"
-    passage = (F.when(mode == "matching", F.substring(sanitize(before(t, V.EN_FIRST_OPTION)), 1, 6000))
-               .when(mode == "cloze", F.substring(sanitize(before(t, V.EN_CLOZE_ROW)), 1, 12_000))
-               .when(mode == "prompt", F.substring(collapse(F.coalesce(from_first(t, prompt), t)), 1, 8000))
-               .when(mode == "text", F.substring(trim_all(t), 1, 9000))
-               .when(mode == "word-bank", F.substring(sanitize(before(t, V.CET_DETAIL)), 1, 12_000))
-               .when(mode == "long-reading", F.substring(sanitize(before(t, V.CET_LONG_DETAIL)), 1, 18_000))
-               .otherwise(lead_passage(t)))
-    return rows.withColumn("passage", passage)
+    filled = F.transform(chosen, _filled)
+    # Parts and prompts always count; other sections need a passage or questions.
+    shown = F.filter(filled, lambda s: (s["passage"] != "") | (F.size(s["questions"]) > 0)
+                     | s["mode"].isin("prompt", "matching", "translation") | (s["low"] == 21))
+    whole = F.filter(F.array(_filled(_section(without_answers(F.col("body")), "reading", "Imported Questions", None, "section-fallback", "standard"))),
+                     lambda s: F.size(s["questions"]) > 0)
+    tree = bind(shown, lambda t: F.when(F.exists(t, lambda s: F.size(s["questions"]) > 0), t).otherwise(F.concat(t, whole)))
+    return prepared.select(doc, tree.alias("sections"))
 
 
 # -- questions ------------------------------------------------------------------------------
@@ -267,13 +292,15 @@ def bracket_options(text: Column) -> Column:
     return _options(F.regexp_replace(text, V.EN_OPTION, f"{SEP}$1$2{MID}"))
 
 
-def section_questions(sections: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Questions of the sections by their own layout, without answers."""
-    t = F.col("text")
+def _questions(s: Column) -> Column:
+    """Questions of a section by its layout; ``located`` is an answer read from the passage."""
+    t = s["text"]
     empty = F.array().cast(OPTION)
 
-    def question(number: Column, stem: Column, options: Column) -> Column:
-        return F.struct(number.cast("string").alias("number"), stem.alias("stem"), options.cast(OPTION).alias("options"))
+    def question(number: Column, stem: Column, options: Column, located: Column | None = None) -> Column:
+        place = F.lit(None) if located is None else located
+        return F.struct(number.cast("string").alias("number"), stem.alias("stem"), options.cast(OPTION).alias("options"),
+                        place.cast("string").alias("located"))
 
     def standard(piece: Column) -> Column:
         body = trim_all(F.regexp_replace(piece, rf"\A{V.EN_QUESTION}", ""))
@@ -310,19 +337,23 @@ def section_questions(sections: DataFrame, doc: str = "doc_id") -> DataFrame:
         return F.coalesce(F.nullif(F.substring(text, 1, 1000), F.lit("")), F.concat(
             F.lit("Statement "), n.cast("string"), F.lit(" — choose the paragraph containing the matching information.")))
 
-    long_reading = bind(cut(detail, V.CET_STATEMENT), lambda ps: numbered(36, 45, lambda n: statement(n, ps), letters))
+    def located(n: Column, options: Column) -> Column:
+        marked = F.filter(options, lambda o: F.rlike(o["text"], F.concat(F.lit(r"[【\[(]"), n.cast("string"), F.lit(r"[】\])]"))))
+        return F.try_element_at(marked, F.lit(-1))["label"]
+
+    long_reading = bind(cut(detail, V.CET_STATEMENT), lambda ps: bind(letters, lambda o: F.transform(
+        F.sequence(F.lit(36), F.lit(45)), lambda n: question(n, statement(n, ps), o, located(n, o)))))
     translation = F.transform(cut(t, V.EN_TRANSLATION), lambda p: question(
         F.regexp_extract(p, V.EN_TRANSLATION, 1), F.substring(collapse(F.regexp_replace(p, rf"\A{V.EN_TRANSLATION}", "")), 1, 1800), empty))
 
-    mode = F.col("mode")
+    mode = s["mode"]
     found = (F.when(mode == "matching", matching).when(mode == "word-bank", word_bank).when(mode == "long-reading", long_reading)
              .when(mode == "translation", translation)
              .when(mode == "cloze", F.filter(F.transform(cut(t, V.EN_CLOZE_ROW), cloze), lambda q: F.size(q["options"]) >= 2))
              .when(mode == "standard", F.filter(F.transform(cut(t, V.EN_QUESTION), standard),
-                                                lambda q: (q["stem"] != "") & (F.size(q["options"]) >= 2))))
-    rows = sections.select(doc, "pos", "section_id", "kind", "low", "high", F.posexplode(found).alias("q_pos", "q"))
-    return rows.where(F.col("q.number").cast("int").between(F.col("low"), F.col("high"))).select(
-        doc, "pos", "section_id", "kind", "q_pos", "q.*")
+                                                lambda q: (q["stem"] != "") & (F.size(q["options"]) >= 2)))
+             .otherwise(F.array().cast(f"array<struct<number:string,stem:string,options:{OPTION},located:string>>")))
+    return F.filter(found, lambda q: q["number"].cast("int").between(s["low"], s["high"]))
 
 
 def parse_papers(papers: DataFrame, doc: str = "doc_id", name: str = "file_name", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -332,33 +363,14 @@ def parse_papers(papers: DataFrame, doc: str = "doc_id", name: str = "file_name"
         doc, F.coalesce(F.nullif(trim_all(F.regexp_replace(name, r"\.[^.]+\z", "")), F.lit("")), F.lit("Imported English Test")).alias("name"),
         stage_of(F.col(name), F.col("body")).alias("stage"), variant_of(F.col(name), F.col("body")).alias("exam_variant"),
         F.lower(F.element_at(F.split(name, r"\."), -1)).alias("source_format"))
-    sections = paper_sections(ready, doc)
-    asked = section_questions(sections, doc)
-    # Papers without any question are read as one run of questions.
-    bare = ready.join(asked.select(doc).distinct(), doc, "left_anti")
-    fallback = bare.select(
-        doc, F.lit(1_000_000).alias("pos"), F.lit("section-fallback").alias("section_id"), F.lit("reading").alias("kind"),
-        F.lit("Imported Questions").alias("title"), F.lit(None).cast("string").alias("part"), F.lit("standard").alias("mode"),
-        F.lit(1).alias("low"), F.lit(999).alias("high"), without_answers(F.col("body")).alias("text"))
-    extra = section_questions(fallback, doc)
-    kept = fallback.join(extra.select(doc).distinct(), doc, "left_semi").withColumn("passage", lead_passage(F.col("text")))
-    keys = answer_keys(ready, doc)
-    questions = asked.unionByName(extra).join(keys, [doc, "number"], "left")
-    located = _located(sections.where("mode = 'long-reading'"), doc)
-    questions = (questions.join(located, [doc, "section_id", "number"], "left")
+    rows = paper_tree(ready, doc).select(doc, F.posexplode("sections").alias("pos", "s"))
+    sections = rows.select(doc, "pos", "s.section_id", "s.kind", "s.title", "s.part", "s.mode", "s.passage",
+                           F.size("s.questions").cast("bigint").alias("questions"))
+    asked = rows.select(doc, "pos", "s.section_id", "s.kind", F.posexplode("s.questions").alias("q_pos", "q")).select(
+        doc, "pos", "section_id", "kind", "q_pos", "q.*")
+    questions = (asked.join(answer_keys(ready, doc), [doc, "number"], "left")
                  .withColumn("answer", F.coalesce("answer", "located")).drop("located"))
-    counted = questions.groupBy(doc, "section_id").agg(F.count(F.lit(1)).alias("questions"))
-    every = sections.unionByName(kept).join(counted, [doc, "section_id"], "left")
-    shown = every.where((F.col("passage") != "") | (F.col("questions") > 0) | F.col("mode").isin("prompt", "matching", "translation"))
-    return tests, shown.withColumn("questions", F.coalesce("questions", F.lit(0).cast("bigint"))).drop("text", "low", "high"), questions
-
-
-def _located(sections: DataFrame, doc: str) -> DataFrame:
-    """Paragraph labels that name a statement number in brackets; the last one wins."""
-    text = before(F.col("text"), V.CET_LONG_DETAIL)
-    rows = sections.select(doc, "section_id", F.posexplode(_options(F.regexp_replace(text, V.CET_PARAGRAPH, f"{SEP}$1{MID}"))).alias("i", "o"))
-    rows = rows.select(doc, "section_id", "i", "o.label", F.explode(F.regexp_extract_all("o.text", F.lit(V.CET_LOCATED), F.lit(1))).alias("number"))
-    return rows.groupBy(doc, "section_id", "number").agg(F.max_by("label", "i").alias("located"))
+    return tests, sections, questions
 
 
 # -- structured responses ------------------------------------------------------------------------
