@@ -173,3 +173,14 @@ def client_keys(t: Tables):
     n = F.col("c_custkey") % 3
     xff = F.when(n == 0, F.concat(F.lit(" ip"), "c_nationkey", F.lit(" , proxy"))).when(n == 1, F.lit(" ,proxy"))
     return t.customer.select("c_custkey", client_key(xff, F.when(n == 1, F.col("c_mktsegment")).when(n == 2, F.lit(""))).alias("client"))
+
+
+@query("author_mutes", f"""WITH {COMMENTS_SQL}
+SELECT c.user_id, event_id AS seq, epoch_us(ts) + least(365, greatest(1, coalesce(nullif(value::INTEGER % 400, 0), 7)))::BIGINT * 86400000000 AS until_us
+FROM events JOIN comments c ON c.id = {MARK_SQL} WHERE event_type = 'signup' AND event_id % 3 = 2""")
+def author_mutes(t: Tables):
+    """Mute actions on comments turned into the mute timeline of their authors."""
+    _, actions = _moderation(t)
+    actions = actions.withColumn("seq", F.col("seq") - 1_000_000).withColumn("days", F.rint("value").cast("int") % 400)
+    posted = comments(t).select("id", "user_id")
+    return community.mutes_from_actions(actions, posted).select("user_id", "seq", F.unix_micros("muted_until").alias("until_us"))

@@ -228,3 +228,11 @@ def structural_validity(t: Tables):
     ok = structurally_valid(F.col("p_name"), options, _labels(F.col("p_partkey") % 7),
                             F.when(F.col("p_type") == "LARGE", "X"))
     return t.part.select(ok.alias("valid")).groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("option_shuffle", """SELECT p_partkey AS question_id, string_agg(l, '' ORDER BY md5('seed-1|' || p_partkey || '|' || l)) AS labels
+FROM part, (SELECT unnest(['A', 'B', 'C', 'D']) AS l) GROUP BY p_partkey""")
+def option_shuffle(t: Tables):
+    options = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(x).alias("text")) for x in "ABCD"])
+    mixed = learn.shuffle_options(options, F.col("p_partkey"), "seed-1")
+    return t.part.select(F.col("p_partkey").alias("question_id"), F.array_join(F.transform(mixed, lambda o: o["label"]), "").alias("labels"))

@@ -108,9 +108,10 @@ def page_quality_gate(t: Tables):
 @query("page_text_choice", """SELECT page_id, CASE WHEN length(repeat('o', (page_id % 90)::INTEGER * 10)) > length(html) THEN 'ocr' ELSE 'text' END AS origin FROM pages""")
 def page_text_choice(t: Tables):
     """Recognised text replaces extracted page text only when it is longer."""
-    ocr = t.pages.select("page_id", F.expr("repeat('o', cast(page_id % 90 as int) * 10)").alias("ocr"))
-    chosen = t.pages.join(ocr, "page_id", "left").withColumn("body", F.when(F.length("ocr") > F.length("html"), F.col("ocr")).otherwise(F.col("html")))
-    return chosen.select("page_id", F.when(F.col("body") == F.col("ocr"), "ocr").otherwise("text").alias("origin"))
+    from gradeloom.sources.tables import choose_page_text
+    ocr = t.pages.select("page_id", F.expr("repeat('o', cast(page_id % 90 as int) * 10)").alias("html"))
+    chosen = choose_page_text(t.pages.select("page_id", "html"), ocr, ["page_id"], "html")
+    return chosen.select("page_id", F.when(F.col("html").rlike("^o+$"), "ocr").otherwise("text").alias("origin"))
 
 
 # -- curation -------------------------------------------------------------------------------
@@ -365,3 +366,12 @@ def structured_patches(t: Tables):
                                                       F.array(F.struct(F.lit("B").alias("label"), F.lit("t").alias("text"))).alias("options"))
     out = structured.answer_patches(_responses(t).withColumnRenamed("doc_id", "bank_id"), target, "bank_id")
     return out.select("bank_id", "source_number", F.array_join("answer", "").alias("answer"))
+
+
+@query("number_order", """SELECT p_partkey AS seq, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 97, p_partkey) AS place FROM part""")
+def number_order(t: Tables):
+    """Questions renumbered per paper by numeric source number, arrival breaking ties."""
+    from gradeloom.plans.scale import numbered
+    q = t.part.select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("seq"), F.concat(F.lit("No."), F.col("p_partkey") % 97).alias("source_number"))
+    q = q.withColumn("n", exam_text.source_int())
+    return numbered(q, ["paper"], F.floor(F.col("n") / 8), ["n", "seq"], "place").select("seq", "place")

@@ -138,3 +138,11 @@ def note_counters(t: Tables):
     rows = t.part.select("p_brand", F.when(F.col("p_size") % 3 == 0, "n").when(F.col("p_size") % 3 == 1, " ").alias("note"),
                          F.when(F.col("p_size") % 4 == 0, one).otherwise(none).alias("draft_answer"), F.when(F.col("p_size") % 5 == 0, none).otherwise(one).alias("answer"))
     return reading.counters(rows, "p_brand")
+
+
+@query("companion_wanted", """SELECT p_brand, round(count(*) FILTER (p_size % 4 > 0 AND p_size > 4) * 100.0 / count(*))::BIGINT AS coverage FROM part
+GROUP BY p_brand HAVING coverage < 75 AND p_brand NOT LIKE '%3'""")
+def companion_wanted(t: Tables):
+    q = t.part.select("p_brand", F.lit(1).alias("section"), F.when((F.col("p_size") % 4 > 0) & (F.col("p_size") > 4), "A").alias("answer"))
+    covered = reading.coverage(q, "p_brand", "section", "answer")
+    return reading.wants_companion(covered, F.endswith("p_brand", F.lit("3"))).select("p_brand", "coverage")

@@ -76,7 +76,7 @@ def clamp_days(days: Column) -> Column:
 def mutes_from_actions(actions: DataFrame, comments: DataFrame) -> DataFrame:
     """Mute timeline of comment authors; a later mute replaces an earlier one."""
     author = comments.select(F.col("id").alias("comment_id"), "user_id")
-    return (actions.where("action = 'mute'").join(author, "comment_id")
+    return (actions.where("action = 'mute'").select("comment_id", "seq", "ts", "days").join(author, "comment_id")
             .select("user_id", "seq", "ts",
                     (F.col("ts") + F.make_dt_interval(clamp_days(F.col("days")))).alias("muted_until")))
 

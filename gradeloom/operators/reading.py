@@ -118,6 +118,11 @@ def coverage(questions: DataFrame, test: str, section: str, answer: str) -> Data
     ).withColumn("coverage", percent(F.col("answered"), F.col("questions")))
 
 
+def wants_companion(covered: DataFrame, paired: Column) -> DataFrame:
+    """Tests imported without an answer file whose coverage stays under 75 per cent."""
+    return covered.where(~paired & (F.col("coverage") < 75))
+
+
 def counters(records: DataFrame, key: str) -> DataFrame:
     """Non-blank notes and drafts waiting for an answer."""
     return records.groupBy(key).agg(
