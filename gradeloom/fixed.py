@@ -146,6 +146,10 @@ CET_WORD_KEY = rf"{LINE_START}{_W}*(2[6-9]|3[0-5]){_W}*[.、]{_W}*([A-O]){_W}*[)
 CET_BLOCK = rf"{LINE_START}{_W}*([1-9]|[1-4][0-9]|5[0-5]){_W}*[.、]{_W}*"
 CET_BLOCK_KEY = rf"(?i)(?:正确答案(?:为|是)?|故选) ?{_W}*([A-O])(?![A-Za-z0-9_])|([A-O])项(?:正确|符合)"
 CET_BLOCK_KEY_2 = rf"(?i)(?:答案解析|答案) ?{_W}*([A-O]){_W}*[.。]"
+CET_FIRST_WORD_KEY = rf"{LINE_START}{_W}*26{_W}*[.、]{_W}*[A-O]{_W}*[).]"
+# Openings of the translation task, used only where its part heading is unreadable.
+CET_TRANSLATION_TOPIC = rf"(?i)(?:cubic{_W}+meter|The{_W}+Tiangong{_W}+Space{_W}+Station)"
+CET_TRANSLATION_CUE = rf"(?i)(?:Part{_W}+IV[^A-Za-z\n]{{0,12}}Translation|cubic{_W}+meter|The{_W}+Tiangong{_W}+Space{_W}+Station)"
 CET_NOTE = r"(?i)(?:解析|答案解析|analysis)"
 CET_DETAIL = rf"(?i)(?:答案详解|答案解析|26{_W}*[.、]{_W}*[A-O]{_W}*[).])"
 CET_LONG_DETAIL = rf"(?i)(?:答案详解|答案解析){_W}*[:：]?"

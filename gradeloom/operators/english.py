@@ -224,17 +224,35 @@ def _cet(body: Column) -> Column:
                 .otherwise(passages)))
         return F.flatten(F.transform(cut(text, V.CET_SECTION), one))
 
+    def lost_reading(head: Column) -> Column:
+        # from the section heading before the first word key to the translation task
+        rest = F.substring(body, F.length(head) + 1, F.length(body))
+        lead = F.when(F.contains(head, F.lit("Section")), F.concat(F.lit("Section"), F.substring_index(head, "Section", -1))).otherwise("")
+        ends = ~head.rlike(V.CET_TRANSLATION_CUE) & rest.rlike(V.CET_TRANSLATION_CUE)
+        return F.concat(lead, F.when(ends, before(rest, V.CET_TRANSLATION_CUE)).otherwise(rest))
+
+    def lost_translation(head: Column) -> Column:
+        topic = F.substring(body, F.length(head) + 1, F.length(body))
+        page = F.when(F.contains(head, F.lit("[[PAGE ")), F.concat(F.lit("[[PAGE "), F.substring_index(head, "[[PAGE ", -1))).otherwise("")
+        return F.concat(page, topic)
+
+    third = F.when(body.rlike(V.CET_FIRST_WORD_KEY), bind(before(body, V.CET_FIRST_WORD_KEY), lost_reading))
+    fourth = F.when(body.rlike(V.CET_TRANSLATION_TOPIC), bind(before(body, V.CET_TRANSLATION_TOPIC), lost_translation))
+
     def build(m: Column) -> Column:
+        return bind(F.coalesce(m["III"], third), lambda three: bind(F.coalesce(m["IV"], fourth), lambda four: assemble(m, three, four)))
+
+    def assemble(m: Column, three: Column, four: Column) -> Column:
         writing = F.regexp_replace(m["I"], rf"(?i)\A[\s\S]*?Writing{V.WS}*", "")
         talks = _labelled(m["II"], V.CET_TALK, lambda t, i: _section(
             t, "listening", title("Listening · ", t, V.CET_TALK), "Part II", F.concat(F.lit("cet-listening-"), (i + 1).cast("string")), "standard", 1, 25))
         return F.concat(
             F.when(m["I"].isNotNull(), F.array(_section(writing, "writing", "CET-6 Writing", "Part I", "cet-writing", "text"))).otherwise(none),
-            F.when(m["II"].isNotNull(), talks).otherwise(none), F.when(m["III"].isNotNull(), reading(m["III"])).otherwise(none),
-            F.when(m["IV"].isNotNull(), F.array(_section(before(m["IV"], V.CET_REFERENCE), "translation",
+            F.when(m["II"].isNotNull(), talks).otherwise(none), F.when(three.isNotNull(), reading(three)).otherwise(none),
+            F.when(four.isNotNull(), F.array(_section(before(four, V.CET_REFERENCE), "translation",
                    "CET-6 Translation · Chinese to English", "Part IV", "cet-translation", "text"))).otherwise(none))
 
-    return bind(parts, build)
+    return bind(parts, lambda m: F.when(F.size(m) > 0, build(m)).otherwise(none))
 
 
 def prepare(papers: DataFrame, doc: str = "doc_id", name: str = "file_name", text: str = "text") -> DataFrame:

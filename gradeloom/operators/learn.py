@@ -203,7 +203,7 @@ def draw_from_bank(enrolled: DataFrame, questions: DataFrame, user: str, bank: s
     """
     hashed = questions.select(bank, question).withColumn(
         "_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(question).cast("string"))))
-    slots = numbered(hashed, [bank], F.substring("_h", 1, 2), ["_h", question], "_slot")
+    slots = numbered(hashed, [bank], F.substring("_h", 1, 3), ["_h", question], "_slot")
     sizes = questions.groupBy(bank).agg(F.count(F.lit(1)).alias("_n"))
     offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(user).cast("string"))), 1, 12),
                     16, 10).cast("bigint")

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.session import shared_dir
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Start stateful queries with at most two state partitions per core.
+
+    The number is fixed by the first start of a query, and each partition keeps a
+    state store open, so a default made for batch shuffles is too many on few cores.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is available into a Parquet folder and read it back.
 
@@ -17,22 +34,24 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     out = shared_dir(spark, f"{name}-out")
-    handle = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-              .option("checkpointLocation", shared_dir(spark, f"{name}-checkpoint"))
-              .trigger(availableNow=True).start())
-    handle.awaitTermination()
+    with state_partitions(spark):
+        handle = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+                  .option("checkpointLocation", shared_dir(spark, f"{name}-checkpoint"))
+                  .trigger(availableNow=True).start())
+        handle.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def drain_batches(stream: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Process what is available through an idempotent batch function."""
-    handle = (stream.writeStream.foreachBatch(sink).outputMode(mode)
-              .option("checkpointLocation", shared_dir(stream.sparkSession, f"{name}-checkpoint"))
-              .trigger(availableNow=True).start())
-    handle.awaitTermination()
+    with state_partitions(stream.sparkSession):
+        handle = (stream.writeStream.foreachBatch(sink).outputMode(mode)
+                  .option("checkpointLocation", shared_dir(stream.sparkSession, f"{name}-checkpoint"))
+                  .trigger(availableNow=True).start())
+        handle.awaitTermination()
 
 
-def parquet_stream(spark: SparkSession, folder: str, file_name: str, files_per_trigger: int = 1000) -> DataFrame:
+def parquet_stream(spark: SparkSession, folder: str, file_name: str, files_per_trigger: int = 64) -> DataFrame:
     """A folder's Parquet files as a stream, with the schema of the files."""
     schema = spark.read.parquet(f"{folder}/{file_name}").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
