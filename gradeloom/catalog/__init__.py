@@ -35,6 +35,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._schemas = {}
 
     def texts(self, table: str = "documents") -> DataFrame:
         """A text table, spread over the cores when its file has few row groups."""
@@ -42,7 +43,12 @@ class Tables:
         return spread(getattr(self, table))
 
     def __getattr__(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}.parquet")
+        if table.startswith("_"):
+            raise AttributeError(table)
+        file = f"{self.path}/{table}.parquet"
+        if table not in self._schemas:  # read the footer once per query
+            self._schemas[table] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(self._schemas[table]).parquet(file)
 
 
 def load() -> None:

@@ -176,10 +176,10 @@ def blueprint_detect(t: Tables):
         blueprint.is_profiled(F.col("file_name"), F.col("text")).alias("profiled"))
 
 
-def _paper_questions(t: Tables):
+def _paper_questions(t: Tables, paper=None):
     opts = F.array(*[F.struct(F.lit(x).alias("label"), F.col(c).cast("string").alias("text")) for x, c in (("A", "p_type"), ("B", "p_brand"), ("C", "p_size"))])
     return t.part.select(
-        F.col("p_brand").alias("paper"), F.col("p_partkey").alias("seq"), F.concat(F.lit("No."), F.col("p_partkey") % 97).alias("source_number"),
+        (F.col("p_brand") if paper is None else paper).alias("paper"), F.col("p_partkey").alias("seq"), F.concat(F.lit("No."), F.col("p_partkey") % 97).alias("source_number"),
         F.col("p_name").alias("stem"), opts.alias("options"),
         F.when(F.col("p_size") % 6 == 0, F.array(F.lit("D"))).when(F.col("p_size") % 6 == 1, F.array(F.lit("B"), F.lit("B"), F.lit("A")))
         .otherwise(F.array(F.lit("C"))).alias("answer"), F.lit(None).cast("string").alias("answer_source"))
@@ -218,19 +218,16 @@ def audit_papers(t: Tables):
         "missing", F.array_join(F.transform("missing", lambda n: n.cast("string")), ","))
 
 
-ANSWER_TEXT_SQL = "p_partkey % 97"
-
-
 def _answer_texts(t: Tables):
-    """Answer files by brand: numbered blocks for some questions, compact entries for others."""
+    """Answer files of a thousand parts: numbered blocks for some questions, compact entries for others."""
     n = (F.col("p_partkey") % 97).cast("string")
     block = F.concat(F.lit("\n"), n, F.lit(". text of a question\nmore\n【答案】"), letter(), F.lit("\n"))
     entry = F.concat(F.lit(" "), n, F.lit("-"), letter(), F.lit(" "))
-    rows = t.part.select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("n"), F.when(F.col("p_size") < 25, block).otherwise(entry).alias("t"))
+    rows = t.part.select(doc_key().alias("paper"), F.col("p_partkey").alias("n"), F.when(F.col("p_size") < 25, block).otherwise(entry).alias("t"))
     return rows.groupBy("paper").agg(_joined(F.struct("n", "t"), "").alias("text"))
 
 
-EXPLICIT_SQL = f"""r AS (SELECT p_brand AS paper, p_partkey % 97 AS number, {LETTER_SQL} AS letter, p_size < 25 AS block, p_partkey FROM part),
+EXPLICIT_SQL = f"""r AS (SELECT {DOC_SQL} AS paper, p_partkey % 97 AS number, {LETTER_SQL} AS letter, p_size < 25 AS block, p_partkey FROM part),
 found AS (SELECT paper, number, letter FROM (SELECT *, row_number() OVER (PARTITION BY paper, number ORDER BY block DESC, CASE WHEN block THEN -p_partkey ELSE p_partkey END) AS rn FROM r) WHERE rn = 1)"""
 
 
@@ -242,33 +239,36 @@ def explicit_answers(t: Tables):
 @query("reconcile_numbers", f"""WITH {EXPLICIT_SQL}
 SELECT p_partkey AS seq, CASE WHEN p_size % 6 > 0 THEN CASE WHEN p_size % 6 = 1 THEN 'BBA' ELSE 'C' END WHEN letter <> 'D' THEN letter ELSE '' END AS answer,
   p_size % 6 = 0 AND coalesce(letter, 'D') <> 'D' AS fixed, CASE WHEN p_size % 6 = 0 AND coalesce(letter, 'D') <> 'D' THEN '原卷明确答案 · 题号二次校验' END AS answer_source
-FROM part LEFT JOIN found ON paper = p_brand AND number = p_partkey % 97""")
+FROM part LEFT JOIN found ON paper = {DOC_SQL} AND number = p_partkey % 97""")
 def reconcile_numbers(t: Tables):
-    q = _paper_questions(t).withColumn("answer", F.when(F.array_contains("answer", "D"), F.array().cast("array<string>")).otherwise(F.col("answer")))
+    q = _paper_questions(t, doc_key()).withColumn("answer", F.when(F.array_contains("answer", "D"), F.array().cast("array<string>")).otherwise(F.col("answer")))
     q = q.withColumn("question_type", F.lit(None).cast("string")).withColumn("multiple", F.lit(False))
     out = curate.reconcile_by_number(q, curate.explicit_answers(_answer_texts(t)))
     return out.select("seq", F.array_join("answer", "").alias("answer"), "fixed", "answer_source")
 
 
-@query("reconcile_positions", """WITH li AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq FROM lineitem),
+SEQ_SQL = "l_linenumber || '|' || lpad(l_partkey::VARCHAR, 12, '0') || '|' || lpad(l_suppkey::VARCHAR, 12, '0') || '|' || lpad((l_extendedprice * 100)::BIGINT::VARCHAR, 14, '0')"
+
+
+@query("reconcile_positions", f"""WITH li AS (SELECT *, {SEQ_SQL} AS seq FROM lineitem),
 q AS (SELECT l_orderkey AS paper, seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, seq) AS k FROM li),
 a AS (SELECT l_orderkey AS paper, number, letter, row_number() OVER (PARTITION BY l_orderkey ORDER BY number) AS k FROM (
   SELECT l_orderkey, l_partkey AS number, substr('ABD', max(l_suppkey % 3)::INTEGER + 1, 1) AS letter FROM lineitem GROUP BY ALL)),
 j AS (SELECT q.paper, q.seq, letter FROM q LEFT JOIN a USING (paper, k)),
 g AS (SELECT paper FROM j JOIN (SELECT paper, count(*) AS na FROM a GROUP BY paper) USING (paper) GROUP BY paper HAVING count(*) = any_value(na) AND bool_and(letter IN ('A', 'B')) AND 7 - count(*) < 10)
-SELECT paper, count(*) AS questions, count(*) FILTER (paper IN (FROM g)) AS fixed, coalesce(string_agg(letter, '' ORDER BY seq) FILTER (paper IN (FROM g)), '') AS answers FROM j GROUP BY paper""")
+SELECT paper, seq, CASE WHEN g.paper IS NOT NULL THEN letter ELSE '' END AS answer, g.paper IS NOT NULL AS fixed FROM j LEFT JOIN g USING (paper)""")
 def reconcile_positions(t: Tables):
-    from pyspark.sql.window import Window
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint")
+    """Orders as papers: lines are questions, their distinct parts the answer list."""
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    seq = F.concat_ws("|", F.col("l_linenumber").cast("string"), pad(F.col("l_partkey"), 12), pad(F.col("l_suppkey"), 12),
+                      pad(F.rint(F.col("l_extendedprice") * 100).cast("bigint"), 14))
     opts = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(x).alias("text")) for x in "AB"])
     q = t.lineitem.select(F.col("l_orderkey").alias("paper"), seq.alias("seq"), F.col("l_linenumber").cast("string").alias("source_number"), opts.alias("options"),
                           F.array().cast("array<string>").alias("answer"), F.lit("").alias("answer_source"), F.lit(None).cast("string").alias("question_type"), F.lit(False).alias("multiple"))
     mark = F.substring(F.lit("ABD"), F.max(F.col("l_suppkey") % 3).cast("int") + 1, F.lit(1))
     a = t.lineitem.groupBy(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("number")).agg(F.array(mark).alias("found"))
     out = curate.reconcile_by_order(q, a, t.orders.select(F.col("o_orderkey").alias("paper"), F.lit(7).alias("expected")))
-    got = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.array_join("answer", "").alias("a")))), lambda r: r["a"])
-    return out.groupBy("paper").agg(F.count(F.lit(1)).alias("questions"), F.count_if("fixed").alias("fixed"), F.array_join(got, "").alias("answers"))
+    return out.select("paper", "seq", F.array_join("answer", "").alias("answer"), "fixed")
 
 
 @query("answer_patch", f"""WITH p AS (SELECT p_brand, (p_partkey % 97)::VARCHAR AS num, arg_max(struct_pack(a := {LETTER_SQL}, e := CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END, s := CASE WHEN p_size % 5 = 0 THEN 'table' END), p_partkey) AS r

@@ -60,10 +60,10 @@ def sanitize(passage: Column) -> Column:
         .when(b.rlike(V.DIRECTIONS), plain(b)).otherwise(b)))
 
 
-def lead_passage(text: Column) -> Column:
-    """Passage in front of the first question."""
-    head = F.regexp_replace(before(text, V.EN_QUESTION_SPACED), rf"(?i)\A{V.WS}*(?:part{V.WS}+[ivx0-9]+{V.WS}*)?(?:{V.TASK_WORDS})[^\n]*\n?", "")
-    return F.substring(sanitize(trim_all(head)), 1, 12_000)
+def _lead(text: Column) -> Column:
+    """Text in front of the first question, without its heading."""
+    head = before(text, V.EN_QUESTION_SPACED)
+    return trim_all(F.regexp_replace(head, rf"(?i)\A{V.WS}*(?:part{V.WS}+[ivx0-9]+{V.WS}*)?(?:{V.TASK_WORDS})[^\n]*\n?", ""))
 
 
 # -- classification ------------------------------------------------------------------
@@ -265,13 +265,13 @@ def prepare(papers: DataFrame, doc: str = "doc_id", name: str = "file_name", tex
 def _passage(s: Column) -> Column:
     t, mode = s["text"], s["mode"]
     prompt = rf"(?i){V.LINE_START}{V.WS}*5[12]{V.WS}*[.、]{V.WS}*"
-    return (F.when(mode == "matching", F.substring(sanitize(before(t, V.EN_FIRST_OPTION)), 1, 6000))
-            .when(mode == "cloze", F.substring(sanitize(before(t, V.EN_CLOZE_ROW)), 1, 12_000))
-            .when(mode == "prompt", F.substring(collapse(F.coalesce(from_first(t, prompt), t)), 1, 8000))
+    area = (F.when(mode == "matching", before(t, V.EN_FIRST_OPTION)).when(mode == "cloze", before(t, V.EN_CLOZE_ROW))
+            .when(mode == "word-bank", before(t, V.CET_DETAIL)).when(mode == "long-reading", before(t, V.CET_LONG_DETAIL))
+            .otherwise(_lead(t)))
+    limit = F.when(mode == "matching", 6000).when(mode == "long-reading", 18_000).otherwise(12_000)
+    return (F.when(mode == "prompt", F.substring(collapse(F.coalesce(from_first(t, prompt), t)), 1, 8000))
             .when(mode == "text", F.substring(trim_all(t), 1, 9000))
-            .when(mode == "word-bank", F.substring(sanitize(before(t, V.CET_DETAIL)), 1, 12_000))
-            .when(mode == "long-reading", F.substring(sanitize(before(t, V.CET_LONG_DETAIL)), 1, 18_000))
-            .otherwise(lead_passage(t)))
+            .otherwise(F.substring(sanitize(area), F.lit(1), limit)))
 
 
 def _filled(s: Column) -> Column:
