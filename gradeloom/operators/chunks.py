@@ -97,17 +97,18 @@ def pack_pages(documents: DataFrame, doc: str, text: str, size: int = V.PACK_CHA
     base = documents.select(doc, _normal(F.col(text)).alias("body"))
     base = base.withColumn("pages", F.filter(F.split("body", rf"(?={V.PAGE_MARK})"), lambda p: trim_all(p) != ""))
     units = F.split(F.regexp_replace("body", f"({V.ANCHOR})", "\u0001$1"), "\u0001")
-    base = base.withColumn("units", F.filter(F.transform(
-        F.slice(units, F.lit(2), F.size(units)), trim_all), lambda u: u != ""))
     paged = F.size("pages") > 1
-    by_question = F.size(units) - 1 >= V.PACK_ANCHORS
+    base = base.withColumn("cut", F.when(~paged, bind(units, lambda u: F.slice(u, F.lit(2), F.size(u)))))
+    base = base.withColumn("units", F.filter(F.transform("cut", trim_all), lambda u: u != ""))
+    by_question = F.size("cut") >= V.PACK_ANCHORS
     base = base.withColumn("kind", F.when(paged, "pages").when(by_question, "questions").otherwise("overlap"))
     base = base.withColumn("parts", F.when(paged, F.col("pages")).when(by_question, F.col("units")))
     lengths = F.transform("parts", lambda p: F.length(p))
     base = base.withColumn("starts", F.when(paged, _greedy(lengths, F.lit(limit), None)).when(
         by_question, _greedy(lengths, F.lit(limit), V.PACK_QUESTIONS)))
     chunks = F.when(F.col("kind") == "overlap", overlapping_chunks(F.col("body"), min(limit, V.PACK_FALLBACK), max_chunks=max_chunks)
-                    ).otherwise(_packs(F.col("parts"), F.col("starts"), max_chunks))
+                    ).otherwise(bind(F.col("parts"), lambda units: bind(
+                        F.col("starts"), lambda starts: _packs(units, starts, max_chunks))))
     plain = base.select(doc, "kind", F.posexplode(chunks).alias("pos", "chunk"))
 
     seams = (base.where("kind = 'pages' and size(starts) > 1")

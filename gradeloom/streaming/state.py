@@ -116,34 +116,27 @@ def expired_shares(shares: DataFrame, ts: str, delay: str = "0 seconds") -> Data
 class FirstResult(StatefulProcessor):
     """Exact reset semantics of the locked first result, by event order.
 
-    State is the last reset and the results after it that may still become first:
-    only the earliest result can, so a reset arriving late needs the results kept
-    since the previous one; they are held as (seq, value) pairs up to the next reset.
+    State is the last reset and the results after it: a reset that arrives late may
+    uncover any of them, so they stay until a reset passes them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reset = handle.getValueState("reset", "seq bigint")
-        self.results = handle.getMapState("results", "seq bigint", "value string")
+        self.state = handle.getValueState("state", "reset bigint, seqs array<bigint>, results array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.reset.get() if self.reset.exists() else None
-        reset = stored[0] if stored else -1
-        moved = False
+        reset, seqs, results = self.state.get() or (-1, [], [])
+        kept = dict(zip(seqs, results))
         for batch in rows:
             for seq, value in zip(batch["seq"], batch["value"]):
                 if value is None or pd.isna(value):
-                    if seq > reset:
-                        reset, moved = int(seq), True
-                elif seq > reset:
-                    self.results.updateValue((int(seq),), (value,))
-        if moved:
-            self.reset.update((reset,))
-            for (seq,) in [k for k in self.results.keys() if k[0] <= reset]:
-                self.results.removeKey((seq,))
-        first = min((k[0] for k in self.results.keys()), default=None)
-        value = self.results.getValue((first,))[0] if first is not None else None
-        yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "value": pd.Series([value], dtype=object),
-                            "seq": [first if first is not None else reset]})
+                    reset = max(reset, int(seq))
+                else:
+                    kept[int(seq)] = value
+        kept = {seq: value for seq, value in sorted(kept.items()) if seq > reset}
+        self.state.update((reset, list(kept), list(kept.values())))
+        first = next(iter(kept), None)
+        yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "value": pd.Series([kept.get(first)], dtype=object),
+                            "seq": [reset if first is None else first]})
 
     def close(self) -> None:
         pass

@@ -94,3 +94,13 @@ def test_answer_reference_window(spark):
     out = spark.createDataFrame([(text,), ("no hint" * 10,)], "t string").select(chunks.answer_reference(F.col("t"), 50)).collect()
     assert out[0][0].startswith("参考答案\n0\n1") and len(out[0][0]) == 50
     assert out[1][0] == ("no hint" * 10)[-50:]
+
+
+def test_packing_by_question(spark):
+    text = "\n".join(f"{n}. stem {n}\nA. one\nB. two" for n in range(1, 31))
+    docs = spark.createDataFrame([("p", text), ("q", "plain words only " * 400)], "paper string, text string")
+    rows = chunks.pack_pages(docs, "paper", "text").orderBy("paper", "pos").collect()
+    packs = [r.chunk for r in rows if r.paper == "p"]
+    assert [p.count("stem") for p in packs] == [14, 14, 2]
+    assert "\n".join(packs) == text
+    assert {r.kind for r in rows if r.paper == "q"} == {"overlap"}
