@@ -78,9 +78,8 @@ class Shingles:
         first, h = words.windows(size)
         text = words.text[first]
         for i in np.flatnonzero((words.counts > 0) & (words.counts < size)):
-            short = U(words.counts[i])
-            for k in words.hashes[words.first[i]:words.first[i + 1]]:
-                short = mix(np.array([short * U(31) + k], U))[0]
+            own = words.hashes[words.first[i]:words.first[i + 1]]
+            short = mix((mix(own + np.arange(len(own), dtype=U)) * U(31)).sum(keepdims=True) + U(len(own)))
             text, h = np.append(text, i), np.append(h, short)
         order = np.lexsort((h, text))
         text, h = text[order], h[order]
