@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chosen_path, language_bits, source_mix, wu_manber
+from gradeloom.llm import chosen_path, language_bits, personal_data, source_mix, wu_manber
 from gradeloom.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,18 @@ def language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(4, 2))
     model = language_bits.fit(docs.where(~F.col("held_out")))
     return language_bits.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_personal_data")
+def find_personal_data(spark, sf_dir):
+    """Personal data of every document: counts and digest of the fixed patterns, and all spans."""
+    field = personal_data.train(personal_data.labelled_table(spark))
+    found = personal_data.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"), field)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[count(k) for k in personal_data.KINDS],
+                        F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined("spans").alias("spans"))
