@@ -296,7 +296,7 @@ def _fits(kind: str, text: str) -> bool:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) >= 4 and bool(re.match(r"[0-9]+(\.[0-9]+){3}(?![.0-9])", text)) and all(len(p) < 4 and int(p) < 256 for p in parts[:4])
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
+        return 13 <= len(digits) <= 19 and not re.search(r"[A-Za-z]", text) and luhn(digits)
     return 7 <= len(digits) <= 15 and not re.search(r"[A-Za-z]", text) and bool(re.search(r"[^0-9]", text))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chosen_path, language_bits, personal_data, source_mix, wu_manber
+from gradeloom.llm import chosen_path, kneser_ney, language_bits, personal_data, source_mix, wu_manber
 from gradeloom.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,12 @@ def find_personal_data(spark, sf_dir):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *[count(k) for k in personal_data.KINDS],
                         F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op6_text_score")
+def text_score(spark, sf_dir):
+    """Log probabilities of every text under a model of the training fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold(7, 2).alias("held_out"))
+    model = kneser_ney.count_model(docs.where(~F.col("held_out")))
+    return kneser_ney.score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+                                                "base_score", "score", "perplexity")
