@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chosen_path, kneser_ney, language_bits, personal_data, source_mix, wu_manber
+from gradeloom.llm import chosen_path, deobfuscate, kneser_ney, language_bits, personal_data, source_mix, wu_manber
 from gradeloom.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,11 @@ def text_score(spark, sf_dir):
     model = kneser_ney.count_model(docs.where(~F.col("held_out")))
     return kneser_ney.score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
                                                 "base_score", "score", "perplexity")
+
+
+@query("op7_toxicity")
+def toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold(4, 2).alias("held_out"))
+    model = deobfuscate.train(docs.where(~F.col("held_out")).select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return deobfuscate.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
