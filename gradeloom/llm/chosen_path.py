@@ -36,6 +36,8 @@ POSITIONS = 64
 #: Sketches agreeing on this share of positions are compared exactly: 3.6 deviations below the threshold.
 LOOSE = 0.62
 DEPTH = 3
+#: Steps before buckets are counted: sets that share one line only have mostly parted by then.
+FIRST_COUNT = 2
 LIMIT = 256
 BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
 _SALTS = np.frombuffer(np.random.default_rng(20).bytes(8 * POSITIONS), np.uint32).reshape(2, POSITIONS)
@@ -185,7 +187,7 @@ def _loose_edges(rows: DataFrame, loose: float) -> DataFrame:
 
 
 def _paths(sets: DataFrame, similarity: float, runs: int | None) -> DataFrame:
-    """(key, print): the children of each row's node; with ``runs`` the children of the roots of all runs."""
+    """(key, print): the children of each row's node; with ``runs`` the nodes ``FIRST_COUNT`` steps below the roots of all runs."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -194,8 +196,16 @@ def _paths(sets: DataFrame, similarity: float, runs: int | None) -> DataFrame:
             if runs is None:
                 row, child = children(batch.column("key").to_numpy().view(U), grid, similarity)
             else:
-                parts = [children(np.full(len(grid), mix(np.array([r + 1], U))[0], U), grid, similarity) for r in range(runs)]
-                row, child = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                rows, paths = [], []
+                for r in range(runs):
+                    row = np.arange(len(grid))
+                    path = np.full(len(grid), mix(np.array([r + 1], U))[0], U)
+                    for _ in range(FIRST_COUNT):
+                        at, path = children(path, grid[row], similarity)
+                        row = row[at]
+                    rows.append(row)
+                    paths.append(path)
+                row, child = np.concatenate(rows), np.concatenate(paths)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), prints.take(pa.array(row))], ["key", "print"])
     columns = ["print", "sketch"] if runs else ["key", "print", "sketch"]
     return sets.select(*columns).mapInArrow(run, "key long, print binary")
@@ -211,7 +221,7 @@ def candidate_ties(sets: DataFrame, similarity: float, recall: float, depth: int
         more = written(more, "ties")
         ties = more if ties is None else ties.union(more)
 
-    for level in range(1, depth + 1):
+    for level in range(FIRST_COUNT, depth + 1):
         nodes = written(nodes, "nodes")
         buckets = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("pivot")).where("n > 1")
         rows = written(nodes.join(buckets, "key").join(sets, "print"), "buckets")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chosen_path, deobfuscate, kneser_ney, language_bits, personal_data, source_mix, wu_manber
+from gradeloom.llm import chosen_path, deobfuscate, kneser_ney, language_bits, personal_data, source_mix, style_tree, wu_manber
 from gradeloom.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,10 @@ def toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold(4, 2).alias("held_out"))
     model = deobfuscate.train(docs.where(~F.col("held_out")).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return deobfuscate.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_main_text")
+def main_text(spark, sf_dir):
+    """Main text of every page."""
+    found = style_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
