@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chosen_path, deobfuscate, kneser_ney, language_bits, personal_data, source_mix, style_tree, wu_manber
+from gradeloom.llm import (chosen_path, deobfuscate, importance_resample, kneser_ney, language_bits, personal_data, quality_trees,
+                           source_mix, style_tree, wu_manber)
 from gradeloom.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,20 @@ def main_text(spark, sf_dir):
     """Main text of every page."""
     found = style_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_importance_resample")
+def importance_sample(spark, sf_dir):
+    """Importance weights of every document towards texts labelled good, and the Gumbel top-k sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = importance_resample.log_ratios(docs, table(spark, sf_dir, "labels"))
+    return importance_resample.resampled(docs, ratios).select("doc_id", "n_grams", "log_ratio", "gumbel_key", "kept")
+
+
+@query("op3_quality_rules")
+def quality_rules(spark, sf_dir):
+    """Statistics, base rules and the forest's verdict for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_trees.judge(docs, quality_trees.train(docs, table(spark, sf_dir, "labels")))
+    failed = quality_trees.base_failed()
+    return judged.select("doc_id", *quality_trees.COUNTS, failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality")
