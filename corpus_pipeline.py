@@ -8,17 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chosen_path, language_bits, source_mix, wu_manber
+from gradeloom.llm import chosen_path, language_bits, personal_data, source_mix, wu_manber
 from gradeloom.llm.frames import table, written
 
-#: Below this share of the two best languages a text counts as of no language.
-LEAST_SCORE = 0.52
+#: A text whose two best languages are level, or that holds no n-gram of any, is of no language.
+LEVEL_SCORE = 0.5
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or that fit two languages alike, go."""
+    """Texts without letters, without a known n-gram, or level between two languages, go."""
     found = language_bits.identify(docs, language_bits.fit(docs))
-    return found.where((F.col("lang_pred") != language_bits.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return found.where((F.col("lang_pred") != language_bits.UNKNOWN) & (F.col("score") > LEVEL_SCORE)).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,12 @@ def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.where(~F.col("contaminated")).select(docs.columns)
 
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; ``n_chars`` follows the new text."""
+    found = personal_data.masked(docs, personal_data.train(personal_data.labelled_table(spark)))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated so that the sources meet their target weights."""
     return source_mix.repeated(source_mix.mixed(docs))
@@ -41,6 +47,7 @@ STAGES = [
     ("language ID", keep_known_language),
     ("n-gram Jaccard join", keep_one_of_each),
     ("benchmark decontamination", drop_benchmark_texts),
+    ("PII", mask_personal_data),
     ("mixing sources", mix_sources),
 ]
 

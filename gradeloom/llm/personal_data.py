@@ -392,7 +392,7 @@ def find_personal(docs: DataFrame, field: Field, text: str = "text", name: str =
 def masked(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans are one, named by the first."""
     spans = free_name(docs.columns, "spans")
-    found = find_personal(docs, field, text, spans)
+    found, kept = find_personal(docs, field, text, spans), docs.columns
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         out = piece.column(text).to_pylist()
@@ -405,7 +405,6 @@ def masked(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
             if own:
                 out[i] = "".join(parts) + out[i][last:]
         at = piece.schema.get_field_index(text)
-        kept = piece.set_column(at, piece.schema.field(at), pa.array(out, piece.schema.field(at).type))
-        return kept.select(docs.columns)
+        return piece.set_column(at, piece.schema.field(at), pa.array(out, piece.schema.field(at).type)).select(kept)
     schema = StructType([*docs.schema.fields])
     return map_pieces(found, run, schema, text)
