@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.window import Window
 
 from gradeloom.llm.components import components
 from gradeloom.llm.frames import NOT_SPACE, U, Texts, Words, free_name, map_pieces, mix, written
@@ -359,16 +361,15 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     Rows without words stay. Rows are found again by (print, id), so a group of copies is spread by its ids.
     """
     classes = near_classes(docs, text, doc_id, size, **options)
-    chosen = classes.where("print is not null and kept").select(F.col("print").alias("_print"), F.col("own_id").alias("_own")).distinct()
     key, nth = free_name(docs.columns, "print"), free_name(docs.columns, "nth")
+    chosen_key, own = free_name([*docs.columns, key], "chosen"), free_name(docs.columns, "own")
+    chosen = classes.where("print is not null and kept").select(F.col("print").alias(chosen_key), F.col("own_id").alias(own)).distinct()
 
     def add(piece: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*piece.columns, pa.array(Shingles(piece.column(text), size).prints(), pa.binary())],
                                           [*piece.schema.names, key])
-    from pyspark.sql.types import BinaryType, StructType
     keyed = map_pieces(docs, add, StructType([*docs.schema.fields]).add(key, BinaryType()), text)
     alone = keyed.where(F.col(key).isNull())
-    met = keyed.where(F.col(key).isNotNull()).join(chosen, (F.col(key) == F.col("_print")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_own")), "left_semi")
-    from pyspark.sql.window import Window
+    met = keyed.where(F.col(key).isNotNull()).join(chosen, (F.col(key) == F.col(chosen_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left_semi")
     once = met.withColumn(nth, F.row_number().over(Window.partitionBy(key, doc_id).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(nth)
     return once.union(alone).drop(key)

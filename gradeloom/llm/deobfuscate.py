@@ -235,7 +235,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.hstack([(x - center) / scale, np.ones((len(x), 1))])
     b = np.zeros(z.shape[1])
