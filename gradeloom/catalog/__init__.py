@@ -38,9 +38,13 @@ class Tables:
         self._schemas = {}
 
     def texts(self, table: str = "documents") -> DataFrame:
-        """A text table, spread over the cores when its file has few row groups."""
-        from gradeloom.plans.scale import spread
-        return spread(getattr(self, table))
+        """A text table; ``spark.gradeloom.text.partitions`` of the session, where set, is the number of tasks it is dealt to.
+
+        Set it for files of few row groups on many cores.  Unset, no text is shuffled.
+        """
+        rows = getattr(self, table)
+        tasks = self.spark.conf.get("spark.gradeloom.text.partitions", None)
+        return rows.repartition(int(tasks)) if tasks else rows
 
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):

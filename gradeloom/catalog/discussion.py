@@ -116,15 +116,14 @@ def mute_asof(t: Tables):
 @query("comment_admission", f"""WITH {MUTE_SQL},
 x AS (SELECT p.user_id, p.event_id AS seq, coalesce(arg_max(m.until, struct_pack(t := m.ts, e := m.event_id)) > any_value(p.ts), false) AS muted
   FROM p LEFT JOIN m ON m.user_id = p.user_id AND m.ts <= p.ts GROUP BY p.user_id, p.event_id)
-SELECT CASE WHEN user_id % 20 = 0 THEN 'unknown_user' WHEN muted THEN 'muted' WHEN seq % 10 = 0 THEN 'too_short' ELSE 'admitted' END AS outcome,
-  count(*) AS n, max(CASE WHEN seq % 10 = 0 THEN 1 ELSE least(300, 3 * (seq % 200)) END)::INTEGER AS longest FROM x GROUP BY outcome""")
+SELECT user_id, seq, CASE WHEN user_id % 20 = 0 THEN 'unknown_user' WHEN muted THEN 'muted' WHEN seq % 10 = 0 THEN 'too_short'
+  WHEN seq % 200 > 100 THEN 'too_long' END AS reject_reason, (CASE WHEN seq % 10 = 0 THEN 1 ELSE 3 * (seq % 200) END)::INTEGER AS length FROM x""")
 def comment_admission(t: Tables):
     posts = _muted(t).withColumn("body", F.when(F.col("seq") % 10 == 0, "  x ").otherwise(
         F.expr("concat(' ', repeat('abc', cast(seq % 200 as int)), '　')"))).withColumn("question_id", F.col("question_id").cast("string"))
     users = events(t).where("user_id % 20 > 0").select(F.col("user_id").alias("id")).distinct()
     out = community.admit_comments(posts, users)
-    return out.groupBy(F.coalesce("reject_reason", F.lit("admitted")).alias("outcome")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.length("body")).alias("longest"))
+    return out.select("user_id", "seq", "reject_reason", F.length("body").alias("length"))
 
 
 @query("audit_log", f"""SELECT {MARK_SQL} AS comment_id, CASE WHEN event_id % 3 = 0 THEN 'publish' WHEN event_id % 3 = 1 THEN 'hide' ELSE 'mute' END AS action,

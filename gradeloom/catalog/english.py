@@ -63,10 +63,9 @@ def english_classes(t: Tables):
 
 
 @query("english_structured", f"""SELECT {PAPER_SQL} AS doc_id, 'ai-2-reading' AS section_id, (p_partkey % 900 + 1)::VARCHAR AS number, p_name AS stem,
-  'A.' || p_type || '|C.' || p_brand AS options, CASE WHEN p_size % 3 = 1 THEN NULL ELSE substr('ABC', p_size % 3 + 1, 1) END AS answer
-FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 900 ORDER BY p_partkey) AS rn FROM part) WHERE rn <= 100""")
+  'A.' || p_type || '|C.' || p_brand AS options, CASE WHEN p_size % 3 = 1 THEN NULL ELSE substr('ABC', p_size % 3 + 1, 1) END AS answer FROM part""")
 def english_structured(t: Tables):
-    """Structured responses: bounded questions, labels checked against the options."""
+    """Structured responses: every question, labels checked against the options."""
     item = F.concat(F.lit('{"number":"'), number(), F.lit('","stem":" '), "p_name", F.lit(' ","options":[{"label":"a.","text":"'), "p_type", F.lit('"},{"label":"(C)","text":"'), "p_brand",
                     F.lit('"},{"label":"A","text":"dup"},{"label":"?","text":"x"}],"answer":"'), letter(), F.lit('"}'))
     rows = t.part.select(paper_key().alias("doc_id"), F.col("p_partkey").alias("n"), item.alias("t"))

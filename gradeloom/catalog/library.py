@@ -27,8 +27,7 @@ RULE_SQL = """CASE WHEN regexp_matches(b, '(?:西医综合|西综|(?:^|[^0-9])30
   WHEN regexp_matches(b, '(?i)影像|放射|CT|MRI|超声') THEN '医学影像学' ELSE '' END"""
 
 
-@query("group_suggest", f"""WITH h AS (SELECT p_brand, string_agg(p_type || ' ' || p_name, chr(10) ORDER BY p_partkey) AS q FROM (
-  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn <= 24 GROUP BY ALL)
+@query("group_suggest", f"""WITH h AS (SELECT p_brand, string_agg(p_type || ' ' || p_name, chr(10) ORDER BY p_partkey) AS q FROM part GROUP BY ALL)
 SELECT p_brand AS bank_id, {RULE_SQL} AS suggested_group FROM (SELECT p_brand, n || chr(10) || q AS b FROM h
   JOIN (SELECT DISTINCT p_brand, CASE WHEN p_brand LIKE '%1' THEN 'exam 306 ' WHEN p_brand LIKE '%2' THEN 'a1306 ' ELSE '' END || p_brand AS n FROM part) USING (p_brand))""")
 def group_suggest(t: Tables):
@@ -40,7 +39,7 @@ def group_suggest(t: Tables):
 
 
 @query("bank_normalize", """SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN '未命名题库' ELSE p_name END AS name,
-  substr(repeat(p_name || ' x', 300), 1, 4000) AS description,
+  repeat(p_name || ' x', 300) AS description,
   CASE WHEN p_size % 3 = 0 THEN 'auto' WHEN p_size % 3 = 1 THEN '' ELSE p_type || ' ' || p_brand END AS group_name, p_size = 7 AS featured
 FROM part""")
 def bank_normalize(t: Tables):
@@ -150,7 +149,7 @@ def stage_counts(t: Tables):
 
 
 @query("test_replace_rename", """SELECT p_partkey AS id, p_size AS imported_at, CASE WHEN p_partkey % 5 = 0 THEN 'v2 ' || p_type ELSE p_type END AS content,
-  CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE substr(p_brand || repeat('y', 200), 1, 120) END AS name FROM part""")
+  CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand || repeat('y', 200) END AS name FROM part""")
 def test_replace_rename(t: Tables):
     old = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("imported_at"), F.col("p_type").alias("content"), F.col("p_name").alias("name"))
     new = t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.lit(0).alias("imported_at"), F.concat(F.lit("v2 "), "p_type").alias("content"), F.col("p_name").alias("name"))

@@ -286,14 +286,14 @@ def answer_patch(t: Tables):
     return out.select("seq", F.array_join("answer", "").alias("answer"), "answer_pending", "explanation", "answer_source")
 
 
-@query("answer_targets", """SELECT p_partkey AS pos, substr(repeat(p_name || ' ', 200), 1, 1500) AS stem, (p_size % 12 - greatest(0, p_size % 12 - 8))::INTEGER AS options, p_type = 'LARGE' AS multiple FROM (
-  SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part) WHERE rn <= 300 AND p_size % 12 >= 2 AND p_partkey % 10 > 0""")
+@query("answer_targets", """SELECT p_partkey AS pos, repeat(p_name || ' ', 200) AS stem, (p_size % 12)::INTEGER AS options, p_type = 'LARGE' AS multiple
+FROM part WHERE p_size % 12 >= 2 AND p_partkey % 10 > 0""")
 def answer_targets(t: Tables):
     letters = F.array(*[F.lit(x) for x in "ABCDEFGHIJK"])
     q = t.part.select(F.col("p_type").alias("bank_id"), F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 10 > 0, F.col("p_partkey").cast("string")).alias("source_number"),
                       F.expr("repeat(concat(p_name, ' '), 200)").alias("stem"), F.transform(F.slice(letters, F.lit(1), F.col("p_size") % 12), lambda x: F.struct(x.alias("label"), x.alias("text"))).alias("options"),
                       F.when(F.col("p_type") == "LARGE", "X").alias("question_type"))
-    return curate.answer_targets(q, limit=300).select("pos", "stem", F.size("options").alias("options"), "multiple")
+    return curate.answer_targets(q).select("pos", "stem", F.size("options").alias("options"), "multiple")
 
 
 @query("option_dedupe", """SELECT p_partkey AS id, 'A.' || p_name || '|B.' || p_type AS first_wins, 'A.' || p_brand || '|B.' || p_type AS last_wins FROM part""")
@@ -330,10 +330,10 @@ def pack_pages(t: Tables):
     return chunks.pack_pages(t.texts().select("doc_id", body.alias("text")), "doc_id", "text")
 
 
-@query("answer_reference", """SELECT doc_id, right(replace(text, chr(13), ''), 18000) AS reference FROM documents WHERE doc_id % 2 = 0
-UNION ALL SELECT doc_id, substr('the answer 解析 ' || doc_id || chr(10) || 'x' || chr(10) || array_to_string(string_split(replace(text, chr(13), ''), chr(10))[1:88], chr(10)), 1, 18000) FROM documents WHERE doc_id % 2 = 1""")
+@query("answer_reference", """SELECT doc_id, replace(text, chr(13), '') AS reference FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'the answer 解析 ' || doc_id || chr(10) || 'x' || chr(10) || replace(text, chr(13), '') FROM documents WHERE doc_id % 2 = 1""")
 def answer_reference(t: Tables):
-    hint = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("the answer 解析 "), "doc_id", F.lit("\nx\n"))).otherwise("")
+    hint = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("before\nthe answer 解析 "), "doc_id", F.lit("\nx\n"))).otherwise("")
     return t.texts().select("doc_id", chunks.answer_reference(F.concat(hint, "text")).alias("reference"))
 
 

@@ -61,6 +61,19 @@ def first_result_canonical(t: Tables):
     return sync.first_result(ledger(t).where("field = 'firstProgress'"), ["user_id", "question_id"])
 
 
+FOLD_SQL = """
+folded AS (SELECT user_id, question_id, list_reduce(list(struct_pack(v := value, t := updated_at) ORDER BY seq), lambda a, b: struct_pack(
+  v := CASE WHEN a.v IS NULL OR b.v IS NULL THEN CASE WHEN a.t > b.t THEN a.v WHEN b.t > a.t THEN b.v END
+    WHEN a.t < b.t THEN a.v WHEN b.t < a.t THEN b.v WHEN a.v = 'wrong' THEN a.v ELSE b.v END,
+  t := CASE WHEN a.v IS NULL OR b.v IS NULL THEN greatest(a.t, b.t) ELSE least(a.t, b.t) END)) AS r
+  FROM led WHERE field = 'firstProgress' GROUP BY ALL)"""
+
+
+@query("first_result_fold", f"WITH {LEDGER_SQL}, {FOLD_SQL} SELECT user_id, question_id, r.v AS value, r.t AS updated_at FROM folded")
+def first_result_fold(t: Tables):
+    return sync.fold_first(ledger(t).where("field = 'firstProgress'"), ["user_id", "question_id"])
+
+
 MERGED_SQL = f"""{LEDGER_SQL}, {LATEST_SQL}, {FIRST_SQL},
 merged AS (SELECT * FROM lww UNION ALL SELECT user_id, question_id, 'firstProgress', value, updated_at FROM first_all)"""
 
@@ -181,11 +194,34 @@ JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) USING (user_id)
 WHERE key IN ('progress', 'notes', 'nickname', 'settings') GROUP BY user_id, key""")
 def payload_overlay(t: Tables):
     """Latest value of every allowed state key and the state version."""
+    puts = _puts(t)
+    return sync.overlay_puts(puts).join(sync.versions(puts), "user_id").select("user_id", "key", "value", "version")
+
+
+def _puts(t: Tables):
     kind = F.col("event_type")
     key = F.when(kind == "purchase", "progress").when(kind == "click", "notes").when(kind == "view", "nickname").otherwise(kind)
-    puts = t.events.select("user_id", F.col("event_id").alias("seq"), F.create_map(
+    return t.events.select("user_id", F.col("event_id").alias("seq"), F.create_map(
         key, F.col("props"), F.lit("settings"), F.rint("value").cast("int").cast("string"), F.lit("unknown"), F.lit("x")).alias("payload"))
-    return sync.overlay_puts(puts).join(sync.versions(puts), "user_id").select("user_id", "key", "value", "version")
+
+
+@query("state_upsert", f"""WITH {MERGED_SQL}, p AS (
+  SELECT user_id, event_id AS seq, unnest([event_type, 'settings', 'unknown']) AS k0, unnest([props, value::INTEGER::VARCHAR, 'x']) AS v FROM events),
+m AS (SELECT user_id, seq, CASE k0 WHEN 'purchase' THEN 'progress' WHEN 'click' THEN 'notes' WHEN 'view' THEN 'nickname' ELSE k0 END AS key, v FROM p),
+rows AS (SELECT user_id, 'payload' AS part, key, arg_max(v, seq) AS value, NULL::BIGINT AS updated_at FROM m
+  WHERE key IN ('progress', 'notes', 'nickname', 'settings') GROUP BY user_id, key
+  UNION ALL SELECT user_id, 'record', question_id || chr(1) || field, value, updated_at FROM merged)
+SELECT rows.*, n AS version FROM rows JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) USING (user_id)""")
+def state_upsert(t: Tables):
+    """Two series of puts applied one after the other; the second starts from the state the first wrote.
+
+    All first results come with the first series, since the two-way rule for them depends on what was merged before.
+    """
+    led, puts = ledger(t), _puts(t)
+    first = F.col("seq") < 3000
+    blank = t.spark.createDataFrame([], "user_id bigint, part string, key string, value string, updated_at bigint, version bigint")
+    state = sync.upsert_state(blank, puts.where(first), led.where(first | (F.col("field") == "firstProgress")))
+    return sync.upsert_state(state, puts.where(~first), led.where(~first & (F.col("field") != "firstProgress")))
 
 
 BUNDLE_SQL = """
@@ -218,13 +254,13 @@ SELECT user_id, item, CASE WHEN taken THEN ru ELSE lu END AS updated_at, CASE WH
         return sync.merge_bundle(*_bundles(t), ["user_id", "item"], "updated_at", tie)
 
 
-@query("bounded_bundles", f"""WITH b AS (SELECT user_id, event_id, 'bank-' || repeat('x', ({K} * 2)::INTEGER) AS id, value::INTEGER AS questions,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
-SELECT user_id, event_id, length(id)::INTEGER AS id_length, questions FROM b WHERE rn <= 40 AND length(id) <= 160 AND questions BETWEEN 1 AND 25000""")
+@query("bounded_bundles", f"""WITH b AS (SELECT user_id, event_id, 'bank-' || repeat('x', ({K} * 2)::INTEGER) AS id, value::INTEGER AS questions FROM events)
+SELECT user_id, event_id, length(id)::INTEGER AS id_length, questions, CASE WHEN length(id) > 160 THEN 'long_id' WHEN questions IS NULL OR questions < 1 THEN 'no_questions'
+  WHEN questions > 25000 THEN 'too_many_questions' END AS reject_reason FROM b""")
 def bounded_bundles(t: Tables):
     banks = events(t).select("user_id", "event_id", F.rint("value").cast("int").alias("questions"),
                              F.concat(F.lit("bank-"), F.expr("repeat('x', cast(question_id * 2 as int))")).alias("id"))
-    return sync.admissible_banks(banks, "user_id", "event_id").select("user_id", "event_id", F.length("id").alias("id_length"), "questions")
+    return sync.admit_banks(banks, "user_id", "event_id").select("user_id", "event_id", F.length("id").alias("id_length"), "questions", "reject_reason")
 
 
 @query("upsert_users", """WITH c AS (

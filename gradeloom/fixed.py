@@ -53,8 +53,7 @@ PROFILE_PATTERN = (rf"(?i)(?:西医综合|西综|临床医学综合能力{WS}*[
                    r"|(?:^|[^0-9])306(?:[^0-9]|\z))")
 MODERN_SECTIONS = [("A", 1, 40, 1.5), ("A", 41, 115, 2.0), ("B", 116, 135, 1.5), ("X", 136, 165, 2.0)]
 LEGACY_1994_SECTIONS = [("A", 1, 92), ("B", 93, 118), ("C", 119, 138), ("X", 139, 160)]
-MODERN_COUNT, MODERN_TOTAL, MODERN_FROM_YEAR = 165, 300, 2017
-PROFILE_SAMPLE, BLUEPRINT_SAMPLE = 8_000, 120_000
+MODERN_TOTAL, MODERN_FROM_YEAR = 300, 2017
 
 # Group suggestion, first match wins.
 GROUP_RULES = [
@@ -79,7 +78,7 @@ HIDDEN_TEXT = "[已隐藏]"
 # Limits.
 LEGACY_TIMESTAMP = 1
 LEDGER_ID_MAX = 240
-BANK_CAP, TEST_CAP, QUESTION_CAP, BUNDLE_ID_MAX = 40, 80, 25_000, 160
+QUESTION_CAP, BUNDLE_ID_MAX = 25_000, 160
 DAILY_LIMIT = 20
 STATE_KEYS = ["progress", "firstProgress", "favorites", "notes", "recordLedger", "settings",
               "nickname", "bankName", "questionBanks", "englishTests", "englishPractice"]
@@ -101,7 +100,6 @@ COMPACT_ANSWER = rf"(?i)(?:^|[,，;；{_SPACE_CLASS}])([0-9]{{1,3}}){WS}*[.、:
 ANSWER_HINT = r"(?i)(?:参考)?答案|答案表|正确答案|解析"
 OPTION_LINE = rf"(?:^|\n){WS}*[A-G]{WS}*[.．、]"
 PAGE_MARK = rf"(?i)\[\[PAGE{WS}+[0-9]+\]\]"
-REFERENCE_LINES, REFERENCE_CHARS = 90, 18_000
 CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_BOUNDARY = 24_000, 1_000, 0.65
 PACK_CHARS, PACK_MIN, PACK_MAX, PACK_QUESTIONS, PACK_ANCHORS, PACK_FALLBACK = 7_200, 4_800, 8_000, 14, 8, 3_600
 SEAM_HEAD = 3_600
@@ -110,7 +108,6 @@ SEAM_HEAD = 3_600
 _W = WS
 STAGE_RULES = [("ielts", "ielts|雅思"), ("toefl", "toefl|托福"),
                ("postgraduate", "考研|硕士研究生|研究生招生|postgraduate|graduate entrance|national entrance")]
-STAGE_SAMPLE, VARIANT_SAMPLE = 2500, 3500
 CET6, CET4 = rf"(?i)CET{_W}*[- ]?6|六级", rf"(?i)CET{_W}*[- ]?4|四级"
 POSTGRADUATE_I = rf"(?i)英语{_W}*[（(]?一[）)]?|English{_W}+I"
 POSTGRADUATE = "(?i)考研|硕士研究生|研究生招生"
@@ -155,7 +152,6 @@ CET_DETAIL = rf"(?i)(?:答案详解|答案解析|26{_W}*[.、]{_W}*[A-O]{_W}*[).
 CET_LONG_DETAIL = rf"(?i)(?:答案详解|答案解析){_W}*[:：]?"
 CET_WORD = rf"(?:^|{_W})([A-O]){_W}*[).]{_W}*([A-Za-z][A-Za-z'\-]*)"
 CET_PARAGRAPH = rf"{LINE_START}{_W}*([A-O]){_W}*[).] ?{_W}*"
-CET_LOCATED = r"[【\[(](3[6-9]|4[0-5])[】\])]"
 CET_STATEMENT = rf"{LINE_START}{_W}*(3[6-9]|4[0-5]){_W}*[.、]{_W}*"
 CET_REFERENCE = "(?i)参考译文|reference translation"
 DIRECTIONS_TO_SHEET = (rf"(?i)\A{_W}*Directions?{_W}*:{_W}*[\s\S]{{0,3000}}?ANSWER{_W}+SHEET(?:{_W}+[0-9]+)?[.!]?{_W}*"

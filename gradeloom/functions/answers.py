@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
-from gradeloom.functions.text import bind
+from gradeloom.functions.text import bind, trim_all
 
 
 def fold_labels(text: Column) -> Column:
@@ -40,7 +40,7 @@ def valid_answer(answer: Column, options: Column) -> Column:
 def structurally_valid(stem: Column, options: Column, answer: Column, question_type: Column) -> Column:
     """Stem, two or more options, answer present, one answer unless type X, labels known."""
     return (
-        (F.length(F.trim(stem)) > 0)
+        (F.length(trim_all(stem)) > 0)
         & (F.size(options) >= 2)
         & (F.size(answer) > 0)
         & (F.coalesce(question_type == "X", F.lit(False)) | (F.size(answer) == 1))

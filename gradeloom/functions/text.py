@@ -59,7 +59,7 @@ def needs_ocr(page: Column) -> Column:
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no built-in for it."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+    return text.str.normalize("NFKC")
 
 
 def search_form(text: Column, unicode_fold: bool = True) -> Column:
@@ -74,7 +74,7 @@ def query_form(query: str) -> str:
 
 
 def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(query_form(query).split(" ")))[:8] if query_form(query) else []
+    return list(dict.fromkeys(query_form(query).split(" "))) if query_form(query) else []
 
 
 def highlight(text: Column, query: str) -> Column:
@@ -96,9 +96,9 @@ def note_source(note: Column, fallback: Column) -> Column:
 
 
 def note_summary(note: Column) -> Column:
-    text = F.regexp_replace(note, r"(?m)^#{1,6}\s+", "")
-    text = F.regexp_replace(text, r"(?m)^>\s*(?:来源|标签|参考框架|AI整理)[：:].*$", "")
-    text = F.regexp_replace(text, r"(?m)^[-*]\s+", "")
+    text = F.regexp_replace(note, rf"(?m)^#{{1,6}}{V.WS}+", "")
+    text = F.regexp_replace(text, rf"(?m)^>{V.WS}*(?:来源|标签|参考框架|AI整理)[：:].*$", "")
+    text = F.regexp_replace(text, rf"(?m)^[-*]{V.WS}+", "")
     text = F.regexp_replace(text, "[*_`]", "")
     return collapse(text)
 
@@ -137,7 +137,7 @@ def blocked_term(text: Column, terms: list[str] | None = None) -> Column:
     return out
 
 
-def redact_secrets(text: Column, limit: int | None = 300) -> Column:
+def redact_secrets(text: Column, limit: int | None = None) -> Column:
     masked = F.regexp_replace(text, rf"(?i)([?&](?:key|api_key|token)=)(?:(?!&){V.NON_WS})+",
                               "$1" + V.HIDDEN_TEXT.replace("$", "\\$"))
     masked = F.regexp_replace(masked, r"(?<![A-Za-z0-9_])(?:sk|key)-[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_])",
@@ -164,20 +164,20 @@ def base_name(name: Column) -> Column:
 
 
 def client_key(forwarded: Column, real_ip: Column) -> Column:
-    first = F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))
+    first = trim_all(F.split_part(forwarded, F.lit(","), F.lit(1)))
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(real_ip, F.lit("")), F.lit("unknown"))
 
 
-def group_rule(keywords: Column) -> Column:
-    """First matching group rule, empty when none matches."""
-    out = F.lit("")
-    for name, pattern in reversed(V.GROUP_RULES):
-        out = F.when(keywords.rlike(pattern), F.lit(name)).otherwise(out)
+def group_rule_number(keywords: Column) -> Column:
+    """Number of the first matching group rule; the number of rules when none matches."""
+    out = F.lit(len(V.GROUP_RULES))
+    for number, (_, pattern) in reversed(list(enumerate(V.GROUP_RULES))):
+        out = F.when(keywords.rlike(pattern), F.lit(number)).otherwise(out)
     return out
 
 
 def group_name(name: Column) -> Column:
-    return F.substring(collapse(F.coalesce(name, F.lit(""))), 1, 60)
+    return collapse(F.coalesce(name, F.lit("")))
 
 
 def blank_segments(passage: Column, numbers: list[str] | None = None) -> Column:

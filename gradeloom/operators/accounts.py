@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.privacy import valid_share_token
+from gradeloom.functions.text import trim_all
 from gradeloom.plans.scale import keep_top
 
 
@@ -29,10 +30,10 @@ def patch_details(rows: DataFrame, patches: DataFrame, key: str, columns: list[s
         key, *[F.coalesce(f"_p_{c}", c).alias(c) for c in columns], *kept)
 
 
-def rename(name: Column, old: Column, limit: int = 120) -> Column:
-    """Trimmed new name cut to ``limit``; a blank one is refused."""
-    trimmed = F.trim(name)
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", old).otherwise(F.substring(trimmed, 1, limit))
+def rename(name: Column, old: Column) -> Column:
+    """Trimmed new name; a blank one is refused."""
+    trimmed = trim_all(name)
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", old).otherwise(trimmed)
 
 
 def replace_content(rows: DataFrame, incoming: DataFrame, key: str, keep: list[str]) -> DataFrame:
@@ -82,6 +83,3 @@ def erased_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) ->
         return rows.agg(F.sum("n").alias("erased")).select(F.lit(name).alias("table_name"), "erased")
     return reduce(DataFrame.unionByName, [counted(n) for n in before])
 
-
-def top_per_owner(rows: DataFrame, owner: str, order: list[Column], k: int) -> DataFrame:
-    return keep_top(rows, [owner], order, k)

@@ -33,13 +33,13 @@ def sections_literal(sections: list[tuple]) -> Column:
 
 
 def is_profiled(name: Column, text: Column) -> Column:
-    sample = F.concat(name, F.lit("\n"), F.substring(text, 1, V.PROFILE_SAMPLE))
+    sample = F.concat(name, F.lit("\n"), text)
     return sample.rlike(V.PROFILE_PATTERN)
 
 
 def detect_blueprint(papers: DataFrame, name: str = "file_name", text: str = "text") -> DataFrame:
     """Year, format, expected count, total points and sections of every paper."""
-    sample = F.concat(F.col(name), F.lit("\n"), F.substring(text, 1, V.BLUEPRINT_SAMPLE))
+    sample = F.concat_ws("\n", name, text)
     dashed = F.regexp_replace(F.translate(F.col("_sample"), "\r", ""), "[—–~～至]", "-")
     range_pattern = rf"(?i)([ABCX]){V.WS}*型题[\s\S]{{0,180}}?([0-9]{{1,3}}){V.WS}*-{V.WS}*([0-9]{{1,3}})"
     found = F.transform(

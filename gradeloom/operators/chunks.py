@@ -127,14 +127,21 @@ def pack_pages(documents: DataFrame, doc: str, text: str, size: int = V.PACK_CHA
                                           F.concat_ws("\n", name, "tail", "head").alias("chunk")))
 
 
-def answer_reference(text: Column, size: int = V.REFERENCE_CHARS, lines: int = V.REFERENCE_LINES) -> Column:
-    """Lines around answer mentions, up to ``size`` characters; else the end of the text."""
+def answer_reference(text: Column, size: int | None = None, lines: int | None = None) -> Column:
+    """The text from its first answer mention on; the whole text where there is none.
+
+    ``lines`` takes so many lines from every mention instead, ``size`` bounds the result; both are off by default.
+    """
     return bind(F.translate(text, "\r", ""), lambda body: bind(
         F.split(body, "\n"), lambda rows: _mentions(body, rows, size, lines)))
 
 
-def _mentions(body: Column, rows: Column, size: int, lines: int) -> Column:
+def _mentions(body: Column, rows: Column, size: int | None, lines: int | None) -> Column:
     hits = F.filter(F.transform(rows, lambda r, i: F.when(r.rlike(V.ANSWER_HINT), i)), lambda i: i.isNotNull())
-    joined = F.aggregate(hits, F.lit(""), lambda acc, i: F.when(F.length(acc) >= size, acc).otherwise(
-        F.concat(acc, F.when(acc == "", "").otherwise("\n---\n"), F.array_join(F.slice(rows, i + 1, F.lit(lines)), "\n"))))
+    if lines is None:
+        joined = F.array_join(F.slice(rows, F.get(hits, F.lit(0)) + 1, F.size(rows)), "\n")
+    else:
+        joined = F.array_join(F.transform(hits, lambda i: F.array_join(F.slice(rows, i + 1, F.lit(lines)), "\n")), "\n---\n")
+    if size is None:
+        return F.when(F.size(hits) > 0, joined).otherwise(body)
     return F.when(F.size(hits) > 0, F.substring(joined, 1, size)).otherwise(F.right(body, F.lit(size)))

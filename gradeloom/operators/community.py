@@ -32,21 +32,22 @@ def visible_comments(comments: DataFrame, viewer) -> DataFrame:
 def top_comments(comments: DataFrame, likes: DataFrame, viewer, k: int = 50) -> DataFrame:
     """Newest ``k`` visible comments per question with like counts.
 
-    The cut comes first, so only the kept comments meet the aggregated likes.
+    The cut comes first: likes of other comments are dropped before they are made distinct and counted.
     """
     newest = keep_top(visible_comments(comments, viewer), ["question_id"],
                       [F.col("created_at").desc(), F.col("id").desc()], k)
-    counts = mark_counts(likes, "likes").withColumnRenamed("comment_id", "id")
+    counts = mark_counts(likes.join(newest.select(F.col("id").alias("comment_id")), "comment_id", "left_semi"), "likes").withColumnRenamed("comment_id", "id")
     return (newest.join(counts, "id", "left")
             .withColumn("likes", F.coalesce("likes", F.lit(0).cast("bigint")))
             .withColumn("own", F.col("user_id") == F.lit(viewer)))
 
 
 def moderation_queue(comments: DataFrame, reports: DataFrame, limit: int = 200) -> DataFrame:
-    """Pending first, then newest, with report counts."""
+    """Pending first, then newest, with report counts; only reports on the page are counted."""
     page = comments.orderBy((F.col("status") == "pending").desc(), F.col("created_at").desc(),
                             F.col("id").desc()).limit(limit)
-    counts = mark_counts(reports, "reports").withColumnRenamed("comment_id", "id")
+    shown = F.broadcast(page.select(F.col("id").alias("comment_id")))  # at most ``limit`` rows
+    counts = mark_counts(reports.join(shown, "comment_id", "left_semi"), "reports").withColumnRenamed("comment_id", "id")
     return page.join(counts, "id", "left").withColumn("reports", F.coalesce("reports", F.lit(0).cast("bigint")))
 
 
@@ -59,13 +60,13 @@ def screen(comments: DataFrame, body: str = "body", terms: list[str] | None = No
 
 
 def admit_comments(posts: DataFrame, users: DataFrame, body: str = "body", question: str = "question_id") -> DataFrame:
-    """Posts with trimmed text and a reject reason (null when admitted)."""
+    """Posts with trimmed text and a reject reason (null when admitted); too long texts and ids are rejected whole."""
     known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
-    text = F.substring(trim_all(F.coalesce(body, F.lit(""))), 1, V.COMMENT_MAX)
+    text = trim_all(F.coalesce(body, F.lit("")))
     reason = (F.when(F.col("_known").isNull(), "unknown_user").when(F.col("muted"), "muted")
-              .when((F.coalesce(question, F.lit("")) == "") | (F.length(body) < V.COMMENT_MIN), "too_short"))
+              .when((F.coalesce(question, F.lit("")) == "") | (F.length(body) < V.COMMENT_MIN), "too_short")
+              .when((F.length(body) > V.COMMENT_MAX) | (F.length(question) > V.QUESTION_ID_MAX), "too_long"))
     return (posts.join(known, "user_id", "left").withColumn(body, text)
-            .withColumn(question, F.substring(question, 1, V.QUESTION_ID_MAX))
             .withColumn("reject_reason", reason).drop("_known"))
 
 

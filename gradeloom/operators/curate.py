@@ -171,12 +171,6 @@ def reconcile_by_order(questions: DataFrame, answers: DataFrame, expected: DataF
     return _filled(joined.withColumn("_usable", usable).drop("_pair"), V.ORDER_MATCH_SOURCE)
 
 
-def one_to_one(questions: DataFrame, expected: DataFrame, paper: str = "paper") -> DataFrame:
-    stats = questions.groupBy(paper).agg(F.count(F.lit(1)).alias("_n"), F.bool_and(F.size("answer") > 0).alias("_all"))
-    return stats.join(expected.select(paper, "expected"), paper, "left").select(
-        paper, ((F.coalesce(F.col("expected"), F.lit(0)) - F.col("_n") < 10) & F.col("_all")).alias("one_to_one"))
-
-
 def patch_answers(questions: DataFrame, patches: DataFrame, file_name: Column, bank: str = "bank_id",
                   seq: str = "seq") -> DataFrame:
     """Bank questions with answer patches by source number; the last patch wins."""
@@ -194,15 +188,13 @@ def patch_answers(questions: DataFrame, patches: DataFrame, file_name: Column, b
             .withColumn("patched", hit).drop("_a", "_e", "_s"))
 
 
-def answer_targets(questions: DataFrame, bank: str = "bank_id", pos: str = "pos", limit: int = 500) -> DataFrame:
-    """Questions sent for answer matching: the first ``limit`` with a number, stem and options."""
-    first = keep_top(questions, [bank], [F.col(pos)], limit)
-    usable = first.where((F.coalesce("source_number", F.lit("")) != "") & (F.coalesce("stem", F.lit("")) != "")
+def answer_targets(questions: DataFrame, bank: str = "bank_id", pos: str = "pos", limit: int | None = None) -> DataFrame:
+    """Questions sent for answer matching: those with a number, stem and options; ``limit`` bounds a bank, off by default."""
+    usable = questions.where((F.coalesce("source_number", F.lit("")) != "") & (F.coalesce("stem", F.lit("")) != "")
                          & (F.size("options") >= 2))
-    options = F.transform(F.slice("options", 1, 8), lambda o: F.struct(
-        F.substring(o["label"], 1, 1).alias("label"), F.substring(o["text"], 1, 800).alias("text")))
-    return (usable.withColumn("stem", F.substring("stem", 1, 1500)).withColumn("options", options)
-            .withColumn("answer", F.array().cast("array<string>")).withColumn("answer_pending", F.lit(True))
+    if limit is not None:
+        usable = keep_top(usable, [bank], [F.col(pos)], limit)
+    return (usable.withColumn("answer", F.array().cast("array<string>")).withColumn("answer_pending", F.lit(True))
             .withColumn("multiple", F.coalesce(F.col("question_type") == "X", F.lit(False))))
 
 

@@ -76,12 +76,12 @@ def _first_rule(text: Column, rules: list[tuple[str, str]], default) -> Column:
 
 
 def stage_of(name: Column, text: Column) -> Column:
-    sample = F.lower(F.concat(name, F.lit("\n"), F.substring(text, 1, V.STAGE_SAMPLE)))
+    sample = F.lower(F.concat(name, F.lit("\n"), text))
     return _first_rule(sample, V.STAGE_RULES, V.STAGES[0])
 
 
 def variant_of(name: Column, text: Column) -> Column:
-    sample = F.concat(name, F.lit("\n"), F.substring(text, 1, V.VARIANT_SAMPLE))
+    sample = F.concat(name, F.lit("\n"), text)
     return (F.when(sample.rlike(V.CET6), V.VARIANTS[0]).when(sample.rlike(V.CET4), V.VARIANTS[1])
             .when(sample.rlike(V.POSTGRADUATE_I) & sample.rlike(V.POSTGRADUATE), V.VARIANTS[2]))
 
@@ -104,7 +104,7 @@ def answer_keys(papers: DataFrame, doc: str = "doc_id", text: str = "body") -> D
     def keys(pieces: Column, source: int, number: str, answer, note, last: bool) -> Column:
         return F.transform(pieces, lambda p, i: F.struct(
             F.lit(source).alias("source"), (i * (-1 if last else 1)).alias("at"), F.regexp_extract(p, number, 1).alias("number"),
-            F.upper(answer(p)).alias("answer"), F.nullif(F.substring(note(p), 1, 1800), F.lit("")).alias("explanation")))
+            F.upper(answer(p)).alias("answer"), F.nullif(note(p), F.lit("")).alias("explanation")))
 
     def key_note(p: Column) -> Column:
         return collapse(F.regexp_replace(F.regexp_extract(p, V.EN_KEY_NOTE, 1), rf"(?:^|\n){V.WS}*[0-9]{{1,3}}{V.WS}*(?:\n|\z)", " "))
@@ -268,10 +268,8 @@ def _passage(s: Column) -> Column:
     area = (F.when(mode == "matching", before(t, V.EN_FIRST_OPTION)).when(mode == "cloze", before(t, V.EN_CLOZE_ROW))
             .when(mode == "word-bank", before(t, V.CET_DETAIL)).when(mode == "long-reading", before(t, V.CET_LONG_DETAIL))
             .otherwise(_lead(t)))
-    limit = F.when(mode == "matching", 6000).when(mode == "long-reading", 18_000).otherwise(12_000)
-    return (F.when(mode == "prompt", F.substring(collapse(F.coalesce(from_first(t, prompt), t)), 1, 8000))
-            .when(mode == "text", F.substring(trim_all(t), 1, 9000))
-            .otherwise(F.substring(sanitize(area), F.lit(1), limit)))
+    return (F.when(mode == "prompt", collapse(F.coalesce(from_first(t, prompt), t)))
+            .when(mode == "text", trim_all(t)).otherwise(sanitize(area)))
 
 
 def _filled(s: Column) -> Column:
@@ -345,14 +343,13 @@ def _questions(s: Column) -> Column:
 
     long_text = before(t, V.CET_LONG_DETAIL)
     letters = _options(F.regexp_replace(long_text, V.CET_PARAGRAPH, f"{SEP}$1{MID}"))
-    letters = F.transform(letters, lambda o: F.struct(o["label"].alias("label"), F.substring(o["text"], 1, 2400).alias("text")))
     detail = F.coalesce(from_first(t, V.CET_LONG_DETAIL), F.lit(""))
 
     def statement(n: Column, pieces: Column) -> Column:
         own = F.filter(pieces, lambda p: F.regexp_extract(p, V.CET_STATEMENT, 1) == n.cast("string"))
         text = F.regexp_replace(F.try_element_at(own, F.lit(-1)), rf"\A{V.CET_STATEMENT}", "")
         text = collapse(F.regexp_replace(before(text, "答案解析|解析"), rf"\A{V.WS}*题干译文{V.WS}*", ""))
-        return F.coalesce(F.nullif(F.substring(text, 1, 1000), F.lit("")), F.concat(
+        return F.coalesce(F.nullif(text, F.lit("")), F.concat(
             F.lit("Statement "), n.cast("string"), F.lit(" — choose the paragraph containing the matching information.")))
 
     def located(n: Column, options: Column) -> Column:
@@ -362,7 +359,7 @@ def _questions(s: Column) -> Column:
     long_reading = bind(cut(detail, V.CET_STATEMENT), lambda ps: bind(letters, lambda o: F.transform(
         F.sequence(F.lit(36), F.lit(45)), lambda n: question(n, statement(n, ps), o, located(n, o)))))
     translation = F.transform(cut(t, V.EN_TRANSLATION), lambda p: question(
-        F.regexp_extract(p, V.EN_TRANSLATION, 1), F.substring(collapse(F.regexp_replace(p, rf"\A{V.EN_TRANSLATION}", "")), 1, 1800), empty))
+        F.regexp_extract(p, V.EN_TRANSLATION, 1), collapse(F.regexp_replace(p, rf"\A{V.EN_TRANSLATION}", "")), empty))
 
     mode = s["mode"]
     found = (F.when(mode == "matching", matching).when(mode == "word-bank", word_bank).when(mode == "long-reading", long_reading)
@@ -397,53 +394,53 @@ RESPONSE = (f"struct<name:string,stage:string,examVariant:string,warnings:array<
             f"directions:string,passage:string,questions:array<struct<number:string,stem:string,options:{OPTION},answer:string,explanation:string>>>>>")
 
 
-def clean_text(value: Column, limit: int) -> Column:
+def clean_text(value: Column) -> Column:
     text = F.translate(F.coalesce(value, F.lit("")), "\r", "")
-    return F.substring(trim_all(F.regexp_replace(F.regexp_replace(text, "[ \t]+\n", "\n"), "\n{4,}", "\n\n\n")), 1, limit)
+    return trim_all(F.regexp_replace(F.regexp_replace(text, "[ \t]+\n", "\n"), "\n{4,}", "\n\n\n"))
 
 
 def structured_papers(responses: DataFrame, key: str = "doc_id", file_name: str = "file_name", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Sections and questions of structured English responses, bounded and cleaned."""
+    """Sections and questions of structured English responses, cleaned; every section, question and option is kept."""
     plain = F.regexp_replace(F.regexp_replace(content, rf"(?i)\A```(?:json)?{V.WS}*", ""), rf"(?i){V.WS}*```\z", "")
     parsed = responses.withColumn("r", F.from_json(F.regexp_extract(plain, r"(\{[\s\S]*\})", 1), RESPONSE))
     name = F.col(file_name)
     stage = F.when(F.col("r.stage").isin(V.STAGES), F.col("r.stage")).otherwise(
         F.when(name.rlike(r"(?i)考研|研究生|postgraduate|english\s*i(?![A-Za-z0-9_])"), "postgraduate")
         .when(name.rlike("(?i)ielts|雅思"), "ielts").when(name.rlike("(?i)toefl|托福"), "toefl").otherwise(V.STAGES[0]))
-    rows = parsed.select(key, stage.alias("stage"), F.posexplode(F.slice("r.sections", 1, V.BANK_CAP)).alias("i", "s"))
-    kind = clean_text(F.col("s.kind"), 40)
+    rows = parsed.select(key, stage.alias("stage"), F.posexplode("r.sections").alias("i", "s"))
+    kind = clean_text(F.col("s.kind"))
     rows = rows.withColumn("kind", kind).where(F.col("kind").isin(V.ENGLISH_KINDS))
     rows = rows.withColumn("section_id", F.concat(F.lit("ai-"), (F.col("i") + 1).cast("string"), F.lit("-"), "kind"))
-    given, passage = clean_text(F.col("s.directions"), 4000), clean_text(F.col("s.passage"), 40_000)
+    given, passage = clean_text(F.col("s.directions")), clean_text(F.col("s.passage"))
     leaked = rf"(?i)\A{V.WS}*(Directions?{V.WS}*:[\s\S]*?)(?:\n{V.WS}*\n+)([\s\S]+)\z"
     rows = rows.withColumn("_d", given).withColumn("_p", passage)
     leak = (F.col("_d") == "") & F.col("_p").rlike(leaked)
-    rows = rows.withColumn("directions", F.when(leak, clean_text(F.regexp_extract("_p", leaked, 1), 4000)).otherwise(F.col("_d")))
-    rows = rows.withColumn("passage", F.when(leak, clean_text(F.regexp_extract("_p", leaked, 2), 40_000)).otherwise(F.col("_p")))
+    rows = rows.withColumn("directions", F.when(leak, clean_text(F.regexp_extract("_p", leaked, 1))).otherwise(F.col("_d")))
+    rows = rows.withColumn("passage", F.when(leak, clean_text(F.regexp_extract("_p", leaked, 2))).otherwise(F.col("_p")))
     rows = rows.withColumn("passage", F.when((F.col("directions") != "") & F.startswith("passage", F.col("directions")),
                                              trim_all(F.expr("substring(passage, length(directions) + 1)"))).otherwise(F.col("passage")))
     from gradeloom.functions.answers import options_first_wins
 
     def option(o: Column) -> Column:
-        return F.struct(F.regexp_extract(F.upper(F.coalesce(o["label"], F.lit(""))), "[A-O]", 0).alias("label"), clean_text(o["text"], 1500).alias("text"))
+        return F.struct(F.regexp_extract(F.upper(F.coalesce(o["label"], F.lit(""))), "[A-O]", 0).alias("label"), clean_text(o["text"]).alias("text"))
 
     def one(q: Column, i: Column) -> Column:
-        number = F.coalesce(F.nullif(clean_text(q["number"], 12), F.lit("")), (i + 1).cast("string"))
-        options = options_first_wins(F.filter(F.transform(F.slice(F.coalesce(q["options"], F.array().cast(OPTION)), 1, 20), option),
+        number = F.coalesce(F.nullif(clean_text(q["number"]), F.lit("")), (i + 1).cast("string"))
+        options = options_first_wins(F.filter(F.transform(F.coalesce(q["options"], F.array().cast(OPTION)), option),
                                               lambda o: (o["label"] != "") & (o["text"] != "")))
-        letter = F.regexp_extract(F.upper(clean_text(q["answer"], 12)), "[A-O]", 0)
+        letter = F.regexp_extract(F.upper(clean_text(q["answer"])), "[A-O]", 0)
         return bind(options, lambda os: F.struct(
-            number.alias("number"), clean_text(q["stem"], 4000).alias("stem"), os.alias("options"),
+            number.alias("number"), clean_text(q["stem"]).alias("stem"), os.alias("options"),
             F.when(F.exists(os, lambda o: o["label"] == letter), letter).alias("answer"),
-            F.nullif(clean_text(q["explanation"], 4000), F.lit("")).alias("explanation")))
+            F.nullif(clean_text(q["explanation"]), F.lit("")).alias("explanation")))
 
-    listed = F.filter(F.transform(F.slice("s.questions", 1, 100), one), lambda q: (q["stem"] != "") | (F.size(q["options"]) > 0))
+    listed = F.filter(F.transform("s.questions", one), lambda q: (q["stem"] != "") | (F.size(q["options"]) > 0))
     rows = rows.withColumn("questions", F.coalesce(listed, F.array().cast(
         f"array<struct<number:string,stem:string,options:{OPTION},answer:string,explanation:string>>")))
     rows = rows.where((F.col("passage") != "") | (F.size("questions") > 0) | F.col("kind").isin("writing", "translation"))
-    title = F.coalesce(F.nullif(clean_text(F.col("s.title"), 180), F.lit("")), F.concat(F.initcap("kind"), F.lit(" Practice")))
+    title = F.coalesce(F.nullif(clean_text(F.col("s.title")), F.lit("")), F.concat(F.initcap("kind"), F.lit(" Practice")))
     sections = rows.select(key, "stage", "i", "section_id", "kind", title.alias("title"),
-                           F.nullif(clean_text(F.col("s.part"), 80), F.lit("")).alias("part"),
+                           F.nullif(clean_text(F.col("s.part")), F.lit("")).alias("part"),
                            F.nullif("directions", F.lit("")).alias("directions"), "passage")
     questions = rows.select(key, "section_id", F.posexplode("questions").alias("q_pos", "q")).select(
         key, "section_id", "q_pos", "q.number", F.when(F.col("q.stem") == "", F.concat(F.lit("Blank "), "q.number")).otherwise(F.col("q.stem")).alias("stem"),

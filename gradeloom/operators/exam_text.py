@@ -248,7 +248,7 @@ def delimited_questions(documents: DataFrame, doc: str, text: str) -> DataFrame:
                 F.concat(carried, F.lit("\n"), head(after_letters(this))), "[ \t]+", " ")))
             .where(F.size("_given") > 0))
 
-    header = F.substring("body", 1, 420)
+    header = F.col("body")
     rows = rows.withColumn("exam_year", F.nullif(F.regexp_extract(header, V.EXAM_HEADER, 1), F.lit("")).cast("int"))
     rows = rows.withColumn("_h_number", F.regexp_extract(header, V.EXAM_HEADER, 2))
     rows = rows.withColumn("question_type", F.nullif(F.upper(F.regexp_extract(header, V.EXAM_HEADER, 3)), F.lit("")))

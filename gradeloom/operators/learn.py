@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
 from gradeloom.functions.answers import grade
+from gradeloom.functions.text import trim_all
 from gradeloom.operators.blueprint import section_case
 from gradeloom.plans.scale import keep_top, numbered
 
@@ -140,7 +141,7 @@ def reset_impact(records: DataFrame, user: str, bank: str) -> DataFrame:
         F.count_if(F.col("current_result").isNotNull()).alias("answered"),
         F.count_if(F.col("current_result") == "wrong").alias("wrong"),
         F.count_if(F.col("favourite")).alias("favourites"),
-        F.count_if(F.length(F.trim(F.coalesce("note", F.lit("")))) > 0).alias("notes"),
+        F.count_if(F.length(trim_all(F.coalesce("note", F.lit("")))) > 0).alias("notes"),
     )
 
 

@@ -8,9 +8,8 @@ from pyspark.sql.window import Window
 
 from gradeloom import fixed as V
 from gradeloom.functions.answers import clean_answer, is_multiple
-from gradeloom.functions.text import collapse, group_name, group_rule, trim_all
+from gradeloom.functions.text import collapse, group_name, group_rule_number, trim_all
 from gradeloom.operators.learn import percent
-from gradeloom.plans.scale import keep_top
 
 
 def normalize_questions(questions: DataFrame, bank: str = "bank_id", pos: str = "pos") -> DataFrame:
@@ -24,17 +23,18 @@ def normalize_questions(questions: DataFrame, bank: str = "bank_id", pos: str =
 
 def suggest_groups(banks: DataFrame, questions: DataFrame, bank: str, name: str, pos: str,
                    category: str, stem: str) -> DataFrame:
-    """Suggested group of every bank from its name and first 24 questions."""
-    head = keep_top(questions.select(bank, pos, category, stem), [bank], [F.col(pos)], 24)
-    blob = (head.groupBy(bank).agg(F.array_sort(F.collect_list(
-        F.struct(F.col(pos), F.concat_ws(" ", category, stem).alias("t")))).alias("_q"))
-        .select(bank, F.array_join(F.transform("_q", lambda q: q["t"]), "\n").alias("_blob")))
-    keywords = F.concat(F.col(name), F.lit("\n"), F.coalesce("_blob", F.lit("")))
-    return banks.join(blob, bank, "left").withColumn("suggested_group", group_rule(keywords)).drop("_blob")
+    """Suggested group of every bank: the first rule that its name or any of its questions matches.
+
+    Every question is judged in its own row; a bank is the minimum over its questions, so no bank is collected.
+    """
+    rule = questions.select(bank, group_rule_number(F.concat_ws(" ", category, stem)).alias("_rule")).groupBy(bank).agg(F.min("_rule").alias("_rule"))
+    best = F.least(group_rule_number(F.col(name)), F.coalesce("_rule", F.lit(len(V.GROUP_RULES))))
+    names = F.array(*[F.lit(n) for n, _ in V.GROUP_RULES], F.lit(""))
+    return banks.join(rule, bank, "left").withColumn("suggested_group", F.get(names, best)).drop("_rule")
 
 
 def normalize_banks(banks: DataFrame, suggested: str | None = None) -> DataFrame:
-    """Trimmed names, bounded descriptions, collapsed groups.
+    """Trimmed names and descriptions, collapsed groups.
 
     A group that was never given (null) takes the suggestion; an empty one stays empty.
     """
@@ -43,7 +43,7 @@ def normalize_banks(banks: DataFrame, suggested: str | None = None) -> DataFrame
     return (banks
             .withColumn("group_name", F.when(F.col("group_name").isNull(), fallback).otherwise(group_name(F.col("group_name"))))
             .withColumn("name", F.when(name == "", F.lit(V.DEFAULT_BANK_NAME)).otherwise(name))
-            .withColumn("description", F.substring(trim_all(F.coalesce("description", F.lit(""))), 1, 4000))
+            .withColumn("description", trim_all(F.coalesce("description", F.lit(""))))
             .withColumn("featured", F.coalesce("featured", F.lit(False))))
 
 
@@ -88,9 +88,8 @@ def with_current_first(saved: DataFrame, current: DataFrame, key: str = "id") ->
 # -- group order ---------------------------------------------------------------
 
 def normalize_group_order(order: Column) -> Column:
-    """Collapsed, non-empty, distinct names of at most 60 characters; 80 at most."""
-    names = F.transform(order, lambda n: F.substring(collapse(n), 1, 60))
-    return F.slice(F.array_distinct(F.filter(names, lambda n: n != "")), 1, 80)
+    """Collapsed, non-empty, distinct names."""
+    return F.array_distinct(F.filter(F.transform(order, collapse), lambda n: n != ""))
 
 
 def reconcile_order(saved: Column, available: Column) -> Column:

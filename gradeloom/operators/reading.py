@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeloom import fixed as V
-from gradeloom.functions.text import words
+from gradeloom.functions.text import trim_all, words
 from gradeloom.operators.learn import percent
 from gradeloom.plans.scale import running
 
@@ -105,7 +105,7 @@ def answer_order(questions: DataFrame, section: str, number: str, answer: str) -
 def has_practice(responses: Column, drafts: Column) -> Column:
     """Any choice made or any non-blank draft."""
     chosen = F.exists(F.map_values(responses), lambda r: F.coalesce(r["choice"], F.lit("")) != "")
-    written = F.exists(F.map_values(drafts), lambda d: F.trim(d) != "")
+    written = F.exists(F.map_values(drafts), lambda d: trim_all(d) != "")
     return F.coalesce(chosen, F.lit(False)) | F.coalesce(written, F.lit(False))
 
 
@@ -126,5 +126,5 @@ def wants_companion(covered: DataFrame, paired: Column) -> DataFrame:
 def counters(records: DataFrame, key: str) -> DataFrame:
     """Non-blank notes and drafts waiting for an answer."""
     return records.groupBy(key).agg(
-        F.count_if(F.trim(F.coalesce("note", F.lit(""))) != "").alias("notes"),
+        F.count_if(trim_all(F.coalesce("note", F.lit(""))) != "").alias("notes"),
         F.count_if((F.size("draft_answer") > 0) & (F.size("answer") == 0)).alias("drafts_pending"))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
-from gradeloom.functions.text import first_int, note_source, note_tags, query_form, query_terms, search_form
+from gradeloom.functions.text import first_int, note_source, note_tags, query_form, query_terms, search_form, trim_all
 
+#: Literal queries matched in one scan of the index; more take further scans.
+SCAN_QUERIES = 64
 FIELDS = ["bank_name", "group_name", "category", "stem", "source_number"]
 
 
@@ -61,7 +63,7 @@ def _match(query: str) -> Column:
 
 def _ranking(collation: str | None) -> list[Column]:
     name = F.collate("bank_name", collation) if collation else F.col("bank_name")
-    return [F.col("score").desc(), name, first_int(F.col("source_number").cast("string")),
+    return [F.col("score").desc(), name, first_int(F.col("source_number").cast("string")).asc_nulls_last(),
             F.col("source_number")]
 
 
@@ -79,13 +81,14 @@ def search(index: DataFrame, query: str, limit: int = 100, collation: str | None
 
 
 def search_many(index: DataFrame, queries: dict[str, str], limit: int = 100, tie: str = "id") -> DataFrame:
-    """Several literal queries in one scan; no join and no pairing of rows with queries."""
+    """Several literal queries, ``SCAN_QUERIES`` to a scan; no join and no pairing of rows with queries."""
     from gradeloom.plans.scale import keep_top
-    if len(queries) > 64:
-        raise ValueError("split query batches into groups of 64")
-    tagged = F.array(*[F.struct(F.lit(name).alias("query"), _match(q).alias("m")) for name, q in queries.items()])
-    hits = (index.withColumn("h", F.explode(F.filter(tagged, lambda h: h["m"].isNotNull())))
-            .select(*_plain(index), "h.query", "h.m.*"))
+    named, parts = list(queries.items()), []
+    for at in range(0, len(named), SCAN_QUERIES):
+        tagged = F.array(*[F.struct(F.lit(name).alias("query"), _match(q).alias("m")) for name, q in named[at:at + SCAN_QUERIES]])
+        parts.append(index.withColumn("h", F.explode(F.filter(tagged, lambda h: h["m"].isNotNull())))
+                     .select(*_plain(index), "h.query", "h.m.*"))
+    hits = reduce(DataFrame.unionByName, parts)
     return keep_top(hits, ["query"], [*_ranking(None), F.col(tie)], limit)
 
 
@@ -98,7 +101,7 @@ def search_notes(notes: DataFrame, query: str = "", tag: str | None = None, stem
     """Notes holding every term in stem, source or text, and the tag when given."""
     where_from = note_source(F.col(note), F.col(source))
     blob = F.lower(F.concat_ws(" ", F.col(stem), where_from, F.col(note)))
-    out = notes.where(F.length(F.trim(note)) > 0)
+    out = notes.where(F.length(trim_all(F.col(note))) > 0)
     for term in query.lower().split():
         out = out.where(F.contains(blob, F.lit(term)))
     return out.where(F.array_contains(note_tags(F.col(note)), tag)) if tag else out

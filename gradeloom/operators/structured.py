@@ -124,8 +124,8 @@ def normalize_items(items: DataFrame, keys: list[str], profiled: Column, allow_u
     if not allow_unanswered:
         usable = usable & (F.size("answer") > 0)
 
-    def cut(field: str, n: int) -> Column:
-        return F.nullif(F.substring(trim_all(F.col(f"r.{field}")), 1, n), F.lit(""))
+    def given(field: str) -> Column:
+        return F.nullif(trim_all(F.col(f"r.{field}")), F.lit(""))
 
     rows = rows.withColumn("question_type", kind)
     return rows.select(
@@ -136,8 +136,8 @@ def normalize_items(items: DataFrame, keys: list[str], profiled: Column, allow_u
         (F.when(profiled, exam_format) if exam_format is not None else F.lit(None).cast("string")).alias("exam_format"),
         "question_type",
         (F.when(profiled, band["points"]) if band is not None else F.lit(None).cast("double")).alias("points"),
-        cut("sharedOptionGroup", 120).alias("shared_option_group"), cut("explanation", 6000).alias("explanation"),
-        cut("answerSource", 160).alias("answer_source"), usable.alias("usable"))
+        given("sharedOptionGroup").alias("shared_option_group"), given("explanation").alias("explanation"),
+        given("answerSource").alias("answer_source"), usable.alias("usable"))
 
 
 def parse_responses(responses: DataFrame, keys: list[str], profiled: Column, **options) -> DataFrame:
@@ -156,5 +156,5 @@ def answer_patches(responses: DataFrame, targets: DataFrame, bank: str) -> DataF
     hits = rows.join(aim, [bank, "source_number"]).withColumn("answer", valid_answer(letters, F.col("options"))).where(F.size("answer") > 0)
     last = keep_top(hits, [bank, "source_number"], [F.col("idx").desc()])
     return last.select(bank, "source_number", F.col("idx").alias("seq"), "answer",
-                       F.nullif(F.substring(trim_all(F.col("r.explanation")), 1, 6000), F.lit("")).alias("explanation"),
-                       F.nullif(F.substring(trim_all(F.col("r.answerSource")), 1, 160), F.lit("")).alias("answer_source"))
+                       F.nullif(trim_all(F.col("r.explanation")), F.lit("")).alias("explanation"),
+                       F.nullif(trim_all(F.col("r.answerSource")), F.lit("")).alias("answer_source"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradeloom import fixed as V
-from gradeloom.plans.scale import keep_top, salted_lookup
+from gradeloom.plans.scale import keep_top
 
 KEY = ["user_id", "question_id", "field"]
 FIELDS = ["progress", "firstProgress", "favorite", "note"]
@@ -91,14 +92,14 @@ def first_result(ledger: DataFrame, keys: list[str], order: list[str] | None = N
 
     With R the last reset, it is the earliest result after R (a tie counts as
     wrong), or the reset itself when nothing follows it.  Resets are aggregated to
-    one row per key; all rows are looked up against them with salted keys.
+    one row per key; one exchange on the key serves the join and the final aggregate.
     """
     order = order or [updated_at]
     at = F.struct(*[F.col(c) for c in order])
     is_reset = F.col(value).isNull()
     resets = ledger.where(is_reset).groupBy(*keys).agg(F.max(at).alias("_reset"))
     rows = ledger.select(*keys, value, updated_at, at.alias("_at"))
-    alive = (salted_lookup(rows, resets, keys, F.col("_at"))
+    alive = (rows.join(resets, keys, "left")
              .where(F.col("_reset").isNull() | (F.col("_at") > F.col("_reset"))
                     | (is_reset & (F.col("_at") == F.col("_reset")))))
     # results after the reset come before the reset itself; on a tie, wrong comes first
@@ -107,6 +108,27 @@ def first_result(ledger: DataFrame, keys: list[str], order: list[str] | None = N
     return alive.groupBy(*keys).agg(best.alias("_best")).select(*keys, f"_best.{value}", f"_best.{updated_at}")
 
 
+def fold_first(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """The first result as the two-way rule gives it, folded over the devices in ``seq`` order.
+
+    The rule is not associative, so this can differ from ``first_result``.  A key has one row per device.
+    """
+    rows = ledger.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "updated_at", "value"))).alias("_rows"))
+
+    def entry(value: Column, at: Column) -> Column:
+        return F.struct(value.alias("value"), at.alias("updated_at"))
+
+    def step(a: Column, b: Column) -> Column:
+        av, bv, at, bt = a["value"], b["value"], a["updated_at"], b["updated_at"]
+        reset = F.when(at > bt, av).when(bt > at, bv)
+        older = F.when(at < bt, av).when(bt < at, bv).when(av == "wrong", av).otherwise(bv)
+        either = av.isNull() | bv.isNull()
+        return entry(F.when(either, reset).otherwise(older), F.when(either, F.greatest(at, bt)).otherwise(F.least(at, bt)))
+    start = entry(F.get("_rows", F.lit(0))["value"], F.get("_rows", F.lit(0))["updated_at"])
+    best = F.aggregate(F.slice("_rows", F.lit(2), F.size("_rows")), start, step)
+    return rows.select(*keys, best.alias("_best")).select(*keys, "_best.value", "_best.updated_at")
+
+
 def merge_ledgers(ledger: DataFrame) -> DataFrame:
     """All four fields of any number of devices merged into one ledger."""
     firsts = first_result(ledger.where(F.col("field") == "firstProgress"), KEY)
@@ -201,18 +223,28 @@ def overlay_puts(puts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return keep_top(rows, ["user_id", "key"], [F.col("seq").desc(), F.col("value")])
 
 
-def allow_list(payload: Column, keys: list[str] | None = None) -> Column:
-    allowed = keys or V.STATE_KEYS
-    return F.map_filter(payload, lambda k, _: k.isin(allowed))
-
+def versions(puts: DataFrame, user: str = "user_id") -> DataFrame:
+    return puts.groupBy(user).agg(F.count(F.lit(1)).alias("version"))
 
-def overlay(current: Column, incoming: Column) -> Column:
-    """Shallow overlay of two payload maps (LAST_WIN map policy)."""
-    return F.map_concat(current, incoming)
 
+def upsert_state(state: DataFrame, puts: DataFrame, records: DataFrame) -> DataFrame:
+    """The stored state of every learner after a series of puts, as one write.
 
-def versions(puts: DataFrame, user: str = "user_id") -> DataFrame:
-    return puts.groupBy(user).agg(F.count(F.lit(1)).alias("version"))
+    ``state``: ``user_id, part, key, value, updated_at, version`` as this function returns it (empty at first);
+    ``puts`` as for ``overlay_puts``; ``records``: ledger rows the puts carry.  Payload keys are overlaid, records
+    are merged with the stored ones field by field, and the version grows by the number of puts.
+    """
+    old = state.where("part = 'payload'").select("user_id", F.lit(None).cast("bigint").alias("seq"), "key", "value")
+    fresh = overlay_puts(puts).select("user_id", "seq", "key", "value")
+    payload = keep_top(old.unionByName(fresh), ["user_id", "key"], [F.col("seq").desc_nulls_last()])
+    parts = F.split("key", "\u0001")
+    stored = state.where("part = 'record'").select("user_id", parts[0].cast("bigint").alias("question_id"), parts[1].alias("field"),
+                                                   "value", "updated_at", F.lit(-1).cast("bigint").alias("seq"))
+    merged = merge_ledgers(stored.unionByName(records.select(*KEY, "value", "updated_at", "seq")))
+    rows = payload.select("user_id", F.lit("payload").alias("part"), "key", "value", F.lit(None).cast("bigint").alias("updated_at")).unionByName(
+        merged.select("user_id", F.lit("record").alias("part"), F.concat_ws("\u0001", F.col("question_id").cast("string"), "field").alias("key"), "value", "updated_at"))
+    counted = versions(puts).select("user_id", "version").unionByName(state.groupBy("user_id").agg(F.max("version").alias("version")))
+    return rows.join(counted.groupBy("user_id").agg(F.sum("version").alias("version")), "user_id")
 
 
 def merge_bundle(local: DataFrame, remote: DataFrame, keys: list[str], updated_at: str,
@@ -236,8 +268,15 @@ def merge_bundle(local: DataFrame, remote: DataFrame, keys: list[str], updated_a
     return both.select(*keys, picked.alias("p"), taken.alias("taken")).select(*keys, "p.*", "taken")
 
 
-def admissible_banks(banks: DataFrame, user: str, position: str, cap: int = V.BANK_CAP) -> DataFrame:
-    """The first ``cap`` entries of a bundle that have a usable id and question count."""
-    first = keep_top(banks, [user], [F.col(position)], cap)
-    return first.where(F.col("id").isNotNull() & (F.length("id") <= V.BUNDLE_ID_MAX)
-                       & F.col("questions").between(1, V.QUESTION_CAP))
+def admit_banks(banks: DataFrame, user: str, position: str, cap: int | None = None) -> DataFrame:
+    """Entries of a bundle with a ``reject_reason``, null for those admitted; no row is dropped.
+
+    ``cap`` rejects entries after the first so many of a user; it is off by default.
+    """
+    reason = (F.when(F.col("id").isNull(), "no_id").when(F.length("id") > V.BUNDLE_ID_MAX, "long_id")
+              .when(~F.coalesce(F.col("questions") >= 1, F.lit(False)), "no_questions")
+              .when(F.col("questions") > V.QUESTION_CAP, "too_many_questions"))
+    if cap is not None:
+        place = F.row_number().over(Window.partitionBy(user).orderBy(position))
+        reason = F.coalesce(reason, F.when(place > cap, "beyond_cap"))
+    return banks.withColumn("reject_reason", reason)

@@ -7,7 +7,6 @@ group can be large the helpers here split it:
                     (``WindowGroupLimit``), so a hot key ships at most k rows per map task.
 * ``running``       running sum / max / last value, computed per (key, block) and
                     joined with the prefix of the much smaller block totals.
-* ``salted_lookup`` join to a table with at most one row per key, spreading each key.
 * ``bounded_lookback`` range window whose frame is bounded, computed per time slice.
 """
 
@@ -85,17 +84,6 @@ def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[
     return running(df, keys, block, order, {name: ("sum", F.lit(1))})
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Column,
-                  how: str = "left", salts: int = 8) -> DataFrame:
-    """Join rows to ``lookup`` (at most one row per key), each key over ``salts`` tasks.
-
-    ``spread`` is a column that differs between the rows of one key.
-    """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def bounded_lookback(df: DataFrame, keys: Sequence[str], micros: Column, width_us: int,
                      aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates over the half-open past ``(t - width, t]`` of each row.
@@ -111,21 +99,3 @@ def bounded_lookback(df: DataFrame, keys: Sequence[str], micros: Column, width_u
     for name, agg in aggregates.items():
         both = both.withColumn(name, agg.over(window))
     return both.where("_slice = _home").drop("_us", "_home", "_slice")
-
-
-def fixed_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A rule table written in code (a few dozen rows), marked for broadcast."""
-    if len(rows) > 1000:
-        raise ValueError("fixed tables are for short rule lists")
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-bound row work on an input of few row groups.
-
-    Large inputs already have more partitions than cores and are returned as they
-    are, so no text is ever shuffled for this at scale.  Only for plain file scans:
-    asking for the partition count of a shuffled plan would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -41,6 +40,7 @@ def local_session(name: str = "gradeloom", cpus: str | int = "*") -> SparkSessio
         .config("spark.sql.shuffle.partitions", os.environ.get("GRADELOOM_PARTITIONS", "8"))
         .config("spark.driver.memory", os.environ.get("GRADELOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.gradeloom.text.partitions", os.environ.get("GRADELOOM_PARTITIONS", "8"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -48,15 +48,18 @@ def local_session(name: str = "gradeloom", cpus: str | int = "*") -> SparkSessio
     return tune(spark)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for checkpoints and written tables.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    On a cluster the shared root is the one named in ``spark.checkpoint.dir``;
-    only a session without that setting (tests) falls back to a local folder.
+    It is the one named in ``spark.checkpoint.dir``; a session without that setting uses a
+    folder in its warehouse, which is shared as well.  No machine-local folder is ever taken.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or None
-    if root is None:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared root; runs of different applications never meet."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

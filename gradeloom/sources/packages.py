@@ -29,7 +29,7 @@ def read_bank_packages(spark: SparkSession, path: str, formats: list[str]) -> tu
     checked = checked.withColumn("reason", reason)
     good = checked.where(F.col("reason").isNull()).select(
         "file", F.coalesce("bank.name", F.lit("")).alias("name"),
-        F.substring(F.coalesce("bank.description", F.lit("")), 1, 4000).alias("description"),
+        F.coalesce("bank.description", F.lit("")).alias("description"),
         F.coalesce("bank.groupName", F.lit("")).alias("group_name"), "exportedAt", "questions")
     return good, checked.where(F.col("reason").isNotNull()).select("file", "reason")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import base_name
+from gradeloom.functions.text import base_name, trim_all
 from gradeloom.plans.scale import keep_top
 
 
@@ -23,7 +23,7 @@ def split_pages(documents: DataFrame, doc: str, text: str) -> DataFrame:
     rows = documents.select(doc, F.posexplode(parts).alias("i", "p"))
     number = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.regexp_extract("p", r"\A([0-9]+)\]\]", 1).cast("int"))
     body = F.when(F.col("i") == 0, F.col("p")).otherwise(F.regexp_replace("p", r"\A[0-9]+\]\]\n?", ""))
-    return rows.select(doc, number.alias("page"), body.alias("text")).where(F.trim("text") != "")
+    return rows.select(doc, number.alias("page"), body.alias("text")).where(trim_all(F.col("text")) != "")
 
 
 def choose_page_text(extracted: DataFrame, recognised: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -33,15 +33,6 @@ def choose_page_text(extracted: DataFrame, recognised: DataFrame, keys: list[str
     return extracted.join(other, keys, "left").withColumn(text, F.when(longer, F.col("_ocr")).otherwise(F.col(text))).drop("_ocr")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int,
-              **options: str) -> DataFrame:
-    """Relational table read in ``parts`` ranges of ``column``; filters are pushed down."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for key, value in {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": parts, **options}.items():
-        reader = reader.option(key, value)
-    return reader.load()
-
-
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Rows after inserting or replacing by key; among equal keys the incoming row wins."""
     both = current.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))

@@ -2,53 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.session import shared_dir
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """Start stateful queries with at most two state partitions per core.
-
-    The number is fixed by the first start of a query, and each partition keeps a
-    state store open, so a default made for batch shuffles is too many on few cores.
-    """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process what is available into a Parquet folder and read it back.
 
-    Sink and checkpoint live in the shared folder, so a lost executor or a restart
-    resumes from the checkpoint.
+    Sink and checkpoint lie in ``folder``; naming the same folder again resumes from its checkpoint.
+    Without one a fresh folder below the shared root is taken.
     """
     spark = stream.sparkSession
-    out = shared_dir(spark, f"{name}-out")
-    with state_partitions(spark):
-        handle = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-                  .option("checkpointLocation", shared_dir(spark, f"{name}-checkpoint"))
-                  .trigger(availableNow=True).start())
-        handle.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def drain_batches(stream: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Process what is available through an idempotent batch function."""
-    with state_partitions(stream.sparkSession):
-        handle = (stream.writeStream.foreachBatch(sink).outputMode(mode)
-                  .option("checkpointLocation", shared_dir(stream.sparkSession, f"{name}-checkpoint"))
-                  .trigger(availableNow=True).start())
-        handle.awaitTermination()
+    root = folder or shared_dir(spark, name)
+    handle = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out")
+              .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    handle.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def drain_batches(stream: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mode: str = "update", folder: str | None = None) -> None:
+    """Process what is available through an idempotent batch function; ``folder`` as in ``drain``."""
+    root = folder or shared_dir(stream.sparkSession, name)
+    handle = (stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
+              .trigger(availableNow=True).start())
+    handle.awaitTermination()
 
 
 def parquet_stream(spark: SparkSession, folder: str, file_name: str, files_per_trigger: int = 64) -> DataFrame:
