@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.session import shared_dir
+
 PIECE_BYTES = 1 << 20
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
@@ -157,22 +159,13 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir`` of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table to the shared folder and read again, which cuts its lineage.
 
-    The folder is named after the application and a random suffix, so concurrent queries never meet.
+    The folder has a fresh name, so concurrent queries never meet.
     """
-    import uuid
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from gradeloom.llm.frames import NOT_SPACE, U, Texts, mix, pieces, shared_root
+from gradeloom.llm.frames import NOT_SPACE, U, Texts, mix, pieces
+from gradeloom.session import shared_dir
 
 END, START = U(0x1F0E1D2C3B4A5968), U(0x7A6B5C4D3E2F1021)
 FLUSH_TOKENS = 2_000_000
@@ -256,10 +257,10 @@ def discounts(n: list[int]) -> np.ndarray:
 
 def _folder(spark) -> str:
     """A folder that all machines see as a path, since files are mapped from it."""
-    url = urlparse(shared_root(spark))
+    url = urlparse(shared_dir(spark, "ngrams"))
     if url.scheme not in ("", "file"):
         raise ValueError("model files are mapped into memory: spark.checkpoint.dir must be a mounted path")
-    return f"{url.path}/{spark.sparkContext.applicationId}/ngrams-{uuid.uuid4().hex[:12]}"
+    return url.path
 
 
 def count_model(train: DataFrame, text: str = "text", shards: int | None = None) -> Model:
