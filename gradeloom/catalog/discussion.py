@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from gradeloom.catalog import Tables, query
 from gradeloom.catalog.adapters import K, events
 from gradeloom.operators import community, quota
+from gradeloom.session import shared_dir
+from gradeloom.sources import tables
 
 TERMS = ["onnthe", "eauque", "xyzzy"]
 TERM_SQL = """CASE WHEN strpos(flat, 'onnthe') > 0 THEN 'onnthe' WHEN strpos(flat, 'eauque') > 0 THEN 'eauque' END"""
@@ -131,7 +133,10 @@ def comment_admission(t: Tables):
 FROM events WHERE event_type = 'signup'""")
 def audit_log(t: Tables):
     _, actions = _moderation(t)
-    return community.audit_log(actions.withColumn("days", F.rint("value").cast("int"))).drop("created_at")
+    log = community.audit_log(actions.withColumn("days", F.rint("value").cast("int"))).drop("created_at")
+    path = shared_dir(t.spark, "audit")
+    tables.append_log(log, path, "action_day")
+    return t.spark.read.schema(log.schema).parquet(path)
 
 
 @query("rate_view", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS recent

@@ -85,9 +85,35 @@ def bank_packages(t: Tables):
     banks = t.part.select(F.col("p_brand").alias("id")).distinct().select("id", F.col("id").alias("name"), F.lit("d").alias("description"), F.lit("g").alias("group_name"))
     path = shared_dir(t.spark, "packages")
     packages.write_bank_packages(banks, qs, path, "question-bank", "2024-01-01T00:00:00Z")
-    lines = t.spark.read.text(path).withColumn("v", F.from_json("value", packages.S.BANK_PACKAGE))
-    flat = lines.where(F.col("v.format") == "question-bank").select("v.bank.name", F.explode("v.bank.questions").alias("q"))
-    return flat.select("name", "q.id", "q.stem", F.size("q.answer").alias("answers"))
+    good, _ = packages.read_bank_packages(t.spark, path, ["question-bank"], lines=True)
+    return packages.explode_questions(good, "name").select("name", "id", "stem", F.size("answer").alias("answers"))
+
+
+@query("test_packages", f"""SELECT {PAPER_SQL} AS name, CASE WHEN any_value(p_brand) LIKE '%1' THEN 'ielts' ELSE 'cet' END AS stage, count(*) AS questions,
+  sum(p_size)::BIGINT AS checksum FROM part GROUP BY 1""")
+def test_packages(t: Tables):
+    """English tests written as packages and read back; an unknown stage becomes the default."""
+    ask = F.struct(number().cast("string").alias("number"), F.col("p_name").alias("stem"), F.col("p_size").cast("string").alias("answer"))
+    tests_ = t.part.groupBy(paper_key().alias("name"), "p_brand").agg(F.collect_list(ask).alias("questions")).select(
+        "name", F.when(F.endswith("p_brand", F.lit("1")), "ielts").otherwise("school").alias("stage"), F.lit(None).cast("string").alias("examVariant"),
+        F.lit(False).alias("usedOcr"), F.lit(None).cast("string").alias("answerSourceName"),
+        F.array(F.struct(F.lit("s").alias("id"), F.lit("reading").alias("kind"), F.col("questions"))).alias("sections"))
+    path = shared_dir(t.spark, "tests")
+    packages.write_test_packages(tests_, path, "english-test", "2024-01-01T00:00:00Z")
+    good, _ = packages.read_test_packages(t.spark, path, "english-test", lines=True)
+    rows = good.select("name", "stage", F.explode(F.col("sections")[0]["questions"]).alias("q"))
+    return rows.groupBy("name", "stage").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.col("q.answer").cast("bigint")).alias("checksum"))
+
+
+@query("record_packages", """SELECT event_id AS user_id, CASE WHEN event_id % 7 = 0 THEN 'state' END AS reason, CASE WHEN event_id % 7 > 0 THEN '{"n":' || event_id || '}' END AS payload FROM events""")
+def record_packages(t: Tables):
+    """Learning records written and read back, with the rows that hold no state."""
+    state = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, "[1]").otherwise("{broken")).otherwise(F.concat(F.lit('{"n":'), "event_id", F.lit("}")))
+    path = shared_dir(t.spark, "records")
+    packages.write_records(t.events.select(F.col("event_id").cast("string").alias("user_id"), state.alias("state")), path, "notes", "2024-01-01T00:00:00Z")
+    good, bad = packages.read_records(t.spark, path)
+    return good.select(F.col("user_id").cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("reason"), "payload").unionByName(
+        bad.select(F.col("user_id").cast("bigint").alias("user_id"), "reason", F.lit(None).cast("string").alias("payload")))
 
 
 @query("keyed_upsert", """SELECT o_orderkey AS id, CASE WHEN l.k IS NOT NULL THEN 'new' ELSE o_orderstatus END AS status FROM orders
@@ -95,7 +121,10 @@ LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A
 def keyed_upsert(t: Tables):
     current = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     incoming = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"), F.lit("new").alias("status"))
-    return tables.upsert(current, incoming, ["id"])
+    root = shared_dir(t.spark, "versions")
+    tables.write_version(current, root, 1)
+    tables.write_version(tables.upsert(tables.read_version(t.spark, root), incoming, ["id"]), root, 2)
+    return tables.read_version(t.spark, root)
 
 
 @query("insert_or_ignore", """SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0

@@ -162,3 +162,10 @@ def test_replace_rename(t: Tables):
 @query("distinct_labels", """SELECT DISTINCT unnest(string_split(p_name, ' ')) AS tag FROM part""")
 def distinct_labels(t: Tables):
     return library.distinct_values(t.part.select(F.split("p_name", " ").alias("tags")), "tags", "tag")
+
+
+@query("library_listing", """SELECT o_orderkey AS id, epoch_us(o_orderdate::TIMESTAMP) AS imported_us FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 120""")
+def library_listing(t: Tables):
+    """First page of a library, newest import first."""
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("imported_at"))
+    return library.newest_first(rows, page=120).select("id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_us"))

@@ -49,6 +49,22 @@ def search_stem_phrase(t: Tables):
     return search.search(index(t), "blue bolt", 60, collation=None).select("id", "score", "matched_option")
 
 
+ZH_NAMES = ("风", "东", "安", "车", "北")  # an, bei, che, dong, feng in Chinese order
+
+
+@query("search_zh_order", f"""WITH r AS (SELECT p_partkey AS id, [{', '.join(repr(n) for n in ZH_NAMES)}][p_size % 5 + 1] AS bank_name, [5, 4, 1, 3, 2][p_size % 5 + 1] AS place,
+  CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey % 165 END AS num, lower(p_name) AS st FROM part)
+SELECT id, bank_name, (CASE WHEN starts_with(st, 'red') THEN 115 ELSE 95 END + CASE WHEN strpos(st, 'red') > 0 THEN 90 ELSE 0 END)::INTEGER AS score FROM r
+WHERE strpos(st, 'red') > 0 ORDER BY score DESC, place, num NULLS LAST, id LIMIT 40""")
+def search_zh_order(t: Tables):
+    """Ranked search with the Unicode fold, bank names in Chinese order, numbers in numeric order and missing ones last."""
+    q = t.part.select(F.col("p_partkey").alias("id"), F.element_at(F.array(*[F.lit(n) for n in ZH_NAMES]), F.col("p_size") % 5 + 1).alias("bank_name"),
+                      F.lit("g").alias("group_name"), F.lit("c").alias("category"), F.col("p_name").alias("stem"),
+                      F.when(F.col("p_size") % 3 == 0, "n").otherwise((F.col("p_partkey") % 165).cast("string")).alias("source_number"),
+                      F.array(F.struct(F.lit("A").alias("label"), F.lit("x").alias("text"))).alias("options"))
+    return search.search(search.search_index(q), "ＲＥＤ", 40, collation="zh").select("id", "bank_name", "score")
+
+
 def _fields_sql(term):
     return f"""(CASE WHEN strpos(bn, '{term}') > 0 THEN ['题库'] WHEN strpos(gn, '{term}') > 0 THEN ['分组'] WHEN strpos(ca, '{term}') > 0 THEN ['分类']
   WHEN strpos(st, '{term}') > 0 THEN ['题干'] ELSE list_filter([CASE WHEN strpos(oa, '{term}') > 0 OR strpos(ob, '{term}') > 0 THEN '选项' END,

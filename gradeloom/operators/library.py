@@ -65,8 +65,10 @@ def featured(banks: DataFrame) -> DataFrame:
     return banks.where("featured").orderBy(F.col("updated_at").desc(), "id")
 
 
-def newest_first(rows: DataFrame, key: str = "id") -> DataFrame:
-    return rows.orderBy(F.col("imported_at").desc(), key)
+def newest_first(rows: DataFrame, key: str = "id", page: int | None = None) -> DataFrame:
+    """Entries by import time, newest first; ``page`` gives the first so many, as a listing shows them."""
+    out = rows.orderBy(F.col("imported_at").desc(), key)
+    return out if page is None else out.limit(page)
 
 
 def stage_counts(tests: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:

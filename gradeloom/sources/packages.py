@@ -14,12 +14,12 @@ from gradeloom import schemas as S
 from gradeloom.operators.library import nest_questions
 
 
-def read_bank_packages(spark: SparkSession, path: str, formats: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Accepted packages and rejects (``file``, ``reason``).
+def read_bank_packages(spark: SparkSession, path: str, formats: list[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Accepted packages and rejects (``file``, ``reason``); with ``lines`` every line is a package, else every file.
 
     Accepted rows hold name, description, group and the usable questions.
     """
-    raw = (spark.read.schema(S.BANK_PACKAGE).option("multiLine", True).json(path)
+    raw = (spark.read.schema(S.BANK_PACKAGE).option("multiLine", not lines).json(path)
            .select("*", F.col("_metadata.file_path").alias("file")))
     usable = F.filter(F.coalesce("bank.questions", F.array().cast(f"array<{S.QUESTION_STRUCT}>")), lambda q:
                       q["stem"].isNotNull() & q["options"].isNotNull() & q["answer"].isNotNull())
@@ -54,9 +54,9 @@ def write_bank_packages(banks: DataFrame, questions: DataFrame, path: str, forma
                ).write.mode("overwrite").json(path)
 
 
-def read_test_packages(spark: SparkSession, path: str, format_tag: str) -> tuple[DataFrame, DataFrame]:
+def read_test_packages(spark: SparkSession, path: str, format_tag: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """English tests with a name and sections; an unknown stage becomes the default."""
-    raw = (spark.read.schema(S.ENGLISH_PACKAGE).option("multiLine", True).json(path)
+    raw = (spark.read.schema(S.ENGLISH_PACKAGE).option("multiLine", not lines).json(path)
            .select("*", F.col("_metadata.file_path").alias("file")))
     ok = (F.coalesce(F.col("format") == format_tag, F.lit(False)) & (F.coalesce("test.name", F.lit("")) != "")
           & (F.coalesce(F.size("test.sections"), F.lit(0)) > 0))
@@ -79,8 +79,9 @@ def write_records(states: DataFrame, path: str, product: str, exported_at: str)
                   "user_id", "state").write.mode("overwrite").json(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """States to merge, one row per export; rows without a JSON object are dropped."""
-    rows = spark.read.schema(S.RECORD_EXPORT).json(path)
-    return rows.where(F.schema_of_variant(F.try_parse_json("state")).startswith("OBJECT")).select(
-        "user_id", "exportedAt", F.col("state").alias("payload"))
+def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """States to merge, one row per export, and rejects (``file``, ``user_id``, ``reason``)."""
+    rows = spark.read.schema(S.RECORD_EXPORT).json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("state")).startswith("OBJECT"), F.lit(False))
+    return (rows.where(good).select("user_id", "exportedAt", F.col("state").alias("payload")),
+            rows.where(~good).select("file", "user_id", F.lit("state").alias("reason")))

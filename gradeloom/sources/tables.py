@@ -52,6 +52,17 @@ def write_version(table: DataFrame, root: str, version: int) -> str:
     return path
 
 
+def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """One version of a table, the latest by default; only its own folder is read.
+
+    Files of a write that has not been committed are not visible, so an unfinished version is never the latest.
+    """
+    table = spark.read.parquet(root)
+    if version is None:
+        version = table.agg(F.max("version")).first()[0]
+    return table.where(F.col("version") == version).drop("version")
+
+
 def append_log(rows: DataFrame, path: str, day: str) -> None:
     """Append-only log partitioned by day."""
     rows.write.mode("append").partitionBy(day).parquet(path)

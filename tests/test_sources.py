@@ -21,7 +21,7 @@ def test_bank_packages(spark, tmp_path):
     write(tmp_path, "empty.json", {"format": "bank", "version": 1, "bank": {"name": "n", "questions": []}})
     good, bad = packages.read_bank_packages(spark, str(tmp_path), ["bank"])
     (row,) = good.collect()
-    assert row.name == "n" and len(row.description) == 4000 and len(row.questions) == 1
+    assert row.name == "n" and len(row.description) == 5000 and len(row.questions) == 1
     assert sorted(r.reason for r in bad.collect()) == ["format", "no_questions"]
     assert packages.explode_questions(good).first().stem == "s"
 
@@ -44,8 +44,8 @@ def test_records_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("u", state), ("v", "[1]")], "user_id string, state string")
     path = str(tmp_path / "r")
     packages.write_records(rows, path, "p", "now")
-    back = packages.read_records(spark, path)
-    assert [r.user_id for r in back.collect()] == ["u"]
+    back, bad = packages.read_records(spark, path)
+    assert [r.user_id for r in back.collect()] == ["u"] and [(r.user_id, r.reason) for r in bad.collect()] == [("v", "state")]
     got = {(r.field, r.value, r.updated_at) for r in sync.normalize_ledger(back.withColumn("seq", F.lit(1))).collect()}
     assert got == {("progress", "wrong", 7), ("favorite", "true", 1)}
 
