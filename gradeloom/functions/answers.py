@@ -70,10 +70,10 @@ def options_first_wins(options: Column) -> Column:
 
 def options_last_wins(options: Column) -> Column:
     """One option per label, the last text kept at the first position."""
-    def pick(texts: Column) -> Column:
-        return F.transform(F.map_keys(texts), lambda label: F.struct(
-            label.alias("label"), F.element_at(texts, label).alias("text")))
-    return bind(F.map_from_entries(options), pick)  # LAST_WIN policy, see session.RUNTIME_CONF
+    def pick(label: Column) -> Column:
+        own = F.filter(options, lambda o: o["label"] == label)
+        return F.struct(label.alias("label"), F.element_at(own, -1)["text"].alias("text"))
+    return F.transform(F.array_distinct(F.transform(options, lambda o: o["label"])), pick)
 
 
 def options_text(options: Column) -> Column:

@@ -204,8 +204,9 @@ def _general(slice_text: Column) -> Column:
 def _cet(body: Column) -> Column:
     """Sections of a college-English paper, in part order; empty without part headings."""
     none = F.array().cast(f"array<{SECTION}>")
-    parts = F.map_from_entries(F.transform(cut(body, V.CET_PART), lambda p: F.struct(
-        F.upper(F.regexp_extract(p, V.CET_PART, 1)).alias("k"), p.alias("v"))))
+    entries = F.transform(cut(body, V.CET_PART), lambda p: F.struct(F.upper(F.regexp_extract(p, V.CET_PART, 1)).alias("k"), p.alias("v")))
+    parts = bind(entries, lambda es: F.struct(F.size(es).alias("n"), *[
+        F.try_element_at(F.filter(es, lambda e, k=k: e["k"] == k), F.lit(-1))["v"].alias(k) for k in ("I", "II", "III", "IV")]))  # the last of a number
 
     def title(prefix: str, t: Column, pattern: str) -> Column:
         name = F.when(t.rlike(rf"\A{pattern}"), collapse(F.regexp_extract(t, pattern, 0))).otherwise("Practice")
@@ -252,7 +253,7 @@ def _cet(body: Column) -> Column:
             F.when(four.isNotNull(), F.array(_section(before(four, V.CET_REFERENCE), "translation",
                    "CET-6 Translation · Chinese to English", "Part IV", "cet-translation", "text"))).otherwise(none))
 
-    return bind(parts, lambda m: F.when(F.size(m) > 0, build(m)).otherwise(none))
+    return bind(parts, lambda m: F.when(m["n"] > 0, build(m)).otherwise(none))
 
 
 def prepare(papers: DataFrame, doc: str = "doc_id", name: str = "file_name", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,15 +78,16 @@ def accepted_requests(requests: DataFrame, keys: list[str], ts: str, seq: str, l
     ordered = rows.repartition("_run_key").sortWithinPartitions("_run_key", "_us", seq)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, []
+        key, kept = None, deque(maxlen=limit)
         for batch in batches:
             verdicts = []
             for run, at in zip(batch["_run_key"], batch["_us"]):
                 if run != key:
-                    key, kept = run, []
+                    key = run
+                    kept.clear()
                 ok = len(kept) < limit or at - kept[0] >= window_us
                 if ok:
-                    kept = (kept + [at])[-limit:]
+                    kept.append(at)
                 verdicts.append(ok)
             yield batch.assign(accepted=verdicts)
 
