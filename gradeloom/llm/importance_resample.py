@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from gradeloom.llm.deobfuscate import sample_labels
-from gradeloom.llm.frames import NOT_SPACE, U, Texts, free_name, map_pieces, mix, pieces, written
+from gradeloom.llm.frames import NOT_SPACE, U, Texts, map_pieces, mix, pieces, written
 
 BUCKETS, FRACTION, SEED = 10_000, 0.8, 7
 #: Labelled target texts read at most.
@@ -84,12 +84,10 @@ def kth_largest(table: DataFrame, column: str, k: int, bins: int = 2048, last: i
     return low
 
 
-def resampled(docs: DataFrame, ratios: np.ndarray, fraction: float = FRACTION, seed: int = SEED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``n_grams``, ``log_ratio``, ``gumbel_key`` and ``kept``."""
+def weighed(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with ``n_grams``, ``log_ratio`` and ``gumbel_key``."""
     handle = docs.sparkSession.sparkContext.broadcast(ratios)
-    fresh = ("n_grams", "log_ratio", "gumbel_key", "kept")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in fresh])
-    noise = free_name(docs.columns, "noise")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_grams", "log_ratio", "gumbel_key", "kept")])
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts(piece.column(text))
@@ -99,7 +97,19 @@ def resampled(docs: DataFrame, ratios: np.ndarray, fraction: float = FRACTION, s
     hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     drawn = (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / float(1 << 53)
     schema = StructType([*docs.schema.fields]).add("n_grams", LongType()).add("log_ratio", DoubleType())
-    scored = map_pieces(docs, run, schema, text).withColumn(noise, -F.log(-F.log(drawn))).withColumn("gumbel_key", F.col("log_ratio") + F.col(noise)).drop(noise)
+    return map_pieces(docs, run, schema, text).withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(drawn)))
+
+
+def gumbel_top(scored: DataFrame, fraction: float = FRACTION) -> DataFrame:
+    """``scored`` with ``kept``: true for the ``fraction`` of rows with the largest ``gumbel_key``.
+
+    The rows are written once, so leave out columns that are not needed.
+    """
     scored = written(scored, "weights")
     bar = kth_largest(scored, "gumbel_key", round(fraction * scored.count()))
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(bar) if bar is not None else F.lit(False))
+
+
+def resampled(docs: DataFrame, ratios: np.ndarray, fraction: float = FRACTION, seed: int = SEED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with the columns of ``weighed`` and ``kept``."""
+    return gumbel_top(weighed(docs, ratios, seed, text, doc_id), fraction)

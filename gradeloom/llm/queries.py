@@ -138,7 +138,8 @@ def importance_sample(spark, sf_dir):
     """Importance weights of every document towards texts labelled good, and the Gumbel top-k sample."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = importance_resample.log_ratios(docs, table(spark, sf_dir, "labels"))
-    return importance_resample.resampled(docs, ratios).select("doc_id", "n_grams", "log_ratio", "gumbel_key", "kept")
+    scored = importance_resample.weighed(docs, ratios).select("doc_id", "n_grams", "log_ratio", "gumbel_key")
+    return importance_resample.gumbel_top(scored)
 
 
 @query("op3_quality_rules")
