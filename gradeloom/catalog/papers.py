@@ -322,11 +322,26 @@ def chunk_docs(t: Tables):
     return t.texts().select("doc_id", F.posexplode(chunks.overlapping_chunks(F.col("text"), 2000, 200)).alias("pos", "chunk"))
 
 
-@query("pack_pages")
+PACK_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS l FROM documents),
+pages AS (SELECT doc_id, 0 AS k, len(l) AS n, '[[PAGE 0]]' || chr(10) || 'cover of the paper' || chr(10) || '1. stem' AS p, '' AS line FROM d
+  UNION ALL SELECT doc_id, k, len(l), '[[PAGE ' || k || ']]' || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 't ' || l[k] || chr(10) || (k + 1) || '. stem', l[k]
+  FROM (SELECT *, unnest(generate_series(1, len(l)))::INTEGER AS k FROM d)),
+sized AS (SELECT *, length(p) + (k < n)::INTEGER AS size FROM pages),
+packed AS (SELECT doc_id, k, size AS used, 0 AS pack FROM sized WHERE k = 0
+  UNION ALL SELECT s.doc_id, s.k, CASE WHEN q.used + s.size > 7200 THEN s.size ELSE q.used + 1 + s.size END, q.pack + (q.used + s.size > 7200)::INTEGER
+  FROM packed q JOIN sized s ON s.doc_id = q.doc_id AND s.k = q.k + 1)
+SELECT doc_id, 'pages' AS kind, pack AS pos, regexp_replace(string_agg(p || CASE WHEN k < n THEN chr(10) ELSE '' END, chr(10) ORDER BY k), '^\s+|\s+$', '', 'g') AS chunk
+FROM packed JOIN sized USING (doc_id, k) GROUP BY doc_id, pack
+UNION ALL SELECT doc_id, 'seam', k, '[[CROSS_PAGE_SEAM ' || k || '-' || (k + 1) || ']]' || chr(10) || k || '. stem' || chr(10)
+  || regexp_replace('[[PAGE ' || k || ']]' || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 't ' || line, '\s+$', '')
+FROM (SELECT doc_id, pack, min(k) AS k FROM packed GROUP BY doc_id, pack) JOIN sized USING (doc_id, k) WHERE pack > 0"""
+
+
+@query("pack_pages", PACK_SQL)
 def pack_pages(t: Tables):
-    """Documents with a page mark per line group, packed with seams."""
-    body = F.array_join(F.transform(F.split("text", "\n"), lambda l, i: F.concat(
-        F.lit("[[PAGE "), i + 1, F.lit("]]\n"), l, F.lit("\n"), i + 1, F.lit(". stem\nA. one\nB. two"))), "\n")
+    """Documents with a page per line, whose question runs on to the next page, packed with seams."""
+    body = F.concat(F.lit("[[PAGE 0]]\ncover of the paper\n1. stem\n"), F.array_join(F.transform(F.split("text", "\n"), lambda l, i: F.concat(
+        F.lit("[[PAGE "), i + 1, F.lit("]]\nA. one\nB. two\nt "), l, F.lit("\n"), i + 2, F.lit(". stem"))), "\n"))
     return chunks.pack_pages(t.texts().select("doc_id", body.alias("text")), "doc_id", "text")
 
 

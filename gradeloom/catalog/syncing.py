@@ -293,13 +293,25 @@ SELECT 'users' AS table_name, (SELECT count(*) FROM gone) AS erased
 UNION ALL SELECT 'comments', (SELECT count(*) FROM go)
 UNION ALL SELECT 'comment_likes', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM go) OR l_suppkey IN (SELECT c_custkey FROM gone))""")
 def cascade_erase(t: Tables):
-    """Customers as users, their orders as comments, line items as likes by suppliers."""
+    return accounts.erased_counts(*_erasure(t))
+
+
+def _erasure(t: Tables):
+    """Customers as users, their orders as comments, line items as likes by suppliers; users in debt are gone."""
     users = t.customer.select(F.col("c_custkey").alias("id"), "c_acctbal")
     gone = users.where("c_acctbal < 0").select(F.col("id").alias("user_id"))
     comments = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"))
     likes = t.lineitem.select(F.col("l_orderkey").alias("comment_id"), F.col("l_suppkey").alias("user_id"))
-    tables = {"users": users.drop("c_acctbal"), "comments": comments, "comment_likes": likes}
-    return accounts.erased_counts(tables, accounts.erase_users(tables, gone))
+    return {"users": users.drop("c_acctbal"), "comments": comments, "comment_likes": likes}, gone
+
+
+@query("cascade_rest", """SELECT l_orderkey AS comment_id, l_suppkey AS user_id, count(*) AS likes FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))
+  AND l_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY ALL""")
+def cascade_rest(t: Tables):
+    """Likes that remain after the users, their comments and the likes on those are gone."""
+    tables, gone = _erasure(t)
+    return accounts.erase_users(tables, gone)["comment_likes"].groupBy("comment_id", "user_id").agg(F.count(F.lit(1)).alias("likes"))
 
 
 @query("owner_delete", """SELECT o_orderkey AS id, o_custkey AS user_id FROM orders

@@ -55,31 +55,36 @@ def owner_delete(comments: DataFrame, requests: DataFrame) -> DataFrame:
     return comments.join(requests.select("id", "user_id").distinct(), ["id", "user_id"], "left_anti")
 
 
+def _marked(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Tables with ``_gone``: true for the rows that deleting the users takes with it; each table is read once."""
+    ids = gone.select("user_id").distinct().withColumn("_user", F.lit(True))
+    out = {}
+    for name, rows in tables.items():
+        if name in ("ai_usage", "moderation_actions"):
+            out[name] = rows.withColumn("_gone", F.lit(False))
+        elif name == "users":
+            out[name] = rows.join(ids.withColumnRenamed("user_id", "id"), "id", "left").withColumn("_gone", F.col("_user").isNotNull()).drop("_user")
+        else:
+            marked = rows.join(ids, "user_id", "left")
+            dead = F.lit(False)
+            if name in ("comment_likes", "comment_reports") and "comments" in tables:
+                own = tables["comments"].join(ids, "user_id", "left_semi").select(F.col("id").alias("comment_id"), F.lit(True).alias("_comment")).distinct()
+                marked = marked.join(own, "comment_id", "left")
+                dead = F.col("_comment").isNotNull()
+            out[name] = marked.withColumn("_gone", F.col("_user").isNotNull() | dead).drop("_user", "_comment")
+    return out
+
+
 def erase_users(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """Tables after deleting users: their rows, and likes and reports on their comments.
 
     ``users`` is keyed by ``id``; usage counters and the moderation log have no user
     reference and are returned unchanged.
     """
-    ids = gone.select("user_id").distinct()
-    out = dict(tables)
-    for name in tables:
-        if name == "users":
-            out[name] = tables[name].join(ids, tables[name]["id"] == ids["user_id"], "left_anti")
-        elif name not in ("ai_usage", "moderation_actions"):
-            out[name] = tables[name].join(ids, "user_id", "left_anti")
-    if "comments" in tables:
-        dead = tables["comments"].join(ids, "user_id", "left_semi").select(F.col("id").alias("comment_id"))
-        for name in ("comment_likes", "comment_reports"):
-            if name in out:
-                out[name] = out[name].join(dead, "comment_id", "left_anti")
-    return out
-
+    return {name: rows.where(~F.col("_gone")).select(tables[name].columns) for name, rows in _marked(tables, gone).items()}
 
-def erased_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """Rows removed per table."""
-    def counted(name: str) -> DataFrame:
-        rows = (before[name].select(F.lit(1).alias("n")).unionByName(after[name].select(F.lit(-1).alias("n"))))
-        return rows.agg(F.sum("n").alias("erased")).select(F.lit(name).alias("table_name"), "erased")
-    return reduce(DataFrame.unionByName, [counted(n) for n in before])
 
+def erased_counts(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    """Rows per table that deleting the users removes."""
+    return reduce(DataFrame.unionByName, [
+        rows.agg(F.count_if("_gone").alias("erased")).select(F.lit(name).alias("table_name"), "erased") for name, rows in _marked(tables, gone).items()])
