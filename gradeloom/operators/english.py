@@ -205,8 +205,10 @@ def _cet(body: Column) -> Column:
     """Sections of a college-English paper, in part order; empty without part headings."""
     none = F.array().cast(f"array<{SECTION}>")
     entries = F.transform(cut(body, V.CET_PART), lambda p: F.struct(F.upper(F.regexp_extract(p, V.CET_PART, 1)).alias("k"), p.alias("v")))
-    parts = bind(entries, lambda es: F.struct(F.size(es).alias("n"), *[
-        F.try_element_at(F.filter(es, lambda e, k=k: e["k"] == k), F.lit(-1))["v"].alias(k) for k in ("I", "II", "III", "IV")]))  # the last of a number
+
+    def part(es: Column, number: str) -> Column:  # the last of a number
+        return F.try_element_at(F.filter(es, lambda e: e["k"] == number), F.lit(-1))["v"].alias(number)
+    parts = bind(entries, lambda es: F.struct(F.size(es).alias("n"), *[part(es, number) for number in ("I", "II", "III", "IV")]))
 
     def title(prefix: str, t: Column, pattern: str) -> Column:
         name = F.when(t.rlike(rf"\A{pattern}"), collapse(F.regexp_extract(t, pattern, 0))).otherwise("Practice")
