@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from gradeloom.llm.deobfuscate import sample_labels
 from gradeloom.llm.frames import NOT_SPACE, U, Texts, map_pieces, mix, pieces, written
 
-BUCKETS, FRACTION, SEED = 10_000, 0.8, 7
+BUCKETS, FRACTION, SEED = 10_000, 0.85, 7
 #: Labelled target texts read at most.
 TARGET_ROWS = 30_000
 #: Rows of the last histogram bin brought to the driver at most.

@@ -54,6 +54,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|iframe)\b([^>]*)>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Beginnings of names that mark the same in any compound.
+_MARKS = re.compile("cookie|advert|sidebar|newsletter|breadcrumb|sponsor")
 _SPACE = re.compile(r"\s+")
 _NUMBER = re.compile(r"\d+")
 
@@ -78,7 +80,7 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
                 names += [_NUMBER.sub("0", p) for p in parts]
                 if tag not in ("body", "html"):
                     words = {w for p in parts for w in re.split(r"[-_:.]+", p)}
-                    gone |= bool(words & (ASIDE_NAMES if tag in MAIN or words & MAIN else NAMES))
+                    gone |= bool(words & (ASIDE_NAMES if tag in MAIN or words & MAIN else NAMES)) or any(map(_MARKS.match, words))
             elif kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and "display:none" in value.replace(" ", ""):
                 gone = True
     return ".".join([tag, *sorted(names)]), gone
