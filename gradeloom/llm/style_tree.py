@@ -245,7 +245,8 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", name: str
     """``pages`` with ``name``: blocks of main text joined by blank lines."""
     pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() != name.lower()])
     host, low = free_name(pages.columns, "host"), free_name(pages.columns, "low")
-    marked = low_branches(pages, url, source, **options).select(F.col("host").alias(host), F.col("low").alias(low))
+    # Written first, so that Spark plans the join by the true size of the marks: small ones go to the pages, which then are not shuffled.
+    marked = written(low_branches(pages, url, source, **options), "low").select(F.col("host").alias(host), F.col("low").alias(low))
     met = pages.withColumn(host, host_of(F.col(url))).join(marked, host, "left")
     kept = pages.columns
 
