@@ -85,3 +85,25 @@ def test_top_k_is_limited_before_the_shuffle(spark):
 def test_no_pairing_joins(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+#: Shuffles and scans a plan may have at most.
+LIMITS = {"top_comments": (4, 3), "moderation_queue": (10, 9), "cascade_erase": (8, 8), "first_result_canonical": (2, 2), "first_result_fold": (1, 1),
+          "progress_stats": (3, 5), "scope_counts": (3, 6), "audit_papers": (11, 8), "parse_roundtrip": (6, 3), "parse_delimited": (3, 3),
+          "answer_targets": (0, 1), "bounded_bundles": (0, 1), "group_suggest": (2, 2)}
+
+
+@pytest.mark.parametrize("name", list(LIMITS))
+def test_shuffles_and_scans_are_bounded(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = sum(plan.count(f"Exchange {kind}") for kind in ("hashpartitioning", "rangepartitioning", "SinglePartition", "RoundRobin"))
+    texts = plan.count("REPARTITION_BY_NUM")  # dealing texts to tasks, which the test session asks for
+    assert shuffles - texts <= LIMITS[name][0] and plan.count("FileScan") <= LIMITS[name][1]
+
+
+def test_nine_terms_need_nine_hits(spark):
+    from gradeloom.operators import search
+    rows = [(str(i), "bank", "g", "c", " ".join("abcdefghi"[:8 + i]), "1", [("A", "x"), ("B", "y")]) for i in range(2)]
+    df = spark.createDataFrame(rows, "id string, bank_name string, group_name string, category string, stem string, source_number string, options array<struct<label:string,text:string>>")
+    found = search.search(search.search_index(df.withColumn("stem", F.concat(F.lit("zz "), "stem"))), "a b c d e f g h i", collation=None)
+    assert [r.id for r in found.select("id").collect()] == ["1"]
