@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import shared_dir
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
