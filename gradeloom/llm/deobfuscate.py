@@ -1,7 +1,8 @@
 """Toxicity of texts after undoing disguises: leetspeak, spacing, repetition.
 
 A disguised word is a lattice: each sign may stand for letters, for itself, or for nothing, and a
-run of one letter for one or two of it.  Viterbi finds the best path under a character trigram
+run of one letter or sign for one or two of it.  Every token that holds such a sign is decoded, of any length and
+number of letters; numbers are read too, and their readings weigh what the labels give them.  Viterbi finds the best path under a character trigram
 model counted over the training texts.  Plain words have one path and are taken as they are.
 
 Scoring reads words and word beginnings of the restored text.  Those whose document rates differ
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import math
 import re
 from collections import defaultdict
 
@@ -43,8 +45,11 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ODD = np.zeros(256, bool)
 _ODD[[b for c in STANDS_FOR for b in c.encode() if b < 128] + [ord(c) for c in ".-_"]] = True
-_EDGE = np.zeros(256, bool)
-_EDGE[[*range(0x30, 0x3A), ord("@"), ord("$")]] = True
+#: Where the inside of a token may begin and end: a letter or a sign that stands for one; a closing ``!`` is a mark.
+_SIGN = _LETTER.copy()
+_SIGN[[ord(c) for c in STANDS_FOR if ord(c) < 128]] = True
+_CLOSE = _SIGN.copy()
+_CLOSE[[ord(c) for c in "!("]] = False
 
 
 def sample_labels(labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -78,74 +83,132 @@ def letter_model(train: DataFrame) -> np.ndarray:
     return np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
 
 
-_SPELLED = re.compile(r"[^\W_](?:[.\-_*~ ]+[^\W_]){3,}")
+#: Letters that stand once each, or a run of one sign.
+_RUN = re.compile(r"(?:([^\W\d_])(?!\1))+|(.)\2*", re.S)
+#: Tokens up to this length are remembered; longer ones are decoded each time they come.
+_REMEMBERED = 64
+#: Letters of a spaced run that are read from each of its places on.
+_SPACED = 40
+_LEAD = re.compile(r"^[^\w@$]+")
+_TAIL = re.compile(r"([^\w\s@$])\1+$|[.,;:?!\"')\]]+$")
+_PLAIN = re.compile(r"[^\W\d_]+")
+_THRICE = re.compile(r"([^\W\d_])\1\1")
 
 
-def _ways(sign: str, run: int, last: bool) -> list[tuple[str, float]]:
-    """What a run of one sign may stand for, with log channel weights."""
+def _ways(sign: str, run: int, last: bool, full: bool = False) -> list[tuple[str, float]]:
+    """What a run of one sign may stand for, with log channel weights; ``full``: a sign that may be a letter is one."""
     if sign.isalpha():
         return [(sign, 0.0)] if run == 1 else [(sign * 2, -0.2), (sign, -2.0)] if run == 2 else [(sign, -1.0), (sign * 2, -1.5)]
-    ways = [("", -1.0 if sign not in STANDS_FOR else -2.0 if last else -9.0 if sign.isdigit() else -5.0)]
-    if sign in STANDS_FOR and run <= 2:
-        ways += [(c * run, -1.0 - np.log(len(STANDS_FOR[sign]))) for c in STANDS_FOR[sign]]
+    ways = [] if full and sign in STANDS_FOR else [("", -1.0 if sign not in STANDS_FOR else -2.0 if last else -9.0 if sign.isdigit() else -5.0)]
+    if sign in STANDS_FOR:
+        each = -1.0 - math.log(len(STANDS_FOR[sign]))
+        ways += [(c * n, each + w) for c in STANDS_FOR[sign] for n, w in ([(1, 0.0)] if run == 1 else [(2, 0.0), (1, -2.0)] if run == 2 else [(1, -1.0), (2, -1.5)])]
     return ways
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest plain word behind a token, by Viterbi over states of the last two letters."""
+def restore(token: str, model: np.ndarray, full: bool = False) -> str:
+    """The likeliest plain word behind a token, by Viterbi over states of the last two letters.
+
+    Where one state is left all paths share what lies before it, which is then settled, so time and memory grow
+    with the length of the token only.
+    """
     token = token.lower()
-    runs = [(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
+    settled: list[str] = []
 
     def code(c: str) -> int:
         return ord(c) - 96 if "a" <= c <= "z" else 27
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for i, (sign, run) in enumerate(runs):
-        fresh: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
-            for letters, weight in _ways(sign, run, i == len(runs) - 1):
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # score, (path before, letters)
+
+    def spelled(path: tuple | None) -> str:
+        out = []
+        while path:
+            out.append(path[1])
+            path = path[0]
+        return "".join(reversed(out))
+
+    def step(sign: str, run: int, last: bool) -> None:
+        nonlocal states
+        ways = _ways(sign, run, last, full)
+        fresh: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
+            for letters, weight in ways:
                 x, y, s = a, b, score + weight
                 for c in letters:
                     k = code(c)
                     s += float(model[x, y, k])
                     x, y = y, k
                 if (x, y) not in fresh or fresh[x, y][0] < s:
-                    fresh[x, y] = (s, text + letters)
+                    fresh[x, y] = (s, (path, letters) if letters else path)
         states = fresh
-    return max(states.items(), key=lambda kv: (kv[1][0] + float(model[kv[0][0], kv[0][1], 0]), kv[1][1]))[1][1]
+        if len(states) == 1:
+            (key, (_, path)), = states.items()
+            settled.append(spelled(path))
+            states = {key: (0.0, None)}
+
+    for m in _RUN.finditer(token):
+        last, part = m.end() == len(token), m[0]
+        if m[2] is not None:
+            step(m[2], len(part), last)
+            continue
+        at = 0
+        while at < len(part):
+            if len(states) == 1 and len(part) - at > 2 and part.isalpha():  # single letters have one way, so the rest follows at once
+                settled.append(part[at:])
+                states = {(code(part[-2]), code(part[-1])): (0.0, None)}
+                break
+            step(part[at], 1, last and at == len(part) - 1)
+            at += 1
+    ends = {k: v[0] + float(model[k[0], k[1], 0]) for k, v in states.items()}
+    best = max(ends.values())
+    return "".join(settled) + max(spelled(states[k][1]) for k, s in ends.items() if s == best)
 
 
 class Restorer:
     def __init__(self, model: np.ndarray):
-        self.word = functools.lru_cache(1 << 16)(lambda t: self._word(t, model))
+        self.short = functools.lru_cache(1 << 16)(lambda t: self._readings(t, model))
+        self.model = model
+
+    def words(self, token: str) -> tuple[str, ...]:
+        """What a token may say: without the marks before it, and with a sign among them read as a letter; the likeliest
+        word, and the likeliest one that drops no sign for a letter, since in words all of signs many may seem to be noise."""
+        return self.short(token) if len(token) <= _REMEMBERED else self._readings(token, self.model)
+
+    def word(self, token: str) -> str:
+        return next(iter(self.words(token)), "")
 
     @staticmethod
-    def _word(token: str, model: np.ndarray) -> str:
-        core = re.sub(r"^[^\w@$]+|([^\w\s])\1+$|[.,;:?!\"')\]]+$", "", token)  # marks around a word, repeated ones at its end
-        letters = sum(c.isalpha() for c in core)
-        odd = any(not c.isalpha() for c in core)
-        if letters < 2 or len(core) > 40 or not (odd or re.search(r"([^\W\d_])\1\1", core)) or "=" in core or core.count("@") + core.count(".") > 1 and not _SPELLED.fullmatch(core):
-            return ""
-        return restore(core, model)
+    def _readings(token: str, model: np.ndarray) -> tuple[str, ...]:
+        whole = _TAIL.sub("", token)
+        core = _LEAD.sub("", whole)
+        cores = [core] if any(not c.isalpha() for c in core) or _THRICE.search(core) else []
+        if core and len(whole) > len(core) and whole[-len(core) - 1] in STANDS_FOR:
+            cores.append(whole[-len(core) - 1:])
+        plain = {"", *_PLAIN.findall(token.lower())} if cores else ()  # these are read as words anyway
+        ways = [(c, full) for c in cores for full in (False, True) if not full or not STANDS_FOR.keys().isdisjoint(c)]
+        return tuple(dict.fromkeys(w for w in (restore(c, model, full) for c, full in ways) if w not in plain))
 
     def extra(self, words: Words) -> tuple[list[int], list[str]]:
         """(text, word) of what disguised tokens stand for."""
         data = words.data
-        odd = np.concatenate([[0], np.cumsum(_ODD[data])])
+        sign = _ODD[data]
+        if len(data) > 2:  # the signs of two and three bytes
+            sign[:-1] |= (data[:-1] == 0xC2) & (data[1:] == 0xA3)
+            sign[:-2] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)
+        odd = np.concatenate([[0], np.cumsum(sign)])
         same = np.zeros(len(data), bool)
         if len(data) > 2:
             same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
-        thrice, letters = np.concatenate([[0], np.cumsum(same)]), np.concatenate([[0], np.cumsum(_LETTER[data])])
+        thrice = np.concatenate([[0], np.cumsum(same)])
         s, e = words.starts, words.ends
-        held = letters[e] - letters[s] > 1
-        at = np.flatnonzero(_LETTER[data])
-        if len(at):  # signs between the first and the last letter of a token, or one letter-like sign before or after
-            low, high = at[np.minimum(letters[s], len(at) - 1)], at[np.maximum(letters[e] - 1, 0)] + 1
-            edge = ((low - s == 1) & _EDGE[data[s]]) | ((e - high == 1) & _EDGE[data[e - 1]])
-            held &= ((odd[np.minimum(high, len(data))] > odd[np.minimum(low, len(data))]) & (high > low)) | edge | (thrice[e] > thrice[s])
+        held = thrice[e] > thrice[s]
+        opens, closes = np.flatnonzero(_SIGN[data]), np.flatnonzero(_CLOSE[data])
+        if len(opens) and len(closes):  # signs between the first and the last letter, or sign for one, of a token
+            low = opens[np.minimum(np.searchsorted(opens, s), len(opens) - 1)]
+            high = closes[np.maximum(np.searchsorted(closes, e) - 1, 0)] + 1
+            held |= (high > low) & (low >= s) & (high <= e) & (odd[high] > odd[np.minimum(low, high)])
         owner, out = [], []
         for i in np.flatnonzero(held).tolist():
-            w = self.word(data[s[i]:e[i]].tobytes().decode("utf-8", "replace"))
-            if w:
+            for w in self.words(data[s[i]:e[i]].tobytes().decode("utf-8", "replace")):
                 owner.append(int(words.text[i]))
                 out.append(w)
         single = np.flatnonzero((e - s == 1) & (_LETTER | _ODD)[data[np.minimum(s, max(len(data) - 1, 0))]] if len(s) else np.zeros(0, bool))
@@ -153,14 +216,14 @@ class Restorer:
         first, last = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(single)]])
         for low, high in zip(first[last - first >= 4], last[last - first >= 4]):
             run = single[low:high]
-            joined = self.join("".join(chr(data[s[i]]) for i in run))
-            for k in range(max(1, len(joined) - 3)):  # words inside the run are read by their beginnings
-                owner.append(int(words.text[run[0]]))
-                out.append(joined[k:])
+            for joined in self.join("".join(chr(data[s[i]]) for i in run)):
+                for k in range(max(1, len(joined) - 3)):  # words inside the run are read by their beginnings
+                    owner.append(int(words.text[run[0]]))
+                    out.append(joined[k:k + _SPACED])
         return owner, out
 
-    def join(self, text: str) -> str:
-        return self.word(text) or text.lower()
+    def join(self, text: str) -> tuple[str, ...]:
+        return self.words(text) or (text.lower(),)
 
 
 def _letters(texts: Texts) -> Words:

@@ -284,6 +284,20 @@ def test_restores_disguises(shared):
     assert not {"end", "the", "word", "plain"} & set(found)
 
 
+def test_restores_tokens_of_any_length_and_letters(shared):
+    docs = shared.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    restorer = deobfuscate.Restorer(deobfuscate.letter_model(docs))
+
+    def found(text):
+        return restorer.extra(Texts(pa.array([text])).words(NOT_SPACE))[1]
+    for token, word in (("1d107", "idiot"), ("1053r", "loser"), ("10$3r", "loser"), ("s" + "t" + "u" * 60 + "pid", "stupid"), ("-----------".join("stupid"), "stupid"),
+                        ("i.d.!.o.t", "idiot"), ("m.o.r.@.n", "moran"), ("id111ot", "idiot"), ("l000ser", "loser"), ("!d10t", "idiot"), ("tr\u20acsh", "tresh")):
+        assert word in found(f"so {token} it is"), (token, found(token))
+    run = found(" ".join("youaresuchan1d10tandalsoabigl0serandmanyotherthingsthatwewillnotname"))
+    assert {w[:5] for w in run} >= {"idiot", "loser"}
+    assert restorer.word("ab1" * 40_000)
+
+
 def test_toxicity_held_out(shared):
     labels = {r.doc_id: r.toxic for r in shared.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = [r for r in QUERIES["op7_toxicity"](shared, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
