@@ -7,9 +7,10 @@ the entropy of its layouts and contents over the pages that show it, scaled by t
 their number: branches that look and read alike everywhere are near 0, articles are near 1.
 
 A page keeps the branches of its article.  What lies in elements that never hold main text
-(scripts, forms, navigation, ...) or carries a name of such parts goes first, because readers'
-comments and adverts differ from page to page as articles do; then branches of low importance in
-the host's tree go.  Hosts with fewer than ``least_pages`` pages have no importance to judge by.
+(scripts, forms, navigation, ...) goes first, and so do containers with a whole name of such parts,
+because readers' comments and adverts differ from page to page as articles do; headings, paragraphs
+and other content never go by a name, and inside an article only names of comments, adverts and
+links to other pages count.  Then branches of low importance in the host's tree go.  Hosts with fewer than ``least_pages`` pages have no importance to judge by.
 
 Only hashes per (host, node, page) are shuffled, distinct ones by task.  A host with any number of pages is one row of marked nodes, joined to pages by host with
 the larger side split where a host is hot.
@@ -37,14 +38,20 @@ LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 4
 
 #: Elements without main text.
 DROPPED = frozenset("head script style noscript template nav header footer aside form button select option input textarea iframe object embed svg canvas "
-                    "menu dialog audio video map math".split())
-#: Parts of class, id and role names that mark the same.
+                    "menu dialog audio video".split())
+#: Class, id and role names that mark the same.
 NAMES = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus "
                   "footer form header login menu modal nav navbar navigation newsletter notice notification pagination popup promo promotion related "
                   "replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets "
                   "alert complementary contentinfo search masthead teaser recommended".split())
 #: Of these, the ones that also mark an article element as no main text.
 ASIDE_NAMES = frozenset("ad ads advert advertisement comment comments promo promotion related replies reply sponsor sponsored teaser".split())
+#: Words that may stand beside these in a name, as in ``site-footer``; a name with any other word is its own.
+_PLACES = frozenset("site list area box bar wrapper wrap container links inner outer global posts articles button buttons".split())
+#: Names that mark such a part inside an article too.
+INSIDE_NAMES = ASIDE_NAMES | frozenset("share sharing social subscribe signup newsletter breadcrumb breadcrumbs cookie cookies consent pagination popup".split())
+#: Elements that may be such a part; headings, paragraphs and other content never go by a name.
+PARTS = frozenset("address center details div dl fieldset figure li ol section table tbody td tr ul span a ins".split())
 #: Elements that hold the main text; a page with any keeps nothing outside them.
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -54,8 +61,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|iframe)\b([^>]*)>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: Beginnings of names that mark the same in any compound.
-_MARKS = re.compile("cookie|advert|sidebar|newsletter|breadcrumb|sponsor")
+#: Compounds in one word that mark the same.
+_MARKS = re.compile("(?:cookie|advert|sidebar|newsletter|breadcrumb|sponsor)(?:s|ed|ing|bar|box|banner|notice|consent|wrap|wrapper|list|left|right|[0-9])*")
 _SPACE = re.compile(r"\s+")
 _NUMBER = re.compile(r"\d+")
 
@@ -69,8 +76,19 @@ class Node:
         self.text: list[tuple[int, str]] = []  # (number of children before it, text)
 
 
-def _style(tag: str, attributes: str) -> tuple[str, bool]:
-    """Name of the element in a style path, and whether it goes by its element or names."""
+def _marks(name: str, names: frozenset[str]) -> bool:
+    """Whether a whole name says that its element is such a part."""
+    words = [w for w in re.split(r"[-_:.]+", name) if w]
+    marks = [w in names or _MARKS.fullmatch(w) is not None for w in words]
+    return any(marks) and all(m or w in _PLACES for w, m in zip(words, marks))
+
+
+def _style(tag: str, attributes: str, inside: bool = False) -> tuple[str, bool]:
+    """Name of the element in a style path, and whether it goes by its element or names.
+
+    Inside an article only whole names of readers' comments, adverts, notices and links to other pages count, and no id:
+    these differ from page to page, so the tree cannot tell them from text.  Any other name there is left to the tree.
+    """
     names, gone = [], tag in DROPPED
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -78,9 +96,12 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
             if kind in ("class", "id", "role"):
                 parts = value.split()
                 names += [_NUMBER.sub("0", p) for p in parts]
-                if tag not in ("body", "html"):
-                    words = {w for p in parts for w in re.split(r"[-_:.]+", p)}
-                    gone |= bool(words & (ASIDE_NAMES if tag in MAIN or words & MAIN else NAMES)) or any(map(_MARKS.match, words))
+                if inside:
+                    gone |= (tag in PARTS or tag in MAIN) and kind != "id" and any(_marks(p, ASIDE_NAMES if tag in MAIN else INSIDE_NAMES) for p in parts)
+                elif tag in MAIN:
+                    gone |= kind != "id" and any(_marks(p, ASIDE_NAMES) for p in parts)
+                elif tag in PARTS:
+                    gone |= any(_marks(p, NAMES) for p in parts)
             elif kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and "display:none" in value.replace(" ", ""):
                 gone = True
     return ".".join([tag, *sorted(names)]), gone
@@ -118,7 +139,7 @@ def parse(source: str) -> Node:
         if tag == "br":
             parent.text.append((len(parent.children), " "))
             continue
-        name, gone = _style(tag, m[5])
+        name, gone = _style(tag, m[5], parent.inside)
         gone |= parent.dropped
         node = Node(tag, name, f"{parent.key}/{name}" if tag in BLOCKS else parent.key, gone, parent.inside or tag in MAIN and not gone)
         parent.children.append(node)

@@ -395,6 +395,17 @@ def test_page_blocks():
     assert style_tree.blocks(style_tree.parse("<div>plain <b>x</b> &lt;b&gt; 3 < 4 & 5</div>text"), set(), None) == ["plain x <b> 3 < 4 & 5", "text"]
 
 
+@pytest.mark.parametrize("part", ['<h2 id="search">kept</h2>', '<h2 id="related-work">kept</h2>', '<section id="related-work"><p>kept</p></section>',
+                                  '<div class="section-header"><h2>kept</h2></div>', '<p class="form-factor">kept</p>', '<p class="notice">kept</p>',
+                                  '<p><math><mi>kept</mi></math></p>', '<div class="widget"><p>kept</p></div>', '<div class="cookies-recipe"><p>kept</p></div>'])
+def test_names_leave_article_text(part):
+    page = style_tree.parse(f'<body><article><h1>a</h1>{part}<div class="comments">no</div><p>b</p></article><div class="site-footer">no</div></body>')
+    assert style_tree.blocks(page, set(), None) == ["a", "kept", "b"]
+    if "widget" not in part:
+        plain = style_tree.parse(f'<body><div class="x">{part}</div><div id="comments">no</div><div class="site-footer">no</div><ul class="nav"><li>no</ul></body>')
+        assert style_tree.blocks(plain, set(), None) == ["kept"]
+
+
 def test_low_branches_go(shared):
     pages = [(i, f"http://h.example/{i}", f"<body><div class='x'>top {'same' if i % 10 else 'other'}</div><div class='y'><p>Text number {i} here</p></div><div class='z'>always</div></body>") for i in range(40)]
     pages += [(100, None, None), (101, "", ""), (102, "http://alone.example/", "<p>only page</p>")]
