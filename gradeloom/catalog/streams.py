@@ -41,6 +41,28 @@ def stream_change_batches(t: Tables):
     return out.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("push_at").alias("push_us"), "changes")
 
 
+def events_now(t: Tables):
+    """The rows that ``stream_events`` drains, as a batch."""
+    return t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("stream_daily_usage_whole", """SELECT user_id, usage_day, least(n, 3) AS request_count, greatest(n - 3, 0) AS denied
+FROM (SELECT user_id, CAST(ts AS DATE) AS usage_day, count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE))""")
+def stream_daily_usage_whole(t: Tables):
+    """All days: the closed ones from the stream, those still open when it is drained from a batch tail."""
+    return windows.whole_usage(stream_daily_usage(t), events_now(t), "user_id", "ts", 3)
+
+
+@query("stream_change_batches_whole", """WITH x AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+y AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM x)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 14400000000 AS push_us, count(*) AS changes FROM y GROUP BY user_id, run""")
+def stream_change_batches_whole(t: Tables):
+    """All bursts, the last one of every user included."""
+    pushed = drain(windows.change_batches(stream_events(t), "user_id", "ts", "4 hours"), "bursts")
+    out = windows.whole_batches(pushed, events_now(t), "user_id", "ts", "4 hours")
+    return out.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("push_at").alias("push_us"), "changes")
+
+
 @query("stream_throttle", THROTTLE_SQL.format(w=86_400_000_000, k=2).replace("SELECT user_id, event_id, accepted FROM s", "SELECT user_id::VARCHAR AS key, event_id AS seq, accepted FROM s"))
 def stream_throttle(t: Tables):
     requests = stream_events(t).select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"))

@@ -1,0 +1,24 @@
+"""Whole results of windowed streams: what is closed and what is still open when they are drained."""
+
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from gradeloom.streaming import windows
+
+ROWS = [(1, datetime(2024, 1, 1, 9)), (1, datetime(2024, 1, 1, 10)), (1, datetime(2024, 1, 2, 9)), (2, datetime(2024, 1, 2, 9)), (2, datetime(2024, 1, 2, 9, 30))]
+
+
+def test_open_days_are_kept(spark):
+    rows = spark.createDataFrame(ROWS, "u long, ts timestamp")
+    closed = spark.createDataFrame([(1, date(2024, 1, 1), 1, 1)], "u long, usage_day date, request_count long, denied long")
+    got = {tuple(r) for r in windows.whole_usage(closed, rows, "u", "ts", 1).collect()}
+    assert got == {(1, date(2024, 1, 1), 1, 1), (1, date(2024, 1, 2), 1, 0), (2, date(2024, 1, 2), 1, 1)}
+
+
+def test_open_bursts_are_kept(spark):
+    rows = spark.createDataFrame(ROWS, "u long, ts timestamp")
+    pushed = spark.createDataFrame([(1, datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 14), 2)], "u long, first_at timestamp, push_at timestamp, changes long")
+    out = windows.whole_batches(pushed, rows, "u", "ts", "4 hours")
+    got = {(r.u, r.first, r.changes) for r in out.select("u", F.hour("first_at").alias("first"), "changes").collect()}
+    assert out.count() == 3 and got == {(1, 9, 2), (1, 9, 1), (2, 9, 2)}
