@@ -9,8 +9,8 @@ Cursors run over all texts of a piece at once, long texts being cut into lanes t
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has
 no window and is never found; an item of fewer words than the window is one shorter window;
 items with equal windows are all reported; repeated rows each get their row; extra columns
-stay. Items with a
-null id are left out.
+stay. Windows of items with a
+null id count as hits, but the items are not listed.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def windows_of(items: DataFrame, window: int = WINDOW, text: str = "text", item_
             out += [(ids[i], size, b" ".join(w[k:k + size])) for k in range(len(w) - size + 1) if size]
         return pa.RecordBatch.from_arrays(
             [pa.array([o[j] for o in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.binary()))], ["item", "length", "window"])
-    plain = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    plain = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
     return map_pieces(plain, cut, "item string, length int, window binary").distinct()
 
 
@@ -118,7 +118,9 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: st
     for k in range(passes):
         by_length: dict[int, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
         for r in table.where(F.pmod("slot", F.lit(passes)) == k).collect():  # about pass_windows rows
-            by_length[r.length][bytes(r.window)].append(r.item)
+            named = by_length[r.length][bytes(r.window)]
+            if r.item is not None:  # windows of items without an id are hits of no listed item
+                named.append(r.item)
         handle = spark.sparkContext.broadcast({n: dict(p) for n, p in by_length.items()})
         out = _one_pass(out, handle, f"{uuid.uuid4()}", text, found)
         if k + 1 < passes:

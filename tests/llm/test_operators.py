@@ -207,6 +207,14 @@ def test_windows_of_odd_rows(shared, odd, empty):
     assert none.where("contaminated").count() == 0 and none.count() == len(ODD)
 
 
+def test_items_without_id_hit(shared):
+    docs = shared.createDataFrame([(1, "all of alpha beta here"), (2, "gamma delta"), (3, "nothing")], "doc_id long, text string")
+    items = shared.createDataFrame([(None, "alpha beta"), (None, "gamma delta"), (7, "gamma delta")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r.items_sha256) for r in wu_manber.find_items(docs, items).collect()}
+    none, seven = (hashlib.sha256(b).hexdigest() for b in (b"", b"7"))
+    assert got == {1: (2, 0, True, none), 2: (2, 1, True, seven), 3: (0, 0, False, none)}
+
+
 def test_passes_agree(shared):
     docs, items = (shared.read.parquet(f"{SF}/{t}.parquet").select(k, "text") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     columns = ["doc_id", "n_hit", "n_items", "items_sha256"]
