@@ -14,12 +14,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradeloom.session import shared_dir
 
 PIECE_BYTES = 1 << 19
+#: Texts longer than this are read in slices by the operators that can.
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -73,9 +76,50 @@ class Texts:
         self.offsets = self.offsets - low
         self.size = len(column)
 
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Texts:
+        self = cls.__new__(cls)
+        self.data, self.offsets, self.size = data, offsets, len(offsets) - 1
+        return self
+
     def words(self, table: np.ndarray, lower: bool = False) -> Words:
         return Words(self, table, lower)
 
+    def slices(self, table: np.ndarray, carry: int = 0, limit: int = SLICE_BYTES) -> Iterator[tuple[Texts, int, int]]:
+        """(texts, number of the first one here, words carried over) of about ``limit`` bytes each.
+
+        Short texts stay whole and go together.  A longer text is cut between words; every slice but its first
+        begins with the last ``carry`` words of the slices before.
+        """
+        low = 0
+        while low < self.size:
+            high = max(low + 1, int(np.searchsorted(self.offsets, self.offsets[low] + limit, "right")) - 1)
+            if self.offsets[high] - self.offsets[low] > limit:
+                yield from self._cut(low, table, carry, limit)
+            else:
+                yield Texts.of(self.data[self.offsets[low]:self.offsets[high]], self.offsets[low:high + 1] - self.offsets[low]), low, 0
+            low = high
+
+    def _cut(self, i: int, table: np.ndarray, carry: int, limit: int) -> Iterator[tuple[Texts, int, int]]:
+        start = at = int(self.offsets[i])
+        end, carried = int(self.offsets[i + 1]), 0
+        while at < end:
+            stop = min(at + limit, end)
+            if stop < end:
+                gaps = np.flatnonzero(~table[self.data[at:stop]])
+                if len(gaps):
+                    stop = at + int(gaps[-1]) + 1
+                while not len(gaps) and stop < end:  # one word longer than a slice
+                    gaps = np.flatnonzero(~table[self.data[stop:stop + limit]])
+                    stop = stop + int(gaps[0]) if len(gaps) else min(stop + limit, end)
+            here = self.data[start:stop]
+            yield Texts.of(here, np.array([0, len(here)])), i, carried
+            inside = table[here]
+            first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+            carried = min(carry, len(first))
+            start = start + int(first[-carried]) if carried else stop
+            at = stop
+
     def raw(self, i: int) -> bytes:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 
@@ -170,6 +214,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with a 1-based ``name`` in the given order.
+
+    Rows are numbered inside sorted range partitions, one row per partition gives the offsets, so no task holds every row.
+    """
+    at, part, before = (free_name([*df.columns, name], c) for c in ("at", "part", "before"))
+    spread = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    spread = spread.withColumn(part, F.shiftright(at, 33))
+    sizes = spread.groupBy(part).agg(F.count(F.lit(1)).alias(before))
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return spread.join(sizes, part).withColumn(name, F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at, part, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import (chosen_path, deobfuscate, importance_resample, kneser_ney, language_bits, personal_data, quality_trees,
-                           source_mix, style_tree, wu_manber)
+from gradeloom.llm import (chosen_path, crc_resample, deobfuscate, importance_resample, kneser_ney, language_bits, packing, personal_data,
+                           quality_trees, source_mix, style_tree, wu_manber)
 from gradeloom.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,44 @@ def quality_rules(spark, sf_dir):
     judged = quality_trees.judge(docs, quality_trees.train(docs, table(spark, sf_dir, "labels")))
     failed = quality_trees.base_failed()
     return judged.select("doc_id", *quality_trees.COUNTS, failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality")
+
+
+@query("op12_pack_sequences")
+def pack_sequences(spark, sf_dir):
+    """Pieces of all documents packed into sequences of at most 2048 ids."""
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+CRC_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+target_words AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+runs AS (SELECT unnest([1, 2, 3]) AS k),
+raw AS (SELECT doc_id, array_to_string(w[p:p + k - 1], ' ') AS feature FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM words, runs)),
+target AS (SELECT array_to_string(w[p:p + k - 1], ' ') AS feature FROM (SELECT w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM target_words, runs)),
+features AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM raw UNION SELECT feature FROM target)),
+hashed AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(generate_series(1, len(h) // 2), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT)),
+             lambda state, byte: xor(state >> 8, list_reduce([xor(state, byte) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, step: xor(x >> 1, 3988292384 * (x & 1))))),
+             4294967295) % 10000 AS bucket FROM features),
+raw_counts AS (SELECT bucket, count(*) AS s FROM raw JOIN hashed USING (feature) GROUP BY bucket),
+target_counts AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (feature) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM raw) + 10000)::DOUBLE)
+                                   / ((s + 1)::DOUBLE * ((SELECT count(*) FROM target) + 10000)::DOUBLE)))::BIGINT AS gain FROM raw_counts LEFT JOIN target_counts USING (bucket)),
+sums AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM raw JOIN hashed USING (feature) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT)::BIGINT AS score
+           FROM words LEFT JOIN sums USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op13_crc_resample", CRC_SQL)
+def crc_resampled(spark, sf_dir):
+    """Features, importance weight and score of every document, and the rank of the drawn ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = crc_resample.weighed(docs, crc_resample.gains(docs, table(spark, sf_dir, "benchmark")))
+    return crc_resample.drawn(scored).select("doc_id", "n_features", "weight", "score", "rank")
