@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import (chosen_path, crc_resample, deobfuscate, importance_resample, kneser_ney, language_bits, packing, personal_data,
-                           quality_trees, source_mix, style_tree, wu_manber)
+from gradeloom.llm import (bit_slices, chosen_path, crc_resample, deobfuscate, importance_resample, kneser_ney, language_bits, packing,
+                           personal_data, quality_trees, source_mix, style_tree, wu_manber)
 from gradeloom.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,27 @@ def crc_resampled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = crc_resample.weighed(docs, crc_resample.gains(docs, table(spark, sf_dir, "benchmark")))
     return crc_resample.drawn(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+RANK_SQL = r"""
+WITH doc_terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+item_terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS held FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, totals GROUP BY term, docs),
+spread AS (SELECT doc_id, 50 + (50 * n * docs) // held AS m FROM sizes, totals),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+           FROM item_terms JOIN counts USING (term) JOIN weights USING (term) JOIN spread USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored
+WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query("op11_lexical_search", RANK_SQL)
+def lexical_search(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bit_slices.search(bit_slices.build_index(docs), docs, table(spark, sf_dir, "benchmark"))
