@@ -8,7 +8,8 @@ room below it) finds that sequence in one walk from the root.
 
 Tokenising: a byte-level pre-tokeniser never joins a visible character with white space after it, so
 texts fall into chunks of white space and what follows, and each distinct chunk of a slice is
-tokenised once; its ids are scattered back to all places that hold it.
+tokenised once; its ids are scattered back to all places that hold it.  Chunks of earlier slices are
+remembered, up to a bound, and told apart by their bytes.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; ids of
 documents may be null or equal; an empty table gives no rows; strings that look like special tokens
@@ -37,6 +38,53 @@ SEQUENCE, END_ID = 2048, 1
 GROUP = 8192
 #: Bytes of text whose distinct chunks are tokenised together.
 SLICE = 1 << 21
+#: Bytes of chunks that a worker remembers, and of one such chunk.
+MEMORY, CHUNK = 1 << 23, 48
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Memory:
+    """Ids of chunks seen before, found by hash and compared by bytes."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.data, self.ids = np.zeros(0, U), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.at, self.size, self.first, self.count = (np.zeros(0, np.int64) for _ in range(4))
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Place of each chunk, -1 for those not known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.searchsorted(self.hashes, hashes)
+        place[place == len(self.hashes)] = 0
+        maybe = np.flatnonzero((self.hashes[place] == hashes) & (self.size[place] == sizes))
+        size = sizes[maybe]
+        same = self.data[ranges(self.at[place[maybe]], size)] == data[ranges(starts[maybe], size)]
+        hit = maybe[np.logical_and.reduceat(same, np.cumsum(size) - size)] if len(maybe) else maybe
+        out = np.full(len(hashes), -1)
+        out[hit] = place[hit]
+        return out
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(self.data) > MEMORY:
+            self.clear()
+        short = np.flatnonzero(sizes <= CHUNK)
+        first = np.cumsum(counts) - counts
+        taken = counts[short]
+        at, own = np.cumsum(sizes[short]) - sizes[short] + len(self.data), np.cumsum(taken) - taken + len(self.ids)
+        self.data = np.concatenate([self.data, data[ranges(starts[short], sizes[short])]])
+        self.ids = np.concatenate([self.ids, ids[ranges(first[short], taken)]])
+        merged = np.concatenate([self.hashes, hashes[short]])
+        order = np.argsort(merged, kind="stable")
+        self.hashes = merged[order]
+        self.at, self.size, self.first, self.count = (np.concatenate(p)[order] for p in (
+            (self.at, at), (self.size, sizes[short]), (self.first, own), (self.count, taken)))
 
 
 class Encoder:
@@ -51,6 +99,7 @@ class Encoder:
         #: bytes of every id: a vocabulary string has one character for each
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.size[list(vocabulary.values())] = [len(v) for v in vocabulary]
+        self.memory = Memory()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,7 +114,7 @@ class Encoder:
             own[i], counts[i] = np.array(ids, np.uint32), len(ids)
         row = np.flatnonzero(plain)
         size = (ends - starts)[row]
-        text = data[np.repeat(starts[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes().decode()
+        text = data[ranges(starts[row], size)].tobytes().decode()
         ids = np.array(self.encode([text])[0] if text else [], np.uint32)
         until = np.concatenate([[0], np.cumsum(self.size[ids])])
         cuts = np.searchsorted(until, np.concatenate([[0], np.cumsum(size)]))
@@ -102,15 +151,22 @@ class Encoder:
         return (flat[a:b] for a, b in zip(at, at[1:]))
 
     def _slice(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        hashes = Words(Texts.of(data, np.array([0, len(data)])), NOT_SPACE, False).hash_of(starts, ends)
-        _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes, first, number = np.unique(Words(Texts.of(data, np.array([0, len(data)])), NOT_SPACE, False).hash_of(starts, ends),
+                                          return_index=True, return_inverse=True)
         size, same = ends - starts, first[number]
         if (size != size[same]).any() or (data != data[np.arange(len(data)) - np.repeat(starts - starts[same], size)]).any():
             yield self.chunk_ids(data, starts, ends)  # two chunks share a hash: tokenise every one
             return
-        ids, count = self.chunk_ids(data, starts[first], ends[first])
-        at, counts = (np.cumsum(count) - count)[number], count[number]
-        yield ids[np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], counts
+        starts, size = starts[first], size[first]
+        place = self.memory.find(hashes, data, starts, size)
+        known, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        ids, count = self.chunk_ids(data, starts[new], starts[new] + size[new])
+        counts, at = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        counts[new], at[new] = count, np.cumsum(count) - count
+        counts[known], at[known] = self.memory.count[place[known]], self.memory.first[place[known]] + len(ids)
+        every = np.concatenate([ids, self.memory.ids])
+        self.memory.add(hashes[new], data, starts[new], size[new], ids, count)
+        yield every[ranges(at[number], counts[number])], counts[number]
 
 
 @functools.lru_cache(maxsize=2)

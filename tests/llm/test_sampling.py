@@ -41,9 +41,20 @@ def test_chunks_give_the_ids_of_whole_texts(monkeypatch):
     plain = Tokenizer.from_file(TOKENS)
     texts = ["", " ", "  a", "a  ", "don't  I'll\n\n\tgo", *odd_texts(4), *[r * 40 for r in odd_texts(5, 20)]]
     want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
-    for size in (1 << 21, 50):
+    for size, memory in ((1 << 21, 1 << 23), (50, 1 << 23), (50, 40)):
         monkeypatch.setattr(packing, "SLICE", size)
-        assert [i.tolist() for i in packing.encoder(TOKENS)(Texts(pa.array(texts)))] == want
+        monkeypatch.setattr(packing, "MEMORY", memory)
+        encode = packing.Encoder(TOKENS)
+        for _ in range(2):  # the second time from memory
+            assert [i.tolist() for i in encode(Texts(pa.array(texts)))] == want
+
+
+def test_chunks_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(packing.Words, "hash_of", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = ["one two three", "four five", "one", "x  y"]
+    encode = packing.Encoder(TOKENS)
+    for _ in range(2):
+        assert [i.tolist() for i in encode(Texts(pa.array(texts)))] == [ids_of(t) for t in texts]
 
 
 def test_special_strings_are_ordinary_text():
