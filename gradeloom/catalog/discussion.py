@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog import Tables, query
 from gradeloom.catalog.adapters import K, events
-from gradeloom.operators import community, quota
+from gradeloom.operators import community, limiter, quota
 from gradeloom.session import shared_dir
 from gradeloom.sources import tables
 
@@ -159,7 +159,8 @@ SELECT user_id, event_id, accepted FROM s"""
 
 @query("throttle_accept", THROTTLE_SQL.format(w=86_400_000_000, k=2))
 def throttle_accept(t: Tables):
-    return quota.accepted_requests(events(t), ["user_id"], "ts", "event_id", 2, 86_400_000_000).select(
+    """Two requests a day and user; a slice of a user's week is one task's work."""
+    return limiter.accepted_requests(events(t), ["user_id"], "ts", "event_id", 2, 86_400_000_000, slice_windows=7).select(
         "user_id", "event_id", "accepted")
 
 

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gradeloom import fixed as V
@@ -65,36 +60,6 @@ def idle_runs(requests: DataFrame, keys: list[str], micros: str, seq: str, gap_u
     return rows.withColumn("run", run).drop("_slice", "_local", "_first", "_open")
 
 
-def accepted_requests(requests: DataFrame, keys: list[str], ts: str, seq: str, limit: int,
-                      window_us: int) -> DataFrame:
-    """Sliding-window limiter: only accepted requests count against the limit.
-
-    A pause of a whole window empties the limiter, so each run between such pauses is
-    judged on its own; tasks read their runs in time order and hold ``limit`` stamps.
-    """
-    rows = idle_runs(requests.withColumn("_us", F.unix_micros(ts)), keys, "_us", seq, window_us)
-    rows = rows.withColumn("_run_key", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys],
-                                                   F.col("run").cast("string")))
-    ordered = rows.repartition("_run_key").sortWithinPartitions("_run_key", "_us", seq)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, deque(maxlen=limit)
-        for batch in batches:
-            verdicts = []
-            for run, at in zip(batch["_run_key"], batch["_us"]):
-                if run != key:
-                    key = run
-                    kept.clear()
-                ok = len(kept) < limit or at - kept[0] >= window_us
-                if ok:
-                    kept.append(at)
-                verdicts.append(ok)
-            yield batch.assign(accepted=verdicts)
-
-    schema = StructType([*ordered.schema.fields, StructField("accepted", BooleanType())])
-    return ordered.mapInPandas(judge, schema).drop("_us", "_run_key", "run")
-
-
 def change_batches(changes: DataFrame, user: str, ts: str, seq: str, gap_us: int) -> DataFrame:
     """Bursts of changes: one batch per stretch whose pauses are shorter than ``gap_us``."""
     rows = idle_runs(changes.withColumn("_us", F.unix_micros(ts)), [user], "_us", seq, gap_us)

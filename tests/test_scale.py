@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from gradeloom import catalog
 from gradeloom.functions import privacy
-from gradeloom.operators import quota, reading
+from gradeloom.operators import limiter, quota, reading
 from gradeloom.plans import scale
 
 catalog.load()
@@ -47,7 +47,7 @@ def test_bounded_lookback_equals_plain_window(spark):
 def test_limiter(spark):
     times = [1, 2, 3, 11, 12, 14]
     df = spark.createDataFrame([("k", t, i) for i, t in enumerate(times)], "k string, s int, i int").withColumn("ts", F.timestamp_micros(F.col("s")))
-    out = quota.accepted_requests(df, ["k"], "ts", "i", 2, 10).where("accepted").orderBy("s").collect()
+    out = limiter.accepted_requests(df, ["k"], "ts", "i", 2, 10).where("accepted").orderBy("s").collect()
     assert [r.s for r in out] == [1, 2, 11, 12]
 
 
@@ -60,7 +60,7 @@ def test_limiter_against_brute_force(spark):
         want[i] = len(recent) < 3
         kept[k] = recent + [t] * want[i]
     df = spark.createDataFrame(data, "k string, s int, i int").withColumn("ts", F.timestamp_micros(F.col("s")))
-    got = {r.i: r.accepted for r in quota.accepted_requests(df, ["k"], "ts", "i", 3, 20).collect()}
+    got = {r.i: r.accepted for r in limiter.accepted_requests(df, ["k"], "ts", "i", 3, 20).collect()}
     assert got == want
 
 
