@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gradeloom.catalog import Tables, query
 from gradeloom.functions import text as X
 from gradeloom.operators import search
+from gradeloom.session import shared_dir
 
 
 def index(t: Tables, fold=False):
@@ -44,6 +45,14 @@ def search_ranked(t: Tables):
     return search.search(index(t), " Red  PROMO 1", 100, collation=None).select("id", "score", "matched_option")
 
 
+@query("search_stored", _search_sql("red promo 1", ["red", "promo", "1"], 100))
+def search_stored(t: Tables):
+    """The same search over a stored index: postings of the query's character pairs name the rows to score."""
+    root = shared_dir(t.spark, "pairs")
+    search.write_index(index(t), root)
+    return search.search_stored(t.spark, root, " Red  PROMO 1", 100, collation=None).select("id", "score", "matched_option")
+
+
 @query("search_stem_phrase", _search_sql("blue bolt", ["blue", "bolt"], 60))
 def search_stem_phrase(t: Tables):
     return search.search(index(t), "blue bolt", 60, collation=None).select("id", "score", "matched_option")
@@ -71,14 +80,26 @@ def _fields_sql(term):
   CASE WHEN nu = '{term}' THEN '题号' END], lambda x: x IS NOT NULL) END)"""
 
 
-@query("search_many", f"""WITH {BASE_SQL},
+MANY_SQL = f"""WITH {BASE_SQL},
 s AS (SELECT 'one' AS query, id, bank_name, num, {_score_sql('alt')} AS score, {_fields_sql('alt')} AS f FROM b
   UNION ALL SELECT 'two', id, bank_name, num, {_score_sql('64')}, {_fields_sql('64')} FROM b
   UNION ALL SELECT 'three', id, bank_name, num, {_score_sql('size')} + CASE WHEN strpos(ca, 'size') > 0 THEN 70 ELSE 0 END, {_fields_sql('size')} FROM b)
 SELECT query, id, score::INTEGER AS score, array_to_string(f, ',') AS fields FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, bank_name, num, id) AS rn FROM s WHERE score IS NOT NULL) WHERE rn <= 50""")
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, bank_name, num, id) AS rn FROM s WHERE score IS NOT NULL) WHERE rn <= 50"""
+MANY = {"one": "alt", "two": "64", "three": "size"}
+
+
+@query("search_many", MANY_SQL)
 def search_many(t: Tables):
-    hits = search.search_many(index(t), {"one": "alt", "two": "64", "three": "size"}, 50)
+    hits = search.search_many(index(t), MANY, 50)
+    return hits.select("query", "id", "score", F.array_join("matched_fields", ",").alias("fields"))
+
+
+@query("search_many_stored", MANY_SQL)
+def search_many_stored(t: Tables):
+    root = shared_dir(t.spark, "pairs")
+    search.write_index(index(t), root)
+    hits = search.search_many_stored(t.spark, root, MANY, 50)
     return hits.select("query", "id", "score", F.array_join("matched_fields", ",").alias("fields"))
 
 
@@ -105,14 +126,26 @@ def tag_extract(t: Tables):
                            X.note_source(F.col("note"), F.col("source")).alias("source"))
 
 
-@query("note_search", f"""WITH {NOTE_SQL}
+NOTE_SEARCH_SQL = f"""WITH {NOTE_SQL}
 SELECT doc_id FROM n WHERE strpos(lower(stem || ' ' || note), 'book 3') > 0 AND strpos(lower(stem || ' ' || note), 'src1') > 0
-  AND strpos(note, '#tag_1') > 0""")
+  AND strpos(note, '#tag_1') > 0"""
+
+
+@query("note_search", NOTE_SEARCH_SQL)
 def note_search(t: Tables):
     found = search.search_notes(notes(t), "SRC1 book", "tag_1")
     return found.where(F.contains("note", F.lit("book 3"))).select("doc_id")
 
 
+@query("note_search_stored", NOTE_SEARCH_SQL)
+def note_search_stored(t: Tables):
+    """The same search over stored notes, whole texts indexed by character pairs."""
+    root = shared_dir(t.spark, "notes")
+    search.write_note_index(notes(t), root)
+    found = search.search_stored_notes(t.spark, root, "SRC1 book", "tag_1")
+    return found.where(F.contains("note", F.lit("book 3"))).select("doc_id")
+
+
 @query("note_summary", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   '# ' || source || chr(10) || text, '(?m)^#{1,6}[ \t]+', '', 'g'), '(?m)^[-*][ \t]+', '', 'g'), '[*_`]', '', 'g'), '\s+', ' ', 'g')) AS summary FROM documents""")
 def note_summary(t: Tables):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
 from gradeloom.functions.text import first_int, note_source, note_tags, query_form, query_terms, search_form, trim_all
+from gradeloom.operators import pair_index
 
 #: Literal queries matched in one scan of the index; more take further scans.
 SCAN_QUERIES = 64
@@ -74,33 +75,73 @@ def search(index: DataFrame, query: str, limit: int = 100, collation: str | None
     if not terms:
         return index.where(F.lit(False)).withColumn("m", _match(query)).select(*_plain(index), "m.*")
     # Cheap containment test before scoring.
-    blob = F.concat_ws("\u0001", *[f"_s_{f}" for f in FIELDS], "_s_options")
-    found = index.where(reduce(lambda a, b: a & b, [F.contains(blob, F.lit(t)) for t in terms]))
+    found = index.where(reduce(lambda a, b: a & b, [F.contains(_blob(), F.lit(t)) for t in terms]))
     scored = found.withColumn("m", _match(query)).where(F.col("m").isNotNull()).select(*_plain(index), "m.*")
     return scored.orderBy(*_ranking(collation), tie).limit(limit)
 
 
-def search_many(index: DataFrame, queries: dict[str, str], limit: int = 100, tie: str = "id") -> DataFrame:
-    """Several literal queries, ``SCAN_QUERIES`` to a scan; no join and no pairing of rows with queries."""
+def search_many(index: DataFrame, queries: dict[str, str], limit: int = 100, tie: str = "id", only: str | None = None) -> DataFrame:
+    """Several literal queries, ``SCAN_QUERIES`` to a scan; no join and no pairing of rows with queries.
+
+    ``only`` names a column with the names of the queries that a row is to be matched with.
+    """
     from gradeloom.plans.scale import keep_top
     named, parts = list(queries.items()), []
+
+    def match(name: str, query: str) -> Column:
+        return F.when(F.array_contains(only, name), _match(query)) if only else _match(query)
     for at in range(0, len(named), SCAN_QUERIES):
-        tagged = F.array(*[F.struct(F.lit(name).alias("query"), _match(q).alias("m")) for name, q in named[at:at + SCAN_QUERIES]])
+        tagged = F.array(*[F.struct(F.lit(name).alias("query"), match(name, q).alias("m")) for name, q in named[at:at + SCAN_QUERIES]])
         parts.append(index.withColumn("h", F.explode(F.filter(tagged, lambda h: h["m"].isNotNull())))
                      .select(*_plain(index), "h.query", "h.m.*"))
     hits = reduce(DataFrame.unionByName, parts)
     return keep_top(hits, ["query"], [*_ranking(None), F.col(tie)], limit)
 
 
+def write_index(index: DataFrame, root: str) -> None:
+    """Store a search index with its character pairs below ``root``."""
+    pair_index.build(index, _blob(), root)
+
+
+def search_stored(spark: SparkSession, root: str, query: str, limit: int = 100, collation: str | None = "zh", tie: str = "id") -> DataFrame:
+    """``search`` over a stored index: only rows that hold all character pairs of the query are read and scored."""
+    return search(pair_index.candidates(spark, root, {"query": query_terms(query)}).drop("_queries"), query, limit, collation, tie)
+
+
+def search_many_stored(spark: SparkSession, root: str, queries: dict[str, str], limit: int = 100, tie: str = "id") -> DataFrame:
+    """``search_many`` over a stored index; a row is matched with the queries whose pairs it holds."""
+    rows = pair_index.candidates(spark, root, {name: query_terms(q) for name, q in queries.items()})
+    return search_many(rows, queries, limit, tie, only="_queries").drop("_queries")
+
+
+def _blob() -> Column:
+    return F.concat_ws("\u0001", *[f"_s_{f}" for f in FIELDS], "_s_options")
+
+
 def _plain(index: DataFrame) -> list[str]:
     return [c for c in index.columns if not c.startswith("_s_")]
 
 
+def _note_blob(stem: str, note: str, source: str) -> Column:
+    return F.lower(F.concat_ws(" ", F.col(stem), note_source(F.col(note), F.col(source)), F.col(note)))
+
+
+def write_note_index(notes: DataFrame, root: str, stem: str = "stem", note: str = "note", source: str = "source") -> None:
+    """Store notes with the character pairs of stem, source and text below ``root``."""
+    pair_index.build(notes, _note_blob(stem, note, source), root)
+
+
+def search_stored_notes(spark: SparkSession, root: str, query: str, tag: str | None = None, stem: str = "stem", note: str = "note",
+                        source: str = "source") -> DataFrame:
+    """``search_notes`` over stored notes for a query of at least one term."""
+    rows = pair_index.candidates(spark, root, {"query": query.lower().split()}).drop("_queries")
+    return search_notes(rows, query, tag, stem, note, source)
+
+
 def search_notes(notes: DataFrame, query: str = "", tag: str | None = None, stem: str = "stem",
                  note: str = "note", source: str = "source") -> DataFrame:
     """Notes holding every term in stem, source or text, and the tag when given."""
-    where_from = note_source(F.col(note), F.col(source))
-    blob = F.lower(F.concat_ws(" ", F.col(stem), where_from, F.col(note)))
+    blob = _note_blob(stem, note, source)
     out = notes.where(F.length(trim_all(F.col(note))) > 0)
     for term in query.lower().split():
         out = out.where(F.contains(blob, F.lit(term)))
