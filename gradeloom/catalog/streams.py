@@ -7,8 +7,8 @@ from gradeloom.catalog.adapters import K
 from gradeloom.catalog.discussion import THROTTLE_SQL
 from gradeloom.catalog.syncing import FIRST_SQL, LATEST_SQL, LEDGER_SQL
 from gradeloom.session import shared_dir
-from gradeloom.streaming import ledger, state, windows
-from gradeloom.streaming.run import drain, drain_batches, parquet_stream
+from gradeloom.streaming import ledger, snapshot, state, windows
+from gradeloom.streaming.run import drain, parquet_stream
 
 
 class StreamTables:
@@ -63,6 +63,53 @@ def stream_change_batches_whole(t: Tables):
     return out.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("push_at").alias("push_us"), "changes")
 
 
+class LateTables:
+    """The events as a stream of several triggers that each hold every fourth event, so three of four rows come late."""
+
+    def __init__(self, t: Tables):
+        root = shared_dir(t.spark, "late")
+        t.events.repartition(4, F.pmod("event_id", F.lit(4))).write.parquet(root)
+        self.events = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+USAGE_SQL = """SELECT user_id, usage_day, least(n, 3) AS request_count, greatest(n - 3, 0) AS denied
+FROM (SELECT user_id, CAST(ts AS DATE) AS usage_day, count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE))"""
+
+
+@query("snapshot_daily_usage", USAGE_SQL)
+def snapshot_daily_usage(t: Tables):
+    """Counters per user and day in a versioned snapshot; late requests are added to their day."""
+    one = LateTables(t).events.select("user_id", F.to_date("ts").alias("usage_day"), F.lit(1).cast("bigint").alias("n"))
+    keys = ["user_id", "usage_day"]
+    days = snapshot.drain_snapshot(one, shared_dir(t.spark, "usage"), keys, snapshot.summed(keys, ["n"]))
+    return days.select("user_id", "usage_day", F.least("n", F.lit(3)).alias("request_count"), F.greatest(F.col("n") - 3, F.lit(0)).alias("denied"))
+
+
+BURSTS_SQL = """WITH x AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+y AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM x)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 14400000000 AS push_us, count(*) AS changes FROM y GROUP BY user_id, run"""
+
+
+@query("snapshot_change_batches", BURSTS_SQL)
+def snapshot_change_batches(t: Tables):
+    """Bursts of changes in a versioned snapshot; a late change may join two bursts."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    one = LateTables(t).events.select("user_id", us.alias("first_us"), us.alias("last_us"), F.lit(1).cast("bigint").alias("changes"))
+    bursts = snapshot.drain_snapshot(one, shared_dir(t.spark, "bursts"), ["user_id"], snapshot.joined_bursts("user_id", 14_400_000_000))
+    return bursts.select("user_id", "first_us", (F.col("last_us") + 14_400_000_000).alias("push_us"), "changes")
+
+
+@query("snapshot_ledger", f"""WITH {LEDGER_SQL}, {LATEST_SQL}, {FIRST_SQL}
+SELECT * FROM lww UNION ALL SELECT user_id, question_id, 'firstProgress', value, updated_at FROM first_all""")
+def snapshot_ledger(t: Tables):
+    """The change ledger in a versioned snapshot, merged in the bucket of each learner's questions."""
+    from gradeloom.catalog import syncing
+    from gradeloom.operators.sync import merge_ledgers
+    stamps = syncing.ledger(LateTables(t)).select(*ledger.KEY, "value", "updated_at", "seq")
+    rows = snapshot.drain_snapshot(stamps, shared_dir(t.spark, "ledger"), ["user_id", "question_id"], ledger.reduce_rows)
+    return merge_ledgers(rows)
+
+
 @query("stream_throttle", THROTTLE_SQL.format(w=86_400_000_000, k=2).replace("SELECT user_id, event_id, accepted FROM s", "SELECT user_id::VARCHAR AS key, event_id AS seq, accepted FROM s"))
 def stream_throttle(t: Tables):
     requests = stream_events(t).select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"))
@@ -106,9 +153,7 @@ def stream_latest_results(t: Tables):
     stamps = stream_events(t).where("event_type in ('purchase', 'click')").select(
         "user_id", "question_id", F.lit("progress").alias("field"), F.when(F.col("event_type") == "purchase", "correct").otherwise("wrong").alias("value"),
         F.col("event_id").alias("updated_at"), F.col("event_id").alias("seq"))
-    root = shared_dir(t.spark, "latest")
-    drain_batches(ledger.latest_results(stamps), "latest", ledger.upsert_updates(root))
-    return ledger.read_updates(t.spark, root, ledger.KEY).drop("at")
+    return snapshot.drain_updates(ledger.latest_results(stamps), shared_dir(t.spark, "latest"), ledger.KEY).drop("at")
 
 
 @query("stream_first_results", f"""WITH s AS (SELECT user_id, {K} AS question_id, CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'click' THEN 'wrong' END AS value, event_id AS seq
@@ -121,6 +166,4 @@ def stream_first_results(t: Tables):
     stamps = stream_events(t).where("event_type in ('purchase', 'click', 'error')").select(
         "user_id", "question_id", F.when(F.col("event_type") == "purchase", "correct").when(F.col("event_type") == "click", "wrong").alias("value"),
         F.col("event_id").alias("seq"))
-    root = shared_dir(t.spark, "firsts")
-    drain_batches(state.first_results(stamps), "firsts", ledger.upsert_updates(root))
-    return ledger.read_updates(t.spark, root, ["user_id", "question_id"])
+    return snapshot.drain_updates(state.first_results(stamps), shared_dir(t.spark, "firsts"), ["user_id", "question_id"])

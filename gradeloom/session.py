@@ -47,11 +47,13 @@ def local_session(name: str = "gradeloom", cpus: str | int = "*") -> SparkSessio
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; a session without that setting uses a
-    folder in its warehouse, which is shared as well.  No machine-local folder is ever taken.
+    It is the one named in ``spark.checkpoint.dir``.  A cluster without that setting is refused; a session on
+    one machine (``local``), as in tests, takes a folder in its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return root.rstrip("/")
 

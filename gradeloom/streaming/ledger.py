@@ -49,16 +49,3 @@ def latest_results(stamps: DataFrame) -> DataFrame:
     """Native streaming aggregate: current value per user, question and field (update mode)."""
     at = F.struct("updated_at", "seq")
     return stamps.groupBy(*KEY).agg(F.max_by("value", at).alias("value"), F.max(at).alias("at"))
-
-
-def upsert_updates(root: str):
-    """Batch function that keeps each batch of updated keys in its own folder."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
-    return write
-
-
-def read_updates(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
-    """Newest version of every key written by ``upsert_updates``."""
-    from gradeloom.plans.scale import keep_top
-    return keep_top(spark.read.parquet(root).drop("batch"), keys, [F.col("batch_id").desc()]).drop("batch_id")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from gradeloom.operators.limiter import walk
+
 
 class Limiter(StatefulProcessor):
     """Sliding-window limiter; state is the last ``limit`` accepted times of a key.
@@ -24,17 +27,11 @@ class Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.kept.get()
-        kept = list(stored[0]) if stored else []
-        batch = pd.concat(list(rows)).sort_values(["us", "seq"])
-        verdicts = []
-        for at in batch["us"]:
-            ok = len(kept) < self.limit or at - kept[0] >= self.window_us
-            if ok:
-                kept = (kept + [int(at)])[-self.limit:]
-            verdicts.append(ok)
+        us, seq = (np.concatenate(c) for c in zip(*((b["us"].to_numpy(), b["seq"].to_numpy()) for b in rows)))
+        order = np.lexsort((seq, us))
+        accepted, kept = walk(us[order], stored[0] if stored else [], self.limit, self.window_us)
         self.kept.update((kept,))
-        yield pd.DataFrame({"key": pd.Series([key[0]] * len(batch), dtype=object),
-                            "seq": batch["seq"].to_numpy(), "accepted": verdicts})
+        yield pd.DataFrame({"key": pd.Series([key[0]] * len(order), dtype=object), "seq": seq[order], "accepted": accepted})
 
     def close(self) -> None:
         pass
@@ -116,26 +113,38 @@ def expired_shares(shares: DataFrame, ts: str, delay: str = "0 seconds") -> Data
 class FirstResult(StatefulProcessor):
     """Exact reset semantics of the locked first result, by event order.
 
-    State is the last reset and the results after it: a reset that arrives late may
-    uncover any of them, so they stay until a reset passes them.
+    A reset that arrives late may uncover any result after it, so results stay, one entry each, until a reset
+    passes them.  A batch writes its own entries; the entries are read only when a reset passes the first.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "reset bigint, seqs array<bigint>, results array<string>")
+        self.results = handle.getMapState("results", "seq bigint", "value string")
+        self.first = handle.getValueState("first", "reset bigint, seq bigint, value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        reset, seqs, results = self.state.get() or (-1, [], [])
-        kept = dict(zip(seqs, results))
+        reset, first, value = self.first.get() or (-1, None, None)
+        new: dict[int, str] = {}
+        before = reset
         for batch in rows:
-            for seq, value in zip(batch["seq"], batch["value"]):
-                if value is None or pd.isna(value):
-                    reset = max(reset, int(seq))
-                else:
-                    kept[int(seq)] = value
-        kept = {seq: value for seq, value in sorted(kept.items()) if seq > reset}
-        self.state.update((reset, list(kept), list(kept.values())))
-        first = next(iter(kept), None)
-        yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "value": pd.Series([kept.get(first)], dtype=object),
+            empty = batch["value"].isna()
+            reset = max([reset, *batch["seq"][empty].tolist()])
+            new.update(zip(batch["seq"][~empty].tolist(), batch["value"][~empty]))
+        new = {seq: v for seq, v in new.items() if seq > reset}
+        if reset > before:
+            left = {seq: v for (seq,), (v,) in list(self.results.iterator())}
+            for seq in [s for s in left if s <= reset]:
+                self.results.removeKey((seq,))
+                del left[seq]
+            if first is not None and first <= reset:
+                first = min(left, default=None)
+                value = left.get(first)
+        for seq, v in new.items():
+            self.results.updateValue((seq,), (v,))
+        if new and (first is None or min(new) <= first):
+            first = min(new)
+            value = new[first]
+        self.first.update((reset, first, value))
+        yield pd.DataFrame({"user_id": [key[0]], "question_id": [key[1]], "value": pd.Series([value], dtype=object),
                             "seq": [reset if first is None else first]})
 
     def close(self) -> None:
