@@ -59,6 +59,31 @@ def parse_roundtrip(t: Tables):
                     F.array_join("answer", "").alias("answer"), "multiple", "answer_source")
 
 
+def inline_texts(t: Tables):
+    """Papers that note the answer behind the stem: after a colon, in brackets, or as a judgement mark."""
+    n = F.col("p_partkey") % 1000
+    stem = F.concat(n, F.lit("．"), F.col("p_name"), F.lit(" "), F.col("p_partkey"))
+    noted = (F.when(k3() == 0, F.concat(stem, F.lit("："), letter())).when(k3() == 1, F.concat(stem, F.lit("（ "), F.lower(letter()), F.lit("）")))
+             .otherwise(F.concat(stem, F.lit("。"), F.when(F.col("p_size") % 2 == 0, "√").otherwise("×"))))
+    options = F.when(k3() == 2, "").otherwise(F.concat(F.lit("\nA、"), "p_type", F.lit("\nB "), "p_brand", F.lit("\nＣ．"), F.col("p_size"), F.lit(" mm\nD、none")))
+    rows = t.part.select(doc_key().alias("doc_id"), (k3() == 2).cast("int").alias("k"), F.col("p_partkey").alias("n"), F.concat(noted, options).alias("t"))
+    per = rows.groupBy("doc_id", "k").agg(_joined(F.struct("n", "t"), "\n").alias("t"))
+    per = per.select("doc_id", "k", F.concat(F.when(F.col("k") == 0, "一、单选题").otherwise("判断题："), F.lit("\n"), "t").alias("t"))
+    return per.groupBy("doc_id").agg(F.concat(_joined(F.struct("k", "t"), "\n"), F.lit("\n四、简答题\n1．why\n")).alias("text"))
+
+
+@query("parse_inline", f"""SELECT {DOC_SQL} AS doc_id, (p_partkey % 1000)::VARCHAR AS source_number,
+  p_name || ' ' || p_partkey || CASE WHEN p_size % 3 = 2 THEN '。' ELSE '' END AS stem,
+  CASE WHEN p_size % 3 = 2 THEN 'A.正确|B.错误' ELSE 'A.' || p_type || '|B.' || p_brand || '|C.' || p_size || ' mm|D.none' END AS options,
+  CASE WHEN p_size % 3 = 2 THEN CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END ELSE {LETTER_SQL} END AS answer, false AS multiple,
+  CASE WHEN p_size % 3 = 2 THEN '题干内标注' ELSE '题干末尾标注' END AS answer_source FROM part""")
+def parse_inline(t: Tables):
+    """Questions whose answers stand in the question itself."""
+    q = exam_text.parse_questions(inline_texts(t))
+    return q.select("doc_id", "source_number", "stem", options_text(F.col("options")).alias("options"),
+                    F.array_join("answer", "").alias("answer"), "multiple", "answer_source")
+
+
 def delimited_texts(t: Tables):
     n = F.col("p_partkey") % 1000
     start = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("2019N"), n, F.when(k3() == 0, "X").otherwise("A"), F.lit("."))).otherwise(F.concat(n, F.lit("．")))
