@@ -233,18 +233,40 @@ def upsert_state(state: DataFrame, puts: DataFrame, records: DataFrame) -> DataF
     ``state``: ``user_id, part, key, value, updated_at, version`` as this function returns it (empty at first);
     ``puts`` as for ``overlay_puts``; ``records``: ledger rows the puts carry.  Payload keys are overlaid, records
     are merged with the stored ones field by field, and the version grows by the number of puts.
+
+    All inputs are one tagged union.  It is reduced to a row per learner, key and stamp in the tasks, and once
+    more per learner, where windows find version, resets and the winning stamp; so there are two shuffles.
     """
-    old = state.where("part = 'payload'").select("user_id", F.lit(None).cast("bigint").alias("seq"), "key", "value")
-    fresh = overlay_puts(puts).select("user_id", "seq", "key", "value")
-    payload = keep_top(old.unionByName(fresh), ["user_id", "key"], [F.col("seq").desc_nulls_last()])
-    parts = F.split("key", "\u0001")
-    stored = state.where("part = 'record'").select("user_id", parts[0].cast("bigint").alias("question_id"), parts[1].alias("field"),
-                                                   "value", "updated_at", F.lit(-1).cast("bigint").alias("seq"))
-    merged = merge_ledgers(stored.unionByName(records.select(*KEY, "value", "updated_at", "seq")))
-    rows = payload.select("user_id", F.lit("payload").alias("part"), "key", "value", F.lit(None).cast("bigint").alias("updated_at")).unionByName(
-        merged.select("user_id", F.lit("record").alias("part"), F.concat_ws("\u0001", F.col("question_id").cast("string"), "field").alias("key"), "value", "updated_at"))
-    counted = versions(puts).select("user_id", "version").unionByName(state.groupBy("user_id").agg(F.max("version").alias("version")))
-    return rows.join(counted.groupBy("user_id").agg(F.sum("version").alias("version")), "user_id")
+    none = F.lit(None)
+    stored = state.select("user_id", "part", "key", "value", "updated_at", F.when(F.col("part") == "record", F.lit(-1)).cast("bigint").alias("seq"),
+                          F.lit(0).cast("bigint").alias("puts"), "version")
+    entry = lambda part, key, value, n: F.struct(F.lit(part).alias("part"), key.alias("key"), value.alias("value"), F.lit(n).cast("bigint").alias("puts"))
+    carried = F.transform(F.filter(F.map_entries("payload"), lambda e: e["key"].isin(V.STATE_KEYS)), lambda e: entry("payload", e["key"], e["value"], 0))
+    counted = F.array(entry("version", F.lit(""), none.cast("string"), 1))
+    fresh = puts.select("user_id", "seq", F.explode(F.concat(counted, F.coalesce(carried, F.slice(counted, 1, 0)))).alias("e")).select(
+        "user_id", "e.part", "e.key", "e.value", none.cast("bigint").alias("updated_at"), "seq", "e.puts", none.cast("bigint").alias("version"))
+    graded = records.select("user_id", F.lit("record").alias("part"), F.concat_ws("\u0001", F.col("question_id").cast("string"), "field").alias("key"),
+                            "value", "updated_at", "seq", F.lit(0).cast("bigint").alias("puts"), none.cast("bigint").alias("version"))
+    field = F.split_part("key", F.lit("\u0001"), F.lit(2))
+    metric = F.when(field == "favorite", F.when(F.col("value") == "true", 1).otherwise(0)).when(field == "note", F.length("value")).otherwise(0)
+    newest_put = F.min_by("value", F.struct(-F.coalesce("seq", F.lit(-1)), "value"))
+    winner = F.max_by("value", F.struct(F.col("value").isNotNull(), metric, "seq", "value"))
+    result = F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(F.when(F.col("value") == "wrong", 0).otherwise(1), "value")))
+    stamps = stored.unionByName(fresh).unionByName(graded).groupBy("user_id", "part", "key", "updated_at").agg(
+        newest_put.alias("put"), winner.alias("latest"), result.alias("result"), F.bool_or(F.col("value").isNull()).alias("is_reset"),
+        F.sum("puts").alias("puts"), F.max("version").alias("version"))
+    learner, own = Window.partitionBy("user_id"), Window.partitionBy("user_id", "part", "key")
+    stamps = stamps.withColumn("version", F.sum("puts").over(learner) + F.coalesce(F.max("version").over(learner), F.lit(0)))
+    known = stamps.select("*", (F.col("version") > 0).alias("_known"), field.alias("field"))
+    reset = F.max(F.when(F.col("is_reset"), F.col("updated_at"))).over(own)
+    # A first result is the earliest after the last reset, else that reset; other records go by the latest stamp.
+    is_first = (F.col("part") == "record") & (F.col("field") == "firstProgress")
+    alive = F.col("result").isNotNull() & (F.col("_reset").isNull() | (F.col("updated_at") > F.col("_reset")))
+    place = F.when(is_first, F.when(alive, F.col("updated_at")).when(F.col("updated_at") == F.col("_reset"), F.lit((1 << 63) - 1))).otherwise(-F.col("updated_at"))
+    rows = known.where("_known and part <> 'version'").withColumn("_reset", reset).withColumn("_place", place)
+    best = rows.withColumn("_rank", F.row_number().over(own.orderBy(F.col("_place").asc_nulls_last()))).where("_rank = 1")
+    value = F.when(F.col("part") == "payload", F.col("put")).when(is_first, F.when(alive, F.col("result"))).otherwise(F.col("latest"))
+    return best.select("user_id", "part", "key", value.alias("value"), "updated_at", "version")
 
 
 def merge_bundle(local: DataFrame, remote: DataFrame, keys: list[str], updated_at: str,
