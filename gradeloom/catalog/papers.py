@@ -238,7 +238,7 @@ SELECT s.paper, count(*) AS questions, count(*) FILTER (question_type = 'A') AS
 FROM std s LEFT JOIN miss USING (paper) LEFT JOIN dup USING (paper) GROUP BY s.paper""")
 def audit_papers(t: Tables):
     plan, raw = blueprint.detect_blueprint(_papers(t)), _paper_questions(t)
-    out = curate.audit(curate.standardize(raw, plan), raw, plan)
+    out = curate.audit_questions(raw, plan)
     return out.drop("exam_year", "exam_format", "expected", "total_points", "complete").withColumn(
         "missing", F.array_join(F.transform("missing", lambda n: n.cast("string")), ","))
 

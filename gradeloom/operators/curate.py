@@ -45,9 +45,9 @@ def number_order(paper: str, seq: str) -> list[Column]:
 
 # -- standardising -----------------------------------------------------------------
 
-def in_blueprint(questions: DataFrame, blueprint: DataFrame, paper: str = "paper") -> DataFrame:
-    """Questions with a usable number, typed by the paper's blueprint."""
-    plan = blueprint.select(paper, "exam_year", "exam_format", "expected", "sections")
+def in_blueprint(questions: DataFrame, blueprint: DataFrame, paper: str = "paper", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Questions with a usable number, typed by the paper's blueprint, whose columns ``keep`` stay."""
+    plan = blueprint.select(paper, "exam_year", "exam_format", "expected", "sections", *[c for c in keep if c != "expected"])
     n = F.col("_n")
     rows = (questions.drop("exam_year", "exam_format", "exam_profile", "question_type", "points")
             .withColumn("_n", first_int(F.col("source_number"))).join(plan, paper)
@@ -61,7 +61,7 @@ def in_blueprint(questions: DataFrame, blueprint: DataFrame, paper: str = "paper
             .withColumn("answer_pending", ~answered)
             .withColumn("answer_source", F.coalesce(F.nullif("answer_source", F.lit("")),
                                                     F.when(answered, V.PAPER_ANSWER_SOURCE)))
-            .drop("_n", "_band", "sections", "expected"))
+            .drop("_n", "_band", "sections", *({"expected"} - {*keep})))
 
 
 def standardize(questions: DataFrame, blueprint: DataFrame, paper: str = "paper", seq: str = "seq") -> DataFrame:
@@ -106,6 +106,32 @@ def audit(standardized: DataFrame, raw: DataFrame, blueprint: DataFrame, paper:
             .withColumn("one_to_one", (F.size("missing") < 10) & F.col("complete")))
 
 
+def audit_questions(raw: DataFrame, blueprint: DataFrame, paper: str = "paper", seq: str = "seq") -> DataFrame:
+    """``audit`` of papers in one grouped pass over their raw questions.
+
+    Copies of a number meet once, where the best is chosen as ``standardize`` does; a paper then is the set of its
+    numbers, from which the missing ones follow, so nothing is listed or joined a second time.
+    """
+    rows = in_blueprint(raw, blueprint, paper, keep=("expected", "total_points"))
+    ok = structurally_valid(F.col("stem"), F.col("options"), F.col("answer"), F.col("question_type"))
+    order = F.struct(-quality(F.col("stem"), F.col("options"), F.col("answer")), F.col(seq))
+    plan = ["exam_year", "exam_format", "expected", "total_points"]
+    numbers = rows.groupBy(paper, "source_number").agg(
+        F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("question_type", (F.size("answer") > 0).alias("answered"), ok.alias("ok")), order).alias("best"),
+        *[F.any_value(c).alias(c) for c in plan])
+    out = numbers.groupBy(paper).agg(
+        *[F.any_value(c).alias(c) for c in plan], F.count(F.lit(1)).alias("questions"),
+        *[F.count_if(F.col("best.question_type") == t).alias(f"type_{t.lower()}") for t in "ABCX"],
+        F.count_if("best.answered").alias("answered"), F.count_if(~F.col("best.answered")).alias("pending"), F.bool_and("best.ok").alias("complete"),
+        F.collect_set(F.when(F.col("expected").isNotNull(), F.col("source_number").cast("bigint"))).alias("held"),
+        F.count_if(F.col("copies") > 1).alias("duplicates"))
+    wanted = F.when(F.col("expected") >= 1, F.sequence(F.lit(1).cast("bigint"), F.col("expected").cast("bigint")))
+    out = out.withColumn("missing", F.coalesce(F.array_except(wanted, "held"), F.array().cast("array<bigint>"))).drop("held")
+    least = F.when(F.col("expected").isNotNull(), F.greatest(F.lit(40), F.col("expected") - 20)).otherwise(F.lit(80))
+    return (out.withColumn("usable", (F.col("questions") >= least) & F.col("complete"))
+            .withColumn("one_to_one", (F.size("missing") < 10) & F.col("complete")))
+
+
 # -- answers ---------------------------------------------------------------------------
 
 def explicit_answers(documents: DataFrame, doc: str = "paper", text: str = "text") -> DataFrame:
