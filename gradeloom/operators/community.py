@@ -43,10 +43,14 @@ def top_comments(comments: DataFrame, likes: DataFrame, viewer, k: int = 50) ->
 
 
 def moderation_queue(comments: DataFrame, reports: DataFrame, limit: int = 200) -> DataFrame:
-    """Pending first, then newest, with report counts; only reports on the page are counted."""
-    page = comments.orderBy((F.col("status") == "pending").desc(), F.col("created_at").desc(),
-                            F.col("id").desc()).limit(limit)
-    shown = F.broadcast(page.select(F.col("id").alias("comment_id")))  # at most ``limit`` rows
+    """Pending first, then newest, with report counts; only reports on the page are counted.
+
+    The page, at most ``limit`` rows, is read once and then serves as a table of its own.
+    """
+    spark = comments.sparkSession
+    page = comments.orderBy((F.col("status") == "pending").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    page = spark.createDataFrame(page.collect(), page.schema)
+    shown = F.broadcast(page.select(F.col("id").alias("comment_id")))
     counts = mark_counts(reports.join(shown, "comment_id", "left_semi"), "reports").withColumnRenamed("comment_id", "id")
     return page.join(counts, "id", "left").withColumn("reports", F.coalesce("reports", F.lit(0).cast("bigint")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeloom import fixed as V
-from gradeloom.functions.text import trim_all, words
+from gradeloom.functions.text import bind, trim_all, words
 from gradeloom.operators.learn import percent
 from gradeloom.plans.scale import running
 
@@ -40,25 +40,25 @@ def merge_intervals(spans: DataFrame, keys: list[str], start: str, end: str, blo
     return joined.groupBy(*keys, begin.alias(start)).agg(F.max(end).alias(end))
 
 
-def split_segments(documents: DataFrame, merged: DataFrame, doc: str, text: str, start: str, end: str,
-                   block_chars: int = 65_536) -> DataFrame:
-    """Document text cut into highlighted and plain pieces around merged spans."""
-    rows = running(merged.select(doc, start, end), [doc], F.floor(F.col(start) / block_chars), [start],
-                   {"_before": ("max", F.col(end))}, before=True)
-    gap_from = F.coalesce("_before", F.lit(0))
-    pieces = F.array(F.struct(gap_from.alias("s"), F.col(start).alias("e"), F.lit(False).alias("highlighted")),
-                     F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.lit(True).alias("highlighted")))
-    inside = rows.select(doc, F.explode(pieces).alias("p")).where("p.s < p.e")
-    tails = (documents.select(doc, F.length(text).cast("bigint").alias("_n"))
-             .join(merged.groupBy(doc).agg(F.max(end).alias("_last")), doc, "left")
-             .select(doc, F.struct(F.coalesce("_last", F.lit(0)).cast("bigint").alias("s"), F.col("_n").alias("e"),
-                                   F.lit(False).alias("highlighted")).alias("p")).where("p.s < p.e"))
-    typed = inside.select(doc, F.struct(F.col("p.s").cast("bigint").alias("s"), F.col("p.e").cast("bigint").alias("e"),
-                                        F.col("p.highlighted").alias("highlighted")).alias("p"))
-    return (typed.unionByName(tails).join(documents.select(doc, text), doc)
-            .select(doc, F.col("p.s").alias("start"), F.col("p.e").alias("end"), "p.highlighted",
-                    F.substring(F.col(text), F.col("p.s").cast("int") + 1, (F.col("p.e") - F.col("p.s")).cast("int")).alias("piece"))
-            .where("piece <> ''"))
+def split_segments(documents: DataFrame, merged: DataFrame, doc: str, text: str, start: str, end: str) -> DataFrame:
+    """Document text cut into highlighted and plain pieces around merged spans.
+
+    Merged spans of a document lie apart, so there are at most as many as its text has characters, and they
+    travel to the text as one array.
+    """
+    spans = merged.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")))).alias("_spans"))
+
+    def piece(low: Column, high: Column, highlighted: bool) -> Column:
+        return F.struct(low.alias("s"), high.alias("e"), F.lit(highlighted).alias("highlighted"))
+    zero = F.lit(0).cast("bigint")
+    found = F.coalesce("_spans", F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    around = bind(found, lambda spans: F.concat(
+        F.flatten(F.transform(spans, lambda x, i: F.array(piece(F.coalesce(F.get(spans, i - 1)["e"], zero), x["s"], False), piece(x["s"], x["e"], True)))),
+        F.array(piece(F.coalesce(F.try_element_at(spans, F.lit(-1))["e"], zero), F.length(text).cast("bigint"), False))))
+    cut = documents.select(doc, text).join(spans, doc, "left").select(doc, text, F.explode(F.filter(around, lambda p: p["s"] < p["e"])).alias("p"))
+    return cut.select(doc, F.col("p.s").alias("start"), F.col("p.e").alias("end"), "p.highlighted", F.substring(
+        F.col(text), F.col("p.s").cast("int") + 1, (F.col("p.e") - F.col("p.s")).cast("int")).alias("piece")).where("piece <> ''")
 
 
 def passage_labels(sections: DataFrame, test: str, pos: str, kind: str, value: str = "reading") -> DataFrame:

@@ -88,9 +88,10 @@ def test_no_pairing_joins(spark, name):
 
 
 #: Shuffles and scans a plan may have at most.
-LIMITS = {"top_comments": (4, 3), "moderation_queue": (10, 9), "cascade_erase": (8, 8), "first_result_canonical": (2, 2), "first_result_fold": (1, 1),
-          "progress_stats": (3, 5), "scope_counts": (3, 6), "audit_papers": (11, 8), "parse_roundtrip": (6, 3), "parse_delimited": (3, 3),
-          "answer_targets": (0, 1), "bounded_bundles": (0, 1), "group_suggest": (2, 2)}
+LIMITS = {"top_comments": (4, 3), "moderation_queue": (2, 1), "cascade_erase": (8, 8), "first_result_canonical": (2, 2), "first_result_fold": (1, 1),
+          "progress_stats": (3, 5), "scope_counts": (3, 6), "audit_papers": (3, 2), "parse_roundtrip": (4, 2), "parse_inline": (4, 2), "parse_delimited": (2, 2),
+          "answer_targets": (0, 1), "bounded_bundles": (0, 1), "group_suggest": (2, 2), "state_upsert": (4, 4), "import_report": (6, 6),
+          "highlight_segments": (5, 3), "interval_merge": (4, 2), "throttle_accept": (3, 3)}
 
 
 @pytest.mark.parametrize("name", list(LIMITS))
