@@ -13,16 +13,32 @@ def _normal(text: Column) -> Column:
     return trim_all(F.translate(text, "\r", ""))
 
 
+#: Characters of a block; long texts are read by block, since every ``substring`` counts from its text's start.
+BLOCK = 1024
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _take(blocks: Column, start: Column, count: Column) -> Column:
+    """``count`` characters from ``start`` (0-based) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    few = F.slice(blocks, first + 1, F.floor((start + count) / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(few, ""), start - first * BLOCK + 1, count)
+
+
 def overlapping_chunks(text: Column, size: int = V.CHUNK_CHARS, overlap: int = V.CHUNK_OVERLAP,
                        max_chunks: int | None = None) -> Column:
     """Pieces of at most ``size`` characters, cut at a late line end, overlapping.
 
     The whole text is cut unless ``max_chunks`` is given.
     """
-    return bind(_normal(text), lambda body: bind(F.length(body), lambda n: _cut(body, n, size, overlap, max_chunks)))
+    return bind(_normal(text), lambda body: bind(F.length(body), lambda n: F.when(n <= size, F.array(body)).otherwise(
+        bind(_blocks(body), lambda blocks: _cut(blocks, n, size, overlap, max_chunks)))))
 
 
-def _cut(body: Column, n: Column, size: int, overlap: int, max_chunks: int | None) -> Column:
+def _cut(blocks: Column, n: Column, size: int, overlap: int, max_chunks: int | None) -> Column:
     shortest = max(1, int(size * V.CHUNK_BOUNDARY) - overlap)
     rounds = F.greatest(F.lit(1), F.ceil(n / shortest)).cast("int") + 1
     if max_chunks is not None:
@@ -44,14 +60,12 @@ def _cut(body: Column, n: Column, size: int, overlap: int, max_chunks: int | Non
                 (at < F.length(piece)) & (at > size * V.CHUNK_BOUNDARY), at))
 
         end = F.when(stop < n, start + F.coalesce(
-            bind(F.substring(body, start + 1, F.lit(size + 1)), late_line_end), F.lit(size))).otherwise(stop).cast("int")
+            bind(_take(blocks, start, F.lit(size + 1)), late_line_end), F.lit(size))).otherwise(stop).cast("int")
         return F.when(start >= n, acc).otherwise(bind(end, cut_at))
 
     state = F.struct(F.lit(0).alias("cursor"), empty.alias("cuts"))
     cuts = F.aggregate(F.sequence(F.lit(1), rounds), state, step)["cuts"]
-    pieces = F.filter(F.transform(cuts, lambda c: trim_all(F.substring(body, c["start"] + 1, c["end"] - c["start"]))),
-                      lambda p: p != "")
-    return F.when(n <= size, F.array(body)).otherwise(pieces)
+    return F.filter(F.transform(cuts, lambda c: trim_all(_take(blocks, c["start"], c["end"] - c["start"]))), lambda p: p != "")
 
 
 def _greedy(lengths: Column, limit: Column, max_units: int | None) -> Column:
@@ -109,22 +123,24 @@ def pack_pages(documents: DataFrame, doc: str, text: str, size: int = V.PACK_CHA
     chunks = F.when(F.col("kind") == "overlap", overlapping_chunks(F.col("body"), min(limit, V.PACK_FALLBACK), max_chunks=max_chunks)
                     ).otherwise(bind(F.col("parts"), lambda units: bind(
                         F.col("starts"), lambda starts: _packs(units, starts, max_chunks))))
-    plain = base.select(doc, "kind", F.posexplode(chunks).alias("pos", "chunk"))
+    plain = F.transform(chunks, lambda c, i: F.struct(F.col("kind").alias("kind"), i.alias("pos"), c.alias("chunk")))
+    seams = F.when(paged, bind(F.col("pages"), lambda pages: F.transform(
+        F.slice("starts", F.lit(2), F.size("starts")), lambda b: _seam(b, F.get(pages, b - 1), F.get(pages, b)))))
+    found = F.concat(plain, F.coalesce(F.filter(seams, lambda s: s.isNotNull()), F.slice(plain, 1, 0)))
+    return base.select(doc, F.explode(found).alias("c")).select(doc, "c.*")
 
-    seams = (base.where("kind = 'pages' and size(starts) > 1")
-             .select(doc, "pages", F.explode(F.slice("starts", F.lit(2), F.size("starts"))).alias("b"))
-             .select(doc, "b", F.get("pages", F.col("b") - 1).alias("left"), F.get("pages", F.col("b")).alias("right")))
-    marked = F.split(F.regexp_replace("left", f"({V.ANCHOR})", "\u0001$1"), "\u0001")
+
+def _seam(b: Column, left: Column, right: Column) -> Column:
+    """The question that a page end cuts: its tail on one page and its head on the next; null when none is cut."""
+    pieces = F.split(F.regexp_replace(left, f"({V.ANCHOR})", "\u0001$1"), "\u0001")
     next_start = rf"\A([\s\S]{{21,}}?){V.ANCHOR}"
-    seams = (seams.where(F.col("left").rlike(V.ANCHOR))
-             .withColumn("tail", trim_all(F.element_at(marked, -1)))
-             .withColumn("head", trim_all(F.when(F.col("right").rlike(next_start), F.regexp_extract("right", next_start, 1))
-                                          .otherwise(F.substring("right", 1, V.SEAM_HEAD)))))
-    joined = F.concat_ws("\n", "tail", "head")
-    seams = seams.where((F.regexp_count("tail", F.lit(V.OPTION_LINE)) < 2) & (F.regexp_count(joined, F.lit(V.OPTION_LINE)) >= 2))
-    name = F.format_string("[[CROSS_PAGE_SEAM %d-%d]]", F.col("b"), F.col("b") + 1)
-    return plain.unionByName(seams.select(doc, F.lit("seam").alias("kind"), F.col("b").alias("pos"),
-                                          F.concat_ws("\n", name, "tail", "head").alias("chunk")))
+    head = trim_all(F.when(right.rlike(next_start), F.regexp_extract(right, next_start, 1)).otherwise(F.substring(right, 1, V.SEAM_HEAD)))
+
+    def joined(tail: Column, head: Column) -> Column:
+        cut = (F.regexp_count(tail, F.lit(V.OPTION_LINE)) < 2) & (F.regexp_count(F.concat_ws("\n", tail, head), F.lit(V.OPTION_LINE)) >= 2)
+        name = F.format_string("[[CROSS_PAGE_SEAM %d-%d]]", b, b + 1)
+        return F.when(cut, F.struct(F.lit("seam").alias("kind"), b.alias("pos"), F.concat_ws("\n", name, tail, head).alias("chunk")))
+    return F.when(left.rlike(V.ANCHOR), bind(trim_all(F.element_at(pieces, -1)), lambda tail: bind(head, lambda head: joined(tail, head))))
 
 
 def answer_reference(text: Column, size: int | None = None, lines: int | None = None) -> Column:

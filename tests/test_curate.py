@@ -108,3 +108,19 @@ def test_packing_by_question(spark):
     assert [p.count("stem") for p in packs] == [14, 14, 2]
     assert "\n".join(packs) == text
     assert {r.kind for r in rows if r.paper == "q"} == {"overlap"}
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+    text = "".join(f"line {i} of a long text 题{i}😀\n" for i in range(200_000))  # over 5 MB
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "d int, t string")
+    started = time.perf_counter()
+    found = {r.d: r.c for r in df.select("d", chunks.overlapping_chunks(F.col("t"), 7200, 360).alias("c")).collect()}
+    assert time.perf_counter() - started < 30
+    assert found[2] == ["short"] and all(len(c) <= 7200 for c in found[1])
+    at = 0
+    for piece in found[1]:  # every piece begins at or before the end of the one before it
+        start = text.index(piece, max(0, at - 7200))
+        assert start <= at
+        at = start + len(piece) + 1
+    assert at >= len(text)
