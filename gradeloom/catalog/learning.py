@@ -98,6 +98,29 @@ def practice_unanswered(t: Tables):
         "user_id", "bank_id", "question_id")
 
 
+def _bank_marks(t: Tables):
+    places = learn.bank_places(questions(t), "bank_id", "question_id", F.floor(F.col("question_id") / 4096))
+    enrolled = active_banks(t).select("user_id", F.col("active_bank").alias("bank_id"))
+    return enrolled, places, learn.answered_bitmaps(current_results(t), places, "user_id", "bank_id", "question_id")
+
+
+@query("practice_unanswered_counts", f"""WITH {RECORDS_SQL}
+SELECT a.user_id, p.p_brand AS bank_id, count(*) AS questions, count(*) FILTER (NOT EXISTS (SELECT 1 FROM cur c WHERE c.user_id = a.user_id AND c.question_id = p.p_partkey)) AS unanswered
+FROM active a JOIN part p ON p.p_brand = a.active_bank GROUP BY ALL""")
+def practice_unanswered_counts(t: Tables):
+    """Unanswered questions of every learner's bank, counted in bitmaps."""
+    return learn.unanswered_counts(*_bank_marks(t), "user_id", "bank_id").select("user_id", "bank_id", "questions", "unanswered")
+
+
+@query("practice_next_unanswered", f"""WITH {RECORDS_SQL},
+u AS (SELECT a.user_id, p.p_brand AS bank_id, p.p_partkey AS question_id FROM active a JOIN part p ON p.p_brand = a.active_bank
+  WHERE NOT EXISTS (SELECT 1 FROM cur c WHERE c.user_id = a.user_id AND c.question_id = p.p_partkey))
+SELECT user_id, bank_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY question_id) AS rn FROM u) WHERE rn <= 5""")
+def practice_next_unanswered(t: Tables):
+    """The next five unanswered questions of every learner, read off the bitmaps."""
+    return learn.next_unanswered(*_bank_marks(t), "user_id", "bank_id", "question_id", 5).select("user_id", "bank_id", "question_id")
+
+
 @query("practice_draw", f"""WITH {RECORDS_SQL},
 h AS (SELECT user_id, question_id, md5(concat_ws('|', 'seed-1', user_id, question_id)) AS h FROM recs)
 SELECT user_id, question_id, pick FROM (

@@ -186,6 +186,21 @@ def bank_reset(t: Tables):
     return sync.reset_bank(_sides(t)[0], qs, resets)
 
 
+@query("bank_reset_read", f"""WITH {LEDGER_SQL}, {PAIR_SQL},
+resets AS (SELECT user_id, p_brand AS bank_id, max(event_id) // 60 AS reset_at FROM events JOIN part ON p_partkey = {K}
+  WHERE event_type = 'error' AND value > 40 GROUP BY ALL)
+SELECT a.user_id, a.question_id, field, a.value, updated_at FROM a LEFT JOIN part ON p_partkey = question_id LEFT JOIN resets r ON r.user_id = a.user_id AND bank_id = p_brand
+WHERE reset_at IS NULL OR updated_at > reset_at OR (updated_at = reset_at AND field <> 'firstProgress' AND a.value IS NOT NULL)""")
+def bank_reset_read(t: Tables):
+    """The ledger after bank resets that are kept as one row per learner and bank; stamps and resets share one clock of six hours."""
+    from gradeloom.catalog.adapters import questions
+    qs = questions(t).select("question_id", "bank_id")
+    resets = (events(t).where("event_type = 'error' and value > 40").join(qs, "question_id")
+              .select("user_id", "bank_id", F.col("event_id").alias("reset_at")))
+    stones = sync.bank_tombstones(resets).withColumn("reset_at", F.floor(F.col("reset_at") / 60))
+    return sync.read_after_resets(_sides(t)[0], qs, stones)
+
+
 @query("payload_overlay", """WITH p AS (
   SELECT user_id, event_id AS seq, unnest([event_type, 'settings', 'unknown']) AS k0, unnest([props, value::INTEGER::VARCHAR, 'x']) AS v FROM events),
 m AS (SELECT user_id, seq, CASE k0 WHEN 'purchase' THEN 'progress' WHEN 'click' THEN 'notes' WHEN 'view' THEN 'nickname' ELSE k0 END AS key, v FROM p)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
 from gradeloom.functions.answers import grade
-from gradeloom.functions.text import trim_all
+from gradeloom.functions.text import bind, trim_all
 from gradeloom.operators.blueprint import section_case
 from gradeloom.plans.scale import keep_top, numbered
 
@@ -185,6 +185,51 @@ def unanswered(enrolled: DataFrame, questions: DataFrame, answered: DataFrame, u
     return pool.join(answered.select(user, question).distinct(), [user, question], "left_anti")
 
 
+#: Bits of a bitmap that ``bitmap_construct_agg`` makes.
+BITMAP_BITS = 32_768
+
+
+def bank_places(questions: DataFrame, bank: str, question: str, block: Column) -> DataFrame:
+    """Questions with their 0-based ``place`` in the bank; ``block`` must not decrease with the question."""
+    return numbered(questions.select(bank, question), [bank], block, [question], "place").withColumn("place", F.col("place") - 1)
+
+
+def answered_bitmaps(answered: DataFrame, places: DataFrame, user: str, bank: str, question: str) -> DataFrame:
+    """(user, bank, bucket, bits): which places of a bank a learner has a result for.
+
+    A bit a question instead of a row: the table grows with learners and their banks.
+    """
+    marked = answered.select(user, question).join(places, question)
+    bucket = F.floor(F.col("place") / BITMAP_BITS)
+    return marked.groupBy(user, bank, bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BITMAP_BITS))).alias("bits"))
+
+
+def unanswered_counts(enrolled: DataFrame, places: DataFrame, bitmaps: DataFrame, user: str, bank: str) -> DataFrame:
+    """(user, bank, questions, unanswered) of every enrolled bank, from the bitmaps alone."""
+    sizes = places.groupBy(bank).agg(F.count(F.lit(1)).alias("questions"))
+    done = bitmaps.groupBy(user, bank).agg(F.sum(F.bitmap_count("bits")).alias("_done"))
+    return (enrolled.select(user, bank).distinct().join(sizes, bank).join(done, [user, bank], "left")
+            .select(user, bank, "questions", (F.col("questions") - F.coalesce("_done", F.lit(0))).alias("unanswered")))
+
+
+def next_unanswered(enrolled: DataFrame, places: DataFrame, bitmaps: DataFrame, user: str, bank: str, question: str, k: int) -> DataFrame:
+    """The first ``k`` unanswered questions of each enrolled bank, in the bank's order.
+
+    A bitmap gives at most ``k`` free places; only these meet the questions.
+    """
+    buckets = places.groupBy(bank, F.floor(F.col("place") / BITMAP_BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = enrolled.select(user, bank).distinct().join(buckets, bank).join(bitmaps, [user, bank, "bucket"], "left")
+
+    def free(byte: Column, i: Column) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda bit: F.call_function("shiftright", byte, bit).bitwiseAND(1) == 0), lambda bit: i * 8 + bit)
+    byte = lambda i: F.conv(F.hex(F.substring("bits", i + 1, F.lit(1))), 16, 10).cast("int")
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n") / 8).cast("int") - 1), lambda i: F.when(
+        F.col("bits").isNull(), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda bit: i * 8 + bit)).otherwise(bind(byte(i), lambda b: free(b, i)))))
+    few = F.slice(F.filter(every, lambda p: p < F.col("_n")), 1, k)
+    found = rows.select(user, bank, F.explode(F.transform(few, lambda p: p + F.col("bucket") * BITMAP_BITS)).alias("place"))
+    return keep_top(found, [user, bank], [F.col("place")], k).join(places, [bank, "place"]).select(user, bank, question, "place")
+
+
 def draw_rank(user: Column, question: Column, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), user.cast("string"), question.cast("string")))
 

@@ -204,6 +204,23 @@ def reset_bank(ledger: DataFrame, questions: DataFrame, resets: DataFrame) -> Da
     return kept.select(*KEY, "value", "updated_at").unionByName(tombstones.select(*KEY, "value", "updated_at"))
 
 
+def bank_tombstones(resets: DataFrame) -> DataFrame:
+    """One row per learner and bank that was reset: the time of the last reset."""
+    return resets.groupBy("user_id", "bank_id").agg(F.max("reset_at").alias("reset_at"))
+
+
+def read_after_resets(ledger: DataFrame, questions: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """The rows of a ledger that outlive the resets of their banks, as merging with a tombstone per question would keep them.
+
+    A reset is a row of its learner and bank; it is applied here, when the ledger is read, to all questions the bank
+    has now.  A value stamped with the time of the reset outlives it, but a first result does not.
+    """
+    banked = ledger.join(questions.select("question_id", "bank_id"), "question_id", "left")
+    at = banked.join(tombstones, ["user_id", "bank_id"], "left")
+    same = (F.col("updated_at") == F.col("reset_at")) & (F.col("field") != "firstProgress") & F.col("value").isNotNull()
+    return at.where(F.col("reset_at").isNull() | (F.col("updated_at") > F.col("reset_at")) | same).select(*KEY, "value", "updated_at")
+
+
 def clear_practice(responses: Column, section: Column) -> Column:
     """Responses without those of one section (keys ``section:number``)."""
     return F.map_filter(responses, lambda k, _: ~F.startswith(k, F.concat(section, F.lit(":"))))
