@@ -25,7 +25,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +61,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag of the first ends an open element of the second.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|iframe)\b([^>]*)>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute with its value; read one after the other, so values are never taken for names.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Compounds in one word that mark the same.
 _MARKS = re.compile("(?:cookie|advert|sidebar|newsletter|breadcrumb|sponsor)(?:s|ed|ing|bar|box|banner|notice|consent|wrap|wrapper|list|left|right|[0-9])*")
 _SPACE = re.compile(r"\s+")
@@ -68,14 +70,22 @@ _NUMBER = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "inside", "key", "name", "tag", "text")
+    """``key`` names the path of block elements to the node; ``inside`` and ``article`` tell what it lies in."""
 
-    def __init__(self, tag: str, name: str, key: str, dropped: bool, inside: bool = False):
-        self.tag, self.name, self.key, self.dropped, self.inside = tag, name, key, dropped, inside
+    __slots__ = ("article", "children", "dropped", "inside", "key", "name", "tag", "text")
+
+    def __init__(self, tag: str, name: str, key: tuple[int, int], dropped: bool, inside: bool = False, article: bool = False):
+        self.tag, self.name, self.key, self.dropped, self.inside, self.article = tag, name, key, dropped, inside, article
         self.children: list[Node] = []
         self.text: list[tuple[int, str]] = []  # (number of children before it, text)
 
 
+def _below(key: tuple[int, int], name: str) -> tuple[int, int]:
+    """The key of a child; keys are running hashes, so deep pages cost no more than flat ones."""
+    b = f"/{name}".encode("utf-8", "surrogatepass")
+    return zlib.crc32(b, key[0]), zlib.adler32(b, key[1])
+
+
 def _marks(name: str, names: frozenset[str]) -> bool:
     """Whether a whole name says that its element is such a part."""
     words = [w for w in re.split(r"[-_:.]+", name) if w]
@@ -83,13 +93,14 @@ def _marks(name: str, names: frozenset[str]) -> bool:
     return any(marks) and all(m or w in _PLACES for w, m in zip(words, marks))
 
 
-def _style(tag: str, attributes: str, inside: bool = False) -> tuple[str, bool]:
+def _style(tag: str, attributes: str, inside: bool = False, article: bool = False) -> tuple[str, bool]:
     """Name of the element in a style path, and whether it goes by its element or names.
 
     Inside an article only whole names of readers' comments, adverts, notices and links to other pages count, and no id:
     these differ from page to page, so the tree cannot tell them from text.  Any other name there is left to the tree.
+    The header of an article is its headline and stays.
     """
-    names, gone = [], tag in DROPPED
+    names, gone = [], tag in DROPPED and not (article and tag == "header")
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -109,8 +120,12 @@ def _style(tag: str, attributes: str, inside: bool = False) -> tuple[str, bool]:
 
 def parse(source: str) -> Node:
     """The tree of a page; elements left open end with their parent."""
-    root = Node("#root", "#root", "", False)
-    stack, at = [root], 0
+    root = Node("#root", "#root", (0, 1), False)
+    stack, at, open_tags = [root], 0, Counter()
+
+    def close(depth: int) -> None:
+        open_tags.subtract(n.tag for n in stack[depth:])
+        del stack[depth:]
     for m in _TOKEN.finditer(source):
         if m.start() > at:
             stack[-1].text.append((len(stack[-1].children), source[at:m.start()]))
@@ -120,18 +135,18 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[3]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in ("article", "body", "html", "main", "section", "td", "div") and tag not in BLOCKS:
                     break
             continue
         if tag in BLOCKS:
             enders = CLOSES.get(tag, ()) if tag in CLOSES else {"p"}
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in enders) else ():
                 if stack[depth].tag in enders:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in ("ul", "ol", "table", "dl", "div", "article", "section", "body", "aside", "nav", "main", "blockquote"):
                     break
@@ -139,12 +154,14 @@ def parse(source: str) -> Node:
         if tag == "br":
             parent.text.append((len(parent.children), " "))
             continue
-        name, gone = _style(tag, m[5], parent.inside)
+        name, gone = _style(tag, m[5], parent.inside, parent.article)
         gone |= parent.dropped
-        node = Node(tag, name, f"{parent.key}/{name}" if tag in BLOCKS else parent.key, gone, parent.inside or tag in MAIN and not gone)
+        node = Node(tag, name, _below(parent.key, name) if tag in BLOCKS else parent.key, gone, parent.inside or tag in MAIN and not gone,
+                    parent.article or tag == "article" and not gone)
         parent.children.append(node)
-        if tag not in VOID and not m[5].endswith("/") and len(stack) < 400:
+        if tag not in VOID and not m[5].endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
     if at < len(source):
         stack[-1].text.append((len(stack[-1].children), source[at:]))
     return root
@@ -158,19 +175,27 @@ def walk(node: Node) -> Iterator[Node]:
         stack.extend(reversed(here.children))
 
 
-def blocks(root: Node, low: set[int], key_of) -> list[str]:
+def _tops(root: Node) -> list[Node]:
+    """The outermost articles in page order."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in MAIN and not node.dropped:
+            found.append(node)
+        else:
+            stack.extend(reversed(node.children))
+    return found
+
+
+def blocks(root: Node, low: set[int]) -> list[str]:
     """Texts of the kept blocks in page order: those of the articles, or of the page where it has none.
 
     In an article only elements with a name of their own can be of low importance: plain headings and paragraphs are its content.
     """
-    articles = [n for n in walk(root) if n.tag in MAIN and not n.dropped]
-    tops = [n for n in articles if not any(n is not a and n.key.startswith(f"{a.key}/") and n in walk(a) for a in articles)] if len(articles) > 1 else articles
-    if tops:
-        return [b for n in tops for b in _blocks(n, low, key_of)]
-    return _blocks(root, low, key_of)
+    return [b for n in _tops(root) or [root] for b in _blocks(n, low)]
 
 
-def _blocks(root: Node, low: set[int], key_of) -> list[str]:
+def _blocks(root: Node, low: set[int]) -> list[str]:
     out: list[str] = []
     now: list[str] = []
 
@@ -185,7 +210,7 @@ def _blocks(root: Node, low: set[int], key_of) -> list[str]:
         node, t, c = stack.pop()
         if t == c == 0 and node.tag in BLOCKS:
             close()
-        if node.dropped or (low and node.tag in BLOCKS and not (node.inside and (node.name == node.tag or node.tag in MAIN)) and key_of(node.key) in low):
+        if node.dropped or (low and node.tag in BLOCKS and not (node.inside and (node.name == node.tag or node.tag in MAIN)) and node_id(node.key) in low):
             if node.tag in BLOCKS:
                 close()
             continue
@@ -201,9 +226,13 @@ def _blocks(root: Node, low: set[int], key_of) -> list[str]:
     return out
 
 
-def key_hash(key: str) -> int:
-    b = key.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) << 31 | zlib.adler32(b) >> 1
+def node_id(key: tuple[int, int]) -> int:
+    return key[0] << 31 | key[1] >> 1
+
+
+def key_hash(text: str) -> int:
+    b = text.encode("utf-8", "surrogatepass")
+    return node_id((zlib.crc32(b), zlib.adler32(b)))
 
 
 def host_of(url):
@@ -220,15 +249,16 @@ def style_nodes(pages: DataFrame, url: str = "url", source: str = "html") -> Dat
             for host, text in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
                 if not text:
                     continue
-                per: dict[str, list[Node]] = {}
+                per: dict[tuple[int, int], list[Node]] = {}
                 root = parse(text)
                 for node in walk(root):
                     if node.tag in BLOCKS and not node.dropped:
                         per.setdefault(node.key, []).append(node)
-                page = _content([root])
+                content = contents(root)
+                page = content[id(root)][0]
                 for key, nodes in per.items():
                     layout = key_hash(",".join(dict.fromkeys(c.name for n in nodes for c in n.children if c.tag in BLOCKS)))
-                    seen.add((host, key_hash(key), layout, _content(nodes), page))
+                    seen.add((host, node_id(key), layout, joined(content[id(n)] for n in nodes)[0], page))
             rows = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), *[pa.array([k[j] for k in rows], pa.int64()) for j in (1, 2, 3, 4)]],
                                              ["host", "node", "layout", "content", "page"])
@@ -236,9 +266,25 @@ def style_nodes(pages: DataFrame, url: str = "url", source: str = "html") -> Dat
             .groupBy("host", "node", "layout", "content").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _content(nodes: list[Node]) -> int:
-    """Hash of all text below the nodes but for dropped parts."""
-    return key_hash("|".join(t for n in nodes for d in walk(n) if not d.dropped for _, t in d.text))
+#: Hashes of sequences of texts are polynomials in ``_BASE``, so that a node's follows from its children's.
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+def joined(parts: Iterable[tuple[int, int]]) -> tuple[int, int]:
+    """(hash, power) of sequences one after the other."""
+    total, power = 0, 1
+    for h, p in parts:
+        total, power = (total * p + h) % _PRIME, power * p % _PRIME
+    return total, power
+
+
+def contents(root: Node) -> dict[int, tuple[int, int]]:
+    """By node, the hash of all texts below it but for dropped parts: its own first, then its children's."""
+    out: dict[int, tuple[int, int]] = {}
+    for node in reversed(list(walk(root))):  # children come before their parent
+        own = () if node.dropped else ((key_hash(t) + 1, _BASE) for _, t in node.text)
+        out[id(node)] = joined([*own, *(out[id(c)] for c in node.children)])
+    return out
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -272,14 +318,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", name: str
     kept = pages.columns
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        lows, out = piece.column(low), []
-        cache: dict[str, int] = {}
-
-        def key_of(key: str) -> int:
-            if key not in cache:
-                cache[key] = key_hash(key)
-            return cache[key]
-        for text, own in zip(piece.column(source).to_pylist(), lows.to_pylist()):
-            out.append("\n\n".join(blocks(parse(text), set(own or ()), key_of)) if text else "")
+        out = ["\n\n".join(blocks(parse(text), set(own or ()))) if text else ""
+               for text, own in zip(piece.column(source).to_pylist(), piece.column(low).to_pylist())]
         return pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(out, pa.string())], [*kept, name])
     return map_pieces(met, run, StructType([*pages.schema.fields]).add(name, StringType()), source)

@@ -399,8 +399,8 @@ PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header
 
 
 def test_page_blocks():
-    assert style_tree.blocks(style_tree.parse(PAGE), set(), None) == ["Head & more", "One two link three", "Four five six", "a", "b", "1", "2", "q", "tail"]
-    assert style_tree.blocks(style_tree.parse("<div>plain <b>x</b> &lt;b&gt; 3 < 4 & 5</div>text"), set(), None) == ["plain x <b> 3 < 4 & 5", "text"]
+    assert style_tree.blocks(style_tree.parse(PAGE), set()) == ["Head & more", "One two link three", "Four five six", "a", "b", "1", "2", "q", "tail"]
+    assert style_tree.blocks(style_tree.parse("<div>plain <b>x</b> &lt;b&gt; 3 < 4 & 5</div>text"), set()) == ["plain x <b> 3 < 4 & 5", "text"]
 
 
 @pytest.mark.parametrize("part", ['<h2 id="search">kept</h2>', '<h2 id="related-work">kept</h2>', '<section id="related-work"><p>kept</p></section>',
@@ -408,10 +408,54 @@ def test_page_blocks():
                                   '<p><math><mi>kept</mi></math></p>', '<div class="widget"><p>kept</p></div>', '<div class="cookies-recipe"><p>kept</p></div>'])
 def test_names_leave_article_text(part):
     page = style_tree.parse(f'<body><article><h1>a</h1>{part}<div class="comments">no</div><p>b</p></article><div class="site-footer">no</div></body>')
-    assert style_tree.blocks(page, set(), None) == ["a", "kept", "b"]
+    assert style_tree.blocks(page, set()) == ["a", "kept", "b"]
     if "widget" not in part:
         plain = style_tree.parse(f'<body><div class="x">{part}</div><div id="comments">no</div><div class="site-footer">no</div><ul class="nav"><li>no</ul></body>')
-        assert style_tree.blocks(plain, set(), None) == ["kept"]
+        assert style_tree.blocks(plain, set()) == ["kept"]
+
+
+@pytest.mark.parametrize("part,want", [
+    ('<p>See <a href="/hidden-costs">the report</a> now</p>', "See the report now"), ('<p title="a hidden gem">Text</p>', "Text"), ('<p data-hidden="false">Text</p>', "Text"),
+    ('<div data-role="ad x">Text</div>', "Text"), ("<p data-class='comments' alt=hidden>Text</p>", "Text"), ("<header><h1>Text</h1></header>", "Text"),
+    ('<p style="display: none">no</p><p>Text</p>', "Text"), ('<p hidden>no</p><p>Text</p>', "Text"), ('<p a="x>y" hidden=hidden>no</p><p>Text</p>', "Text")])
+def test_attributes_are_read_whole(part, want):
+    assert style_tree.blocks(style_tree.parse(f"<body><header>no</header><article>{part}</article></body>"), set()) == [want]
+
+
+def test_any_depth():
+    deep = "<div>" * 5000 + "<p>kept</p><nav><ul><li>no</ul></nav><section class='ad'>no</section>" + "</div>" * 5000
+    root = style_tree.parse(f"<body>{deep}<p>tail</p></body>")
+    assert style_tree.blocks(root, set()) == ["kept", "tail"]
+    assert len(style_tree.contents(root)) == sum(1 for _ in style_tree.walk(root))
+
+
+def test_contents_by_plain_sequences():
+    rng = random.Random(12)
+    parts = ["<div>", "</div>", "<p>", "a", "b", "<b>", "</b>", "<nav>", "</nav>", "<ul><li>", "</ul>"]
+    for _ in range(300):
+        root = style_tree.parse("".join(rng.choice(parts) for _ in range(20)))
+        found = style_tree.contents(root)
+
+        def sequence(node):
+            return [*(() if node.dropped else (t for _, t in node.text)), *(t for c in node.children for t in sequence(c))]
+        groups = {}
+        for node in style_tree.walk(root):
+            groups.setdefault(tuple(sequence(node)), set()).add(found[id(node)])
+        assert all(len(h) == 1 for h in groups.values()) and len({h for g in groups.values() for h in g}) == len(groups)
+
+
+def test_importance_by_plain_entropies(shared):
+    rows = [("h", node, layout, content, page) for node, pages in (("n1", 6), ("n2", 1), ("n3", 5)) for page in range(pages)
+            for layout, content in [(page % 2, page % 3 if node == "n1" else 0)]]
+    frame = shared.createDataFrame([(h, n, l, c) for h, n, l, c, _ in rows], "host string, node string, layout long, content long")
+    counted = frame.groupBy("host", "node", "layout", "content").agg(F.count(F.lit(1)).alias("n"))
+    for r in style_tree.importance(counted).collect():
+        own = [(l, c) for _, n, l, c, _ in rows if n == r.node]
+
+        def scaled(values):
+            n = collections.Counter(values)
+            return -sum(k / len(values) * math.log(k / len(values)) for k in n.values()) / math.log(len(values)) if len(values) > 1 else 1.0
+        assert r.pages == len(own) and math.isclose(r.importance, max(scaled([l for l, _ in own]), scaled([c for _, c in own])), abs_tol=1e-12)
 
 
 def test_low_branches_go(shared):
