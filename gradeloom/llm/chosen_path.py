@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
 from pyspark.sql.window import Window
 
 from gradeloom.llm.components import components
@@ -116,17 +115,20 @@ class Shingles:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, print, shingles, sketch) per row; print and sketch are null for texts without words."""
+    """(doc_id, mark, print, shingles, sketch) per row; print and sketch are null for texts without words.
+
+    ``mark`` is Spark's own hash of the text: id and mark name a row, so later steps find texts without sending them.
+    """
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         s = Shingles(piece.column("text"), size)
         sketch: list[bytes | None] = [None] * len(s.counts)
         for i, row in zip(s.some, s.sketches()):
             sketch[i] = row.tobytes()
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(s.prints(), pa.binary()), pa.array(s.counts, pa.int64()),
-                                           pa.array(sketch, pa.binary())], ["doc_id", "print", "shingles", "sketch"])
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("mark"), pa.array(s.prints(), pa.binary()), pa.array(s.counts, pa.int64()),
+                                           pa.array(sketch, pa.binary())], ["doc_id", "mark", "print", "shingles", "sketch"])
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
-    return map_pieces(plain, run, f"doc_id {kind}, print binary, shingles long, sketch binary")
+    return map_pieces(plain, run, f"doc_id {kind}, mark long, print binary, shingles long, sketch binary")
 
 
 def _grid(column) -> np.ndarray:
@@ -309,24 +311,22 @@ def _links(sets: list[np.ndarray], own: np.ndarray, one_block: bool, similarity:
     return linked.sum(axis=1), _labels(n, a, b)
 
 
-def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL,
-                 depth: int = DEPTH, limit: int = LIMIT, loose: float = LOOSE) -> DataFrame:
-    """Per row of ``docs``: (doc_id, print, class_id, n_links, n_copies, kept_id).
-
-    ``n_links`` counts the other shingle sets at the threshold, ``n_copies`` the rows with this row's
-    own set, ``kept_id`` is the id of the row of this set to keep if the class keeps it, else null.
-    """
+def _classes(docs: DataFrame, text: str, doc_id: str, size: int, similarity: float, recall: float, depth: int, limit: int,
+             loose: float) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (print, class_id, n_copies, n_links, kept, own_id, own_mark) of every set."""
     rows = written(fingerprints(docs, text, doc_id, size), "prints")
     sets = written(rows.where("print is not null").groupBy("print").agg(
-        F.min("doc_id").alias("own_id"), F.count(F.lit(1)).alias("n_copies"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")), "sets")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("own"), F.count(F.lit(1)).alias("n_copies"),
+        F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+        .select("print", F.col("own.doc_id").alias("own_id"), F.col("own.mark").alias("own_mark"), "n_copies", "shingles", "sketch"), "sets")
     ties = candidate_ties(sets.select("print", "sketch"), similarity, recall, depth, limit, loose)
     clusters = components(ties)
-    members = clusters.join(sets.select("print", "own_id", "shingles"), clusters.node == sets.print).select("print", "own_id", "shingles", "root")
+    members = clusters.join(sets.select("print", "own_id", "own_mark", "shingles"), clusters.node == sets.print).select("print", "own_id", "own_mark", "shingles", "root")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("shingles") * 8 / BLOCK_BYTES)).alias("blocks"))
-    members = members.join(blocks, "root").select("print", "own_id", F.xxhash64("root").alias("cluster"), "blocks")
+    members = members.join(blocks, "root").select("print", "own_id", "own_mark", F.xxhash64("root").alias("cluster"), "blocks")
 
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = plain.join(members, plain.doc_id.eqNullSafe(members.own_id)).select("print", "cluster", "blocks", "text")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    found = plain.join(members, plain.doc_id.eqNullSafe(members.own_id) & (plain.mark == members.own_mark)).select("print", "cluster", "blocks", "text")
 
     def shingle(piece: pa.RecordBatch) -> pa.RecordBatch:
         s = Shingles(piece.column("text"), size)
@@ -344,32 +344,43 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     links = exact.groupBy(F.col("a").alias("print")).agg(F.sum("links").alias("n_links"))
     classes = components(exact).select(F.col("node").alias("print"), "root")
 
-    named = sets.select("print", "own_id", "n_copies").join(links, "print", "left").join(classes, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    named = sets.select("print", "own_id", "own_mark", "n_copies").join(links, "print", "left").join(classes, "print", "left").withColumn("root", F.coalesce("root", "print"))
     names = named.groupBy("root").agg(F.min("own_id").alias("class_id"),
                                       F.min_by(F.struct("own_id", "print"), F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("print"))).alias("first"))
     named = written(named.join(names, "root").select("print", "class_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-                    (F.col("first.print") == F.col("print")).alias("kept"), "own_id"), "classes")
+                    (F.col("first.print") == F.col("print")).alias("kept"), "own_id", "own_mark"), "classes")
+    return rows, named
+
+
+def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL,
+                 depth: int = DEPTH, limit: int = LIMIT, loose: float = LOOSE) -> DataFrame:
+    """Per row of ``docs``: (doc_id, print, class_id, n_links, n_copies, kept, own_id).
+
+    ``n_links`` counts the other shingle sets at the threshold, ``n_copies`` the rows with this row's
+    own set; ``kept`` tells whether the class keeps this row's set, ``own_id`` the id of the row to keep of it.
+    """
+    rows, named = _classes(docs, text, doc_id, size, similarity, recall, depth, limit, loose)
     return rows.select("doc_id", "print").join(named, "print", "left").select(
         "doc_id", "print", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
         F.coalesce("kept", F.lit(True)).alias("kept"), F.col("own_id").alias("own_id"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL,
+                depth: int = DEPTH, limit: int = LIMIT, loose: float = LOOSE) -> DataFrame:
     """The rows of ``docs`` with one row per class: the one with the smallest id, all columns as they are.
 
-    Rows without words stay. Rows are found again by (print, id), so a group of copies is spread by its ids.
+    Rows without words stay.  Only ids and hashes of the rows that go are joined with the texts, so texts stay where
+    they are unless very many go; of rows that are equal in id and text one is kept.
     """
-    classes = near_classes(docs, text, doc_id, size, **options)
-    key, nth = free_name(docs.columns, "print"), free_name(docs.columns, "nth")
-    chosen_key, own = free_name([*docs.columns, key], "chosen"), free_name(docs.columns, "own")
-    chosen = classes.where("print is not null and kept").select(F.col("print").alias(chosen_key), F.col("own_id").alias(own)).distinct()
-
-    def add(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*piece.columns, pa.array(Shingles(piece.column(text), size).prints(), pa.binary())],
-                                          [*piece.schema.names, key])
-    keyed = map_pieces(docs, add, StructType([*docs.schema.fields]).add(key, BinaryType()), text)
-    alone = keyed.where(F.col(key).isNull())
-    met = keyed.where(F.col(key).isNotNull()).join(chosen, (F.col(key) == F.col(chosen_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left_semi")
-    once = met.withColumn(nth, F.row_number().over(Window.partitionBy(key, doc_id).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(nth)
-    return once.union(alone).drop(key)
+    rows, named = _classes(docs, text, doc_id, size, similarity, recall, depth, limit, loose)
+    kept = named.where("kept").select(F.col("own_id").alias("doc_id"), F.col("own_mark").alias("mark"), F.lit(True).alias("kept"))
+    held = rows.where("print is not null").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    judged = held.join(kept.withColumnsRenamed({"doc_id": "kept_id", "mark": "kept_mark"}),
+                       F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left")
+    key, mark, nth = (free_name([*docs.columns, "again"], c) for c in ("row_id", "row_mark", "row_nth"))
+    odd = written(judged.where("kept is null or times > 1").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("kept").isNotNull().alias("again")), "gone")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(mark))
+    once = docs.join(odd.where("again"), same, "left_semi")
+    once = once.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(nth)
+    return docs.join(odd, same, "left_anti").union(once)
