@@ -100,9 +100,7 @@ def _save(path: str, arrays: list[np.ndarray]) -> None:
 
 @functools.lru_cache(maxsize=256)
 def _load(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of one file, mapped."""
-    if not os.path.exists(path):
-        return [np.zeros(0, k) for k in kinds]
+    """The arrays of one file, mapped.  Only files that were written are asked for: one that is missing is an error."""
     data, out = np.memmap(path, np.uint8, "r"), []
     at = 8 * len(kinds)
     for k, n in zip(kinds, data[:at].view("<i8").tolist()):
@@ -112,8 +110,12 @@ def _load(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-PAIR_FILE = ("<u8", "<u8", "<u8", "<u4", "<u4", "<u4", "<u4", "<u4", "<u4")  # contexts, pairs, words; n1 n2 n3 total of contexts; n of pairs; n of words
-LEFT_FILE = ("<u8", "<u4")
+#: Contexts, pairs, words; n1 n2 n3 total of contexts; n of pairs; n of words; places and counts of pairs that 32 bits don't hold.
+PAIR_FILE = ("<u8", "<u8", "<u8", "<u8", "<u8", "<u8", "<u8", "<u4", "<u8", "<u8", "<u8")
+LEFT_FILE = ("<u8", "<u8")
+WIDE = (1 << 32) - 1
+#: Bytes of text that a shard counts at most, on average.
+SHARD_BYTES = 64 << 20
 
 
 def _route(hash40: np.ndarray, shards: int) -> np.ndarray:
@@ -185,11 +187,12 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(n, 5).astype(int), minlength=6)[1:5].tolist()
 
 
-def _stat(kind: int, key: int, values: list[int]) -> tuple:
-    return (0, kind, np.array([key], "<i8").tobytes(), b"", b"", np.array(values, "<i8").tobytes())
+def _stats(shard: int, kind: int, keys: list[int] | np.ndarray, values: list[list[int]] | np.ndarray) -> tuple:
+    """One row of statistics: the values of every key, summed by key where they arrive."""
+    return (shard, kind, np.asarray(keys, "<i8").tobytes(), b"", b"", np.asarray(values, "<i8").tobytes())
 
 
-def _merge(batches, shards: int, hot: np.ndarray, folder: str) -> Iterator[pa.RecordBatch]:
+def _merge(batches, shards: int, hot: np.ndarray, folder: str, most: int) -> Iterator[pa.RecordBatch]:
     """Write each shard's contexts, pairs and words; pass on numbers of left neighbours and statistics."""
     for shard, rows in _by_shard(batches):
         pair_rows, word_rows = ([r for r in rows if r["kind"] == k] for k in (0, 1))
@@ -201,15 +204,17 @@ def _merge(batches, shards: int, hot: np.ndarray, folder: str) -> Iterator[pa.Re
         c, place = np.unique(context, return_inverse=True)
         per = [np.bincount(place, w, minlength=len(c)).astype(np.int64) for w in (n == 1, n == 2, n >= 3, n)]
         spread = np.isin(c, hot)
-        out = [_stat(3, int(c[i]), [int(p[i]) for p in per]) for i in np.flatnonzero(spread)]
+        own, to = np.stack(per, axis=1)[spread], _route(c[spread], shards)
+        out = [_stats(s, 3, c[spread][to == s], own[to == s]) for s in np.unique(to).tolist()]
         single, _, many = _grouped(np.concatenate([np.zeros(0, U), *[np.frombuffer(r["a"], "<u8") for r in word_rows]]),
                                    np.concatenate([np.zeros(0, U), *[np.frombuffer(r["n"], "<u4") for r in word_rows]]).astype(np.uint64))
-        _save(f"{folder}/pairs-{shard:06d}", [c[~spread], key, single, *[p[~spread].astype("<u4") for p in per], n.astype("<u4"), many.astype("<u4")])
-        out.append(_stat(4, 0, [*_counts_of_counts(n), int(many.sum()), len(single)]))
+        _save(f"{folder}/pairs-{shard:06d}", [c[~spread], key, single, *[p[~spread].astype("<u8") for p in per],
+                                                 np.minimum(n, most).astype("<u4"), many.astype("<u8"), *(x.astype("<u8") for x in wide(n, most))])
+        out.append(_stats(shard, 4, [0, shard + 1], [[*_counts_of_counts(n), int(many.sum()), len(single)], [1, 0, 0, 0, 0, 0]]))
         w, left = np.unique(word, return_counts=True)
         to = _route(w, shards)
         order = np.argsort(to, kind="stable")
-        w, left, to = w[order], left[order].astype("<u4"), to[order]
+        w, left, to = w[order], left[order].astype("<u8"), to[order]
         cuts = np.searchsorted(to, np.arange(shards + 1))
         out += [(s, 2, _pack(w[cuts[s]:cuts[s + 1]]), b"", b"", left[cuts[s]:cuts[s + 1]].tobytes()) for s in np.unique(to).tolist()]
         yield _rows(out)
@@ -218,19 +223,32 @@ def _merge(batches, shards: int, hot: np.ndarray, folder: str) -> Iterator[pa.Re
 def _finish(batches, folder: str) -> Iterator[pa.RecordBatch]:
     """Write each shard's left-neighbour counts; what remains are statistics (kind, key, values)."""
     for shard, rows in _by_shard(batches):
-        out = [(r["kind"], int(np.frombuffer(r["a"], "<i8")[0]), np.frombuffer(r["n"], "<i8").tolist()) for r in rows if r["kind"] > 2]
+        out = []
+        for kind, size in ((3, 4), (4, 6)):
+            held = [r for r in rows if r["kind"] == kind]
+            if held:
+                keys, place = np.unique(np.concatenate([np.frombuffer(r["a"], "<i8") for r in held]), return_inverse=True)
+                values = np.zeros((len(keys), size), np.int64)
+                np.add.at(values, place, np.concatenate([np.frombuffer(r["n"], "<i8").reshape(-1, size) for r in held]))
+                out += [(kind, k, v) for k, v in zip(keys.tolist(), values.tolist())]
         own = [r for r in rows if r["kind"] == 2]
         if own:
-            w, _, left = _grouped(np.concatenate([_unpack(r["a"]) for r in own]), np.concatenate([np.frombuffer(r["n"], "<u4") for r in own]).astype(np.uint64))
-            _save(f"{folder}/left-{shard:06d}", [w, left.astype("<u4")])
-            out.append((5, 0, [*_counts_of_counts(left), int(left.sum()), len(w)]))
+            w, _, left = _grouped(np.concatenate([_unpack(r["a"]) for r in own]), np.concatenate([np.frombuffer(r["n"], "<u8") for r in own]))
+            _save(f"{folder}/left-{shard:06d}", [w, left.astype("<u8")])
+            out += [(5, 0, [*_counts_of_counts(left), int(left.sum()), len(w)]), (5, shard + 1, [1])]
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()),
                                           pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["kind", "key", "v"])
 
 
+def wide(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the counts that ``most``, the largest of their type, doesn't hold."""
+    at = np.flatnonzero(n >= most)
+    return at, n[at]
+
+
 @dataclasses.dataclass
 class Model:
-    """What is small: folder, sizes, discounts and the statistics of the spread contexts."""
+    """What is small: folder, sizes, files written, discounts and the statistics of the spread contexts."""
 
     folder: str
     shards: int
@@ -242,6 +260,8 @@ class Model:
     left_rest: float
     hot: np.ndarray
     hot_stats: np.ndarray
+    pair_files: frozenset[int]
+    left_files: frozenset[int]
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -265,10 +285,12 @@ def _folder(spark) -> str:
 
 def count_model(train: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     spark = train.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = train.select(F.col(text).alias("text"))
+    if shards is None:  # the session's number of partitions, or more where the text asks for it
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     folder = _folder(spark)
     os.makedirs(folder, exist_ok=True)
-    rows = train.select(F.col(text).alias("text"))
 
     def frequent(batches):
         for piece in pieces(batches):
@@ -280,16 +302,18 @@ def count_model(train: DataFrame, text: str = "text", shards: int | None = None)
     hot = np.array(sorted(r.c for r in seen.orderBy(F.desc("n"), "c").limit(8 * shards).collect()), U)
 
     sent = rows.mapInArrow(lambda b: _send(b, shards, hot), _SENT)
-    merged = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _merge(b, shards, hot, folder), _SENT)
+    most = WIDE
+    merged = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _merge(b, shards, hot, folder, most), _SENT)
     done = merged.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _finish(b, folder), "kind int, key long, v array<long>")
     sums = done.groupBy("kind", "key").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(6)])
-    found = {(r.kind, r.key): [r[f"v{i}"] or 0 for i in range(6)] for r in sums.collect()}  # the spread contexts and two rows
+    found = {(r.kind, r.key): [r[f"v{i}"] or 0 for i in range(6)] for r in sums.collect()}  # the spread contexts, two rows and one a file
     pair, left = found.get((4, 0), [0] * 6), found.get((5, 0), [0] * 6)
     d, one = discounts(pair[:4]), discounts(left[:4])
     pairs = left[4]
     rest = (one[1] * left[0] + one[2] * left[1] + one[3] * (left[5] - left[0] - left[1])) / pairs if pairs else 1.0
     spread = sorted(k for kind, k in found if kind == 3)
-    return Model(folder, shards, pair[4], pair[5], pairs, d, one, rest, np.array(spread, U), np.array([found[(3, k)][:4] for k in spread], float).reshape(-1, 4))
+    return Model(folder, shards, pair[4], pair[5], pairs, d, one, rest, np.array(spread, U), np.array([found[(3, k)][:4] for k in spread], float).reshape(-1, 4),
+                 *(frozenset(k - 1 for kind, k in found if kind == which and k) for which in (4, 5)))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,13 +349,16 @@ def look_up(model: Model, context: np.ndarray, token: np.ndarray) -> tuple[np.nd
                 yield s, rows, value[rows]
 
     def shard_file(s: int):
-        return _load(f"{model.folder}/pairs-{s:06d}", PAIR_FILE)
+        return _load(f"{model.folder}/pairs-{s:06d}", PAIR_FILE) if s in model.pair_files else [np.zeros(0, k) for k in PAIR_FILE]
 
     pair = pair_key(c40, w40)
     for s, rows, v in by_shard(_route(np.where(is_hot, c40 + w40, c40), model.shards), pair):
         file = shard_file(s)
         at, there = _find(file[1], v)
-        n[rows[there]] = file[7][at[there]]
+        found = file[7][at[there]].astype(float)
+        big, known = _find(file[9], at[there].astype(U))
+        found[known] = file[10][big[known]]
+        n[rows[there]] = found
     plain = np.flatnonzero(~is_hot)
     for s, rows, v in by_shard(_route(c40[plain], model.shards), c40[plain]):
         file = shard_file(s)
@@ -344,6 +371,8 @@ def look_up(model: Model, context: np.ndarray, token: np.ndarray) -> tuple[np.nd
         at, there = _find(file[2], v)
         count[rows[there]] = file[8][at[there]]
     for s, rows, v in by_shard(own, w40):
+        if s not in model.left_files:
+            continue
         words, lefts = _load(f"{model.folder}/left-{s:06d}", LEFT_FILE)
         at, there = _find(words, v)
         left[rows[there]] = lefts[at[there]]

@@ -272,6 +272,35 @@ def test_probabilities_sum_to_one(shared):
         assert (10 ** log).sum() == pytest.approx(1)
 
 
+def test_a_missing_file_is_an_error(shared):
+    train = shared.createDataFrame([("a b c a b",), ("b b a",)], "text string")
+    for part in ("pairs", "left"):
+        model = kneser_ney.count_model(train, shards=2)
+        token, counts = kneser_ney.tokens(pa.array(["a b c"]))
+        kneser_ney.look_up(model, kneser_ney.contexts(token, counts), token)
+        kneser_ney._load.cache_clear()
+        for name in os.listdir(model.folder):
+            if name.startswith(part):
+                os.rename(f"{model.folder}/{name}", f"{model.folder}/gone-{name}")
+        with pytest.raises(FileNotFoundError):
+            kneser_ney.look_up(model, kneser_ney.contexts(token, counts), token)
+        with pytest.raises(Exception, match="No such file"):
+            kneser_ney.score(train, model).collect()
+    empty = kneser_ney.count_model(train.limit(0), shards=2)  # a shard without text has no file, and none is asked for
+    assert empty.pair_files == empty.left_files == frozenset() and [r.score for r in kneser_ney.score(train, empty).collect()] == [0.0, 0.0]
+
+
+def test_counts_that_32_bits_do_not_hold(shared, monkeypatch):
+    train = shared.createDataFrame([("a b " * 40,), ("b a c",)], "text string")
+    want = [r.score for r in kneser_ney.score(train, kneser_ney.count_model(train, shards=2)).collect()]
+    monkeypatch.setattr(kneser_ney, "WIDE", 5)
+    kneser_ney._load.cache_clear()
+    model = kneser_ney.count_model(train, shards=2)
+    token, counts = kneser_ney.tokens(pa.array([r.text for r in train.collect()]))
+    log, _ = kneser_ney.look_up(model, kneser_ney.contexts(token, counts), token)
+    assert np.add.reduceat(log, np.cumsum(counts) - counts).tolist() == pytest.approx(want)
+
+
 def test_spread_contexts_agree(shared, monkeypatch):
     docs = shared.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     monkeypatch.setattr(kneser_ney, "HOT_SAMPLE", 1)
