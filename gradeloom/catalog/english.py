@@ -53,6 +53,94 @@ def english_sections(t: Tables):
     return sections.select("doc_id", "section_id", "kind", "title", "passage", "questions")
 
 
+def _rows(low: int, high: int, make):
+    return F.array_join(F.transform(F.sequence(F.lit(low), F.lit(high)), make), "\n")
+
+
+def _pick(labels: str, n):
+    return F.substring(F.lit(labels), (F.pmod(F.col("p_partkey") + n, F.lit(len(labels))) + 1).cast("int"), F.lit(1))
+
+
+def postgraduate_papers(t: Tables):
+    """A four-part paper for every part of the table: cloze, reading, matching, translation and writing, with keys behind."""
+    def lines(*pieces):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+    name, brand, kind, size = F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")
+    cloze = _rows(1, 20, lambda n: lines(n.cast("string"), " [A] ", kind, " ", n.cast("string"), " [B] ", brand, " [C] c", size, " [D] none"))
+    paragraphs = F.array_join(F.transform(F.array(*[F.lit(x) for x in "ABCDEFG"]), lambda x: lines("[", x, "] The ", name, " in place ", x, ".")), "\n")
+    tasks = _rows(46, 50, lambda n: lines("(", n.cast("string"), ") The ", name, " was sold ", n.cast("string"), " times."))
+    keys = F.concat_ws("\n", _rows(1, 21, lambda n: lines(n.cast("string"), ".【答案】", _pick("ABCD", n))), _rows(41, 45, lambda n: lines(n.cast("string"), ".【答案】", _pick("ABCDE", n))))
+    text = lines("2019年全国硕士研究生招生考试英语（一）真题\nSection I Use of English\nDirections: Fill the gaps. The ", name, " was 1 made and 2 sold.\n", cloze,
+                 "\nSection II Reading Comprehension\nPart A\nText 1\nA text on ", name, ".\n21.What is ", name, " ", F.col("p_partkey").cast("string"), "?\n[A] ", kind, " [B] ", brand,
+                 " [C] size ", size, " [D] none\nPart B\nDirections: Put them in order.\n", paragraphs, "\nSection III Translation\nDirections: Write in Chinese.\n", tasks,
+                 "\nSection IV Writing\nPart A\n51. Directions: Write on ", name, ".\nPart B\n52. Directions: Describe ", brand, ".\n2019年英语（一）真题解析\nSection I Use of English\n", keys)
+    return t.part.select(F.col("p_partkey").alias("doc_id"), F.lit("2019-postgraduate.pdf").alias("file_name"), text.alias("text"))
+
+
+POSTGRADUATE_SQL = """WITH q AS (
+  SELECT p.*, 'cloze' AS kind, n, 'Blank ' || n AS stem, 'A.' || p_type || ' ' || n || '|B.' || p_brand || '|C.c' || p_size || '|D.none' AS options FROM part p, (SELECT unnest(range(1, 21)) AS n)
+  UNION ALL SELECT p.*, 'reading', 21, 'What is ' || p_name || ' ' || p_partkey || '?', 'A.' || p_type || '|B.' || p_brand || '|C.size ' || p_size || '|D.none' FROM part p
+  UNION ALL SELECT p.*, 'matching', n, 'Choose the paragraph for gap ' || n || '.', array_to_string(list_transform(['A', 'B', 'C', 'D', 'E'], lambda x: x || '.The ' || p_name || ' in place ' || x || '.'), '|')
+    FROM part p, (SELECT unnest(range(41, 46)) AS n)
+  UNION ALL SELECT p.*, 'translation', n, 'The ' || p_name || ' was sold ' || n || ' times.', '' FROM part p, (SELECT unnest(range(46, 51)) AS n))
+SELECT p_partkey AS doc_id, kind, n::VARCHAR AS number, stem, options, CASE WHEN kind = 'matching' THEN substr('ABCDE', (p_partkey + n) % 5 + 1, 1)
+  WHEN kind <> 'translation' THEN substr('ABCD', (p_partkey + n) % 4 + 1, 1) END AS answer FROM q"""
+
+
+@query("english_postgraduate", POSTGRADUATE_SQL)
+def english_postgraduate(t: Tables):
+    """Questions, options and keys of every layout of a four-part paper."""
+    _, _, questions = english.parse_papers(postgraduate_papers(t))
+    return questions.select("doc_id", "kind", "number", "stem", options_text(F.col("options")).alias("options"), "answer")
+
+
+@query("english_postgraduate_sections", """SELECT p_partkey AS doc_id, s.section_id, s.kind, s.part, s.questions::BIGINT AS questions,
+  CASE s.kind WHEN 'cloze' THEN 'The ' || p_name || ' was 1 made and 2 sold.' ELSE '' END AS passage FROM (SELECT *, unnest([
+  {section_id: 'section-1', kind: 'cloze', part: NULL, questions: 20}, {section_id: 'section-2-part-a-text-1', kind: 'reading', part: 'Part A', questions: 1},
+  {section_id: 'section-2-part-b', kind: 'matching', part: 'Part B', questions: 5}, {section_id: 'section-3', kind: 'translation', part: NULL, questions: 5},
+  {section_id: 'section-4-part-1', kind: 'writing', part: 'Part A', questions: 0}, {section_id: 'section-4-part-2', kind: 'writing', part: 'Part B', questions: 0}]) AS s FROM part)""")
+def english_postgraduate_sections(t: Tables):
+    """Sections and parts of the same papers, with the passage of the gaps."""
+    _, sections, _ = english.parse_papers(postgraduate_papers(t))
+    return sections.select("doc_id", "section_id", "kind", "part", "questions", F.when(F.col("kind") == "cloze", F.col("passage")).otherwise("").alias("passage"))
+
+
+def college_papers(t: Tables):
+    """A college paper for every part of the table: writing, listening, word bank, long reading, passages and translation, explained behind each."""
+    def lines(*pieces):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+    name, brand, kind, size = F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")
+    words = " ".join(f"{label}) {word}" for label, word in zip("ABCDE", BANK))
+    options = lines("A) ", kind, "\nB) ", brand, "\nC) size ", size, "\nD) none\n")
+    paragraphs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: lines(
+        F.substring(F.lit("ABCDEFGHIJ"), i + 1, F.lit(1)), ") The ", name, " on page ", i.cast("string"), ". [", (i + 36).cast("string"), "]")), "\n")
+    details = F.array_join(F.transform(F.sequence(F.lit(36), F.lit(45)), lambda n: lines(n.cast("string"), ". 题干译文 Some ", name, " at ", n.cast("string"), ". 答案解析 ", F.substring(F.lit("ABCDEFGHIJ"), n - 35, F.lit(1)), ".")), "\n")
+    text = lines("2018年12月六级真题\nPart I Writing\nWrite on ", name, ".\nPart II Listening Comprehension\nSection A\nConversation One\nW: The ", name, " is late. [1]\n1. Why is the ", name,
+                 " late?\n", options, "解析：故选", _pick("ABCD", F.lit(1)), "\nPart III Reading Comprehension\nSection A\nThe ", name, " was [26] by ", brand, ".\n", words,
+                 "\n答案详解\n26. ", _pick("ABCDE", F.lit(26)), ") ", F.element_at(F.array(*[F.lit(w) for w in BANK]), (F.pmod(F.col("p_partkey") + 26, F.lit(5)) + 1).cast("int")),
+                 "\nSection B\n", paragraphs, "\n答案详解\n", details, "\nSection C\nPassage One\nThe ", name, " was sold.\n46. Who sold the ", name, "?\n", options, "解析：故选", _pick("ABCD", F.lit(46)),
+                 "\nPart IV Translation\n请将以下关于", name, "的段落译成英语。")
+    return t.part.select(F.col("p_partkey").alias("doc_id"), F.lit("2018.12-CET6.pdf").alias("file_name"), text.alias("text"))
+
+
+BANK = ["fragile", "delighted", "hollow", "tariffs", "distant"]
+
+
+@query("english_college", f"""WITH q AS (
+  SELECT p.*, 'listening' AS kind, 1 AS n, 'Why is the ' || p_name || ' late?' AS stem, 'A.' || p_type || '|B.' || p_brand || '|C.size ' || p_size || '|D.none 解析：故选' || substr('ABCD', (p_partkey + 1) % 4 + 1, 1) AS options,
+    substr('ABCD', (p_partkey + 1) % 4 + 1, 1) AS answer FROM part p
+  UNION ALL SELECT p.*, 'word-bank', n, 'Blank ' || n, '{"|".join(f"{a}.{w}" for a, w in zip("ABCDE", BANK))}', CASE WHEN n = 26 THEN substr('ABCDE', (p_partkey + 26) % 5 + 1, 1) END FROM part p, (SELECT unnest(range(26, 36)) AS n)
+  UNION ALL SELECT p.*, 'long-reading', n, 'Some ' || p_name || ' at ' || n || '.', array_to_string(list_transform(range(10), lambda i: substr('ABCDEFGHIJ', i::INTEGER + 1, 1) || '.The ' || p_name || ' on page ' || i || '. [' || (i + 36) || ']'), '|'),
+    substr('ABCDEFGHIJ', n::INTEGER - 35, 1) FROM part p, (SELECT unnest(range(36, 46)) AS n)
+  UNION ALL SELECT p.*, 'reading', 46, 'Who sold the ' || p_name || '?', 'A.' || p_type || '|B.' || p_brand || '|C.size ' || p_size || '|D.none 解析：故选' || substr('ABCD', (p_partkey + 46) % 4 + 1, 1),
+    substr('ABCD', (p_partkey + 46) % 4 + 1, 1) FROM part p)
+SELECT p_partkey AS doc_id, kind, n::VARCHAR AS number, stem, options, answer FROM q""")
+def english_college(t: Tables):
+    """Questions, options and keys of every layout of a college paper; an explanation behind the last option stays with it."""
+    _, _, questions = english.parse_papers(college_papers(t))
+    return questions.select("doc_id", "kind", "number", "stem", options_text(F.col("options")).alias("options"), "answer")
+
+
 @query("english_classes", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ielts' WHEN 1 THEN 'toefl' WHEN 2 THEN 'postgraduate' ELSE 'cet' END AS stage,
   CASE doc_id % 5 WHEN 2 THEN 'Postgraduate English I' WHEN 3 THEN 'CET-6' WHEN 4 THEN 'CET-4' END AS variant, CASE doc_id % 3 WHEN 0 THEN 'writing' WHEN 1 THEN 'cloze' ELSE 'matching' END AS kind FROM documents""")
 def english_classes(t: Tables):
