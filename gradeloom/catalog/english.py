@@ -141,6 +141,14 @@ def english_college(t: Tables):
     return questions.select("doc_id", "kind", "number", "stem", options_text(F.col("options")).alias("options"), "answer")
 
 
+@query("english_rejects", r"""SELECT p_partkey AS doc_id, length(regexp_replace(p_name || ' ' || repeat(p_type, p_size % 4), '\s', '', 'g'))::INTEGER AS characters, 'too_short' AS reason
+FROM part WHERE length(regexp_replace(p_name || ' ' || repeat(p_type, p_size % 4), '\s', '', 'g')) < 30""")
+def english_rejects(t: Tables):
+    """Papers of too little text, with the reason."""
+    text = F.concat("p_name", F.lit(" "), F.expr("repeat(p_type, p_size % 4)"))
+    return english.rejected_papers(t.part.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
 @query("english_classes", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ielts' WHEN 1 THEN 'toefl' WHEN 2 THEN 'postgraduate' ELSE 'cet' END AS stage,
   CASE doc_id % 5 WHEN 2 THEN 'Postgraduate English I' WHEN 3 THEN 'CET-6' WHEN 4 THEN 'CET-4' END AS variant, CASE doc_id % 3 WHEN 0 THEN 'writing' WHEN 1 THEN 'cloze' ELSE 'matching' END AS kind FROM documents""")
 def english_classes(t: Tables):

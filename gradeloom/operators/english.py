@@ -259,10 +259,20 @@ def _cet(body: Column) -> Column:
 
 
 def prepare(papers: DataFrame, doc: str = "doc_id", name: str = "file_name", text: str = "text") -> DataFrame:
-    """Normalised papers with enough text."""
+    """Normalised papers with enough text; the others are told by ``rejected_papers``."""
     base = papers.select(doc, name, normal_text(F.col(text)).alias("body"))
-    long_enough = F.length(F.regexp_replace("body", V.WS, "")) >= 30
-    return base.where(long_enough).withColumn("is_cet", F.col("body").rlike(V.CET_PAPER))
+    return base.where(_long_enough(F.col("body"))).withColumn("is_cet", F.col("body").rlike(V.CET_PAPER))
+
+
+def _long_enough(body: Column) -> Column:
+    return F.coalesce(F.length(F.regexp_replace(body, V.WS, "")) >= 30, F.lit(False))
+
+
+def rejected_papers(papers: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, characters, reason) of the papers that have too little text to be read, white space not counted."""
+    body = normal_text(F.col(text))
+    short = papers.where(~_long_enough(body))
+    return short.select(doc, F.coalesce(F.length(F.regexp_replace(body, V.WS, "")), F.lit(0)).alias("characters"), F.lit("too_short").alias("reason"))
 
 
 def _passage(s: Column) -> Column:
