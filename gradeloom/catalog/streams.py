@@ -41,28 +41,6 @@ def stream_change_batches(t: Tables):
     return out.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("push_at").alias("push_us"), "changes")
 
 
-def events_now(t: Tables):
-    """The rows that ``stream_events`` drains, as a batch."""
-    return t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-
-
-@query("stream_daily_usage_whole", """SELECT user_id, usage_day, least(n, 3) AS request_count, greatest(n - 3, 0) AS denied
-FROM (SELECT user_id, CAST(ts AS DATE) AS usage_day, count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE))""")
-def stream_daily_usage_whole(t: Tables):
-    """All days: the closed ones from the stream, those still open when it is drained from a batch tail."""
-    return windows.whole_usage(stream_daily_usage(t), events_now(t), "user_id", "ts", 3)
-
-
-@query("stream_change_batches_whole", """WITH x AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
-y AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM x)
-SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 14400000000 AS push_us, count(*) AS changes FROM y GROUP BY user_id, run""")
-def stream_change_batches_whole(t: Tables):
-    """All bursts, the last one of every user included."""
-    pushed = drain(windows.change_batches(stream_events(t), "user_id", "ts", "4 hours"), "bursts")
-    out = windows.whole_batches(pushed, events_now(t), "user_id", "ts", "4 hours")
-    return out.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("push_at").alias("push_us"), "changes")
-
-
 class LateTables:
     """The events as a stream of several triggers that each hold every fourth event, so three of four rows come late."""
 
@@ -76,29 +54,49 @@ USAGE_SQL = """SELECT user_id, usage_day, least(n, 3) AS request_count, greatest
 FROM (SELECT user_id, CAST(ts AS DATE) AS usage_day, count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE))"""
 
 
-@query("snapshot_daily_usage", USAGE_SQL)
-def snapshot_daily_usage(t: Tables):
-    """Counters per user and day in a versioned snapshot; late requests are added to their day."""
-    one = LateTables(t).events.select("user_id", F.to_date("ts").alias("usage_day"), F.lit(1).cast("bigint").alias("n"))
+def usage_days(t: Tables, events):
+    one = events.select("user_id", F.to_date("ts").alias("usage_day"), F.lit(1).cast("bigint").alias("n"))
     keys = ["user_id", "usage_day"]
     days = snapshot.drain_snapshot(one, shared_dir(t.spark, "usage"), keys, snapshot.summed(keys, ["n"]))
     return days.select("user_id", "usage_day", F.least("n", F.lit(3)).alias("request_count"), F.greatest(F.col("n") - 3, F.lit(0)).alias("denied"))
 
 
+@query("stream_daily_usage_whole", USAGE_SQL)
+def stream_daily_usage_whole(t: Tables):
+    """All days, open ones included: the counters of a versioned snapshot."""
+    return usage_days(t, StreamTables(t).events)
+
+
+@query("snapshot_daily_usage", USAGE_SQL)
+def snapshot_daily_usage(t: Tables):
+    """The same when most requests come late: they are added to their day."""
+    return usage_days(t, LateTables(t).events)
+
+
 BURSTS_SQL = """WITH x AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 y AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM x)
 SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 14400000000 AS push_us, count(*) AS changes FROM y GROUP BY user_id, run"""
 
 
-@query("snapshot_change_batches", BURSTS_SQL)
-def snapshot_change_batches(t: Tables):
-    """Bursts of changes in a versioned snapshot; a late change may join two bursts."""
+def burst_rows(t: Tables, events):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    one = LateTables(t).events.select("user_id", us.alias("first_us"), us.alias("last_us"), F.lit(1).cast("bigint").alias("changes"))
+    one = events.select("user_id", us.alias("first_us"), us.alias("last_us"), F.lit(1).cast("bigint").alias("changes"))
     bursts = snapshot.drain_snapshot(one, shared_dir(t.spark, "bursts"), ["user_id"], snapshot.joined_bursts("user_id", 14_400_000_000))
     return bursts.select("user_id", "first_us", (F.col("last_us") + 14_400_000_000).alias("push_us"), "changes")
 
 
+@query("stream_change_batches_whole", BURSTS_SQL)
+def stream_change_batches_whole(t: Tables):
+    """All bursts, the last one of every user included."""
+    return burst_rows(t, StreamTables(t).events)
+
+
+@query("snapshot_change_batches", BURSTS_SQL)
+def snapshot_change_batches(t: Tables):
+    """The same when most changes come late: one may join two bursts."""
+    return burst_rows(t, LateTables(t).events)
+
+
 @query("snapshot_ledger", f"""WITH {LEDGER_SQL}, {LATEST_SQL}, {FIRST_SQL}
 SELECT * FROM lww UNION ALL SELECT user_id, question_id, 'firstProgress', value, updated_at FROM first_all""")
 def snapshot_ledger(t: Tables):

@@ -27,27 +27,6 @@ def change_batches(changes: DataFrame, user: str, ts: str, gap: str = "1200 mill
         user, F.col("session_window.start").alias("first_at"), F.col("session_window.end").alias("push_at"), "changes")
 
 
-def whole_usage(closed: DataFrame, requests: DataFrame, user: str, ts: str, limit: int) -> DataFrame:
-    """``closed`` days of a drained stream and, from the same requests as a batch, the days it left open."""
-    n = F.count(F.lit(1))
-    days = requests.where(F.col(ts).isNotNull()).groupBy(user, F.to_date(ts).alias("usage_day")).agg(n.alias("_n"))
-    days = days.select(user, "usage_day", F.least("_n", F.lit(limit)).alias("request_count"), F.greatest(F.col("_n") - limit, F.lit(0)).alias("denied"))
-    done = closed.select(F.col(user).alias("_user"), F.col("usage_day").alias("_day")).distinct()
-    return closed.unionByName(days.join(done, F.col(user).eqNullSafe(F.col("_user")) & (F.col("usage_day") == F.col("_day")), "left_anti"))
-
-
-def whole_batches(pushed: DataFrame, changes: DataFrame, user: str, ts: str, gap: str = "1200 milliseconds") -> DataFrame:
-    """``pushed`` bursts of a drained stream and, from the same changes as a batch, the bursts it left open.
-
-    A burst left open is later than every pushed one of its user.
-    """
-    last = pushed.groupBy(F.col(user).alias("_user")).agg(F.max("push_at").alias("_last"))
-    rest = changes.join(last, F.col(user).eqNullSafe(F.col("_user")), "left").where(F.col("_last").isNull() | (F.col(ts) >= F.col("_last")))
-    bursts = rest.groupBy(F.session_window(ts, gap), user).agg(F.count(F.lit(1)).alias("changes")).select(
-        user, F.col("session_window.start").alias("first_at"), F.col("session_window.end").alias("push_at"), "changes")
-    return pushed.unionByName(bursts)
-
-
 def distinct_reports(reports: DataFrame, ts: str, delay: str = "30 days") -> DataFrame:
     """First report of each comment and user within the watermark."""
     return reports.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["comment_id", "user_id"])
