@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeloom.llm.components import components
-from gradeloom.llm.frames import NOT_SPACE, U, Texts, Words, free_name, map_pieces, mix, written
+from gradeloom.llm.frames import NOT_SPACE, U, Texts, Words, free_name, map_pieces, maybe_in, mix, written
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 POSITIONS = 64
@@ -323,10 +323,12 @@ def _classes(docs: DataFrame, text: str, doc_id: str, size: int, similarity: flo
     clusters = components(ties)
     members = clusters.join(sets.select("print", "own_id", "own_mark", "shingles"), clusters.node == sets.print).select("print", "own_id", "own_mark", "shingles", "root")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("shingles") * 8 / BLOCK_BYTES)).alias("blocks"))
-    members = members.join(blocks, "root").select("print", "own_id", "own_mark", F.xxhash64("root").alias("cluster"), "blocks")
+    members = written(members.join(blocks, "root").select("print", "own_id", "own_mark", F.xxhash64("root").alias("cluster"), "blocks"), "members")
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    found = plain.join(members, plain.doc_id.eqNullSafe(members.own_id) & (plain.mark == members.own_mark)).select("print", "cluster", "blocks", "text")
+    # Only the texts that may be members move; the join is planned alike at every size.
+    plain = maybe_in(plain, F.xxhash64("doc_id", "mark"), members, F.xxhash64("own_id", "own_mark"), "maybe").where("maybe")
+    found = plain.join(members.hint("merge"), plain.doc_id.eqNullSafe(members.own_id) & (plain.mark == members.own_mark)).select("print", "cluster", "blocks", "text")
 
     def shingle(piece: pa.RecordBatch) -> pa.RecordBatch:
         s = Shingles(piece.column("text"), size)
@@ -370,17 +372,19 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
                 depth: int = DEPTH, limit: int = LIMIT, loose: float = LOOSE) -> DataFrame:
     """The rows of ``docs`` with one row per class: the one with the smallest id, all columns as they are.
 
-    Rows without words stay.  Only ids and hashes of the rows that go are joined with the texts, so texts stay where
-    they are unless very many go; of rows that are equal in id and text one is kept.
+    Rows without words stay.  Of the texts only those move that may have to go (``maybe_in``); of rows that are equal in
+    id and text one is kept.
     """
     rows, named = _classes(docs, text, doc_id, size, similarity, recall, depth, limit, loose)
     kept = named.where("kept").select(F.col("own_id").alias("doc_id"), F.col("own_mark").alias("mark"), F.lit(True).alias("kept"))
     held = rows.where("print is not null").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
     judged = held.join(kept.withColumnsRenamed({"doc_id": "kept_id", "mark": "kept_mark"}),
                        F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left")
-    key, mark, nth = (free_name([*docs.columns, "again"], c) for c in ("row_id", "row_mark", "row_nth"))
-    odd = written(judged.where("kept is null or times > 1").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("kept").isNotNull().alias("again")), "gone")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(mark))
-    once = docs.join(odd.where("again"), same, "left_semi")
-    once = once.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(nth)
-    return docs.join(odd, same, "left_anti").union(once)
+    key, mark, nth, again, maybe = (free_name(docs.columns, c) for c in ("row_id", "row_mark", "row_nth", "row_again", "row_maybe"))
+    odd = written(judged.where("kept is null or times > 1").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("kept").isNotNull().alias(again)), "gone")
+    own = F.xxhash64(text)
+    marked = maybe_in(docs, F.xxhash64(F.col(f"`{doc_id}`"), own), odd, F.xxhash64(key, mark), maybe)
+    met = marked.where(maybe).join(odd.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col(key)) & (own == F.col(mark)), "left")
+    once = met.where(again).withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, mark).orderBy(F.lit(1)))).where(F.col(nth) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(~F.col(maybe)).select(columns).union(met.where(F.col(again).isNull()).select(columns)).union(once.select(columns))

@@ -214,6 +214,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the marks that ``maybe_in`` broadcasts: 4 MB in bitmaps of 32 768 bits.
+MARK_BITS = 1 << 25
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, own: Column, name: str) -> DataFrame:
+    """``df`` with a boolean ``name`` that is false only where no row of ``keys`` has the key; keys are 64-bit hashes.
+
+    What is broadcast has a fixed size.  With more keys than bits most rows are marked, so marked rows must be joined anyway;
+    with fewer, the others need not move.
+    """
+    bucket, bits = free_name(df.columns, "mark_bucket"), free_name(df.columns, "mark_bits")
+
+    def spot(hash64: Column) -> Column:
+        return F.pmod(hash64, F.lit(MARK_BITS))
+    marks = keys.groupBy(F.floor(spot(own) / 32_768).alias(bucket)).agg(F.bitmap_construct_agg(F.pmod(spot(own), F.lit(32_768))).alias(bits))
+    met = df.withColumn(bucket, F.floor(spot(key) / 32_768)).join(F.broadcast(marks), bucket, "left")
+    place = F.pmod(spot(key), F.lit(32_768))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+    return met.withColumn(name, F.coalesce(hit, F.lit(False))).drop(bucket, bits)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with a 1-based ``name`` in the given order.
 

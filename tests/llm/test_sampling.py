@@ -181,3 +181,14 @@ def test_resample_by_brute_force(shared):
 def test_numbered_is_dense(shared):
     rows = numbered(shared.range(1000).select((F.col("id") % 7).alias("at"), "id"), [F.col("at").desc(), F.col("id")], "n").collect()
     assert [r.n for r in sorted(rows, key=lambda r: (-r["at"], r.id))] == list(range(1, 1001))
+
+
+def test_marks_miss_no_key(shared):
+    from gradeloom.llm.frames import maybe_in
+    keys = shared.createDataFrame([(i * 7, f"k{i}") for i in range(500)] + [(None, "x")], "a long, b string")
+    rows = shared.createDataFrame([(i, f"k{i // 7}") for i in range(7000)] + [(None, "x"), (None, None)], "id long, name string")
+    got = maybe_in(rows, F.xxhash64("id", "name"), keys, F.xxhash64("a", "b"), "maybe").collect()
+    held = {(r.a, r.b) for r in keys.collect()}
+    assert all(r.maybe for r in got if (r.id, r.name) in held) and len(got) == 7002
+    assert sum(r.maybe for r in got) < len(held) + 20
+    assert not any(r.maybe for r in maybe_in(rows, F.xxhash64("id", "name"), keys.limit(0), F.xxhash64("a", "b"), "maybe").collect())
