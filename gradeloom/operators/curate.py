@@ -13,7 +13,7 @@ from gradeloom import fixed as V
 from gradeloom.functions.answers import is_multiple, label_array, quality, structurally_valid, valid_answer
 from gradeloom.functions.text import compact, first_int
 from gradeloom.operators.blueprint import section_at
-from gradeloom.plans.scale import keep_top, numbered
+from gradeloom.plans.scale import keep_top, numbered_by_range
 
 
 def stem_key(number: Column, stem: Column, size: int) -> Column:
@@ -181,10 +181,9 @@ def reconcile_by_order(questions: DataFrame, answers: DataFrame, expected: DataF
     A paper qualifies with fewer than 10 missing questions, as many answers as
     questions and valid labels in every pair.
     """
-    slot = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0)) / 256)
     q = questions.withColumn("_num", F.coalesce(first_int(F.col("source_number")), F.lit(1 << 40)))
-    q = numbered(q, [paper], slot("_num"), ["_num", seq], "_k").drop("_num")
-    a = numbered(answers, [paper], slot("number"), ["number"], "_k").select(paper, "_k", "found")
+    q = numbered_by_range(q, [paper], [F.col("_num"), F.col(seq)], "_k").drop("_num")
+    a = numbered_by_range(answers, [paper], [F.col("number")], "_k").select(paper, "_k", "found")
     both = q.join(a, [paper, "_k"], "left")
     good = (F.size(F.coalesce("found", F.array().cast("array<string>"))) > 0) & (
         F.size(F.array_except("found", F.transform("options", lambda o: o["label"]))) == 0)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.session import shared_dir
+
 
 def keep_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
              rank: str | None = None) -> DataFrame:
@@ -84,6 +86,25 @@ def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[
     return running(df, keys, block, order, {name: ("sum", F.lit(1))})
 
 
+def numbered_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Dense 1-based row number within ``keys`` where the order has no blocks of its own.
+
+    Rows are written in sorted ranges of (keys, order), so rows of one key, or equal in all but the last
+    order column, spread over tasks; only one row per key and range is ordered over the key.
+    """
+    spark = df.sparkSession
+    columns = [F.col(k) for k in keys]
+    root = shared_dir(spark, "ranges")
+    spread = df.repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order).withColumn("_at", F.monotonically_increasing_id())
+    spread.write.parquet(root)
+    spread = spark.read.schema(spread.schema).parquet(root).withColumn("_range", F.shiftright("_at", 33))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = spread.groupBy(*keys, "_range").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.select(F.struct(*keys, "_range").alias("_own"), "_low", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    met = spread.join(ranges, F.struct(*columns, F.col("_range")).eqNullSafe(F.col("_own")))
+    return met.withColumn(name, F.col("_before") + F.col("_at") - F.col("_low") + 1).drop("_at", "_range", "_own", "_low", "_before")
+
+
 def bounded_lookback(df: DataFrame, keys: Sequence[str], micros: Column, width_us: int,
                      aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates over the half-open past ``(t - width, t]`` of each row.

@@ -108,3 +108,14 @@ def test_nine_terms_need_nine_hits(spark):
     df = spark.createDataFrame(rows, "id string, bank_name string, group_name string, category string, stem string, source_number string, options array<struct<label:string,text:string>>")
     found = search.search(search.search_index(df.withColumn("stem", F.concat(F.lit("zz "), "stem"))), "a b c d e f g h i", collation=None)
     assert [r.id for r in found.select("id").collect()] == ["1"]
+
+
+def test_numbers_by_range_are_dense_for_any_key(spark):
+    rng = random.Random(7)
+    data = [("hot", None if rng.random() < 0.9 else rng.randrange(5), i) for i in range(4000)] + [(None, 1, i) for i in range(50)] + [("a", 2, 1)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, v int, i int")
+    got = {(r.k, r.i): r.n for r in scale.numbered_by_range(df, ["k"], [F.col("v").asc_nulls_last(), F.col("i")], "n").collect()}
+    for key in ("hot", None, "a"):
+        own = sorted([(v is None, v or 0, i) for k, v, i in data if k == key])
+        assert [got[key, i] for _, _, i in own] == list(range(1, len(own) + 1))
