@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeloom.llm.components import components
-from gradeloom.llm.frames import NOT_SPACE, U, Texts, Words, free_name, map_pieces, maybe_in, mix, written
+from gradeloom.llm.frames import NOT_SPACE, U, Texts, Words, free_name, map_pieces, maybe_in, mix, release, written
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 POSITIONS = 64
@@ -163,6 +163,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         held = here.slice(int(cut[-1]) + 1)
     if held is not None and held.num_rows:
         yield held
+    release()
 
 
 def _loose_edges(rows: DataFrame, loose: float) -> DataFrame:

@@ -7,6 +7,7 @@ no operator loops over characters.  Batches are cut into pieces of whole texts t
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
@@ -57,7 +58,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 21, 1 << int(size).bit_length()))
+    return _powers(max(1 << 20, 1 << int(size).bit_length()))
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
 
 
 class Texts:
@@ -185,6 +194,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         for low, high in zip(cuts, cuts[1:]):
             if high > low:
                 yield batch.slice(low, high - low)
+    release()
 
 
 def map_pieces(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
