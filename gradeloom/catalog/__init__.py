@@ -46,6 +46,14 @@ class Tables:
         tasks = self.spark.conf.get("spark.gradeloom.text.partitions", None)
         return rows.repartition(int(tasks)) if tasks else rows
 
+    def spread(self, table: str, rows: int = 500) -> DataFrame:
+        """A table of narrow rows that each cost much to work on, dealt to tasks of about ``rows`` rows.
+
+        A file of few bytes is one split however long its rows take; the number of tasks grows with the table.
+        """
+        frame = getattr(self, table)
+        return frame.repartition(max(-(-frame.count() // rows), self.spark.sparkContext.defaultParallelism))
+
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)

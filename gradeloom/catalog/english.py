@@ -74,7 +74,7 @@ def postgraduate_papers(t: Tables):
                  "\nSection II Reading Comprehension\nPart A\nText 1\nA text on ", name, ".\n21.What is ", name, " ", F.col("p_partkey").cast("string"), "?\n[A] ", kind, " [B] ", brand,
                  " [C] size ", size, " [D] none\nPart B\nDirections: Put them in order.\n", paragraphs, "\nSection III Translation\nDirections: Write in Chinese.\n", tasks,
                  "\nSection IV Writing\nPart A\n51. Directions: Write on ", name, ".\nPart B\n52. Directions: Describe ", brand, ".\n2019年英语（一）真题解析\nSection I Use of English\n", keys)
-    return t.part.select(F.col("p_partkey").alias("doc_id"), F.lit("2019-postgraduate.pdf").alias("file_name"), text.alias("text"))
+    return t.spread("part").select(F.col("p_partkey").alias("doc_id"), F.lit("2019-postgraduate.pdf").alias("file_name"), text.alias("text"))
 
 
 POSTGRADUATE_SQL = """WITH q AS (
@@ -120,7 +120,7 @@ def college_papers(t: Tables):
                  "\n答案详解\n26. ", _pick("ABCDE", F.lit(26)), ") ", F.element_at(F.array(*[F.lit(w) for w in BANK]), (F.pmod(F.col("p_partkey") + 26, F.lit(5)) + 1).cast("int")),
                  "\nSection B\n", paragraphs, "\n答案详解\n", details, "\nSection C\nPassage One\nThe ", name, " was sold.\n46. Who sold the ", name, "?\n", options, "解析：故选", _pick("ABCD", F.lit(46)),
                  "\nPart IV Translation\n请将以下关于", name, "的段落译成英语。")
-    return t.part.select(F.col("p_partkey").alias("doc_id"), F.lit("2018.12-CET6.pdf").alias("file_name"), text.alias("text"))
+    return t.spread("part").select(F.col("p_partkey").alias("doc_id"), F.lit("2018.12-CET6.pdf").alias("file_name"), text.alias("text"))
 
 
 BANK = ["fragile", "delighted", "hollow", "tariffs", "distant"]

@@ -133,7 +133,8 @@ def answer_keys(papers: DataFrame, doc: str = "doc_id", text: str = "body") -> D
         keys(F.regexp_extract_all(t, F.lit(V.CET_WORD_KEY), F.lit(0)), 0, V.CET_WORD_KEY,
              lambda p: F.regexp_extract(p, V.CET_WORD_KEY, 2), word_note, True),
         keys(cut(t, V.CET_BLOCK), 3, V.CET_BLOCK, block_key, block_note, False))
-    rows = papers.select(doc, F.explode(F.concat(common, F.when(F.col("is_cet"), college).otherwise(empty))).alias("k")).select(doc, "k.*")
+    # Outer, as below: an inner explode makes Spark work its input out twice more to filter out empty arrays beforehand.
+    rows = papers.select(doc, F.explode_outer(F.concat(common, F.when(F.col("is_cet"), college).otherwise(empty))).alias("k")).select(doc, "k.*")
     found = rows.where("answer <> '' and number <> ''")
     return keep_top(found, [doc, "number"], [F.col("source"), F.col("at")]).select(doc, "number", "answer", "explanation")
 
@@ -391,7 +392,7 @@ def parse_papers(papers: DataFrame, doc: str = "doc_id", name: str = "file_name"
         doc, F.coalesce(F.nullif(trim_all(F.regexp_replace(name, r"\.[^.]+\z", "")), F.lit("")), F.lit("Imported English Test")).alias("name"),
         stage_of(F.col(name), F.col("body")).alias("stage"), variant_of(F.col(name), F.col("body")).alias("exam_variant"),
         F.lower(F.element_at(F.split(name, r"\."), -1)).alias("source_format"))
-    rows = paper_tree(ready, doc).select(doc, F.posexplode("sections").alias("pos", "s"))
+    rows = paper_tree(ready, doc).select(doc, F.posexplode_outer("sections").alias("pos", "s")).where("s is not null")
     sections = rows.select(doc, "pos", "s.section_id", "s.kind", "s.title", "s.part", "s.mode", "s.passage",
                            F.size("s.questions").cast("bigint").alias("questions"))
     asked = rows.select(doc, "pos", "s.section_id", "s.kind", F.posexplode("s.questions").alias("q_pos", "q")).select(
