@@ -249,7 +249,8 @@ def upsert_state(state: DataFrame, puts: DataFrame, records: DataFrame) -> DataF
 
     ``state``: ``user_id, part, key, value, updated_at, version`` as this function returns it (empty at first);
     ``puts`` as for ``overlay_puts``; ``records``: ledger rows the puts carry.  Payload keys are overlaid, records
-    are merged with the stored ones field by field, and the version grows by the number of puts.
+    are merged with the stored ones field by field, and the version grows by the number of puts; it is 0 for a
+    learner with records but no put yet.
 
     All inputs are one tagged union.  It is reduced to a row per learner, key and stamp in the tasks, and once
     more per learner, where windows find version, resets and the winning stamp; so there are two shuffles.
@@ -274,13 +275,13 @@ def upsert_state(state: DataFrame, puts: DataFrame, records: DataFrame) -> DataF
         F.sum("puts").alias("puts"), F.max("version").alias("version"))
     learner, own = Window.partitionBy("user_id"), Window.partitionBy("user_id", "part", "key")
     stamps = stamps.withColumn("version", F.sum("puts").over(learner) + F.coalesce(F.max("version").over(learner), F.lit(0)))
-    known = stamps.select("*", (F.col("version") > 0).alias("_known"), field.alias("field"))
+    known = stamps.withColumn("field", field)
     reset = F.max(F.when(F.col("is_reset"), F.col("updated_at"))).over(own)
     # A first result is the earliest after the last reset, else that reset; other records go by the latest stamp.
     is_first = (F.col("part") == "record") & (F.col("field") == "firstProgress")
     alive = F.col("result").isNotNull() & (F.col("_reset").isNull() | (F.col("updated_at") > F.col("_reset")))
     place = F.when(is_first, F.when(alive, F.col("updated_at")).when(F.col("updated_at") == F.col("_reset"), F.lit((1 << 63) - 1))).otherwise(-F.col("updated_at"))
-    rows = known.where("_known and part <> 'version'").withColumn("_reset", reset).withColumn("_place", place)
+    rows = known.where("part <> 'version'").withColumn("_reset", reset).withColumn("_place", place)
     best = rows.withColumn("_rank", F.row_number().over(own.orderBy(F.col("_place").asc_nulls_last()))).where("_rank = 1")
     value = F.when(F.col("part") == "payload", F.col("put")).when(is_first, F.when(alive, F.col("result"))).otherwise(F.col("latest"))
     return best.select("user_id", "part", "key", value.alias("value"), "updated_at", "version")

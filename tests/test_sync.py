@@ -90,3 +90,14 @@ def test_bundle_ties(spark):
     keep = {r.id: r.body for r in sync.merge_bundle(local, remote, ["id"], "updated_at", "local").collect()}
     take = {r.id: r.body for r in sync.merge_bundle(local, remote, ["id"], "updated_at", "remote").collect()}
     assert keep == {"a": "l", "b": "r", "c": "l", "d": "r"} and take == {"a": "r", "b": "r", "c": "l", "d": "r"}
+
+
+def test_records_before_the_first_put_are_kept(spark):
+    blank = spark.createDataFrame([], "user_id bigint, part string, key string, value string, updated_at bigint, version bigint")
+    puts = spark.createDataFrame([(2, 5, {"notes": "n"})], "user_id bigint, seq bigint, payload map<string,string>")
+    led = "user_id bigint, question_id bigint, field string, value string, updated_at bigint, seq bigint"
+    early = spark.createDataFrame([(2, 7, "firstProgress", "wrong", 3, 5)], led)
+    state = sync.upsert_state(blank, puts.limit(0), early)
+    assert [tuple(r) for r in state.collect()] == [(2, "record", "7\u0001firstProgress", "wrong", 3, 0)]
+    state = sync.upsert_state(state, puts, early.limit(0))
+    assert sorted(tuple(r) for r in state.collect()) == [(2, "payload", "notes", "n", None, 1), (2, "record", "7\u0001firstProgress", "wrong", 3, 1)]
