@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gradeloom.operators.sync import KEY, merge_latest, merge_ledgers
+from gradeloom.operators.sync import KEY, first_result, merge_latest, merge_ledgers
+from gradeloom.streaming import snapshot
 from gradeloom.streaming.run import drain_batches
 
 
@@ -49,3 +51,21 @@ def latest_results(stamps: DataFrame) -> DataFrame:
     """Native streaming aggregate: current value per user, question and field (update mode)."""
     at = F.struct("updated_at", "seq")
     return stamps.groupBy(*KEY).agg(F.max_by("value", at).alias("value"), F.max(at).alias("at"))
+
+
+def open_results(rows: DataFrame) -> DataFrame:
+    """The rows (user_id, question_id, value, seq) that a later reset can still bring to light: the last reset and what follows it."""
+    keys = ["user_id", "question_id"]
+    reset = F.max(F.when(F.col("value").isNull(), F.col("seq"))).over(Window.partitionBy(*keys))
+    alive = F.col("_reset").isNull() | (F.col("seq") > F.col("_reset")) | (F.col("value").isNull() & (F.col("seq") == F.col("_reset")))
+    return rows.withColumn("_reset", reset).where(alive).select(*keys, "value", "seq").distinct()
+
+
+def drain_firsts(stamps: DataFrame, root: str) -> DataFrame:
+    """Run result changes into a versioned snapshot and return the first result of every learner and question.
+
+    A batch is merged as whole tables in the buckets it touches; no key has a state or a call of its own.
+    """
+    keys = ["user_id", "question_id"]
+    rows = snapshot.drain_snapshot(stamps, root, keys, open_results)
+    return first_result(rows, keys, ["seq"], updated_at="seq")
