@@ -111,6 +111,11 @@ def summed(keys: Sequence[str], counts: Sequence[str]) -> Merge:
     return lambda rows: rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
 
 
+def largest(keys: Sequence[str], column: str) -> Merge:
+    """Merge that keeps the largest ``column`` of equal ``keys``."""
+    return lambda rows: rows.groupBy(*keys).agg(F.max(column).alias(column))
+
+
 def joined_bursts(key: str, gap_us: int) -> Merge:
     """Merge of bursts (key, first_us, last_us, changes): those less than ``gap_us`` apart become one.
 

@@ -147,3 +147,13 @@ def test_first_results_merge_without_a_state_per_key(spark, tmp_path):
         after = [(v, s) for s, v in own if s > reset]
         want.append((1, q, *(after[0] if after else (None, reset))))
     assert rows(ledger.drain_firsts(stream, f"file://{tmp_path}/s")) == sorted(want, key=repr)
+
+
+def test_shares_expire_without_a_timer_per_key(spark, tmp_path):
+    """A share seen again in a later batch lives on; those past the newest view are expired, however many batches there were."""
+    source = f"file://{tmp_path}/in"
+    for n, batch in enumerate([[("a", 10), ("b", 20)], [("a", 90), ("c", 30)], [("b", 5)]]):
+        spark.createDataFrame(batch, "token string, expires_ms bigint").coalesce(1).write.parquet(f"{source}/{n}")
+    stream = spark.readStream.schema("token string, expires_ms bigint").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    held = snapshot.drain_snapshot(stream, f"file://{tmp_path}/s", ["token"], snapshot.largest(["token"], "expires_ms"), buckets=2)
+    assert rows(held) == [("a", 90), ("b", 20), ("c", 30)]
