@@ -82,40 +82,59 @@ def passed(state: list[int], bounds: np.ndarray, counts: np.ndarray, tails: list
     return [*state, *new][-limit:]
 
 
-def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows of equal ``keys``, which must follow each other."""
+def _bounds(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """First row of every run of equal ``keys``, and the number of rows."""
+    change = np.zeros(max(len(frame) - 1, 0), bool)
+    for values in (frame[k].to_numpy() for k in keys):
+        change |= (values[1:] != values[:-1]).astype(bool)
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [len(frame)]])
+
+
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups with the bounds of these; rows of equal ``keys`` must follow each other.
+
+    Many small groups stay one frame, so that a group costs no frame of its own.
+    """
     held: list[pd.DataFrame] = []
     for frame in frames:
         if not len(frame):
             continue
-        cuts = np.flatnonzero((frame[keys].iloc[1:].to_numpy() != frame[keys].iloc[:-1].to_numpy()).any(axis=1)) + 1
-        for low, high in zip([0, *cuts], [*cuts, len(frame)]):
-            part = frame.iloc[low:high]
-            if held and (held[-1][keys].iloc[-1] != part[keys].iloc[0]).any():
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
+        last = int(_bounds(frame, keys)[-2])
+        if held and not last and all(held[-1][k].iloc[-1] == frame[k].iloc[0] for k in keys):
+            held.append(frame)
+            continue
+        whole = [part for part in (*held, frame.iloc[:last]) if len(part)]
+        if whole:
+            ready = pd.concat(whole, ignore_index=True)
+            yield ready, _bounds(ready, keys)
+        held = [frame.iloc[last:]]
     if held:
-        yield pd.concat(held, ignore_index=True)
+        ready = pd.concat(held, ignore_index=True)
+        yield ready, _bounds(ready, keys)
 
 
 def entry_states(sliced: DataFrame, limit: int, window_us: int, slice_us: int) -> DataFrame:
     """(_key, _slice, _state): accepted times that a slice starts with, for ``sliced`` rows (_key, _slice, _us)."""
     def steps(frames):
-        for group in _groups(frames, ["_key", "_slice"]):
-            at = int(group["_slice"].iloc[0])
-            bound, count, tail = slice_steps(group["_us"].to_numpy(), at * slice_us, limit, window_us)
-            yield pd.DataFrame({"_key": group["_key"].iloc[0], "_slice": at, "bound": bound, "n": count, "tail": tail})
+        for rows, bounds in _groups(frames, ["_key", "_slice"]):
+            us, at, first = rows["_us"].to_numpy(), rows["_slice"].to_numpy(), bounds[:-1]
+            found = [slice_steps(us[low:high], int(at[low]) * slice_us, limit, window_us) for low, high in zip(first, bounds[1:])]
+            many = [len(bound) for bound, _, _ in found]
+            yield pd.DataFrame({"_key": np.repeat(rows["_key"].to_numpy()[first], many), "_slice": np.repeat(at[first], many),
+                                "bound": np.concatenate([f[0] for f in found]), "n": np.concatenate([f[1] for f in found]), "tail": [t for f in found for t in f[2]]})
 
     def states(frames):
         key, state = None, []
-        for group in _groups(frames, ["_key", "_slice"]):
-            if group["_key"].iloc[0] != key:
-                key, state = group["_key"].iloc[0], []
-            at = int(group["_slice"].iloc[0])
-            state = [t for t in state if t + window_us > at * slice_us]
-            yield pd.DataFrame({"_key": [key], "_slice": [at], "_state": [state]})
-            state = passed(state, group["bound"].to_numpy(), group["n"].to_numpy(), list(group["tail"]), limit, window_us)
+        for rows, bounds in _groups(frames, ["_key", "_slice"]):
+            keys, at, out = rows["_key"].to_numpy(), rows["_slice"].to_numpy(), []
+            bound, count, tail = (rows[c].to_numpy() for c in ("bound", "n", "tail"))
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                if keys[low] != key:
+                    key, state = keys[low], []
+                state = [t for t in state if t + window_us > int(at[low]) * slice_us]
+                out.append(state)
+                state = passed(state, bound[low:high], count[low:high], tail[low:high], limit, window_us)
+            yield pd.DataFrame({"_key": keys[bounds[:-1]], "_slice": at[bounds[:-1]], "_state": out})
     ends = (sliced.select("_key", "_slice", "_us").repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", "_us")
             .mapInPandas(steps, "_key string, _slice bigint, bound bigint, n bigint, tail array<bigint>"))
     return (ends.repartition("_key").sortWithinPartitions("_key", "_slice", "bound")
@@ -137,9 +156,11 @@ def accepted_requests(requests: DataFrame, keys: list[str], ts: str, seq: str, l
     marked = timed.withColumn("_state", F.lit(None).cast("array<bigint>")).unionByName(states, allowMissingColumns=True)
 
     def judge(frames):
-        for group in _groups(frames, ["_key", "_slice"]):  # the state comes first, since it has no time
-            own = group.iloc[1:]
-            yield own.assign(accepted=walk(own["_us"].to_numpy().astype(np.int64), group["_state"].iloc[0], limit, window_us)[0])
+        for group, bounds in _groups(frames, ["_key", "_slice"]):  # the state comes first, since it has no time
+            us, known, accepted = group["_us"].fillna(0).to_numpy().astype(np.int64), group["_state"].to_numpy(), np.zeros(len(group), bool)
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                accepted[low + 1:high] = walk(us[low + 1:high], known[low], limit, window_us)[0]
+            yield group.assign(accepted=accepted).drop(index=bounds[:-1])
     schema = StructType([*marked.schema.fields, StructField("accepted", BooleanType())])
     judged = marked.repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", F.col("_us").asc_nulls_first(), seq).mapInPandas(judge, schema)
     return judged.select(*names, "accepted").unionByName(rows.where("_us is null").select(*names, F.lit(None).cast("boolean").alias("accepted")))

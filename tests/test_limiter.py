@@ -67,3 +67,14 @@ def test_a_hot_key_is_spread_over_its_slices(spark):
     assert len(states) == len({r["_slice"] for r in states}) == 32 and all(len(r["_state"]) <= 2 for r in states)
     steps = [len(limiter.slice_steps(np.arange(a, a + 640), a, 2, 10)[0]) for a in (0, 640)]
     assert max(steps) <= 11  # what a key's pass reads of a slice does not grow with the slice
+
+
+def test_small_groups_share_a_frame():
+    """A frame of many groups stays one; a group that goes over frames is whole, and none is lost."""
+    import pandas as pd
+    frames = [pd.DataFrame({"k": [f"k{i // 5:04d}" for i in range(a, b)], "i": range(a, b)}) for a, b in ((0, 1003), (1003, 1003), (1003, 1004), (1004, 2000))]
+    frames.append(pd.DataFrame({"k": ["z"] * 3, "i": [2000, 2001, 2002]}))
+    got = list(limiter._groups(iter(frames), ["k"]))
+    assert len(got) <= 4 and pd.concat([rows for rows, _ in got])["i"].tolist() == list(range(2003))
+    sizes = [high - low for _, bounds in got for low, high in zip(bounds[:-1], bounds[1:])]
+    assert sizes == [5] * 400 + [3]
