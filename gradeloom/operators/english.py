@@ -1,7 +1,7 @@
 """English papers: sections, questions and answer keys from plain text.
 
-A paper is cut at its markers inside its own row and exploded into sections and
-then questions; only the join with the answer table shuffles.
+A paper is cut at its markers inside its own row, its questions meet their keys there,
+and it is exploded into sections or questions; nothing shuffles.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed as V
 from gradeloom.functions.text import bind, collapse, trim_all
-from gradeloom.plans.scale import keep_top
 
 SEP, MID = "\u0001", "\u0002"
 OPTION = "array<struct<label:string,text:string>>"
@@ -21,7 +20,7 @@ SECTION = ("struct<kind:string,title:string,part:string,suffix:string,mode:strin
 
 
 def normal_text(text: Column) -> Column:
-    out = F.translate(F.translate(text, "\r", ""), chr(0xA0) + "ＡＢＣＤ．", " ABCD.")
+    out = F.translate(text, chr(0xA0) + "ＡＢＣＤ．\r", " ABCD.")
     return trim_all(F.regexp_replace(F.regexp_replace(out, "[ \t]+\n", "\n"), "\n{4,}", "\n\n\n"))
 
 
@@ -36,6 +35,11 @@ def before(text: Column, pattern: str) -> Column:
     return F.get(F.split(F.regexp_replace(text, pattern, SEP), SEP), F.lit(0))
 
 
+def before_last(text: Column, pattern: str) -> Column:
+    """Text up to the last place where the pattern matches, empty when nothing matches."""
+    return F.left(text, F.length(text) - F.length(F.element_at(F.split(text, f"(?={pattern})"), -1)))
+
+
 def from_first(text: Column, pattern: str) -> Column:
     """Text from the first match on, null when nothing matches."""
     return F.nullif(F.regexp_extract(text, rf"({pattern}[\s\S]*)\z", 1), F.lit(""))
@@ -92,18 +96,18 @@ def kind_of(value: Column) -> Column:
 
 # -- answers ---------------------------------------------------------------------------
 
-def answer_keys(papers: DataFrame, doc: str = "doc_id", text: str = "body") -> DataFrame:
-    """Answers and explanations by paper and question number.
+def answer_keys(text: Column, is_cet: Column) -> Column:
+    """Answers and explanations of a paper, one for every question number.
 
     Word-bank keys win, then bracketed keys (the last), then the list after the last
     answer heading and the explanation blocks (the first of each).
     """
-    t = F.col(text)
-    empty = F.array().cast("array<struct<source:int,at:int,number:string,answer:string,explanation:string>>")
+    t = text
+    empty = F.array().cast("array<struct<number:string,source:int,at:int,answer:string,explanation:string>>")
 
     def keys(pieces: Column, source: int, number: str, answer, note, last: bool) -> Column:
         return F.transform(pieces, lambda p, i: F.struct(
-            F.lit(source).alias("source"), (i * (-1 if last else 1)).alias("at"), F.regexp_extract(p, number, 1).alias("number"),
+            F.regexp_extract(p, number, 1).alias("number"), F.lit(source).alias("source"), (i * (-1 if last else 1)).alias("at"),
             F.upper(answer(p)).alias("answer"), F.nullif(note(p), F.lit("")).alias("explanation")))
 
     def key_note(p: Column) -> Column:
@@ -133,21 +137,20 @@ def answer_keys(papers: DataFrame, doc: str = "doc_id", text: str = "body") -> D
         keys(F.regexp_extract_all(t, F.lit(V.CET_WORD_KEY), F.lit(0)), 0, V.CET_WORD_KEY,
              lambda p: F.regexp_extract(p, V.CET_WORD_KEY, 2), word_note, True),
         keys(cut(t, V.CET_BLOCK), 3, V.CET_BLOCK, block_key, block_note, False))
-    # Outer, as below: an inner explode makes Spark work its input out twice more to filter out empty arrays beforehand.
-    rows = papers.select(doc, F.explode_outer(F.concat(common, F.when(F.col("is_cet"), college).otherwise(empty))).alias("k")).select(doc, "k.*")
-    found = rows.where("answer <> '' and number <> ''")
-    return keep_top(found, [doc, "number"], [F.col("source"), F.col("at")]).select(doc, "number", "answer", "explanation")
+    found = F.filter(F.concat(common, F.when(is_cet, college).otherwise(empty)), lambda k: (k["answer"] != "") & (k["number"] != ""))
+    # Sorted by number, source and place, so the first of a number is the one that holds.
+    return bind(F.array_sort(found), lambda ks: F.filter(ks, lambda k, i: (i == 0) | (F.get(ks, i - 1)["number"] != k["number"])))
 
 
 def without_answers(text: Column) -> Column:
     """Paper without its answer area."""
-    first = rf"\A([\s\S]*?)(?:{V.EN_KEY_ONE})"
-    any_key = rf"\A([\s\S]*?)(?:{V.EN_KEY})"
-    notes = rf"\A([\s\S]*){V.EN_NOTES_START}"
-    head = F.when(text.rlike(V.EN_KEY_ONE), F.regexp_extract(text, first, 1)).otherwise(F.regexp_extract(text, any_key, 1))
-    keyed = bind(head, lambda h: F.when(h.rlike(V.EN_NOTES_START), F.regexp_extract(h, notes, 1)).otherwise(h))
+    def first(pattern: str) -> Column:
+        return F.get(F.split(text, pattern, 2), F.lit(0))
+
+    head = F.when(text.rlike(V.EN_KEY_ONE), first(V.EN_KEY_ONE)).otherwise(first(V.EN_KEY))
+    keyed = bind(head, lambda h: F.when(h.rlike(V.EN_NOTES_START), before_last(h, V.EN_NOTES_START)).otherwise(h))
     return (F.when(text.rlike(V.EN_KEY), keyed)
-            .when(text.rlike(V.EN_KEY_HEADING), F.regexp_extract(text, rf"\A([\s\S]*){V.EN_KEY_HEADING}", 1)).otherwise(text))
+            .when(text.rlike(V.EN_KEY_HEADING), before_last(text, V.EN_KEY_HEADING)).otherwise(text))
 
 
 # -- sections ---------------------------------------------------------------------------
@@ -168,10 +171,6 @@ def _labelled(text: Column, pattern: str, make: Callable[[Column, Column], Colum
 
 def _general(slice_text: Column) -> Column:
     """Sections of one headed slice."""
-    heading = trim_all(F.regexp_extract(slice_text, V.EN_HEADING, 1))
-    headed = slice_text.rlike(rf"\A{V.EN_HEADING}")
-    label = F.when(headed, heading)
-    kind = kind_of(F.coalesce(label, F.lit("Imported Practice")))
     with_parts = slice_text.rlike(V.EN_HAS_PARTS)
 
     def part_of(p: Column) -> Column:
@@ -193,13 +192,17 @@ def _general(slice_text: Column) -> Column:
         return _section(p, "writing", F.concat(F.coalesce(name, F.lit("Writing")), F.lit(" · Question "), number), name,
                         F.concat(F.lit("-part-"), (i + 1).cast("string")), "prompt")
 
-    whole = F.array(_section(slice_text, kind, F.coalesce(label, F.lit("Imported Practice")), None, "", "standard"))
-    return (F.when(kind == "translation", F.array(_section(slice_text, "translation", "Section III · Translation", None, "", "translation", 46, 50)))
-            .when((kind == "reading") & with_parts, F.flatten(F.transform(_or_whole(slice_text, V.EN_PART), reading_part)))
-            .when((kind == "writing") & with_parts, F.transform(_or_whole(slice_text, V.EN_PART), writing_part))
-            .when(kind == "cloze", F.array(_section(slice_text, "cloze", label, None, "", "cloze", 1, 20)))
-            .when(kind == "writing", F.array(_section(slice_text, "writing", label, None, "", "passage")))
-            .otherwise(whole))
+    def of_kind(label: Column, kind: Column) -> Column:
+        whole = F.array(_section(slice_text, kind, F.coalesce(label, F.lit("Imported Practice")), None, "", "standard"))
+        return (F.when(kind == "translation", F.array(_section(slice_text, "translation", "Section III · Translation", None, "", "translation", 46, 50)))
+                .when((kind == "reading") & with_parts, F.flatten(F.transform(_or_whole(slice_text, V.EN_PART), reading_part)))
+                .when((kind == "writing") & with_parts, F.transform(_or_whole(slice_text, V.EN_PART), writing_part))
+                .when(kind == "cloze", F.array(_section(slice_text, "cloze", label, None, "", "cloze", 1, 20)))
+                .when(kind == "writing", F.array(_section(slice_text, "writing", label, None, "", "passage")))
+                .otherwise(whole))
+
+    label = F.when(slice_text.rlike(rf"\A{V.EN_HEADING}"), trim_all(F.regexp_extract(slice_text, V.EN_HEADING, 1)))
+    return bind(label, lambda name: bind(kind_of(F.coalesce(name, F.lit("Imported Practice"))), lambda kind: of_kind(name, kind)))
 
 
 def _cet(body: Column) -> Column:
@@ -261,12 +264,14 @@ def _cet(body: Column) -> Column:
 
 def prepare(papers: DataFrame, doc: str = "doc_id", name: str = "file_name", text: str = "text") -> DataFrame:
     """Normalised papers with enough text; the others are told by ``rejected_papers``."""
-    base = papers.select(doc, name, normal_text(F.col(text)).alias("body"))
-    return base.where(_long_enough(F.col("body"))).withColumn("is_cet", F.col("body").rlike(V.CET_PAPER))
+    # Not a plain filter: Spark moves one below the exchange that spreads the papers, where few tasks write and normalise every text once more.
+    body = bind(normal_text(F.col(text)), lambda b: F.when(_long_enough(b), b))
+    base = papers.select(doc, name, F.explode_outer(F.array(body)).alias("body")).where("body is not null")
+    return base.withColumn("is_cet", F.col("body").rlike(V.CET_PAPER))
 
 
 def _long_enough(body: Column) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(body, V.WS, "")) >= 30, F.lit(False))
+    return F.coalesce(body.rlike(rf"\A(?:{V.WS}*+{V.NON_WS}){{30}}"), F.lit(False))
 
 
 def rejected_papers(papers: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,11 +296,11 @@ def _filled(s: Column) -> Column:
                     _passage(s).alias("passage"), _questions(s).alias("questions"))
 
 
-def paper_tree(prepared: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Sections with passage and questions of every paper, as one array per row."""
+def paper_tree(body: Column, is_cet: Column) -> Column:
+    """Sections of a paper with passage and questions, as one array."""
     none = F.array().cast(f"array<{SECTION}>")
-    cet = F.when(F.col("is_cet"), _cet(F.col("body"))).otherwise(none)
-    general = bind(without_answers(F.col("body")), lambda b: F.flatten(F.transform(
+    cet = F.when(is_cet, _cet(body)).otherwise(none)
+    general = bind(without_answers(body), lambda b: F.flatten(F.transform(
         _or_whole(b, V.EN_HEADING), lambda s, i: F.transform(_general(s), lambda x: x.withField(
             "suffix", F.concat(F.lit("section-"), (i + 1).cast("string"), x["suffix"]))))))
     chosen = bind(cet, lambda c: F.when(F.size(c) > 0, c).otherwise(general))
@@ -303,10 +308,9 @@ def paper_tree(prepared: DataFrame, doc: str = "doc_id") -> DataFrame:
     # Parts and prompts always count; other sections need a passage or questions.
     shown = F.filter(filled, lambda s: (s["passage"] != "") | (F.size(s["questions"]) > 0)
                      | s["mode"].isin("prompt", "matching", "translation") | (s["low"] == 21))
-    whole = F.filter(F.array(_filled(_section(without_answers(F.col("body")), "reading", "Imported Questions", None, "section-fallback", "standard"))),
+    whole = F.filter(F.transform(F.array(_section(without_answers(body), "reading", "Imported Questions", None, "section-fallback", "standard")), _filled),
                      lambda s: F.size(s["questions"]) > 0)
-    tree = bind(shown, lambda t: F.when(F.exists(t, lambda s: F.size(s["questions"]) > 0), t).otherwise(F.concat(t, whole)))
-    return prepared.select(doc, tree.alias("sections"))
+    return bind(shown, lambda t: F.when(F.exists(t, lambda s: F.size(s["questions"]) > 0), t).otherwise(F.concat(t, whole)))
 
 
 # -- questions ------------------------------------------------------------------------------
@@ -392,13 +396,26 @@ def parse_papers(papers: DataFrame, doc: str = "doc_id", name: str = "file_name"
         doc, F.coalesce(F.nullif(trim_all(F.regexp_replace(name, r"\.[^.]+\z", "")), F.lit("")), F.lit("Imported English Test")).alias("name"),
         stage_of(F.col(name), F.col("body")).alias("stage"), variant_of(F.col(name), F.col("body")).alias("exam_variant"),
         F.lower(F.element_at(F.split(name, r"\."), -1)).alias("source_format"))
-    rows = paper_tree(ready, doc).select(doc, F.posexplode_outer("sections").alias("pos", "s")).where("s is not null")
+    tree, keys = paper_tree(F.col("body"), F.col("is_cet")), answer_keys(F.col("body"), F.col("is_cet"))
+    # Outer explodes: an inner one makes Spark work its input out twice more to filter out empty arrays beforehand.
+    rows = ready.select(doc, F.posexplode_outer(tree).alias("pos", "s")).where("s is not null")
     sections = rows.select(doc, "pos", "s.section_id", "s.kind", "s.title", "s.part", "s.mode", "s.passage",
                            F.size("s.questions").cast("bigint").alias("questions"))
-    asked = rows.select(doc, "pos", "s.section_id", "s.kind", F.posexplode("s.questions").alias("q_pos", "q")).select(
-        doc, "pos", "section_id", "kind", "q_pos", "q.*")
-    questions = (asked.join(answer_keys(ready, doc), [doc, "number"], "left")
-                 .withColumn("answer", F.coalesce("answer", "located")).drop("located"))
+
+    def answered(ks: Column) -> Column:
+        numbers = F.transform(ks, lambda k: k["number"])  # of three digits at most, so the list is short however long the paper
+
+        def one(q: Column, at: Column, s: Column, pos: Column, ns: Column) -> Column:
+            return bind(F.get(ks, F.array_position(ns, q["number"]).cast("int") - 1), lambda key: F.struct(
+                pos.alias("pos"), s["section_id"].alias("section_id"), s["kind"].alias("kind"), at.alias("q_pos"), q["number"].alias("number"),
+                q["stem"].alias("stem"), q["options"].alias("options"), F.coalesce(key["answer"], q["located"]).alias("answer"),
+                key["explanation"].alias("explanation")))
+
+        return bind(numbers, lambda ns: F.flatten(F.transform(tree, lambda s, pos: F.transform(
+            s["questions"], lambda q, at: one(q, at, s, pos, ns)))))
+
+    asked = ready.select(doc, F.explode_outer(bind(keys, answered)).alias("q")).where("q is not null")
+    questions = asked.select("q.number", doc, "q.pos", "q.section_id", "q.kind", "q.q_pos", "q.stem", "q.options", "q.answer", "q.explanation")
     return tests, sections, questions
 
 
