@@ -8,8 +8,8 @@ from gradeloom.operators import search
 from gradeloom.session import shared_dir
 
 
-def index(t: Tables, fold=False):
-    q = t.part.select(
+def index(t: Tables, fold=False, part=None):
+    q = (t.part if part is None else part).select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("bank_name"), F.col("p_type").alias("group_name"),
         F.concat(F.lit("size "), F.col("p_size")).alias("category"), F.col("p_name").alias("stem"),
         (F.col("p_partkey") % 165).alias("source_number"),
@@ -49,7 +49,7 @@ def search_ranked(t: Tables):
 def search_stored(t: Tables):
     """The same search over a stored index: postings of the query's character pairs name the rows to score."""
     root = shared_dir(t.spark, "pairs")
-    search.write_index(index(t), root)
+    search.write_index(index(t, part=t.spread("part", 30_000)), root)
     return search.search_stored(t.spark, root, " Red  PROMO 1", 100, collation=None).select("id", "score", "matched_option")
 
 
@@ -98,7 +98,7 @@ def search_many(t: Tables):
 @query("search_many_stored", MANY_SQL)
 def search_many_stored(t: Tables):
     root = shared_dir(t.spark, "pairs")
-    search.write_index(index(t), root)
+    search.write_index(index(t, part=t.spread("part", 30_000)), root)
     hits = search.search_many_stored(t.spark, root, MANY, 50)
     return hits.select("query", "id", "score", F.array_join("matched_fields", ",").alias("fields"))
 

@@ -56,3 +56,29 @@ def test_stored_search_equals_search(spark, tmp_path):
         assert search.search_stored(spark, root, query, 40, None).collect() == search.search(index, query, 40, None).collect(), query
     many = {"a": "alpha", "b": "red cat", "c": "zz"}
     assert sorted(map(str, search.search_many_stored(spark, root, many, 30).collect())) == sorted(map(str, search.search_many(index, many, 30).collect()))
+
+
+def test_postings_over_pieces_and_windows(spark, tmp_path, monkeypatch):
+    """Long texts, many pieces and NUL characters: the stored lists are those of the column expression, each place once."""
+    import pyarrow as pa
+    rows = ["ab" * 40, "a", "x\0y\0", "题😀b" * 9, "", "Ünï", "\0"]
+    monkeypatch.setattr(pair_index, "PIECE_BYTES", 30)
+    monkeypatch.setattr(pair_index, "WINDOW", 7)
+    got = {}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30, 30 + len(rows))), pa.array(rows)], ["n", "t"])
+    for out in pair_index.postings(iter([batch]), 32):
+        for r in out.to_pylist():
+            got.setdefault(r["gram"], set()).update(r["bucket"] * 32 + p for p in r["places"])
+    want = {}
+    for n, text in enumerate(rows, 30):
+        for gram in set(text) | {text[i:i + 2] for i in range(len(text) - 1)}:
+            want.setdefault(gram, set()).add(n)
+    assert got == want
+
+
+def test_build_moves_lists_and_sorts_no_range(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    pair_index.build(texts(spark), F.col("body"), root)
+    pairs = spark.read.parquet(f"{root}/pairs")
+    assert pairs.select("gram", F.input_file_name().alias("f")).distinct().groupBy("gram").count().where("count > 1").count() == 0
+    assert pairs.where(F.size("places") > F.size(F.array_distinct("places"))).count() == 0
