@@ -231,7 +231,8 @@ def unanswered_counts(enrolled: DataFrame, places: DataFrame, bitmaps: DataFrame
 def next_unanswered(enrolled: DataFrame, places: DataFrame, bitmaps: DataFrame, user: str, bank: str, question: str, k: int) -> DataFrame:
     """The first ``k`` unanswered questions of each enrolled bank, in the bank's order.
 
-    A bitmap gives at most ``k`` free places; only these meet the questions.
+    A bitmap gives at most ``k`` free places, which lie in its first ``k`` bytes with a free bit; full bytes in front of one
+    are passed over in a single match, so a learner costs ``k`` steps however long the bank.  Only the places meet the questions.
     """
     buckets = places.groupBy(bank, F.floor(F.col("place") / BITMAP_BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("_n"))
     rows = enrolled.select(user, bank).distinct().join(buckets, bank).join(bitmaps, [user, bank, "bucket"], "left")
@@ -239,10 +240,19 @@ def next_unanswered(enrolled: DataFrame, places: DataFrame, bitmaps: DataFrame,
     def free(byte: Column, i: Column) -> Column:
         return F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda bit: F.call_function("shiftright", byte, bit).bitwiseAND(1) == 0), lambda bit: i * 8 + bit)
     byte = lambda i: F.conv(F.hex(F.substring("bits", i + 1, F.lit(1))), 16, 10).cast("int")
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n") / 8).cast("int") - 1), lambda i: F.when(
-        F.col("bits").isNull(), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda bit: i * 8 + bit)).otherwise(bind(byte(i), lambda b: free(b, i)))))
-    few = F.slice(F.filter(every, lambda p: p < F.col("_n")), 1, k)
-    found = rows.select(user, bank, F.explode(F.transform(few, lambda p: p + F.col("bucket") * BITMAP_BITS)).alias("place"))
+
+    def step(acc: Column, marks: Column) -> Column:
+        rest = F.substring(marks, acc["at"] * 2 + 1, F.length(marks))
+        return bind(acc["at"] + (F.length(F.regexp_extract(rest, r"\A(?:FF)*+", 0)) / 2).cast("int"), lambda at: F.struct(
+            (at + 1).alias("at"), F.when(at * 2 < F.length(marks), F.concat(acc["open"], F.array(at))).otherwise(acc["open"]).alias("open")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"))
+    steps = F.sequence(F.lit(1), F.lit(min(k, BITMAP_BITS // 8)))
+    opened = bind(F.hex("bits"), lambda marks: F.aggregate(steps, start, lambda acc, _: step(acc, marks), lambda acc: acc["open"]))
+    first = F.when(F.col("bits").isNull(), F.sequence(F.lit(0), F.lit(min(k, BITMAP_BITS) - 1))).otherwise(
+        F.flatten(F.transform(opened, lambda i: bind(byte(i), lambda b: free(b, i)))))
+    few = F.slice(F.filter(first, lambda p: p < F.col("_n")), 1, k)
+    # Outer: an inner explode would work the array out again to filter empty ones beforehand.
+    found = rows.select(user, bank, F.explode_outer(F.transform(few, lambda p: p + F.col("bucket") * BITMAP_BITS)).alias("place")).where("place is not null")
     return keep_top(found, [user, bank], [F.col("place")], k).join(places, [bank, "place"]).select(user, bank, question, "place")
 
 
