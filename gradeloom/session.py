@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts go to Python by bytes, not by 10,000 rows however long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
