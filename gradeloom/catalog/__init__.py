@@ -54,6 +54,11 @@ class Tables:
         frame = getattr(self, table)
         return frame.repartition(max(-(-frame.count() // rows), self.spark.sparkContext.defaultParallelism))
 
+    def size_by(self, table: str) -> None:
+        """The shuffles of this query grow with the rows of a table, so that a task's memory does not."""
+        from gradeloom.session import size_shuffles
+        size_shuffles(self.spark, getattr(self, table).count())
+
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)

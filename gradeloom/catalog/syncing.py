@@ -326,6 +326,7 @@ WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELEC
   AND l_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY ALL""")
 def cascade_rest(t: Tables):
     """Likes that remain after the users, their comments and the likes on those are gone."""
+    t.size_by("lineitem")
     tables, gone = _erasure(t)
     return accounts.erase_users(tables, gone)["comment_likes"].groupBy("comment_id", "user_id").agg(F.count(F.lit(1)).alias("likes"))
 

@@ -23,13 +23,34 @@ RUNTIME_CONF = {
 }
 
 
+INITIAL, ADVISED = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere; what ``size_shuffles`` set for an earlier query ends."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    for key in (INITIAL, ADVISED):
+        before = spark.conf.get(f"spark.gradeloom.before.{key}", None)
+        if before is not None:
+            spark.conf.unset(f"spark.gradeloom.before.{key}")
+            spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark
 
 
+def size_shuffles(spark: SparkSession, rows: int, per_task: int = 250_000) -> None:
+    """Let the shuffles of a query of so many rows begin with a partition per ``per_task`` rows.
+
+    A fixed number of partitions makes the sorts and hash maps of a task grow with the input.  Adaptive execution joins
+    small partitions up to 16 MB and still splits hot keys.
+    """
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for key, value in ((INITIAL, max(-(-rows // per_task), fixed)), (ADVISED, "16m")):
+        if spark.conf.get(f"spark.gradeloom.before.{key}", None) is None:
+            spark.conf.set(f"spark.gradeloom.before.{key}", spark.conf.get(key, None) or "")
+        spark.conf.set(key, str(value))
+
+
 def local_session(name: str = "gradeloom", cpus: str | int = "*") -> SparkSession:
     """A single-machine session for tests and the bench."""
     spark = (
